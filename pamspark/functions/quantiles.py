@@ -98,3 +98,19 @@ def six_number_summary(df: DataFrame, by: Sequence[str], cols: Sequence[str]) ->
         *keys, "n", "min_value", F.col("q0").alias("q1_value"),
         F.col("q1").alias("median_value"), "mean_value", F.col("q2").alias("q3_value"),
         "max_value", "n_missing")
+
+
+def global_rank(df: DataFrame, order: str) -> DataFrame:
+    """Add ``rank`` 1..n in ascending order over all rows, without one task seeing them all.
+
+    Rows are split at approximate quantiles of the distinct values, ranked inside their bin, and
+    shifted by the rows in the bins before. Ties share a bin and are numbered in any order.
+    """
+    edges = df.agg(F.percentile_approx(order, [i / BINS for i in range(1, BINS)], 20 * BINS).alias("_edges"))
+    binned = df.crossJoin(F.broadcast(edges)).withColumn(
+        "_bin", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    per_bin = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = per_bin.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bin").orderBy(order))
+    return binned.join(F.broadcast(before), "_bin").withColumn(
+        "rank", inside + F.col("_before")).drop("_bin", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import indicator, is_in
+from ..functions.scalars import is_in
 from ..sources.schemas import require_columns
 from .relational import drop_known, keep_known
 
@@ -22,18 +22,20 @@ def competing_status(df: DataFrame, mv: str = "DaysMechVent", disc: str = "Disc0
     """Add mv_status (0 censored, 1 extubated, 2 dead under ventilation), event_time, delta_1, delta_2.
 
     Ordered branches over three-valued logic: death needs a null discharge day, which therefore must
-    not be filled before. Censored subjects stay at risk past the horizon.
+    not be filled before. Censored subjects stay at risk past the horizon. Every column is one flat
+    CASE over the inputs, since a predicate on a derived column is expanded down to the scan.
     """
     require_columns(df, [mv, disc, surv], "patient")
     m, d, s = F.col(mv), F.col(disc), F.col(surv)
-    status = (F.when((m >= horizon) | (m > d), 0)
-              .when((m <= d) | (m < s), 1)
-              .when(m >= s, 2))
-    k = F.col("mv_status")
-    time = (F.when(k == 1, m).when(k == 2, s)
-            .when(k == 0, F.lit(horizon + 1).cast(df.schema[mv].dataType)))
-    return df.withColumn("mv_status", status).withColumns({
-        "event_time": time, "delta_1": indicator(k == 2), "delta_2": indicator(k == 1)})
+
+    def by_status(censored, extubated, dead):
+        return (F.when((m >= horizon) | (m > d), censored)
+                .when((m <= d) | (m < s), extubated).when(m >= s, dead))
+
+    past = F.lit(horizon + 1).cast(df.schema[mv].dataType)
+    return df.withColumns({
+        "mv_status": by_status(0, 1, 2), "event_time": by_status(past, m, s),
+        "delta_1": by_status(0, 0, 1), "delta_2": by_status(0, 1, 0)})
 
 
 def build_cohort(patient: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def as_ped(df: DataFrame, time: str = "event_time", status: Mapping[str, str] =
         table = F.array(*[F.lit(c) for c in cuts])
         last = F.least(F.size(F.filter(table, lambda c: c < t)), F.lit(len(cuts) - 1))
         start, end = F.element_at(table, F.col("_i")), F.element_at(table, F.col("_i") + 1)
-    rows = df.where(last >= first).select(
+    rows = df.where(t > (cuts[first - 1] if first < len(cuts) else cuts[-1])).select(
         *keep, t.alias("_time"), *[F.col(c).alias(f"_{s}") for s, c in status.items()],
         F.explode(F.sequence(F.lit(first), last)).alias("_i"))
     rows = rows.withColumns({"tstart": start.cast("int"), "tend": end.cast("int")})
@@ -58,10 +58,9 @@ def last_intervals(df: DataFrame, time: str = "event_time", status: Mapping[str,
                    keep: Sequence[str] = ("CombinedID",)) -> DataFrame:
     """The last row of every subject, read off the event time without generating the others."""
     t = F.col(time)
-    tend = F.least(F.ceil(t).cast("int"), F.lit(horizon))
-    return df.where(tend >= from_day).select(
-        *keep, tend.alias("tend"),
-        *[F.when(t <= tend, F.col(c)).otherwise(0).cast("int").alias(s) for s, c in status.items()])
+    return df.where(t > from_day - 1).select(
+        *keep, F.least(F.ceil(t).cast("int"), F.lit(horizon)).alias("tend"),
+        *[F.when(t <= horizon, F.col(c)).otherwise(0).cast("int").alias(s) for s, c in status.items()])
 
 
 def person_time(ped: DataFrame) -> DataFrame:

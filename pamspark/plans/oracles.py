@@ -263,7 +263,7 @@ FROM (SELECT count(*) FILTER (NOT incomplete_day) AS diet_days, count(*) FILTER
         "low_intake_subjects": q(["kept_daily"], """SELECT n_low, n_subjects, round(n_low / n_subjects, 6) AS low_share
 FROM (SELECT count(DISTINCT CombinedID) AS n_low FROM kept_daily
   WHERE NOT incomplete_day AND proteinCat2 = 0 AND proteinCat3 = 0) l, (SELECT count(*) AS n_subjects FROM fitted) f"""),
-        "intake_bands": q(["kept_daily"], f"""SELECT s.*, round(n / protein_days, 6) AS day_share FROM (
+        "intake_bands": q(["kept_daily"], f"""SELECT s.*, protein_days, round(n / protein_days, 6) AS day_share FROM (
 SELECT * FROM ({six_sql("banded", ["proteinGproKG", "calproKg"], "band")}) z WHERE band IS NOT NULL) s,
 (SELECT count(*) AS protein_days FROM kept_daily WHERE NOT incomplete_day AND proteinAdjustedPercentage <> 0) p""".replace(
             "FROM banded", """FROM (SELECT *, CASE WHEN proteinGproKG < 0.8 AND proteinGproKG <> 0 THEN 'I'

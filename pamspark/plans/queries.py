@@ -14,6 +14,7 @@ from ..operators import ped as pe
 from ..operators import relational as re_
 from ..operators import tables as tb
 from ..sources import testviews
+from ..sources.io import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ class Inputs:
     """The tables a query starts from, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self.patient = testviews.patient(spark, sf_dir)
         self.daily = testviews.daily(spark, sf_dir)
