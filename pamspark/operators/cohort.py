@@ -38,15 +38,21 @@ def competing_status(df: DataFrame, mv: str = "DaysMechVent", disc: str = "Disc0
         "delta_1": by_status(0, 0, 1), "delta_2": by_status(0, 1, 0)})
 
 
+def status_known(mv: str = "DaysMechVent", disc: str = "Disc0To60", surv: str = "Surv0To60",
+                 horizon: int = 60) -> Column:
+    """Whether some branch of the status rule can be decided: the same as a non-null mv_status."""
+    return F.col(mv).isNotNull() & (
+        F.col(disc).isNotNull() | F.col(surv).isNotNull() | (F.col(mv) >= horizon))
+
+
 def build_cohort(patient: DataFrame) -> DataFrame:
     """Ventilated subjects with a known status."""
-    return competing_status(ventilated(patient)).where(F.col("mv_status").isNotNull())
+    return competing_status(ventilated(patient).where(status_known()))
 
 
 def unknown_status_count(patient: DataFrame) -> DataFrame:
     """How many ventilated subjects have no status and are left out."""
-    return competing_status(ventilated(patient)).agg(
-        F.count_if(F.col("mv_status").isNull()).alias("n_unknown"))
+    return ventilated(patient).agg(F.count_if(~status_known()).alias("n_unknown"))
 
 
 def fitted_subjects(cohort: DataFrame, window: DataFrame, from_day: int = 5) -> DataFrame:

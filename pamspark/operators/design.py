@@ -99,44 +99,59 @@ def basis_info(blocks: DataFrame, spec: PamSpec, pred: LagLead = protein_lag_lea
 
     The exposure ranges include the zeros that padded diary days carry.
     """
-    ranges: dict[str, tuple[float, float]] = {}
-    aggs = [F.min("from_day").alias("d0"), F.max("to_day").alias("d1")]
+    aggs = [F.sum("n").alias("n")]
     for v in spec.time_smooths:
         aggs += [F.min(v).cast("double").alias(f"{v}_lo"), F.max(v).cast("double").alias(f"{v}_hi")]
     if spec.exposures:
         aggs.append(F.min("n_days").alias("n_days"))
-    r = blocks.agg(*aggs).first()
-    if r.d0 is None:
+    spans = blocks.groupBy("from_day", "to_day").agg(*aggs).collect()  # at most one row per pair of days
+    if not spans:
         raise ValueError("no rows at risk")
-    ranges["int_mid"] = (r.d0 - 0.5, r.d1 - 0.5)
+    first, last = min(x.from_day for x in spans), max(x.to_day for x in spans)
+    ranges: dict[str, tuple[float, float]] = {"int_mid": (first - 0.5, last - 0.5)}
     for v in spec.time_smooths:
-        ranges[v] = (r[f"{v}_lo"], r[f"{v}_hi"])
+        ranges[v] = (min(x[f"{v}_lo"] for x in spans), max(x[f"{v}_hi"] for x in spans))
     if spec.exposures:
-        padded = r.n_days < WIDTH
-        ranges["t"] = (0.0 if padded else r.d0 - 0.5, r.d1 - 0.5)
+        padded = min(x.n_days for x in spans) < WIDTH
+        ranges["t"] = (0.0 if padded else first - 0.5, last - 0.5)
         ranges["tz"] = (0.0 if padded else 2.0, WIDTH + 1.0)
 
     means: dict[str, list[float]] = {}
     if spec.time_smooths:
         rows = F.col("n") * (F.col("to_day") - F.col("from_day") + 1)
-        sums = [F.sum(rows).alias("rows")]
-        for v in spec.time_smooths:
-            b = bspline_columns(F.col(v).cast("double"), *ranges[v], spec.smooth_k)
-            sums += [F.sum(rows * c).alias(f"{v}_{i}") for i, c in enumerate(b)]
-        s = blocks.agg(*sums).first()
-        means = {v: [s[f"{v}_{i}"] / s["rows"] for i in range(spec.smooth_k)] for v in spec.time_smooths}
+        means = _spline_means(blocks, rows, {v: ranges[v] for v in spec.time_smooths}, spec.smooth_k)
     if spec.baseline_k:
-        spans = blocks.groupBy("from_day", "to_day").agg(F.sum("n").alias("n")).collect()
-        per_day = np.zeros(r.d1 + 1)
+        per_day = np.zeros(last + 1)
         for x in spans:
             per_day[x.from_day:x.to_day + 1] += x.n
-        days = np.arange(r.d0, r.d1 + 1)
-        b = bspline_values(days - 0.5, *ranges["int_mid"], spec.baseline_k)
-        w = per_day[r.d0:]
+        b = bspline_values(np.arange(first, last + 1) - 0.5, *ranges["int_mid"], spec.baseline_k)
+        w = per_day[first:]
         means["int_mid"] = (w @ b / w.sum()).tolist()
     return BasisInfo(ranges, means, lag_lead_weights(blocks.sparkSession, pred, spec.last_day))
 
 
+def _spline_means(blocks: DataFrame, weight: Column, ranges: dict[str, tuple[float, float]],
+                  k: int) -> dict[str, list[float]]:
+    """Weighted means of the spline columns; each task adds up its batches and emits one row per column."""
+    def sums(batches):
+        total = np.zeros(1 + k * len(ranges))
+        for batch in batches:
+            w = batch.column("w").to_numpy()
+            parts = [[w.sum()]]
+            for v, (lo, hi) in ranges.items():
+                parts.append(w @ bspline_values(batch.column(v).to_numpy(), lo, hi, k))
+            total += np.concatenate(parts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+    got = (blocks.select(weight.cast("double").alias("w"), *[F.col(v).cast("double").alias(v) for v in ranges])
+           .mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect())
+    v = np.zeros(len(got))
+    for r in got:
+        v[r.k] = r.v
+    return {name: (v[1 + i * k:1 + (i + 1) * k] / v[0]).tolist() for i, name in enumerate(ranges)}
+
+
 @dataclass
 class Penalty:
     """One smoothing parameter: its matrix on the coefficients, and its non-zero pseudo-eigenvalues.
@@ -176,6 +191,7 @@ class Design:
         if spec.baseline_k:
             self._span(spans, "s(int_mid)", spec.baseline_k - 1)
             entries.append((0, "baseline", centring(np.array(info.means["int_mid"]))))
+        self.raw_width = len(self.z_names) + len(spec.time_smooths)
         for v in spec.time_smooths:
             at = len(self.z_names)
             self.z_names += [f"{v}#{i}" for i in range(spec.smooth_k)]
@@ -204,15 +220,24 @@ class Design:
         self.__init__(state["spec"], state["info"])
 
     def z_column(self) -> Column:
-        """The subject part of the design as one array column."""
+        """The subject's covariates as one compact array column: constant, dummies, numbers, smooth arguments."""
         s = self.spec
         cols = [F.lit(1.0)]
         cols += [F.when(F.col(f) == lv, 1.0).otherwise(0.0) for f, levels in s.factors for lv in levels[1:]]
         cols += [F.col(v).cast("double") for v in dict.fromkeys([*s.linear, *s.time_linear])]
-        for v in s.time_smooths:
-            cols += bspline_columns(F.col(v).cast("double"), *self.info.ranges[v], s.smooth_k)
+        cols += [F.col(v).cast("double") for v in s.time_smooths]
         return F.array(*cols)
 
+    def expand(self, raw: np.ndarray) -> np.ndarray:
+        """Replace the smooth arguments by their spline values."""
+        s = self.spec
+        if not s.time_smooths:
+            return raw
+        at = self.raw_width - len(s.time_smooths)
+        return np.hstack([raw[:, :at], *[
+            bspline_values(raw[:, at + i], *self.info.ranges[v], s.smooth_k)
+            for i, v in enumerate(s.time_smooths)]])
+
     def c_column(self) -> Column:
         """The diary windows of all exposures in one array column."""
         if not self.spec.exposures:
@@ -326,7 +351,7 @@ def map_rows(df: DataFrame, design: Design, keep: Sequence[str], fn, schema: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = array_values(batch, "z", design.fixed_width)
+            z = design.expand(array_values(batch, "z", design.raw_width))
             c = array_values(batch, "c", e_width) if e_width else np.zeros((len(z), 0))
             day = batch.column("_day").to_numpy()
             x = np.zeros((len(z), design.p))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import cut_lineage
+from ..sources.io import cut_lineage, ship_package
 from ..sources.schemas import require_columns
 from .design import BasisInfo, Design, PamSpec, Penalty, array_values, basis_info
 from .exposure import WIDTH, LagLead, protein_lag_lead
@@ -75,9 +75,8 @@ def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: in
     of any size is spread over many tasks.
     """
     spec = design.spec
-    events = [F.when(F.coalesce(t.rule, F.lit(False)) if t.rule is not None else F.lit(True),
-                     F.col(t.event) * F.col("seen")).cast("double").alias(f"y{i}")
-              for i, t in enumerate(tasks)]
+    events = [F.when(F.col(f"_use{i}") if t.rule is not None else F.lit(True),
+                     F.col(t.event) * F.col("seen")).cast("double") for i, t in enumerate(tasks)]
     group = F.col(spec.group).cast("string") if spec.group else F.lit(None).cast("string")
     switch = F.col(spec.group_switch).cast("double") if spec.group else F.lit(0.0)
     compact = blocks.select(
@@ -140,7 +139,7 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = array_values(batch, "z", design.fixed_width)
+            z = design.expand(array_values(batch, "z", design.raw_width))
             c = array_values(batch, "c", c_width) if c_width else np.zeros((len(z), 0))
             y = array_values(batch, "y", n_models)
             first, last = (batch.column(k).to_numpy() for k in ("from_day", "to_day"))
@@ -401,10 +400,18 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
     parameters are estimated; otherwise ``smoothing`` fixes them (by penalty label, default 1).
     """
     spark = blocks.sparkSession
+    ship_package(spark)
     spec = tasks[0].spec
     require_columns(blocks, ["from_day", "to_day", "n", "last_exposure", "seen", *spec.covariates,
                              *spec.exposures, *([spec.group, spec.group_switch] if spec.group else [])],
                     "blocks")
+    used = ["from_day", "to_day", "n", "last_exposure", "seen", *spec.covariates, *spec.exposures,
+            *(["n_days"] if spec.exposures else []),
+            *([spec.group, spec.group_switch] if spec.group else [])]
+    rules = {f"_use{i}": t.rule for i, t in enumerate(tasks) if t.rule is not None}
+    blocks = cut_lineage(blocks.withColumns(rules).select(
+        *dict.fromkeys([*used, *[t.event for t in tasks], *rules])) if rules else
+        blocks.select(*dict.fromkeys([*used, *[t.event for t in tasks]])))
     info = info or basis_info(blocks, spec, pred)
     full = Design(spec, info)
     designs = [Design(t.spec, info) for t in tasks]

@@ -36,7 +36,8 @@ class Inputs:
     @property
     def diary_ids(self) -> DataFrame:
         """Subjects with a diary; the line items need not be ranked for that."""
-        return testviews.line_items(self.spark, self.sf_dir).select(F.col("l_orderkey").alias(co.KEY))
+        return testviews.line_items(self.spark, self.sf_dir).select(
+            F.col("l_orderkey").alias(co.KEY)).distinct()
 
     @property
     def fitted(self) -> DataFrame:

@@ -19,7 +19,18 @@ def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_nationkey", "c_mktsegment")
     k = _long(F.col("o_totalprice"))
     died = (k % 4) == 0
-    base = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    # least() and coalesce() skip the null death day of survivors, so each input is named once
+    death_day = F.when(died, 1 + _long(k / 4) % 60)
+    leave_day = 2 + _long(k / 5) % 59
+    # one-row inline: predicates on the derived days stay above it instead of being expanded into the scan
+    days = orders.select("*", F.inline(F.array(F.struct(
+        F.when(died, 1).otherwise(0).alias("PatientDied"),
+        F.when(died, 0).otherwise(1).alias("PatientDischarged"),
+        F.coalesce(death_day, F.lit(61).cast("bigint")).alias("Surv0To60"),
+        F.when(~died, leave_day).alias("Disc0To60"),
+        F.least((F.col("o_orderkey") * 7 + F.col("o_custkey") * 3) % 66, death_day).alias("DaysMechVent"),
+        F.coalesce(death_day, leave_day).alias("event")))))
+    return days.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("CombinedID"),
         F.col("c_nationkey").alias("CombinedicuID"),
         F.lit(1).alias("icuByDummy"),
@@ -38,18 +49,7 @@ def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
         (_long(F.col("o_orderkey") / 16) % 4).alias("OralIntake2_4"),
         (_long(F.col("o_orderkey") / 64) % 4).alias("PN2_4"),
         (F.col("o_custkey") % 4).alias("EN2_4"),
-        F.when(died, 1).otherwise(0).alias("PatientDied"),
-        F.when(died, 0).otherwise(1).alias("PatientDischarged"),
-        F.when(died, 1 + _long(k / 4) % 60).otherwise(F.lit(61).cast("bigint")).alias("Surv0To60"),
-        F.when(~died, 2 + _long(k / 5) % 59).alias("Disc0To60"),
-        ((F.col("o_orderkey") * 7 + F.col("o_custkey") * 3) % 66).alias("mv_raw"),
-    )
-    dead = F.col("PatientDied") == 1
-    return base.select(
-        *[c for c in base.columns if c != "mv_raw"],
-        F.when(dead, F.least("mv_raw", "Surv0To60")).otherwise(F.col("mv_raw")).alias("DaysMechVent"),
-        F.when(dead, F.col("Surv0To60")).otherwise(F.col("Disc0To60")).alias("event"),
-    )
+        "PatientDied", "PatientDischarged", "Surv0To60", "Disc0To60", "DaysMechVent", "event")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
