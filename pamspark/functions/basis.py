@@ -1,8 +1,8 @@
 """Cubic B-splines on evenly spaced knots, as Spark columns and as numpy arrays.
 
 The knot range is widened by a thousandth on either side; ``k`` functions use ``k - 3`` inner
-intervals. On interval ``m`` of the shifted and scaled argument the four non-zero functions are the
-usual uniform cubic pieces.
+intervals. With r the distance from a function's centre in knot steps, its value is
+``((2 - r)+^3 - 4 (1 - r)+^3) / 6``, the cubic B-spline without case distinctions.
 """
 
 from __future__ import annotations
@@ -25,25 +25,17 @@ def bspline_columns(x: Column, lo, hi, k: int) -> list[Column]:
     u = _steps(x, lo, hi, k)
     out = []
     for i in range(k):
-        v = u - (i - 3)
-        a, b, c = v - 1, v - 2, v - 3
-        out.append(
-            F.when((v < 0) | (v >= 4), 0.0)
-             .when(v < 1, v * v * v / 6)
-             .when(v < 2, (1 + 3 * a + 3 * a * a - 3 * a * a * a) / 6)
-             .when(v < 3, (4 - 6 * b * b + 3 * b * b * b) / 6)
-             .otherwise((1 - c) * (1 - c) * (1 - c) / 6))
+        r = F.abs(u - (i - 1))
+        wide, narrow = F.greatest(2 - r, F.lit(0.0)), F.greatest(1 - r, F.lit(0.0))
+        out.append((wide * wide * wide - 4 * narrow * narrow * narrow) / 6)
     return out
 
 
 def bspline_values(x, lo: float, hi: float, k: int) -> np.ndarray:
     """The same basis for an array: shape (len(x), k)."""
-    v = _steps(np.asarray(x, dtype=float), lo, hi, k)[:, None] - (np.arange(k) - 3)
-    a, b, c = v - 1, v - 2, v - 3
-    return np.select(
-        [(v < 0) | (v >= 4), v < 1, v < 2, v < 3],
-        [0.0, v**3 / 6, (1 + 3 * a + 3 * a**2 - 3 * a**3) / 6, (4 - 6 * b**2 + 3 * b**3) / 6],
-        (1 - c) ** 3 / 6)
+    r = np.abs(_steps(np.asarray(x, dtype=float), lo, hi, k)[:, None] - (np.arange(k) - 1))
+    wide, narrow = np.maximum(2 - r, 0), np.maximum(1 - r, 0)
+    return (wide * wide * wide - 4 * narrow * narrow * narrow) / 6
 
 
 def difference_penalty(k: int, order: int) -> np.ndarray:

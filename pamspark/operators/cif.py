@@ -38,6 +38,36 @@ def posterior_draws(model: PamModel, spark: SparkSession, n_sim: int = 500, seed
         draw, "sim_id bigint, beta array<double>")
 
 
+def draw_moments(draws: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of given draws; every task adds up its vectors' products."""
+    def sums(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                b = array_values(batch, "beta", len(batch.column("beta")[0]))
+                b = np.hstack([np.ones((len(b), 1)), b])
+                total = b.T @ b if total is None else total + b.T @ b
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])],
+                names=["i", "j", "v"])
+
+    got = (draws.select("beta").mapInArrow(sums, "i int, j int, v double")
+           .groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas())
+    m = np.zeros((got["i"].max() + 1,) * 2)
+    m[got["i"], got["j"]] = got["v"]
+    m[got["j"], got["i"]] = got["v"]
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    return mean, (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+
+
+def zero_moments(spec) -> tuple[np.ndarray, np.ndarray]:
+    """Placeholder coefficients of a model that is only used for its design."""
+    p = 1 + len(spec.exposures) * spec.exposure_k ** 2
+    return np.zeros(p), np.zeros((p, p))
+
+
 def prediction_matrix(model: PamModel, frames: DataFrame):
     """Design of the prediction rows, whose number is fixed by protocols and days: labels and matrix."""
     rows = design_rows(frames, model.design, ["protocol", "tstart", "tend"]).orderBy(

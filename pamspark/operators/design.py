@@ -372,15 +372,34 @@ def design_rows(df: DataFrame, design: Design, keep: Sequence[str]) -> DataFrame
     return map_rows(df, design, keep, lambda x: {"x": x}, "x array<double>")
 
 
-def tensor_exposure(tend: Column, value: str, ranges: dict[str, tuple[float, float]], k: int = 5,
-                    pred: LagLead = protein_lag_lead) -> list[Column]:
-    """The ``k * k`` exposure columns of one category as expressions.
+def column_sums(df: DataFrame, design: Design) -> DataFrame:
+    """Sum of every design column over all rows: ``term, total``; each batch emits its own sums."""
+    e_width = WIDTH * len(design.spec.exposures)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(design.p)
+        for batch in batches:
+            z = design.expand(array_values(batch, "z", design.raw_width))
+            c = array_values(batch, "c", e_width) if e_width else np.zeros((len(z), 0))
+            day = batch.column("_day").to_numpy()
+            for d in np.unique(day):
+                at = day == d
+                total += design.subject_rows(z[at], c[at], int(d)).sum(axis=0) @ design.day_map(int(d))
+        yield pa.RecordBatch.from_arrays([pa.array(design.names), pa.array(total)], names=["term", "total"])
+
+    return row_parts(df, design).mapInArrow(run, "term string, total double").groupBy("term").agg(
+        F.sum("total").alias("total"))
+
+
+def tensor_exposure(tend: Column, window: Column, ranges: dict[str, tuple[float, float]], k: int = 5,
+                    pred: LagLead = protein_lag_lead) -> Column:
+    """The ``k * k`` exposure columns of one category as an array.
 
-    The spline of t is constant within a row, so the sum over the days is taken over the spline of tz
-    only and multiplied afterwards.
+    The spline of t is constant within an end day, so the sum over the diary days is taken over the
+    splines of tz only. The result is linear in ``window``: diary windows may be summed by end day first.
     """
-    bt = bspline_columns(tend - F.lit(0.5), *map(F.lit, ranges["t"]), k)
     bz = bspline_values(np.arange(1, WIDTH + 1) + 1, *ranges["tz"], k)
-    sums = [add_all([F.when(pred(tend, F.lit(d)), F.col(value)[d - 1]).otherwise(0.0) * float(bz[d - 1, b])
-                     for d in range(1, WIDTH + 1)]) for b in range(k)]
-    return [bt[a] * sums[b] for a in range(k) for b in range(k)]
+    masked = [F.when(pred(tend, F.lit(d)), window[d - 1]).otherwise(0.0) for d in range(1, WIDTH + 1)]
+    sums = F.array(*[add_all([m * float(bz[d, b]) for d, m in enumerate(masked)]) for b in range(k)])
+    bt = F.array(*bspline_columns(tend - F.lit(0.5), *map(F.lit, ranges["t"]), k))
+    return F.flatten(F.transform(bt, lambda a: F.transform(sums, lambda b: a * b)))

@@ -116,6 +116,23 @@ def effective_exposure(t: Column, value: str, pred: LagLead = protein_lag_lead,
                     for d in range(1, width + 1)])
 
 
+def window_sums_at_risk(subjects: DataFrame, values: Sequence[str] = ("proteinCat2", "proteinCat3"),
+                        from_day: int = 5, horizon: int = FOLLOW_UP, width: int = WIDTH) -> DataFrame:
+    """Diary windows summed over the subjects at risk, per end day.
+
+    Subjects are summed by their last day first; only these sums are carried to the days before.
+    """
+    t = F.col("event_time")
+    slots = [(v, d, f"_{v}_{d}") for v in values for d in range(width)]
+    per_last = subjects.where(t > from_day - 1).groupBy(
+        F.least(F.ceil(t).cast("int"), F.lit(horizon)).alias("last")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(v)[d]).alias(a) for v, d, a in slots])
+    days = per_last.select("*", F.explode(F.sequence(F.lit(from_day), F.col("last"))).alias("tend"))
+    sums = days.groupBy("tend").agg(F.sum("_n").alias("n_rows"), *[F.sum(a).alias(a) for _, _, a in slots])
+    return sums.select("tend", "n_rows", *[
+        F.array(*[F.col(a) for u, _, a in slots if u == v]).alias(v) for v in values])
+
+
 def schemes(spark: SparkSession) -> DataFrame:
     """The five hypothetical diets as ``protocol, label, C2, C3``."""
     return literal_table(

@@ -275,5 +275,169 @@ SELECT * FROM ({six_sql("banded", ["proteinGproKG", "calproKg"], "band")}) z WHE
     }
 
 
+
+# Exposure and inference under given parameters. The coefficients are the `embeddings` vectors: place 1 the
+# intercept (less 3), then 25 tensor coefficients of category 3 and 25 of category 2, for the second cause
+# shifted by 13 places. Spline of t over [0, 59.5] and of tz over [0, 12], five functions each.
+BASIS_T = f"SELECT t, a, {bspline('t - 0.5', '0.0', '59.5', '5', 'a')} AS bt FROM range(5, 61) x(t), range(0, 5) y(a)"
+BASIS_TZ = f"SELECT tz, b, {bspline('tz + 1.0', '0.0', '12.0', '5', 'b')} AS bz FROM range(1, 12) x(tz), range(0, 5) y(b)"
+SCHEMES = """
+SELECT protocol, CAST(d AS INT) AS tz,
+  CASE protocol WHEN 'low_to_med' THEN CASE WHEN d > 4 THEN 1 ELSE 0 END WHEN 'med' THEN 1
+    WHEN 'med_to_high' THEN CASE WHEN d <= 4 THEN 1 ELSE 0 END ELSE 0 END AS C2,
+  CASE protocol WHEN 'med_to_high' THEN CASE WHEN d > 4 THEN 1 ELSE 0 END WHEN 'high' THEN 1 ELSE 0 END AS C3
+FROM (VALUES ('low'), ('low_to_med'), ('med'), ('med_to_high'), ('high')) p(protocol), range(1, 12) r(d)"""
+LABELS = """SELECT * FROM (VALUES ('low', 'exclusively low', 1), ('low_to_med', 'late standard', 2),
+  ('med', 'early standard', 3), ('med_to_high', 'late high', 4), ('high', 'early high', 5)) l(protocol, label, ord)"""
+PAIRS = """SELECT comparison, p1, p2, a.label || ' vs. ' || b.label AS name FROM (VALUES ('A', 'low', 'low_to_med'),
+  ('B', 'low_to_med', 'med'), ('C', 'low', 'med'), ('D', 'med', 'med_to_high'), ('E', 'med_to_high', 'high'),
+  ('F', 'med', 'high')) c(comparison, p1, p2) JOIN labels a ON a.protocol = p1 JOIN labels b ON b.protocol = p2"""
+# protocol, day, coefficient place and design value (places 2..51)
+FRAME_X = """SELECT protocol, t AS tend, 2 + cat * 25 + a * 5 + b AS j,
+  sum(bt * bz * LL * CASE cat WHEN 0 THEN C3 ELSE C2 END) AS x
+FROM basis_t JOIN lag_lead USING (t) JOIN basis_tz USING (tz) JOIN schemes USING (tz), range(0, 2) c(cat)
+GROUP BY protocol, t, cat, a, b"""
+DRAWS = "SELECT vec_id AS sim_id, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings"
+# linear predictor of every draw, protocol and day, for both causes
+ETAS = """SELECT sim_id, protocol, tend, max(i1) - 3 + sum(x * e1) AS eta1, max(i2) - 3 + sum(x * e2) AS eta2
+FROM (SELECT d1.sim_id, d1.j, d1.e AS e1, d2.e AS e2 FROM draws d1 JOIN draws d2
+        ON d2.sim_id = d1.sim_id AND d2.j = d1.j + 13 WHERE d1.j BETWEEN 2 AND 51) d
+JOIN (SELECT sim_id, max(CASE WHEN j = 1 THEN e END) AS i1, max(CASE WHEN j = 14 THEN e END) AS i2
+      FROM draws GROUP BY sim_id) i USING (sim_id)
+JOIN frame_x USING (j) GROUP BY sim_id, protocol, tend"""
+HAZARDS = "SELECT sim_id, protocol, CAST(tend AS INT) AS tend, exp(eta1) AS death, exp(eta2) AS extubation FROM etas"
+CIFS = """SELECT sim_id, protocol, tend, survival,
+  sum(death * (survival - 1e-10)) OVER w AS cif_death, sum(extubation * (survival - 1e-10)) OVER w AS cif_extubation
+FROM (SELECT *, exp(-sum(death + extubation) OVER (PARTITION BY sim_id, protocol ORDER BY tend)) AS survival
+      FROM hazards) h WINDOW w AS (PARTITION BY sim_id, protocol ORDER BY tend)"""
+# the contrast of a draw: its mean over the draws is the log hazard ratio, its deviation the standard error
+CONTRASTS = """SELECT comparison, name, tend, sim_id, sum((x2 - x1) * e) AS v
+FROM (SELECT comparison, name, f1.tend, f1.j, f1.x AS x1, f2.x AS x2 FROM pairs
+      JOIN frame_x f1 ON f1.protocol = p1 JOIN frame_x f2 ON f2.protocol = p2 AND f2.tend = f1.tend AND f2.j = f1.j) f
+JOIN draws USING (j) GROUP BY comparison, name, tend, sim_id"""
+EFFECTS = """SELECT comparison, name, CAST(tend AS INT) AS tend, tend - 0.5::DOUBLE AS intmid, exp(m) AS fit, s AS se,
+  exp(m + 2 * s) AS hi, exp(m - 2 * s) AS lo
+FROM (SELECT comparison, name, tend, avg(v) AS m, stddev_samp(v) AS s FROM contrasts GROUP BY ALL) c"""
+
+# window of every fitted subject in long form, and its rows at risk
+WINDOW = """SELECT f.CombinedID, f.event_time, f.AdmCatID, f.ApacheIIScore, f.delta_1, f.delta_2,
+  CAST(tz AS INT) AS tz, d.CombinedID IS NOT NULL AS present,
+  coalesce(d.proteinCat2, 0) AS C2, coalesce(d.proteinCat3, 0) AS C3
+FROM fitted f CROSS JOIN range(1, 12) g(tz)
+LEFT JOIN daily d ON d.CombinedID = f.CombinedID AND d.Study_Day = tz"""
+EXPOSED = """SELECT w.*, CAST(t AS INT) AS tend, LL FROM "window" w JOIN lag_lead USING (tz)
+WHERE t >= 5 AND t - 1 < event_time"""
+
+SHARED.update({
+    "basis_t": (BASIS_T, []),
+    "basis_tz": (BASIS_TZ, []),
+    "schemes": (SCHEMES, []),
+    "labels": (LABELS, []),
+    "pairs": (PAIRS, ["labels"]),
+    "frame_x": (FRAME_X, ["basis_t", "basis_tz", "lag_lead", "schemes"]),
+    "draws": (DRAWS, []),
+    "etas": (ETAS, ["draws", "frame_x"]),
+    "hazards": (HAZARDS, ["etas"]),
+    "cifs": (CIFS, ["hazards"]),
+    "contrasts": (CONTRASTS, ["pairs", "frame_x", "draws"]),
+    "effects": (EFFECTS, ["contrasts"]),
+    '"window"': (WINDOW, ["fitted", "daily"]),
+    "exposed": (EXPOSED, ['"window"', "lag_lead"]),
+})
+
+
+def _digits(names: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+
+
+def exposure_sql() -> dict[str, str]:
+    q = with_shared
+    return {
+        "lag_lead_at_risk": q(["ped", "lag_lead"], """SELECT CAST(t AS INT) AS t, CAST(tz AS INT) AS tz, LL,
+  at_risk, at_risk * LL AS acting FROM lag_lead JOIN (SELECT tend, count(*) AS at_risk FROM ped GROUP BY tend) p
+  ON t = tend"""),
+        "diary_window": q(["daily"], """SELECT CombinedID, max(Study_Day) AS n_days,
+  array_to_string(list_resize(list(proteinCat2 ORDER BY Study_Day), 11, 0), '') AS c2,
+  array_to_string(list_resize(list(proteinCat3 ORDER BY Study_Day), 11, 0), '') AS c3
+FROM daily GROUP BY CombinedID"""),
+        "nested_diary": q(["daily"], """SELECT CombinedID, count(*) AS n_days, max(Study_Day) AS last_day,
+  string_agg(Study_Day || ':' || EN, ',' ORDER BY Study_Day) AS diary FROM daily GROUP BY CombinedID"""),
+        "overlong_diaries": """SELECT count(*) AS n_subjects, CAST(coalesce(sum(n - 11), 0) AS BIGINT) AS n_rows_cut
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) c WHERE n > 11""",
+        "cumulative_exposure": q(["exposed"], """SELECT tend, tz AS day, count(*) AS n_rows,
+  CAST(sum(CASE WHEN present THEN tend - 0.5 ELSE 0 END) AS DOUBLE) AS sum_t,
+  CAST(sum(CASE WHEN present THEN tz + 1 ELSE 0 END) AS DOUBLE) AS sum_tz,
+  CAST(sum(LL) AS DOUBLE) AS sum_ll, CAST(sum(C2) AS DOUBLE) AS sum_c2, CAST(sum(C3) AS DOUBLE) AS sum_c3
+FROM exposed GROUP BY tend, tz"""),
+        "effective_exposure": q(["exposed"], """SELECT tend, e2, e3, count(*) AS n_rows FROM (
+  SELECT CombinedID, tend, CAST(sum(LL * C2) AS DOUBLE) AS e2, CAST(sum(LL * C3) AS DOUBLE) AS e3
+  FROM exposed GROUP BY CombinedID, tend) e GROUP BY tend, e2, e3"""),
+        "protocol_frames": q(["fitted", "schemes", "lag_lead", "labels"], """SELECT AdmCatID, CombinedID, protocol, label,
+  CAST(t AS INT) AS tend, 0 AS icuByDummy, CAST(sum(LL * C2) AS DOUBLE) AS e2, CAST(sum(LL * C3) AS DOUBLE) AS e3
+FROM (SELECT AdmCatID, min(CombinedID) AS CombinedID FROM fitted GROUP BY AdmCatID) f
+CROSS JOIN schemes JOIN lag_lead USING (tz) JOIN labels USING (protocol) WHERE t >= 5
+GROUP BY AdmCatID, CombinedID, protocol, label, t"""),
+        "bspline_basis": q(["fitted"], f"""SELECT BMI, n, CAST(i AS INT) AS i,
+  round({bspline('BMI', 'lo', 'hi', '10', 'i')}, 6) AS value
+FROM (SELECT BMI, count(*) AS n FROM fitted GROUP BY BMI) b, (SELECT min(BMI) AS lo, max(BMI) AS hi FROM fitted) r,
+ range(0, 10) g(i)"""),
+        "tensor_exposure": q(["exposed", "basis_t", "basis_tz"], """SELECT tend, CAST(a * 5 + b AS INT) AS k,
+  round(sum(bt * bz * n3), 6) AS cat3, round(sum(bt * bz * n2), 6) AS cat2
+FROM (SELECT tend, tz, sum(LL * C3) AS n3, sum(LL * C2) AS n2 FROM exposed GROUP BY tend, tz) e
+JOIN basis_t ON t = tend JOIN basis_tz USING (tz) GROUP BY tend, a, b"""),
+        "design_sums": q(["exposed", "ped", "basis_t", "basis_tz"], """SELECT 'te(t,tz):I(LL * proteinCat' || c || ').' || (a * 5 + b + 1) AS term,
+  round(sum(bt * bz * CASE c WHEN 3 THEN n3 ELSE n2 END), 6) AS total
+FROM (SELECT tend, tz, sum(LL * C3) AS n3, sum(LL * C2) AS n2 FROM exposed GROUP BY tend, tz) e
+JOIN basis_t ON t = tend JOIN basis_tz USING (tz), (VALUES (3), (2)) v(c) GROUP BY c, a, b
+UNION ALL SELECT term, round(CAST(total AS DOUBLE), 6) FROM (
+  SELECT '(Intercept)' AS term, count(*) AS total FROM ped
+  UNION ALL SELECT 'AdmCatIDSurgical/Elective', count(*) FILTER (AdmCatID = 'Surgical/Elective') FROM ped
+  UNION ALL SELECT 'AdmCatIDSurgical/Emeregency', count(*) FILTER (AdmCatID = 'Surgical/Emeregency') FROM ped
+  UNION ALL SELECT 'ApacheIIScore', sum(ApacheIIScore) FROM ped
+  UNION ALL SELECT 'ApacheIIScore:int_mid', sum(ApacheIIScore * int_mid) FROM ped) p"""),
+        "compressed_design": q(["ped"], """SELECT AdmCatID, Gender, tend, count(*) AS n_rows,
+  CAST(count(*) AS DOUBLE) AS exposure, CAST(sum(ped_status_1) AS BIGINT) AS ped_status_1,
+  CAST(sum(ped_status_2) AS BIGINT) AS ped_status_2 FROM ped GROUP BY AdmCatID, Gender, tend"""),
+        "linear_predictor_given": q(["exposed", "basis_t", "basis_tz", "draws"], """SELECT tend, count(*) AS n_rows,
+  round(avg(m1 - 3 + eta), 6) AS mean_eta, round(avg(eta), 6) AS mean_effect, round(max(eta), 6) AS max_effect,
+  round(min(eta), 6) AS min_effect
+FROM (SELECT CombinedID, tend, sum(LL * (C3 * g3 + C2 * g2)) AS eta FROM exposed JOIN (
+    SELECT t, tz, sum(bt * bz * CASE c WHEN 0 THEN m END) AS g3, sum(bt * bz * CASE c WHEN 1 THEN m END) AS g2
+    FROM basis_t, basis_tz, range(0, 2) v(c), (SELECT j, avg(e) AS m FROM draws GROUP BY j) d
+    WHERE j = 2 + c * 25 + a * 5 + b GROUP BY t, tz) g ON t = tend AND g.tz = exposed.tz
+  GROUP BY CombinedID, tend) e, (SELECT avg(e) AS m1 FROM draws WHERE j = 1) i GROUP BY tend"""),
+        "six_comparisons_given": q(["effects"], f"""SELECT comparison, name, tend, intmid,
+  {_digits(['fit', 'se', 'hi', 'lo'])} FROM effects"""),
+        "hr_table_given": q(["effects"], f"""SELECT comparison, tend, round(fit, 2) AS fit,
+  '[' || {_num('round(lo, 2)')} || ', ' || {_num('round(hi, 2)')} || ']' AS CI FROM effects"""),
+        "hr_extremes_given": q(["effects"], f"""SELECT comparison, 'min' AS extreme, tend, {_digits(['fit', 'se'])} FROM effects
+QUALIFY fit = min(fit) OVER (PARTITION BY comparison)
+UNION ALL SELECT comparison, 'max', tend, {_digits(['fit', 'se'])} FROM effects
+QUALIFY fit = max(fit) OVER (PARTITION BY comparison)"""),
+        "cause_hazards_given": q(["hazards"], f"SELECT sim_id, protocol, tend, {_digits(['death', 'extubation'])} FROM hazards"),
+        "all_cause_hazard_given": q(["hazards"], """SELECT protocol, tend, count(*) AS n_draws,
+  round(avg(death + extubation), 6) AS hazard FROM hazards GROUP BY protocol, tend"""),
+        "cif_given": q(["cifs"], f"""SELECT sim_id, protocol, tend,
+  {_digits(['survival', 'cif_death', 'cif_extubation'])} FROM cifs"""),
+        "cif_band_given": q(["cifs", "labels", "pairs"], """SELECT comparison, name AS comparison_text, protocol, label,
+  tend, tend - 0.5::DOUBLE AS int_mid, cause, round(cif, 6) AS cif, round(cif_lower, 6) AS cif_lower,
+  round(cif_upper, 6) AS cif_upper
+FROM (SELECT protocol, tend, cause, avg(v) AS cif, quantile_cont(v, 0.025) AS cif_lower, quantile_cont(v, 0.975) AS cif_upper
+  FROM (SELECT protocol, tend, 'death' AS cause, cif_death AS v FROM cifs
+        UNION ALL SELECT protocol, tend, 'extubation', cif_extubation FROM cifs) u GROUP BY protocol, tend, cause) b
+JOIN pairs ON protocol IN (p1, p2) JOIN labels USING (protocol)"""),
+        "poisson_rates_closed_form": q(["ped"], """SELECT AdmCatID, died, n_rows, round(died / n_rows, 6) AS rate,
+  round(1 / sqrt(died), 6) AS log_rate_se
+FROM (SELECT AdmCatID, CAST(sum(ped_status_1) AS BIGINT) AS died, count(*) AS n_rows FROM ped GROUP BY AdmCatID) p"""),
+        "coef_table_closed_form": q(["ped"], """SELECT 'weaning' AS model, 'GenderMale' AS term, 'Gender: male' AS label,
+  round(b, 6) AS estimate, round(s, 6) AS se, round(b / s, 6) AS z,
+  round(b - 1.959963984540054 * s, 6) AS lower, round(b + 1.959963984540054 * s, 6) AS upper
+FROM (SELECT ln(m_events / m_time) - ln(f_events / f_time) AS b, sqrt(1 / m_events + 1 / f_events) AS s FROM (
+  SELECT CAST(sum(ped_status_2) FILTER (Gender = 'Male') AS DOUBLE) AS m_events, count(*) FILTER (Gender = 'Male') AS m_time,
+    CAST(sum(ped_status_2) FILTER (Gender = 'Female') AS DOUBLE) AS f_events, count(*) FILTER (Gender = 'Female') AS f_time
+  FROM ped) r) c"""),
+    }
+
+
 def registered() -> dict[str, str]:
-    return {**relational_sql()}
+    return {**relational_sql(), **exposure_sql()}

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.basis import bspline_columns
 from ..functions.quantiles import six_number_summary
+from ..operators import cif as ci
 from ..operators import cohort as co
+from ..operators import design as de
+from ..operators import effects as ef
 from ..operators import exposure as ex
+from ..operators import fit as fi
+from ..operators import model as mo
 from ..operators import ped as pe
 from ..operators import relational as re_
 from ..operators import tables as tb
@@ -158,7 +165,184 @@ def relational_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
+# ---- exposure, design and inference -------------------------------------------------------------
+
+GIVEN_RANGES = {"t": (0.0, 59.5), "tz": (0.0, 12.0), "int_mid": (4.5, 59.5)}
+GIVEN_SPEC = de.PamSpec(exposures=("proteinCat3", "proteinCat2"))
+SECOND_CAUSE = 13
+
+
+def _given_info(x: Inputs) -> de.BasisInfo:
+    return de.BasisInfo(GIVEN_RANGES, {}, de.lag_lead_weights(x.spark, ex.protein_lag_lead, 60))
+
+
+def _given_draws(x: Inputs, shift: int = 0) -> DataFrame:
+    """Given coefficient draws out of the vectors: the first place is the intercept, less 3."""
+    p = 1 + 2 * GIVEN_SPEC.exposure_k ** 2
+    vec = F.slice("beta", shift + 1, p)
+    return testviews.draws(x.spark, x.sf_dir).select(
+        "sim_id", F.concat(F.array(vec[0] - 3), F.slice(vec, 2, p - 1)).alias("beta"))
+
+
+def _given_model(x: Inputs, shift: int = 0) -> mo.PamModel:
+    """Mean and covariance of the given draws as a model."""
+    mean, cov = ci.draw_moments(_given_draws(x, shift))
+    return mo.PamModel("given", GIVEN_SPEC, _given_info(x), mean, cov)
+
+
+def _template_frames(x: Inputs, by=()) -> DataFrame:
+    chosen = ex.template_subjects(x.fitted, by)
+    return ex.protocol_frames(chosen, ex.schemes(x.spark))
+
+
+def _exposed_rows(x: Inputs, keep=()) -> DataFrame:
+    e = x.exposed
+    return pe.as_ped(e, from_day=5, keep=["n_days", "proteinCat2", "proteinCat3", *keep])
+
+
+def _lag_lead_at_risk(x: Inputs) -> DataFrame:
+    risk = tb.life_table_from_cohort(x.fitted).select(F.col("tend").alias("t"), "at_risk")
+    return ex.lag_lead(x.spark).join(F.broadcast(risk), "t").withColumn("acting", F.col("at_risk") * F.col("LL"))
+
+
+def _diary_text(x: Inputs) -> DataFrame:
+    def text(c):
+        return F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), "")
+    return x.window.select(co.KEY, "n_days", text("proteinCat2").alias("c2"), text("proteinCat3").alias("c3"))
+
+
+def _nested_text(x: Inputs) -> DataFrame:
+    day = F.transform("diary", lambda d: F.concat(d["day"].cast("string"), F.lit(":"), d["EN"].cast("string")))
+    return ex.nested_diary(x.daily, ["EN"]).select(
+        co.KEY, F.size("diary").cast("bigint").alias("n_days"),
+        F.element_at("diary", -1)["day"].alias("last_day"), F.array_join(day, ",").alias("diary"))
+
+
+def _cumulative_exposure(x: Inputs) -> DataFrame:
+    """Sums of the five exposure arrays per end day and diary day: arrays are summed by place."""
+    rows = ex.add_cumulative_exposure(_exposed_rows(x))
+    names = [("t", "sum_t"), ("tz", "sum_tz"), ("LL", "sum_ll"), ("proteinCat2", "sum_c2"), ("proteinCat3", "sum_c3")]
+    sums = rows.groupBy("tend").agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.sum(F.col(c)[d]).alias(f"{a}_{d}") for c, a in names for d in range(ex.WIDTH)])
+    per_day = F.array(*[F.struct(F.lit(d + 1).alias("day"), *[F.col(f"{a}_{d}").alias(a) for _, a in names])
+                        for d in range(ex.WIDTH)])
+    return sums.select("tend", "n_rows", F.inline(per_day))
+
+
+def _effective_exposure(x: Inputs) -> DataFrame:
+    rows = _exposed_rows(x).select("tend", ex.effective_exposure(F.col("tend"), "proteinCat2").alias("e2"),
+                                   ex.effective_exposure(F.col("tend"), "proteinCat3").alias("e3"))
+    return rows.groupBy("tend", "e2", "e3").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _protocol_frames(x: Inputs) -> DataFrame:
+    """First subject of every admission category under all diets."""
+    return _template_frames(x, ["AdmCatID"]).select(
+        "AdmCatID", co.KEY, "protocol", "label", "tend", "icuByDummy",
+        ex.effective_exposure(F.col("tend"), "proteinCat2").alias("e2"),
+        ex.effective_exposure(F.col("tend"), "proteinCat3").alias("e3"))
+
+
+def _bspline_basis(x: Inputs) -> DataFrame:
+    values = x.fitted.groupBy("BMI").agg(F.count(F.lit(1)).alias("n"))
+    span = x.fitted.agg(F.min("BMI").alias("lo"), F.max("BMI").alias("hi"))
+    basis = F.posexplode(F.array(*bspline_columns(F.col("BMI"), F.col("lo"), F.col("hi"), 10))).alias("i", "value")
+    return values.crossJoin(F.broadcast(span)).select("BMI", "n", basis)
+
+
+def _tensor_exposure(x: Inputs) -> DataFrame:
+    """Column sums of both exposure tensors per end day."""
+    sums = ex.window_sums_at_risk(x.exposed)
+    outer = sums.select("tend", *[
+        de.tensor_exposure(F.col("tend"), F.col(v), GIVEN_RANGES).alias(c)
+        for c, v in (("cat3", "proteinCat3"), ("cat2", "proteinCat2"))])
+    return outer.select("tend", F.posexplode(F.arrays_zip("cat3", "cat2")).alias("k", "v")).select(
+        "tend", "k", F.col("v")["cat3"].alias("cat3"), F.col("v")["cat2"].alias("cat2"))
+
+
+def _design_sums(x: Inputs) -> DataFrame:
+    """Column sums of a design over all rows at risk."""
+    spec = de.PamSpec(factors=(("AdmCatID", ("Medical", "Surgical/Elective", "Surgical/Emeregency")),),
+                      linear=("ApacheIIScore",), time_linear=("ApacheIIScore",),
+                      exposures=GIVEN_SPEC.exposures)
+    design = de.Design(spec, _given_info(x))
+    totals = de.column_sums(_exposed_rows(x, ["AdmCatID", "ApacheIIScore"]), design)
+    return totals
+
+
+def _linear_predictor(x: Inputs) -> DataFrame:
+    rows = mo.predict_terms(_exposed_rows(x), _given_model(x), ["tend"], effect="proteinCat")
+    return rows.groupBy("tend").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("eta").alias("mean_eta"),
+        F.avg("eta_effect").alias("mean_effect"), F.max("eta_effect").alias("max_effect"),
+        F.min("eta_effect").alias("min_effect"))
+
+
+def _effects_given(x: Inputs) -> DataFrame:
+    return ef.six_comparisons(_given_model(x), _template_frames(x))
+
+
+def _hazards_given(x: Inputs) -> DataFrame:
+    model = mo.PamModel("given", GIVEN_SPEC, _given_info(x), *ci.zero_moments(GIVEN_SPEC))
+    return ci.cause_hazards([_given_draws(x), _given_draws(x, SECOND_CAUSE)], [model, model], _template_frames(x))
+
+
+def _cif_band_given(x: Inputs) -> DataFrame:
+    return ci.paired_bands(ci.cif_band(ci.cif(_hazards_given(x))), ex.comparisons(x.spark), ex.schemes(x.spark))
+
+
+def _closed_form_rates(x: Inputs) -> DataFrame:
+    """Rates per admission category from an unpenalised fit."""
+    levels = ("Medical", "Surgical/Elective", "Surgical/Emeregency")
+    m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("AdmCatID", levels),)), "delta_1",
+                   smooth=False)
+    rows = []
+    for i, lv in enumerate(levels):
+        pick = np.zeros(len(m.beta))
+        pick[[0, i] if i else [0]] = 1
+        rows.append((lv, float(np.exp(pick @ m.beta)), float(np.sqrt(pick @ m.cov @ pick))))
+    fitted = x.spark.createDataFrame(rows, "AdmCatID string, rate double, log_rate_se double")
+    counts = pe.last_intervals(x.fitted, keep=["AdmCatID"]).groupBy("AdmCatID").agg(
+        F.sum("ped_status_1").alias("died"), F.sum(F.col("tend") - 4).alias("n_rows"))
+    return counts.join(fitted, "AdmCatID")
+
+
+def _closed_form_coefficients(x: Inputs) -> DataFrame:
+    m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("Gender", ("Female", "Male")),)), "delta_2",
+                   name="weaning", smooth=False)
+    return ef.coef_table([m], x.spark, exclude=["PN2_4"]).drop("idx")
+
+
+def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        "lag_lead_at_risk": _lag_lead_at_risk,
+        "diary_window": _diary_text,
+        "nested_diary": _nested_text,
+        "overlong_diaries": lambda x: ex.overlong_diaries(
+            testviews.line_items(x.spark, x.sf_dir), key="l_orderkey"),
+        "cumulative_exposure": _cumulative_exposure,
+        "effective_exposure": _effective_exposure,
+        "protocol_frames": _protocol_frames,
+        "bspline_basis": _bspline_basis,
+        "tensor_exposure": _tensor_exposure,
+        "design_sums": _design_sums,
+        "compressed_design": lambda x: pe.compress(ped(x, ["AdmCatID", "Gender"]), ["AdmCatID", "Gender", "tend"]),
+        "linear_predictor_given": _linear_predictor,
+        "six_comparisons_given": _effects_given,
+        "hr_table_given": lambda x: ef.hr_table(_effects_given(x)).select("comparison", "tend", "fit", "CI"),
+        "hr_extremes_given": lambda x: ef.hr_extremes(_effects_given(x)).select(
+            "comparison", "extreme", "tend", "fit", "se"),
+        "cause_hazards_given": lambda x: _hazards_given(x).drop("intlen"),
+        "all_cause_hazard_given": lambda x: _hazards_given(x).groupBy("protocol", "tend").agg(
+            F.count(F.lit(1)).alias("n_draws"), F.avg(F.col("death") + F.col("extubation")).alias("hazard")),
+        "cif_given": lambda x: ci.cif(_hazards_given(x)),
+        "cif_band_given": _cif_band_given,
+        "poisson_rates_closed_form": _closed_form_rates,
+        "coef_table_closed_form": _closed_form_coefficients,
+    }
+
+
 def registered() -> dict[str, Query]:
     def bind(fn):
         return lambda spark, sf_dir: rounded(fn(Inputs(spark, sf_dir)))
-    return {name: bind(fn) for name, fn in {**relational_queries()}.items()}
+    return {name: bind(fn) for name, fn in {**relational_queries(), **exposure_queries()}.items()}
