@@ -71,9 +71,14 @@ def died_soon_after_weaning(more_than: float | None = None, at_most: float = 2)
     return hit if more_than is None else hit & (gap > more_than)
 
 
+def early_death(window: float = 2) -> Column:
+    """The same as a condition that is never null."""
+    return F.coalesce(died_soon_after_weaning(at_most=window), F.lit(False))
+
+
 def reclassify_early_death(cohort: DataFrame, window: float = 2) -> DataFrame:
     """Count weaned subjects who died within ``window`` days as deaths; the event time stays."""
-    hit = F.coalesce(died_soon_after_weaning(at_most=window), F.lit(False))
+    hit = early_death(window)
     return cohort.withColumns({
         "delta_1": F.when(hit, 1).otherwise(F.col("delta_1")),
         "delta_2": F.when(hit, 0).otherwise(F.col("delta_2"))})

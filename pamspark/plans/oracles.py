@@ -211,6 +211,27 @@ WHERE CombinedID IN (SELECT CombinedID FROM daily)"""),
 FROM fitted JOIN (SELECT range * 7 AS lo FROM range(0, 8)) g ON lo < event_time GROUP BY lo"""),
         "delayed_entry_ids": q(["ped"], "SELECT DISTINCT CombinedID FROM ped"),
         "last_rows": q(["last"], "SELECT CombinedID, tend, ped_status_1, ped_status_2 FROM last"),
+        "saved_ped": q(["ped"], """SELECT AdmCatID, '(' || tstart || ',' || tend || ']' AS interval_label,
+  count(*) AS n_rows, count(DISTINCT CombinedID) AS n_subjects, CAST(sum(ped_status_2) AS BIGINT) AS weaned
+FROM ped GROUP BY AdmCatID, tstart, tend"""),
+        "last_rows_en": q(["last"], """SELECT EN2_4, round(100 * avg(ped_status_1), 6) AS mdeath
+FROM last GROUP BY EN2_4"""),
+        "named_life_tables": q(["ped"], """SELECT 'main' AS cohort, tend, count(*) AS at_risk,
+  CAST(sum(ped_status_1) AS BIGINT) AS dying, CAST(sum(ped_status_2) AS BIGINT) AS extubation FROM ped GROUP BY tend
+UNION ALL SELECT 'sensitivity', tend, count(*),
+  CAST(sum(CASE WHEN early AND event_time <= tend THEN 1 ELSE ped_status_1 END) AS BIGINT),
+  CAST(sum(CASE WHEN early THEN 0 ELSE ped_status_2 END) AS BIGINT)
+FROM (SELECT *, PatientDied = 1 AND delta_2 = 1 AND Surv0To60 - DaysMechVent <= 2 AS early FROM ped) p
+GROUP BY tend"""),
+        "diary_sums": q(["kept_daily"], """SELECT 'EN' AS kind, CAST(sum(EN) AS BIGINT) AS days, count(*) AS n FROM kept_daily
+UNION ALL SELECT 'PN', CAST(sum(PN) AS BIGINT), count(*) FROM kept_daily"""),
+        "relabelled_admissions": q(["fitted"], """SELECT CAST(CASE AdmCatID WHEN 'Medical' THEN 1
+  WHEN 'Surgical/Elective' THEN 2 ELSE 3 END AS INT) AS AdmCatID_ord, CASE AdmCatID WHEN 'Medical' THEN 'medical'
+  WHEN 'Surgical/Elective' THEN 'elective' ELSE 'emergency' END AS AdmCatID, count(*) AS n FROM fitted GROUP BY 1, 2"""),
+        "pn_day_frequency": q(["fitted"], """SELECT CAST(v AS BIGINT) AS PN2_4, count(CombinedID) AS n
+FROM range(0, 5) r(v) LEFT JOIN fitted ON PN2_4 = v GROUP BY v"""),
+        "unknown_status": q(["patient"], """SELECT count(*) FILTER (NOT (DaysMechVent >= 60 OR Disc0To60 IS NOT NULL
+  OR Surv0To60 IS NOT NULL)) AS n_unknown FROM patient WHERE DaysMechVent <> 0"""),
         "first_subjects": q(["fitted"], """SELECT CombinedID, AdmCatID, event_time FROM fitted
 ORDER BY CombinedID LIMIT 25"""),
         "kept_tables": q(["fitted", "kept_daily"], """SELECT 'patient' AS name, count(*) AS n,

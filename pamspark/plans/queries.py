@@ -21,7 +21,8 @@ from ..operators import ped as pe
 from ..operators import relational as re_
 from ..operators import tables as tb
 from ..sources import testviews
-from ..sources.io import ship_package
+from ..sources.io import cut_lineage, ship_package
+from . import analysis as an
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +116,38 @@ def _subgroup_diaries(x: Inputs) -> DataFrame:
         "variable", "level").agg(F.sum("days").alias("n_days"), F.count(F.lit(1)).alias("n_subjects"))
 
 
+def _saved_ped(x: Inputs) -> DataFrame:
+    """Rows at risk written as a table, read back and counted."""
+    saved = cut_lineage(ped(x, [co.KEY, "AdmCatID"]))
+    return saved.groupBy("AdmCatID", "interval_label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(co.KEY).alias("n_subjects"),
+        F.sum("ped_status_2").alias("weaned"))
+
+
+def _last_rows_en(x: Inputs) -> DataFrame:
+    """Deaths by enteral days: the column is joined back onto the last rows by their shared names."""
+    last = pe.last_intervals(x.fitted)
+    joined = re_.natural_left_join(last, x.patient.select("EN2_4", co.KEY))
+    return joined.groupBy("EN2_4").agg((100 * F.avg("ped_status_1")).alias("mdeath"))
+
+
+def _named_life_tables(x: Inputs) -> DataFrame:
+    frames = {"main": tb.life_table_from_cohort(x.fitted), "sensitivity": _reclassified_life_table(x)}
+    return re_.bind_named(frames, "cohort").select("cohort", "tend", "at_risk", "dying", "extubation")
+
+
+def _diary_sums(x: Inputs) -> DataFrame:
+    long = re_.unpivot(x.kept_daily.select(co.KEY, F.col("EN").cast("int").alias("EN"), "PN"), [co.KEY],
+                       ["EN", "PN"], "kind", "days")
+    return long.groupBy("kind").agg(F.sum("days").alias("days"), F.count(F.lit(1)).alias("n"))
+
+
+def _relabelled(x: Inputs) -> DataFrame:
+    labels = [("Medical", "medical"), ("Surgical/Elective", "elective"), ("Surgical/Emeregency", "emergency")]
+    return re_.relabel(x.fitted, "AdmCatID", labels).groupBy("AdmCatID_ord", "AdmCatID").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def _reclassified_life_table(x: Inputs) -> DataFrame:
     return tb.life_table_from_cohort(co.reclassify_early_death(x.fitted))
 
@@ -137,6 +170,13 @@ def relational_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "delayed_entry_ids": lambda x: x.fitted.select(co.KEY),
         "last_rows": lambda x: re_.last_per_group(ped(x), co.KEY, "tend").select(
             co.KEY, "tend", "ped_status_1", "ped_status_2"),
+        "saved_ped": _saved_ped,
+        "last_rows_en": _last_rows_en,
+        "named_life_tables": _named_life_tables,
+        "diary_sums": _diary_sums,
+        "relabelled_admissions": _relabelled,
+        "pn_day_frequency": lambda x: re_.frequency(x.fitted, "PN2_4", range(5)),
+        "unknown_status": lambda x: co.unknown_status_count(x.patient),
         "first_subjects": lambda x: re_.first_rows(
             x.fitted.select(co.KEY, "AdmCatID", "event_time"), [co.KEY], 25),
         "kept_tables": _kept_tables,
@@ -342,7 +382,66 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
+# ---- fitted models: no closed form, hence rows only ---------------------------------------------
+
+def _main_models(x: Inputs):
+    subjects = an.study_subjects(x.patient, x.daily)
+    return subjects, an.fit_main(subjects, an.study_spec(subjects))
+
+
+def _fit_summary(x: Inputs, models) -> DataFrame:
+    rows = [(n, float(m.stats["events"]), float(m.stats["edf"]), int(m.stats["passes"]), bool(m.stats["converged"]))
+            for n, m in models.items()]
+    return x.spark.createDataFrame(
+        rows, "model string, events double, edf double, passes int, converged boolean")
+
+
+def _fit_main(x: Inputs) -> DataFrame:
+    _, models = _main_models(x)
+    return ef.coef_table(list(models.values()), x.spark, labelled=False)
+
+
+def _fit_subgroups(x: Inputs) -> DataFrame:
+    subjects = an.study_subjects(x.patient, x.daily)
+    spec = an.study_spec(subjects)
+    info = de.basis_info(fi.subject_blocks(subjects), spec)
+    return _fit_summary(x, an.fit_subgroups(subjects, spec, shared_basis=info))
+
+
+def _six_comparisons_fit(x: Inputs) -> DataFrame:
+    subjects, models = _main_models(x)
+    return an.compare_diets(models, an.diet_frames(subjects))
+
+
+def _smooth_table(x: Inputs) -> DataFrame:
+    _, models = _main_models(x)
+    return re_.bind_named({f"{n}:{v}": ef.smooth_table(models[n], x.spark, v)
+                           for n in ("death", "extubation") for v in ("int_mid", "Age", "BMI")}, "model")
+
+
+def _group_effect_qq(x: Inputs) -> DataFrame:
+    _, models = _main_models(x)
+    return re_.bind_named({n: ef.group_effect_qq(models[n]) for n in ("death", "extubation")}, "model")
+
+
+def _cif_simulated(x: Inputs) -> DataFrame:
+    subjects, models = _main_models(x)
+    return an.incidence(models["death"], models["extubation"], an.diet_frames(subjects))
+
+
+def fitted_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
+    return {
+        "fit_main": _fit_main,
+        "fit_subgroups": _fit_subgroups,
+        "six_comparisons_fit": _six_comparisons_fit,
+        "smooth_table": _smooth_table,
+        "group_effect_qq": _group_effect_qq,
+        "cif_simulated": _cif_simulated,
+    }
+
+
 def registered() -> dict[str, Query]:
     def bind(fn):
         return lambda spark, sf_dir: rounded(fn(Inputs(spark, sf_dir)))
-    return {name: bind(fn) for name, fn in {**relational_queries(), **exposure_queries()}.items()}
+    every = {**relational_queries(), **exposure_queries(), **fitted_queries()}
+    return {name: bind(fn) for name, fn in every.items()}
