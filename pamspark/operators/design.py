@@ -201,10 +201,49 @@ class Design:
         for v in spec.exposures:
             self._span(spans, f"te(t,tz):I(LL * {v})", spec.exposure_k ** 2)
         self.entries, self.spans, self.p = entries, spans, len(self.names)
+        self._blocks()
         self.width = self.fixed_width + spec.exposure_k * len(spec.exposures)
         self._maps: dict[int, np.ndarray] = {}
         self._weights: dict[int, np.ndarray] = {}
 
+    def _blocks(self) -> None:
+        """Places of the coefficients by how the day enters: not at all, times its middle, as a spline, in a tensor."""
+        one, mid, base, col = [], [], [], 0
+        self.one_z: list[int] = []
+        self.mid_z: list[tuple[int, np.ndarray | None]] = []
+        for at, kind, z in self.entries:
+            n = 1 if z is None else z.shape[1]
+            here = list(range(col, col + n))
+            if kind == "one":
+                one += here
+                self.one_z.append(at)
+            elif kind == "baseline":
+                base += here
+            else:
+                mid += here
+                self.mid_z.append((at, z))
+            col += n
+        self.one_cols, self.mid_cols, self.base_cols = (np.array(v, dtype=int) for v in (one, mid, base))
+        self.exposure_cols = np.arange(col, self.p)
+
+    def subject_blocks(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The covariates of the first two kinds of coefficients."""
+        mid = [z[:, [at]] if c is None else z[:, at:at + c.shape[0]] @ c for at, c in self.mid_z]
+        return np.ascontiguousarray(z[:, self.one_z]), np.hstack(mid) if mid else np.zeros((len(z), 0))
+
+    def day_blocks(self, days: np.ndarray) -> dict[str, np.ndarray]:
+        """What the day contributes: middle, centred baseline splines, splines of t and tz, lag-lead entries."""
+        s, mid = self.spec, days - 0.5
+        out = {"mid": mid, "base": np.zeros((len(days), 0))}
+        if s.baseline_k:
+            out["base"] = (bspline_values(mid, *self.info.ranges["int_mid"], s.baseline_k)
+                           @ centring(np.array(self.info.means["int_mid"])))
+        if s.exposures:
+            out["bt"] = bspline_values(mid, *self.info.ranges["t"], s.exposure_k)
+            out["bz"] = bspline_values(np.arange(1, WIDTH + 1) + 1, *self.info.ranges["tz"], s.exposure_k)
+            out["ll"] = np.array(self.info.lag_lead)[days]
+        return out
+
     def _add_z(self, name: str) -> int:
         self.z_names.append(name)
         return len(self.z_names) - 1

@@ -117,6 +117,124 @@ def _group_batch(m: int, names: np.ndarray, c: np.ndarray, sw: np.ndarray, s: np
         np.tile(np.arange(p + 2), g), np.hstack([c, sw[:, None], s[:, None]]).ravel()))
 
 
+class _Sums:
+    """Sums of one model over the blocks of a task, kept apart by how the day enters the coefficients.
+
+    With U the covariates that do not depend on the day, V those multiplied by the day's middle m,
+    B(t) the baseline splines and C the diary windows, every part of X'WX follows from a few products
+    of U, V and C with weights already summed over the days; only the exposure corner needs a product
+    per day.
+    """
+
+    def __init__(self, design: Design, day: dict[str, np.ndarray], beta: np.ndarray):
+        self.design, self.day = design, day
+        q1, q2, self.q3 = len(design.one_cols), len(design.mid_cols), day["base"].shape[1]
+        self.n_exp, self.k = len(design.spec.exposures), design.spec.exposure_k
+        days, c = len(day["mid"]), self.n_exp * WIDTH
+        self.b_one, self.b_mid = beta[design.one_cols], beta[design.mid_cols]
+        self.line = day["base"] @ beta[design.base_cols]
+        self.oo, self.om, self.mm = np.zeros((q1, q1)), np.zeros((q1, q2)), np.zeros((q2, q2))
+        self.ob, self.mb = np.zeros((q1, self.q3)), np.zeros((q2, self.q3))
+        self.per_day, self.rest_day = np.zeros(days), np.zeros(days)
+        self.s_one, self.s_mid, self.parts = np.zeros(q1), np.zeros(q2), np.zeros(3)
+        self.seen = False
+        if self.n_exp:
+            w = self.k * WIDTH
+            theta = beta[design.exposure_cols].reshape(self.n_exp, self.k, self.k)
+            self.gain = np.einsum("td,ta,cab,db->tcd", day["ll"], day["bt"], theta, day["bz"]).reshape(days, c)
+            self.lead = np.einsum("ta,td->tad", day["bt"], day["ll"]).reshape(days, w)
+            self.oe, self.me = np.zeros((q1, self.n_exp * w)), np.zeros((q2, self.n_exp * w))
+            self.c_mu, self.c_rest = np.zeros((days, c)), np.zeros((days, c))
+            self.ee = np.zeros((days, self.n_exp * self.k, self.n_exp * self.k))
+
+    def add(self, u, v, c, shift, exposure, y, last_index):
+        """Add blocks; returns the expected events per day and the per-block sums of weights times design."""
+        d, day = self.design, self.day
+        eta = self.line[:, None] + (u @ self.b_one + shift)[None, :] + np.outer(day["mid"], v @ self.b_mid)
+        if self.n_exp:
+            eta += self.gain @ c.T
+        rows = np.arange(len(u))
+        at_end = eta[last_index, rows]
+        mu = exposure * np.exp(np.minimum(eta, 500.0, out=eta), out=eta)
+        self.seen = True
+        self.parts += [mu.sum(), y @ at_end, y.sum()]
+        m0, m1, m2 = mu.sum(axis=0), day["mid"] @ mu, day["mid"] ** 2 @ mu
+        mb = mu.T @ day["base"]
+        vm = v * m1[:, None]
+        uo = u * m0[:, None]
+        self.oo += u.T @ uo
+        self.om += u.T @ vm
+        self.mm += v.T @ (v * m2[:, None])
+        self.ob += u.T @ mb
+        self.mb += v.T @ (mu.T @ (day["base"] * day["mid"][:, None]))
+        rest = -mu.sum(axis=1)
+        np.add.at(rest, last_index, y)
+        self.per_day += mu.sum(axis=1)
+        self.rest_day += rest
+        self.s_one += u.T @ (y - m0)
+        self.s_mid += v.T @ (y * day["mid"][last_index] - m1)
+        pieces = [uo, vm, mb]
+        if self.n_exp:
+            f0, f1 = mu.T @ self.lead, (mu * day["mid"][:, None]).T @ self.lead
+            wide = np.hstack([f0 * np.tile(c[:, e * WIDTH:(e + 1) * WIDTH], self.k) for e in range(self.n_exp)])
+            self.oe += u.T @ wide
+            self.me += v.T @ np.hstack([f1 * np.tile(c[:, e * WIDTH:(e + 1) * WIDTH], self.k)
+                                        for e in range(self.n_exp)])
+            cm = mu @ c
+            self.c_mu += cm
+            self.c_rest -= cm
+            np.add.at(self.c_rest, last_index, c * y[:, None])
+            pieces.append(wide)
+        return mu, pieces
+
+    def per_block(self, pieces) -> np.ndarray:
+        """Per-block sums in coefficient order."""
+        d, n = self.design, len(pieces[0])
+        out = np.zeros((n, d.p))
+        out[:, d.one_cols], out[:, d.mid_cols], out[:, d.base_cols] = pieces[:3]
+        if self.n_exp:
+            out[:, d.exposure_cols] = self._spline_tz(pieces[3])
+        return out
+
+    def _spline_tz(self, wide: np.ndarray) -> np.ndarray:
+        full = wide.reshape(len(wide), self.n_exp * self.k, WIDTH) @ self.day["bz"]
+        return full.reshape(len(wide), self.n_exp * self.k * self.k)
+
+    def assemble(self) -> tuple[np.ndarray, np.ndarray]:
+        """X'WX and X'(y - mu) in coefficient order."""
+        d, day = self.design, self.day
+        gram, score = np.zeros((d.p, d.p)), np.zeros(d.p)
+
+        def put(r, c, block):
+            gram[np.ix_(r, c)] = block
+            gram[np.ix_(c, r)] = block.T
+
+        o, m, b, e = d.one_cols, d.mid_cols, d.base_cols, d.exposure_cols
+        put(o, o, self.oo)
+        put(o, m, self.om)
+        put(m, m, self.mm)
+        put(o, b, self.ob)
+        put(m, b, self.mb)
+        put(b, b, day["base"].T @ (day["base"] * self.per_day[:, None]))
+        score[o], score[m], score[b] = self.s_one, self.s_mid, day["base"].T @ self.rest_day
+        if self.n_exp:
+            put(o, e, self._spline_tz(self.oe))
+            put(m, e, self._spline_tz(self.me))
+            n, k, days = self.n_exp, self.k, len(day["mid"])
+
+            def by_tz(c):
+                return np.einsum("td,tcd,db->tcb", day["ll"], c.reshape(days, n, WIDTH), day["bz"])
+            put(b, e, np.einsum("tj,ta,tcb->jcab", day["base"], day["bt"], by_tz(self.c_mu)).reshape(len(b), -1))
+            score[e] = np.einsum("ta,tcb->cab", day["bt"], by_tz(self.c_rest)).ravel()
+            corner = np.einsum("ta,tA,tcbCB->cabCAB", day["bt"], day["bt"],
+                               self.ee.reshape(days, n, k, n, k), optimize=True)
+            put(e, e, corner.reshape(len(e), len(e)))
+        return gram, score
+
+
+CHUNK = 4096
+
+
 def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
           effects: DataFrame | None, columns: Mapping[int, np.ndarray], n_models: int) -> DataFrame:
     """The sums of one Newton step for the models in ``betas``, as a long table (model, grp, i, j, v).
@@ -128,81 +246,68 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
         table = table.join(effects, "grp", "left")
     c_width = WIDTH * len(design.spec.exposures)
     models = sorted(betas)
+    whole = {}
+    for m in models:
+        whole[m] = np.zeros(design.p)
+        whole[m][columns[m]] = betas[m]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, days = design.width, range(design.spec.first_day, design.spec.last_day + 1)
-        maps = {d: design.day_map(d) for d in days}
-        line = {m: {d: maps[d][:, columns[m]] @ betas[m] for d in days} for m in models}
-        gram = {m: {} for m in models}
-        score = {m: {} for m in models}
-        parts = {m: np.zeros(3) for m in models}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = design.expand(array_values(batch, "z", design.raw_width))
-            c = array_values(batch, "c", c_width) if c_width else np.zeros((len(z), 0))
-            y = array_values(batch, "y", n_models)
-            first, last = (batch.column(k).to_numpy() for k in ("from_day", "to_day"))
-            n, tail, switch = (batch.column(k).to_numpy() for k in ("n", "last_exposure", "switch"))
-            b = np.zeros((len(z), n_models))
-            if with_effects:
-                known = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-                b[known] = array_values(batch.filter(pa.array(known)), "b", n_models)
-                b *= switch[:, None]
-            if grouped:
-                coded = batch.column("grp").dictionary_encode()
-                names = np.asarray(coded.dictionary.to_pylist(), dtype=object)
-                code = coded.indices.to_numpy()
-                order = np.argsort(code, kind="stable")
-                z, c, y, first, last, n, tail, switch, b, code = (
-                    a[order] for a in (z, c, y, first, last, n, tail, switch, b, code))
-                sums = {m: [np.zeros((len(names), len(columns[m]))), np.zeros(len(names)),
-                            np.zeros(len(names))] for m in models}
-            used = ~np.isnan(y)
-            for d in range(max(int(first.min()), days.start), min(int(last.max()), days.stop - 1) + 1):
-                at = (first <= d) & (last >= d)
-                if not at.any():
-                    continue
-                x = design.subject_rows(z[at], c[at], d)
-                ending = last[at] == d
-                exposure = np.where(ending, tail[at], n[at])
+        days = np.arange(design.spec.first_day, design.spec.last_day + 1)
+        day = design.day_blocks(days)
+        sums = {m: _Sums(design, day, whole[m]) for m in models}
+        acting = [(t, np.kron(np.eye(len(design.spec.exposures)), day["ll"][t][:, None] * day["bz"]))
+                  for t in range(len(days)) if day["ll"][t].any()] if c_width else []
+        for big in batches:
+            for start in range(0, big.num_rows, CHUNK):
+                batch = big.slice(start, CHUNK)
+                u, v = design.subject_blocks(design.expand(array_values(batch, "z", design.raw_width)))
+                c = array_values(batch, "c", c_width) if c_width else np.zeros((len(u), 0))
+                y = array_values(batch, "y", n_models)
+                first, last = (batch.column(k).to_numpy() for k in ("from_day", "to_day"))
+                n, tail, switch = (batch.column(k).to_numpy() for k in ("n", "last_exposure", "switch"))
+                b = np.zeros((len(u), n_models))
+                if with_effects:
+                    known = batch.column("b").is_valid()
+                    b[known.to_numpy(zero_copy_only=False)] = array_values(batch.filter(known), "b", n_models)
+                    b *= switch[:, None]
+                risk = (days[:, None] >= first) & (days[:, None] <= last)
+                exposure = np.where(days[:, None] == last, tail, n) * risk
+                last_index = np.clip(last - days[0], 0, len(days) - 1)
+                used = ~np.isnan(y)
+                expected = {}
+                if grouped:
+                    coded = batch.column("grp").dictionary_encode()
+                    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                    names = np.asarray(names, dtype=object)
                 for m in models:
-                    mine = used[at, m]
+                    mine = used[:, m]
                     if not mine.any():
                         continue
-                    whole = mine.all()
-                    xm = x if whole else x[mine]
-                    e, stop, bm = (a if whole else a[mine] for a in (exposure, ending, b[at, m]))
-                    yd = np.where(stop, y[at, m] if whole else y[at, m][mine], 0.0)
-                    eta = xm @ line[m][d] + bm
-                    mu = e * np.exp(eta)
-                    wx = xm * mu[:, None]
-                    if d not in gram[m]:
-                        gram[m][d], score[m][d] = np.zeros((w, w)), np.zeros(w)
-                    gram[m][d] += xm.T @ wx
-                    score[m][d] += xm.T @ (yd - mu)
-                    parts[m] += [mu.sum(), yd @ eta, yd.sum()]
+                    pick = slice(None) if mine.all() else np.flatnonzero(mine)
+                    mu, pieces = sums[m].add(u[pick], v[pick], c[pick], b[pick, m], exposure[:, pick],
+                                             y[pick, m], last_index[pick])
+                    expected[m] = (pick, mu)
                     if grouped:
-                        sw = (switch[at] if whole else switch[at][mine])
-                        g = code[at] if whole else code[at][mine]
+                        sw, g = switch[pick], code[pick]
+                        order = np.argsort(g, kind="stable")
+                        g = g[order]
                         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                        here = g[starts]
-                        h, su, ss = sums[m]
-                        h[here] += np.add.reduceat(wx * sw[:, None], starts) @ maps[d][:, columns[m]]
-                        su[here] += np.add.reduceat(mu * sw * sw, starts)
-                        ss[here] += np.add.reduceat((yd - mu) * sw, starts)
-            if grouped:
-                for m in models:
-                    yield _group_batch(m, names, *sums[m])
+                        total = mu.sum(axis=0)
+                        block = sums[m].per_block(pieces) * sw[:, None]
+                        yield _group_batch(
+                            m, names[g[starts]], np.add.reduceat(block[order], starts)[:, columns[m]],
+                            np.add.reduceat((total * sw * sw)[order], starts),
+                            np.add.reduceat(((y[pick, m] - total) * sw)[order], starts))
+                for t, weights in acting:
+                    w = c @ weights
+                    for m, (pick, mu) in expected.items():
+                        wm = w[pick]
+                        sums[m].ee[t] += wm.T @ (wm * mu[t][:, None])
         for m in models:
-            k = columns[m]
-            total, vector = np.zeros((len(k), len(k))), np.zeros(len(k))
-            for d, g in gram[m].items():
-                kd = maps[d][:, k]
-                total += kd.T @ g @ kd
-                vector += kd.T @ score[m][d]
-            if gram[m]:
-                yield _dense_batch(m, total, vector, parts[m])
+            if sums[m].seen:
+                gram, score = sums[m].assemble()
+                k = columns[m]
+                yield _dense_batch(m, gram[np.ix_(k, k)], score[k], sums[m].parts)
 
     return table.mapInArrow(run, SUMS).groupBy("model", "grp", "i", "j").agg(F.sum("v").alias("v"))
 
@@ -333,20 +438,20 @@ def _solve(h: np.ndarray) -> np.ndarray:
     live = diag > 1e-12 * max(diag.max(), 1e-300)
     scale = 1 / np.sqrt(diag[live])
     sub = h[np.ix_(live, live)] * np.outer(scale, scale)
-    values, vectors = np.linalg.eigh(sub)
-    inv = (vectors / np.maximum(values, 1e-10)) @ vectors.T
+    inv = np.linalg.inv(sub + 1e-10 * np.eye(len(sub)))
     out = np.zeros_like(h)
     out[np.ix_(live, live)] = inv * np.outer(scale, scale)
     return out
 
 
-def _step(st: _State, group_terms, smooth: bool, rounds: int = 200):
+def _step(st: _State, group_terms, smooth: bool, rounds: int = 100):
     """Newton step with the sums of this pass; smoothing parameters by generalised Fellner-Schall updates.
 
     The sums are held fixed while the parameters are iterated. Returns the coefficient step, its
     Newton decrement and the effective degrees of freedom.
     """
     has_groups = group_terms is not None
+    before = None
     for _ in range(rounds):
         s = st.penalty()
         h = st.gram + s
@@ -376,10 +481,10 @@ def _step(st: _State, group_terms, smooth: bool, rounds: int = 200):
             squares = rest[1] - 2 * delta @ cplain + delta @ cc2 @ delta
             group_new = float(np.clip((rest[3] - st.lam_group * spread) / max(squares, 1e-300),
                                       1e-6, MAX_SMOOTHING))
-        moved = np.abs(np.log(np.append(new, group_new) / np.append(st.lam, st.lam_group)))
-        settled = moved.max() < 1e-3
-        if settled:
+        now = np.append(st.lam * used, st.lam_group * spread if has_groups else 0.0)
+        if before is not None and np.abs(now - before).max() < 1e-4:
             break
+        before = now
         st.lam, st.lam_group = new, group_new
     st.cov = v
     return delta, float(score @ v @ score + own), edf
@@ -392,7 +497,7 @@ def _objective(st: _State, group_square: float) -> float:
 
 def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_lag_lead,
              info: BasisInfo | None = None, smooth: bool = True, smoothing: Mapping[str, float] | None = None,
-             max_passes: int = 40, tol: float = 1e-9, parts: int | None = None,
+             max_passes: int = 40, tol: float = 1e-7, parts: int | None = None,
              local_groups: int = LOCAL_GROUPS) -> dict[str, PamModel]:
     """Fit several models that share one set of subject rows; each pass over the data serves all of them.
 

@@ -335,7 +335,7 @@ def _closed_form_rates(x: Inputs) -> DataFrame:
     """Rates per admission category from an unpenalised fit."""
     levels = ("Medical", "Surgical/Elective", "Surgical/Emeregency")
     m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("AdmCatID", levels),)), "delta_1",
-                   smooth=False)
+                   smooth=False, tol=1e-12)
     rows = []
     for i, lv in enumerate(levels):
         pick = np.zeros(len(m.beta))
@@ -349,7 +349,7 @@ def _closed_form_rates(x: Inputs) -> DataFrame:
 
 def _closed_form_coefficients(x: Inputs) -> DataFrame:
     m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("Gender", ("Female", "Male")),)), "delta_2",
-                   name="weaning", smooth=False)
+                   name="weaning", smooth=False, tol=1e-12)
     return ef.coef_table([m], x.spark, exclude=["PN2_4"]).drop("idx")
 
 

@@ -19,6 +19,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores is dealt out over them; a larger table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Write an intermediate table as parquet with one file per partition."""
     df.write.mode("overwrite").parquet(path)

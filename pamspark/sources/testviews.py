@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .io import read_table
+from .io import read_table, spread
 
 
 def _long(col):
@@ -14,7 +14,7 @@ def _long(col):
 
 def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: subject covariates, survival, discharge and ventilation days."""
-    orders = read_table(spark, f"{sf_dir}/orders.parquet")
+    orders = spread(read_table(spark, f"{sf_dir}/orders.parquet"))
     customer = read_table(spark, f"{sf_dir}/customer.parquet").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
     k = _long(F.col("o_totalprice"))
@@ -84,6 +84,6 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the `embeddings` table as given coefficient draws: ``sim_id, beta``."""
-    return read_table(spark, f"{sf_dir}/embeddings.parquet").select(
+    return spread(read_table(spark, f"{sf_dir}/embeddings.parquet")).select(
         F.col("vec_id").alias("sim_id"),
         F.col("embedding").cast("array<double>").alias("beta"))
