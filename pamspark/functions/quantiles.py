@@ -26,46 +26,52 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Long table ``by, variable, value, n`` of the non-null values of several columns."""
+    """Long table ``by, variable, value, n`` of the values of several columns, null included."""
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
                       for c in cols])
-    return (df.select(*by, F.explode(pairs).alias("p"))
-            .select(*by, "p.variable", "p.value").where(F.col("value").isNotNull())
+    return (df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.variable", "p.value")
             .groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float],
-                    few_strata: bool = True) -> DataFrame:
+                    few_strata: bool = True, bins: int = BINS) -> DataFrame:
     """Interpolated quantiles (rank ``(n - 1) p``) of ``cols`` per stratum: ``by, variable, q0, q1, ...``.
 
     ``few_strata`` states that the strata are a fixed set of levels, whose edges may be broadcast;
-    otherwise the join strategy is left to the optimiser.
+    otherwise the join strategy is left to the optimiser. ``bins`` splits every stratum; many strata
+    are spread already and need few.
     """
-    by = list(by)
-    keys = [*by, "variable"]
-    hist = value_counts(df, by, cols)
-    small = F.broadcast if few_strata else (lambda d: d)
+    return _count_quantiles(value_counts(df, by, cols), [*by, "variable"], probs, few_strata, bins)
 
+
+def _count_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], few_strata: bool = True,
+                     bins: int = BINS) -> DataFrame:
+    small = F.broadcast if few_strata else (lambda d: d)
+    # nulls weigh nothing here; filtering them would give this branch a shuffle of its own
+    hist = hist.withColumn("n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
     edges = hist.groupBy(*keys).agg(
-        F.percentile_approx("value", [i / BINS for i in range(1, BINS)], 20 * BINS).alias("edges"),
+        F.percentile_approx("value", [i / bins for i in range(1, bins)], 10 * bins).alias("edges"),
         F.sum("n").alias("total"))
     binned = _join_on(hist, small(edges), keys).select(
         *keys, "value", "n", "total",
         F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("bin"))
 
-    ranks = []
-    for i, p in enumerate(probs):
-        h = (F.col("total") - 1) * F.lit(float(p))
-        ranks += [(f"lo{i}", F.floor(h)), (f"hi{i}", F.ceil(h))]
+    def ranks(total):
+        out = []
+        for i, p in enumerate(probs):
+            h = (F.col(total) - 1) * F.lit(float(p))
+            out += [(f"lo{i}", F.floor(h)), (f"hi{i}", F.ceil(h))]
+        return out
 
-    per_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("bin_n"))
+    # the total is used on both sides of the join below, so that both read the same shuffles
+    per_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("bin_n"), F.max("total").alias("bin_total"))
     ordered = Window.partitionBy(*keys).orderBy("bin")
     first = per_bin.withColumn("first_rank", F.sum("bin_n").over(ordered) - F.col("bin_n"))
 
     both = [*keys, "bin"]
     placed = _join_on(binned, small(first), both)
     wanted = reduce(or_, [(r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("bin_n"))
-                          for _, r in ranks])
+                          for _, r in ranks("bin_total")])
     inside = Window.partitionBy(*both).orderBy("value")
     ranked = placed.where(wanted).withColumn(
         "end", F.col("first_rank") + F.sum("n").over(inside)).withColumn(
@@ -73,7 +79,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs
     picked = ranked.groupBy(*keys).agg(
         F.max("total").alias("total"),
         *[F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("value"))).alias(a)
-          for a, r in ranks])
+          for a, r in ranks("total")])
     out = []
     for i, p in enumerate(probs):
         h = (F.col("total") - 1) * F.lit(float(p))
@@ -83,20 +89,21 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs
 
 
 def six_number_summary(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and missing count of several columns per stratum."""
-    by = list(by)
+    """Minimum, quartiles, mean, maximum and missing count of several columns per stratum.
+
+    Everything is taken from one count per value, so the input is read once.
+    """
     keys = [*by, "variable"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
-                      for c in cols])
-    moments = (df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.variable", "p.value")
-               .groupBy(*keys).agg(
-                   F.count("value").alias("n"), F.min("value").alias("min_value"),
-                   F.avg("value").alias("mean_value"), F.max("value").alias("max_value"),
-                   F.count_if(F.col("value").isNull()).alias("n_missing")))
-    q = exact_quantiles(df, by, cols, [0.25, 0.5, 0.75])
+    hist = value_counts(df, by, cols)
+    known = F.col("value").isNotNull()
+    moments = hist.groupBy(*keys).agg(
+        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n"), F.min("value").alias("min_value"),
+        F.sum(F.col("value") * F.col("n")).alias("weighted"), F.max("value").alias("max_value"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("n_missing"))
+    q = _count_quantiles(hist, keys, [0.25, 0.5, 0.75])
     return _join_on(moments, q, keys, "left").select(
-        *keys, "n", "min_value", F.col("q0").alias("q1_value"),
-        F.col("q1").alias("median_value"), "mean_value", F.col("q2").alias("q3_value"),
+        *keys, "n", "min_value", F.col("q0").alias("q1_value"), F.col("q1").alias("median_value"),
+        (F.col("weighted") / F.col("n")).alias("mean_value"), F.col("q2").alias("q3_value"),
         "max_value", "n_missing")
 
 

@@ -82,9 +82,12 @@ def cause_hazards(draws: Sequence[DataFrame], models: Sequence[PamModel], frames
 
     The causes' draws are paired by ``sim_id``. The matrix product runs where the draws are.
     """
-    parts = [prediction_matrix(m, frames) for m in models]
-    labels = parts[0][0]
-    mats = [x.T for _, x in parts]
+    known: dict[int, tuple] = {}
+    for m in models:
+        if id(m) not in known:
+            known[id(m)] = prediction_matrix(m, frames)
+    labels = known[id(models[0])][0]
+    mats = [known[id(m)][1].T for m in models]
     joined = None
     for i, d in enumerate(draws):
         one = d.select("sim_id", F.col("beta").alias(f"b{i}"))
@@ -145,7 +148,7 @@ def cif_band(curves: DataFrame, causes: Sequence[str] = CAUSE_NAMES, alpha: floa
                  F.col("q")[1].alias("cif_upper"))
     means = curves.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols]).unpivot(
         keys, cols, "variable", "cif")
-    q = exact_quantiles(curves, keys, cols, probs)
+    q = exact_quantiles(curves, keys, cols, probs, bins=8)
     return means.join(F.broadcast(q), [*keys, "variable"]).select(
         *keys, cause.alias("cause"), "cif", F.col("q0").alias("cif_lower"), F.col("q1").alias("cif_upper"))
 
