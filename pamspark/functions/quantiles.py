@@ -88,6 +88,16 @@ def _count_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float
     return picked.select(*keys, *out)
 
 
+def mean_and_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float],
+                       few_strata: bool = True, bins: int = BINS) -> DataFrame:
+    """Mean and exact quantiles per stratum from one count per value: ``by, variable, mean, q0, ...``."""
+    keys = [*by, "variable"]
+    hist = value_counts(df, by, cols)
+    weight = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    means = hist.groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum(weight)).alias("mean"))
+    return _join_on(means, _count_quantiles(hist, keys, probs, few_strata, bins), keys)
+
+
 def six_number_summary(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count of several columns per stratum.
 

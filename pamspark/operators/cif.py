@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import mean_and_quantiles
 from .design import array_values, design_rows
 from .model import PamModel
 
@@ -146,11 +146,9 @@ def cif_band(curves: DataFrame, causes: Sequence[str] = CAUSE_NAMES, alpha: floa
             F.avg("value").alias("cif"), F.percentile("value", F.array(*map(F.lit, probs))).alias("q")
         ).select(*keys, cause.alias("cause"), "cif", F.col("q")[0].alias("cif_lower"),
                  F.col("q")[1].alias("cif_upper"))
-    means = curves.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols]).unpivot(
-        keys, cols, "variable", "cif")
-    q = exact_quantiles(curves, keys, cols, probs, bins=8)
-    return means.join(F.broadcast(q), [*keys, "variable"]).select(
-        *keys, cause.alias("cause"), "cif", F.col("q0").alias("cif_lower"), F.col("q1").alias("cif_upper"))
+    both = mean_and_quantiles(curves, keys, cols, probs, bins=8)
+    return both.select(*keys, cause.alias("cause"), F.col("mean").alias("cif"), F.col("q0").alias("cif_lower"),
+                       F.col("q1").alias("cif_upper"))
 
 
 def paired_bands(band: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:

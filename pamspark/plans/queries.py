@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,41 +29,50 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Inputs:
-    """The tables a query starts from, as lazy DataFrames."""
+    """The tables a query starts from, as lazy DataFrames, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
-        self.patient = testviews.patient(spark, sf_dir)
-        self.daily = testviews.daily(spark, sf_dir)
-        self.cohort = co.build_cohort(self.patient)
 
-    @property
+    @cached_property
+    def patient(self) -> DataFrame:
+        return testviews.patient(self.spark, self.sf_dir)
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return testviews.daily(self.spark, self.sf_dir)
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        return co.build_cohort(self.patient)
+
+    @cached_property
     def window(self) -> DataFrame:
         return ex.diary_window(self.daily)
 
-    @property
+    @cached_property
     def diary_ids(self) -> DataFrame:
         """Subjects with a diary; the line items need not be ranked for that."""
         return testviews.line_items(self.spark, self.sf_dir).select(
             F.col("l_orderkey").alias(co.KEY)).distinct()
 
-    @property
+    @cached_property
     def fitted(self) -> DataFrame:
         return co.with_strata(co.fitted_subjects(self.cohort, self.diary_ids))
 
-    @property
+    @cached_property
     def exposed(self) -> DataFrame:
         """Fitted subjects with their diary windows, one row each."""
         at_risk = self.cohort.where(F.col("event_time") > 4)
         return ex.with_window(co.with_strata(at_risk), self.window)
 
-    @property
+    @cached_property
     def last(self) -> DataFrame:
         f = self.fitted
         return pe.last_intervals(f, keep=[c for c in f.columns if c not in ("event_time", "delta_1", "delta_2")])
 
-    @property
+    @cached_property
     def kept_daily(self) -> DataFrame:
         return re_.keep_known(self.daily, co.fitted_subjects(self.cohort, self.diary_ids), co.KEY)
 

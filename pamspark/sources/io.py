@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 BOM = "﻿"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Read a parquet table; with a schema, no file footer is read for inference."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)

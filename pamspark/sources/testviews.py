@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from .io import read_table, spread
 
 
+# Layout of the test tables; stated, so that no file footer is read to plan a query.
+ORDERS = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+          "o_orderdate timestamp_ntz, o_orderpriority string")
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+LINEITEM = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+            "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+            "l_shipdate timestamp_ntz")
+EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
+
+
 def _long(col):
     return F.floor(col).cast("bigint")
 
 
 def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: subject covariates, survival, discharge and ventilation days."""
-    orders = spread(read_table(spark, f"{sf_dir}/orders.parquet"))
-    customer = read_table(spark, f"{sf_dir}/customer.parquet").select(
+    orders = spread(read_table(spark, f"{sf_dir}/orders.parquet", ORDERS))
+    customer = read_table(spark, f"{sf_dir}/customer.parquet", CUSTOMER).select(
         "c_custkey", "c_nationkey", "c_mktsegment")
     k = _long(F.col("o_totalprice"))
     died = (k % 4) == 0
@@ -79,11 +89,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/lineitem.parquet")
+    return read_table(spark, f"{sf_dir}/lineitem.parquet", LINEITEM)
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the `embeddings` table as given coefficient draws: ``sim_id, beta``."""
-    return spread(read_table(spark, f"{sf_dir}/embeddings.parquet")).select(
+    return spread(read_table(spark, f"{sf_dir}/embeddings.parquet", EMBEDDINGS)).select(
         F.col("vec_id").alias("sim_id"),
         F.col("embedding").cast("array<double>").alias("beta"))
