@@ -399,11 +399,11 @@ FROM (SELECT AdmCatID, min(CombinedID) AS CombinedID FROM fitted GROUP BY AdmCat
 CROSS JOIN schemes JOIN lag_lead USING (tz) JOIN labels USING (protocol) WHERE t >= 5
 GROUP BY AdmCatID, CombinedID, protocol, label, t"""),
         "bspline_basis": q(["fitted"], f"""SELECT BMI, n, CAST(i AS INT) AS i,
-  round({bspline('BMI', 'lo', 'hi', '10', 'i')}, 6) AS value
+  abs(round({bspline('BMI', 'lo', 'hi', '10', 'i')}, 6)) AS value
 FROM (SELECT BMI, count(*) AS n FROM fitted GROUP BY BMI) b, (SELECT min(BMI) AS lo, max(BMI) AS hi FROM fitted) r,
  range(0, 10) g(i)"""),
         "tensor_exposure": q(["exposed", "basis_t", "basis_tz"], """SELECT tend, CAST(a * 5 + b AS INT) AS k,
-  round(sum(bt * bz * n3), 6) AS cat3, round(sum(bt * bz * n2), 6) AS cat2
+  abs(round(sum(bt * bz * n3), 6)) AS cat3, abs(round(sum(bt * bz * n2), 6)) AS cat2
 FROM (SELECT tend, tz, sum(LL * C3) AS n3, sum(LL * C2) AS n2 FROM exposed GROUP BY tend, tz) e
 JOIN basis_t ON t = tend JOIN basis_tz USING (tz) GROUP BY tend, a, b"""),
         "design_sums": q(["exposed", "ped", "basis_t", "basis_tz"], """SELECT 'te(t,tz):I(LL * proteinCat' || c || ').' || (a * 5 + b + 1) AS term,
