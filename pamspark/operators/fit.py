@@ -404,7 +404,7 @@ class _State:
             if np.any(m):
                 self.pen.append(Penalty(pen.label, pen.term, m, pen.eigen))
         self.lam = np.ones(len(self.pen))
-        self.lam_group = 1.0
+        self.lam_group, self.push, self.last_way = 1.0, 1, 0.0
         self.gram = self.score = None
         self.parts = np.zeros(3)
         self.edf = math.inf
@@ -444,15 +444,17 @@ def _solve(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _step(st: _State, group_terms, smooth: bool, rounds: int = 100):
+def _step(st: _State, group_terms, smooth: bool, group_rounds: bool = True, rounds: int = 100):
     """Newton step with the sums of this pass; smoothing parameters by generalised Fellner-Schall updates.
 
-    The sums are held fixed while the parameters are iterated. Returns the coefficient step, its
-    Newton decrement and the effective degrees of freedom.
+    The sums are held fixed while the parameters are iterated; the group parameter is iterated with them
+    if ``group_rounds``, and moves once, after the step, if not. Returns the coefficient step, its Newton
+    decrement, the effective degrees of freedom and the group parameter of the step.
     """
     has_groups = group_terms is not None
-    before = None
+    before, used_group, group_new = None, st.lam_group, st.lam_group
     for _ in range(rounds):
+        used_group = st.lam_group
         s = st.penalty()
         h = st.gram + s
         score = st.score - s @ st.beta
@@ -485,9 +487,17 @@ def _step(st: _State, group_terms, smooth: bool, rounds: int = 100):
         if before is not None and np.abs(now - before).max() < 1e-4:
             break
         before = now
-        st.lam, st.lam_group = new, group_new
+        st.lam = new
+        if group_rounds:
+            st.lam_group = group_new
     st.cov = v
-    return delta, float(score @ v @ score + own), edf
+    if smooth and has_groups and not group_rounds:
+        # one update per pass is slow towards an absent effect: lengthen it while the direction stays
+        way = math.log(group_new / used_group)
+        st.push = min(st.push * 2, 64) if way * st.last_way > 0 else 1
+        st.last_way = way
+        st.lam_group = float(np.clip(used_group * math.exp(way * st.push), 1e-6, MAX_SMOOTHING))
+    return delta, float(score @ v @ score + own), edf, used_group
 
 
 def _objective(st: _State, group_square: float) -> float:
@@ -569,7 +579,8 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
                 square = float(held[st.index].b @ held[st.index].b)
             elif grouped:
                 tables[st.index] = spark_group_table(sums, st.index, st.p, effects)
-                terms = _fixed_terms(tables[st.index], st, smooth)
+                got_terms = spark_group_terms(tables[st.index], st.p, st.lam_group)
+                terms = lambda lam, t=got_terms: t  # noqa: E731 - taken at the present group parameter
                 square = float(tables[st.index].agg(F.sum(F.col("b") * F.col("b"))).first()[0] or 0.0)
             else:
                 terms, square = None, 0.0
@@ -584,16 +595,16 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
                     continue
             st.halvings = 0
             edf_before = st.edf
-            delta, decrement, st.edf = _step(st, terms, smooth)
+            delta, decrement, st.edf, lam_group = _step(st, terms, smooth, local)
             settled = decrement < tol * max(st.parts[0], 1.0) and (
                 not smooth or abs(st.edf - edf_before) < 0.01)
             old_b = held[st.index].b.copy() if grouped and local else None
             st.previous = {"beta": st.beta.copy(), "b": old_b,
                            "objective": _old_objective(st, st.parts.copy(), st.beta.copy(), square)}
-            steps[st.index] = (st.lam_group, delta)
+            steps[st.index] = (lam_group, delta)
             st.beta = st.beta + delta
             if grouped and local:
-                held[st.index].b = held[st.index].moved(st.lam_group, delta)
+                held[st.index].b = held[st.index].moved(lam_group, delta)
             st.done = settled
         if grouped:
             effects = (_local_effects(spark, names, held, len(tasks)) if local
@@ -637,16 +648,6 @@ def _old_objective(st: _State, parts, beta, square):
     return at
 
 
-def _fixed_terms(groups: DataFrame, st: _State, smooth: bool):
-    """Group sums from Spark at the present group parameter; it moves once per pass, not per round."""
-    lam = st.lam_group
-    got = spark_group_terms(groups, st.p, lam)
-
-    def terms(asked: float):
-        return got if asked == lam else spark_group_terms(groups, st.p, asked)
-    return terms
-
-
 def _local_effects(spark: SparkSession, names, held: Mapping[int, LocalGroups], n: int) -> DataFrame:
     b = np.zeros((len(names), n))
     for i, g in held.items():

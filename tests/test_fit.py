@@ -111,6 +111,15 @@ def test_groups_kept_in_spark_give_the_same_fit(subjects, main_model, spec):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-7 for k in a)
 
 
+def test_groups_kept_in_spark_with_estimated_smoothing(subjects):
+    spec = de.PamSpec(factors=(("Gender", ("Female", "Male")),), group="CombinedicuID", baseline_k=10)
+    blocks = fi.subject_blocks(subjects)
+    here, there = (fi.fit_pam(blocks, spec, "delta_2", local_groups=n) for n in (1000, 3))
+    assert there.stats["converged"] and abs(there.stats["edf"] - here.stats["edf"]) < 0.1
+    x = np.linspace(-1, 1, len(here.beta))
+    assert abs(x @ (here.beta - there.beta)) < 0.01
+
+
 def test_partitioning_does_not_matter(subjects):
     spec = de.PamSpec(factors=(("Gender", ("Female", "Male")),), group="CombinedicuID", baseline_k=10)
     fits = [fi.fit_pam(fi.subject_blocks(subjects.repartition(n)), spec, "delta_2", parts=n, tol=1e-12) for n in (1, 5)]
