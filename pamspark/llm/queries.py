@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pamspark.llm import fingerprint as fp
+from pamspark.llm import fingerprint as fp, mixing, sharding, warc
+from pamspark.llm.common import shared_folder, written
+from pamspark.sources.io import ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,53 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fp.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 16 shards of a hash ring, counts at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.place(docs, ["doc_id", "text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back, equal payloads once."""
+    ship_package(spark)
+    folder = shared_folder(spark)
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    found = warc.resolved(warc.read(spark, folder), F.octet_length("payload").cast("long").alias("payload_bytes"),
+                          warc.payload_digest(F.col("payload")).alias("payload_digest"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of each document."""
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
+    mixed = mixing.mix(written(docs), keys=["doc_id", "crc"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints,)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_hash_ring, op8_revisits, op10_mix)}
+
+
+#: Base32 of a hexadecimal SHA-1, digit by digit: ten hexadecimal digits are eight of base32.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(hex, {10 * (i // 8) + 1}, 10))::BIGINT >> {35 - 5 * (i % 8)}) & 31 AS INTEGER), 1)"
+    for i in range(32))
+
+#: The records are told by the pages alone.
+OP8_SQL = f"""
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM w
+"""
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_revisits": OP8_SQL}
