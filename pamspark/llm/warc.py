@@ -66,8 +66,10 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") ->
     size = heads.agg(F.sum("payload_bytes")).first()[0] or 0
     spark = pages.sparkSession
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    own = first.withColumnRenamed("payload_digest", "_digest")
-    response = (full.repartition(files, "page_id").join(own, F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_digest") == F.col("_digest")))
+    # a null id gets the least number beside the digest, so that the join can use the partitioning of the payloads
+    own = first.select("payload_digest", F.coalesce("first_id", F.lit(-(1 << 63))).alias("_id"))
+    response = (full.withColumn("_id", F.coalesce("page_id", F.lit(-(1 << 63)))).repartition(files, "_id", "payload_digest")
+                .join(own, ["_id", "payload_digest"])
                 .withColumn("record_id", _record_id(F.col("page_id"), F.col("payload_digest"))))
     revisit = (heads.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
                .withColumn("record_id", _record_id(F.col("page_id"), F.col("payload_digest"), F.lit("revisit"), F.col("url"))))
