@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pamspark.llm import fingerprint as fp, mixing, sharding, warc
+from pamspark.llm import fingerprint as fp, licenses, lm, mixing, sharding, warc
 from pamspark.llm.common import shared_folder, written
 from pamspark.sources.io import ship_package
 
@@ -41,6 +41,13 @@ def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices of all documents."""
+    ship_package(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, keep_text=False)
+
+
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back, equal payloads once."""
     ship_package(spark)
@@ -51,6 +58,13 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of all documents under a context tree of bytes, and under unigrams of words."""
+    ship_package(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources takes of each document."""
     docs = _table(spark, sf_dir, "documents").select(
@@ -60,7 +74,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_hash_ring, op8_revisits, op10_mix)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_hash_ring, op6_license_notices, op8_revisits, op9_context_tree, op10_mix)}
 
 
 #: Base32 of a hexadecimal SHA-1, digit by digit: ten hexadecimal digits are eight of base32.
