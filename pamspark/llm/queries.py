@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pamspark.llm import fingerprint as fp, licenses, lm, mixing, sharding, warc
+from pamspark.llm import fingerprint as fp, licenses, lm, mixing, neardup, sharding, warc
 from pamspark.llm.common import shared_folder, written
 from pamspark.sources.io import ship_package
 
@@ -48,6 +48,13 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, keep_text=False)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of all documents; is_first marks the one that a corpus keeps."""
+    ship_package(spark)
+    found = neardup.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back, equal payloads once."""
     ship_package(spark)
@@ -74,7 +81,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_hash_ring, op6_license_notices, op8_revisits, op9_context_tree, op10_mix)}
+    return {f.__name__: f for f in (op1_fingerprints, op4_hash_ring, op6_license_notices, op7_near_duplicates, op8_revisits, op9_context_tree, op10_mix)}
 
 
 #: Base32 of a hexadecimal SHA-1, digit by digit: ten hexadecimal digits are eight of base32.
