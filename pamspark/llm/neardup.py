@@ -8,8 +8,8 @@ times 1 + IDF_SHARE * log(N / df) / log(N): the share is small, so that 0.8 of w
 Improved consistent weighted sampling draws SAMPLES (shingle, level) pairs from each text; two texts agree in a sample
 with the probability of their weighted Jaccard similarity. BANDS bands of ROWS samples make the candidates. Equal texts
 are one from the start. In each bucket all texts are compared with one pivot, not with each other; verified pairs are
-joined into classes; buckets that still hold several classes get other pivots until that adds nothing, and what is left
-in them is compared in blocks of signatures, across classes only. Every candidate pair is verified on the whole texts by
+joined into classes; buckets that still hold several classes get another pivot of their own, and what is left in them
+is compared in blocks of signatures, across classes only. Every candidate pair is verified on the whole texts by
 weighted Jaccard similarity. Nothing is capped or sampled, and no links or components come to the driver.
 
 Defined cases: a null text is empty; texts without words are alike only if equal; a text of fewer than five words is one
@@ -193,9 +193,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _pivot_pairs(buckets: DataFrame, seed: int) -> DataFrame:
-    """Each text of a bucket with the bucket's pivot, where they are in different classes; a pair once."""
-    draw = F.xxhash64(F.lit(seed), "tid") if seed == 0 else F.xxhash64(F.lit(seed), "band", "tid")
+def _pivot_pairs(buckets: DataFrame, own: bool) -> DataFrame:
+    """Each text of a bucket with the bucket's pivot, where they are in different classes; a pair once.
+
+    Pivots are first by one random order of all texts, so that buckets share them, or by an order of each bucket's own.
+    """
+    draw = F.xxhash64("band", "tid") if own else F.xxhash64("tid")
     pivots = buckets.groupBy("band").agg(F.min(F.struct(draw.alias("at"), "tid", "class")).alias("pivot"))
     pairs = buckets.join(pivots, "band").filter(F.col("class") != F.col("pivot.class"))
     return pairs.select(F.least("tid", "pivot.tid").alias("a"), F.greatest("tid", "pivot.tid").alias("b")).distinct()
@@ -247,19 +250,16 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("band").count().filter("count > 1").select("band")
     buckets = written(banded.join(shared, "band"))
     terms = _terms(docs, reps, buckets)
-    edges, labels, tested, seed, blocked = None, None, None, 0, False
-    while not blocked:
+    edges, labels, tested = None, None, None
+    for step in ("pivot", "own pivot", "blocks"):
         mixed = _mixed_buckets(buckets, labels)
-        blocked = seed > 1 and not more
-        pairs = _block_pairs(mixed, reps) if blocked else _pivot_pairs(mixed, seed)
+        pairs = _block_pairs(mixed, reps) if step == "blocks" else _pivot_pairs(mixed, step == "own pivot")
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        fresh = written(_verified(pairs, terms, idf))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = not fresh.isEmpty()
-        if more:
+        fresh = written(_verified(pairs, terms, idf))
+        if not fresh.isEmpty():
             edges = fresh if edges is None else edges.unionByName(fresh)
             labels = components(edges)
-        seed += 1
     rows = signed.select("doc_id", "tid")
     if labels is None:
         rows = rows.withColumn("class", F.col("tid"))
