@@ -95,7 +95,14 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word and the n + 1 offsets of each text's words; equal words hash alike everywhere."""
+    h, at, _ = word_places(data, offsets, codes)
+    return h, at
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`word_hashes` with the first and the last byte of each word, as an array of two rows."""
     found, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    spans: list[np.ndarray] = []
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)
@@ -119,10 +126,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tup
         sums = np.cumsum(c * up[: len(c)])
         h = sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))
         found.append(mix(h * down[starts]))
+        spans.append(np.stack((starts + at, ends + at)))
         rows = np.searchsorted(offsets, starts + at, "right") - 1
         counts += np.bincount(rows, minlength=len(counts))
         at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(counts)))
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(counts))),
+            np.concatenate(spans, axis=1) if spans else np.zeros((2, 0), np.int64))
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

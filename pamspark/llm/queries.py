@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pamspark.llm import fingerprint as fp, licenses, lm, mixing, neardup, sharding, warc
+from pamspark.llm import decontaminate, fingerprint as fp, licenses, lm, mixing, neardup, quality, sharding, warc
 from pamspark.llm.common import shared_folder, written
 from pamspark.sources.io import ship_package
 
@@ -31,6 +31,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fp.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, as it is or with other numbers, names and units."""
+    ship_package(spark)
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("tid")
+
+
 def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 16 shards of a hash ring, counts at most one apart."""
     text = F.coalesce("text", F.lit(""))
@@ -41,6 +48,14 @@ def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior of all documents to be good and not toxic, and whether a corpus keeps them."""
+    ship_package(spark)
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).select("doc_id", "source", "lang", *quality.RESULTS)
+
+
 def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and fuzzy notices of all documents."""
     ship_package(spark)
@@ -81,7 +96,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_hash_ring, op6_license_notices, op7_near_duplicates, op8_revisits, op9_context_tree, op10_mix)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_benchmark_templates, op4_hash_ring, op5_site_quality, op6_license_notices, op7_near_duplicates, op8_revisits, op9_context_tree, op10_mix)}
 
 
 #: Base32 of a hexadecimal SHA-1, digit by digit: ten hexadecimal digits are eight of base32.
