@@ -9,8 +9,8 @@ Improved consistent weighted sampling draws SAMPLES (shingle, level) pairs from
 with the probability of their weighted Jaccard similarity. BANDS bands of ROWS samples make the candidates. Equal texts
 are one from the start. In each bucket all texts are compared with one pivot, not with each other; verified pairs are
 joined into classes; buckets that still hold several classes get another pivot of their own, and what is left in them
-is compared in blocks of signatures, across classes only. Every candidate pair is verified on the whole texts by
-weighted Jaccard similarity. Nothing is capped or sampled, and no links or components come to the driver.
+is compared in blocks of whole texts, of which only links leave a task. Every candidate pair is judged by the weighted
+Jaccard similarity of the whole texts. Nothing is capped or sampled, and no links or components come to the driver.
 
 Defined cases: a null text is empty; texts without words are alike only if equal; a text of fewer than five words is one
 shingle; repeated rows and rows without id belong to the class of their text; a class is named by its least doc_id; an
@@ -33,9 +33,8 @@ SAMPLES = BANDS * ROWS
 THRESHOLD = 0.8
 DF_BITS = 20
 IDF_SHARE = 0.25
-#: Signatures that agree in fewer samples than this share are not verified in the last step; six deviations below 0.8.
-LEAST_AGREEMENT = 0.45
-BLOCK = 512
+#: Texts on either side of a block, and shared shingles that are multiplied at once.
+BLOCK, COLUMNS = 1024, 2048
 _SLOT_BITS = 15
 _DRAWS: dict[str, np.ndarray] = {}
 
@@ -196,16 +195,18 @@ def components(edges: DataFrame) -> DataFrame:
 def _pivot_pairs(buckets: DataFrame, own: bool) -> DataFrame:
     """Each text of a bucket with the bucket's pivot, where they are in different classes; a pair once.
 
-    Pivots are first by one random order of all texts, so that buckets share them, or by an order of each bucket's own.
+    Pivots are first the most central texts, which share the most buckets' places with others, like the origin of many
+    copies, or come from a random order of each bucket's own.
     """
     draw = F.xxhash64("band", "tid") if own else F.xxhash64("tid")
-    pivots = buckets.groupBy("band").agg(F.min(F.struct(draw.alias("at"), "tid", "class")).alias("pivot"))
+    order = F.struct(F.lit(0) if own else -F.col("central"), draw)
+    pivots = buckets.groupBy("band").agg(F.min(F.struct(order.alias("at"), "tid", "class")).alias("pivot"))
     pairs = buckets.join(pivots, "band").filter(F.col("class") != F.col("pivot.class"))
     return pairs.select(F.least("tid", "pivot.tid").alias("a"), F.greatest("tid", "pivot.tid").alias("b")).distinct()
 
 
 def _mixed_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(band, tid, class) of the buckets that hold several classes; a text without label is its own class."""
+    """(band, tid, central, class, n) of the buckets that hold several classes; a text without label is its own class."""
     if labels is None:
         rows = buckets.withColumn("class", F.col("tid"))
     else:
@@ -214,27 +215,61 @@ def _mixed_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return written(rows.join(several.select("band", "n"), "band"))
 
 
-def _block_pairs(buckets: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs across classes of a bucket whose signatures agree enough, found in blocks of BLOCK x BLOCK texts."""
-    rows = buckets.join(signed.select("tid", "sign"), "tid")
-    # blocks are dealt by a hash and so hold BLOCK texts on average
+def common_weights(own: list[np.ndarray], other: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights that each text of own shares with each of other, and all weights of either; texts as in `similarity`."""
+    texts = own + other
+    keys, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(keys))
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])))
+    place = at - np.maximum.accumulate(np.where(new, at, 0))
+    weight = idf[bucket(keys)].astype(float)
+    total = np.bincount(rows, weight, len(texts))
+    # the second place of a shingle is a column of its own, so that counts meet in their minimum
+    _, column, times = np.unique(mix(keys + place.astype(np.uint64)), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    rows, column, weight = rows[shared], number[column[shared]], weight[shared]
+    order = np.argsort(column, kind="stable")
+    rows, column, weight = rows[order], column[order], weight[order]
+    out = np.zeros((len(own), len(other)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        x, w = np.zeros((len(texts), COLUMNS)), np.zeros(COLUMNS)
+        x[rows[part], column[part] - low] = 1
+        w[column[part] - low] = weight[part]
+        out += (x[: len(own)] * w) @ x[len(own) :].T
+    return out, total[: len(own)], total[len(own) :]
+
+
+def _block_links(buckets: DataFrame, terms: DataFrame, idf) -> DataFrame:
+    """All pairs (a, b) of alike texts in different classes of a bucket, found in blocks of about BLOCK x BLOCK texts.
+
+    A bucket of two has been compared already. Only links leave a task.
+    """
+    rows = buckets.filter("n > 2").join(terms, "tid")
+    # blocks are dealt by a hash and so hold BLOCK texts at most on average
     count = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("tid"), count).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("tid"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
-        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        tid = np.array(table.column("tid").to_pylist(), dtype=object)
-        kind = np.unique(np.array(table.column("class").to_pylist(), dtype=object).astype("S16"), return_inverse=True)[1]
+        tid, kind = table.column("tid").to_pylist(), table.column("class").to_pylist()
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        part = table.column("own").to_numpy()
+        a, b = np.flatnonzero(part == first), np.flatnonzero(part == second)
         out: list[tuple[bytes, bytes]] = []
-        for at in range(len(signs) - 1):
-            later = np.flatnonzero(kind[at + 1 :] != kind[at]) + at + 1
-            close = later[(signs[later] == signs[at]).mean(axis=1) >= LEAST_AGREEMENT]
-            out += [(min(tid[at], t), max(tid[at], t)) for t in tid[close]]
+        if len({kind[k] for k in (*a, *b)}) > 1 and len(a) and len(b):
+            sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("terms")]
+            common, wa, wb = common_weights([sets[k] for k in a], [sets[k] for k in b], idf.value)
+            for x, y in np.argwhere(common >= THRESHOLD * (wa[:, None] + wb[None, :] - common)):
+                u, v = a[x], b[y]
+                if kind[u] != kind[v]:
+                    out.append((min(tid[u], tid[v]), max(tid[u], tid[v])))
         return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
-    return rows.select("band", "i", "j", "tid", "class", "sign").groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return (rows.select("band", "i", "j", "own", "tid", "class", "terms").groupBy("band", "i", "j")
+            .applyInArrow(compare, "a binary, b binary").distinct())
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -247,16 +282,17 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = written(_signed(docs, idf))
     reps = written(signed.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.first("sign").alias("sign"), F.first("bands").alias("bands")))
     banded = reps.select("tid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").count().filter("count > 1").select("band")
-    buckets = written(banded.join(shared, "band"))
+    shared = written(banded.join(banded.groupBy("band").count().filter("count > 1"), "band"))
+    central = shared.groupBy("tid").agg(F.sum("count").alias("central"))
+    buckets = written(shared.select("band", "tid").join(central, "tid"))
     terms = _terms(docs, reps, buckets)
-    edges, labels, tested = None, None, None
-    for step in ("pivot", "own pivot", "blocks"):
+    edges, labels = None, None
+    for step in ("central pivot", "own pivot", "blocks"):
         mixed = _mixed_buckets(buckets, labels)
-        pairs = _block_pairs(mixed, reps) if step == "blocks" else _pivot_pairs(mixed, step == "own pivot")
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = written(_verified(pairs, terms, idf))
+        if step == "blocks":
+            fresh = written(_block_links(mixed, terms, idf))
+        else:
+            fresh = written(_verified(written(_pivot_pairs(mixed, step == "own pivot")), terms, idf))
         if not fresh.isEmpty():
             edges = fresh if edges is None else edges.unionByName(fresh)
             labels = components(edges)
