@@ -1,14 +1,59 @@
-"""Training-data pipeline over the documents table: stages that are each written as Parquet and read again."""
+"""Training-data pipeline over the documents table: stages that are each written as Parquet and read again.
+
+Every stage takes what the stage before it has kept; all but the last return the columns of documents. Null texts are
+empty texts, rows that are repeated count as often as they stand until the near-duplicate stage keeps one of them, an
+empty table passes through every stage, and columns that the operators add for their own use are taken out again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pamspark.llm import decontaminate, mixing, neardup, quality, sharding
 from pamspark.llm.common import written
+from pamspark.sources.io import ship_package
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the site-aware classifier keeps."""
+    ship_package(spark)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(docs, model).filter("keep").select(*docs.columns)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the least id."""
+    ship_package(spark)
+    return neardup.first_of_each(docs, neardup.classes(docs)).select(*docs.columns)
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    ship_package(spark)
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source mix takes them; each source's last one is cut at the budget."""
+    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
+    mixed = mixing.mixed_texts(mixing.mix(sized, size="_size", keys=["doc_id", "text"]), size="_size")
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def _sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard of 16 and their place in it."""
+    return sharding.place(docs, ["doc_id", "text"])
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", _quality),
+    ("near_duplicates", _near_duplicates),
+    ("decontamination", _decontamination),
+    ("mixing", _mixing),
+    ("sharding", _sharding),
+]
 
 #: No stage can be told in SQL (trained models, sampled hashes, rings), so the test compares with brute force.
 ORACLE_SQL = None

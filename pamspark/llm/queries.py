@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pamspark.llm import decontaminate, fingerprint as fp, licenses, lm, mixing, neardup, quality, sharding, warc
+from pamspark.llm import decontaminate, fingerprint as fp, html, licenses, lm, mixing, neardup, quality, sharding, warc
 from pamspark.llm.common import shared_folder, written
 from pamspark.sources.io import ship_package
 
@@ -31,6 +31,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fp.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    ship_package(spark)
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a benchmark item, as it is or with other numbers, names and units."""
     ship_package(spark)
@@ -96,7 +102,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_benchmark_templates, op4_hash_ring, op5_site_quality, op6_license_notices, op7_near_duplicates, op8_revisits, op9_context_tree, op10_mix)}
+    found = (op1_fingerprints, op2_main_text, op3_benchmark_templates, op4_hash_ring, op5_site_quality, op6_license_notices,
+             op7_near_duplicates, op8_revisits, op9_context_tree, op10_mix)
+    return {f.__name__: f for f in found}
 
 
 #: Base32 of a hexadecimal SHA-1, digit by digit: ten hexadecimal digits are eight of base32.
