@@ -152,7 +152,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int = SHINGLE)
     return mix(h[keep]), rows[keep]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one have about most bytes; a longer text stays whole."""
     for batch in batches:
         if not batch.num_rows:
