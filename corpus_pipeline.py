@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pamspark.llm import decontaminate, mixing, neardup, quality, sharding
-from pamspark.llm.common import written
+from pamspark.llm.common import bounded_batches, written
 from pamspark.sources.io import ship_package
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the site-aware classifier keeps."""
     ship_package(spark)
+    bounded_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, model).filter("keep").select(*docs.columns)
 
@@ -26,12 +27,14 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the least id."""
     ship_package(spark)
+    bounded_batches(spark)
     return neardup.first_of_each(docs, neardup.classes(docs)).select(*docs.columns)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
     ship_package(spark)
+    bounded_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 

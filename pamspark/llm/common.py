@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 SHINGLE = 5
 #: Bytes of text that are hashed at once; arrays of eight bytes per text byte are made for it.
-CHUNK = 2_000_000
+CHUNK = 500_000
+BATCH_BYTES = 8_000_000
 
 _X = np.uint64(0x9E3779B97F4A7C15)
 _X_INVERSE = np.uint64(pow(int(_X), -1, 1 << 64))
@@ -32,6 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES: a limit in rows alone would let long texts fill a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends at files that outlive executors."""
     folder = folder or shared_folder(df.sparkSession)
@@ -86,9 +92,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """UTF-8 bytes of all texts and the n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if offsets is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pamspark.llm import decontaminate, fingerprint as fp, html, licenses, lm, mixing, neardup, quality, sharding, warc
-from pamspark.llm.common import shared_folder, written
+from pamspark.llm.common import bounded_batches, shared_folder, written
 from pamspark.sources.io import ship_package
 
 
@@ -34,12 +34,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     ship_package(spark)
+    bounded_batches(spark)
     return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a benchmark item, as it is or with other numbers, names and units."""
     ship_package(spark)
+    bounded_batches(spark)
     found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("tid")
 
@@ -57,6 +59,7 @@ def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posterior of all documents to be good and not toxic, and whether a corpus keeps them."""
     ship_package(spark)
+    bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return quality.judge(docs, model).select("doc_id", "source", "lang", *quality.RESULTS)
@@ -65,6 +68,7 @@ def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and fuzzy notices of all documents."""
     ship_package(spark)
+    bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, keep_text=False)
 
@@ -72,6 +76,7 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of all documents; is_first marks the one that a corpus keeps."""
     ship_package(spark)
+    bounded_batches(spark)
     found = neardup.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
 
@@ -79,6 +84,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back, equal payloads once."""
     ship_package(spark)
+    bounded_batches(spark)
     folder = shared_folder(spark)
     warc.write(_table(spark, sf_dir, "pages"), folder)
     found = warc.resolved(warc.read(spark, folder), F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -89,6 +95,7 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of all documents under a context tree of bytes, and under unigrams of words."""
     ship_package(spark)
+    bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2)
 
