@@ -74,11 +74,10 @@ def overlong_diaries(daily: DataFrame, key: str = KEY, width: int = WIDTH) -> Da
 
 
 def nested_diary(daily: DataFrame, values: Sequence[str], key: str = KEY, day: str = "Study_Day",
-                 width: int = WIDTH) -> DataFrame:
-    """The diary as one ordered list of day records per subject, at most ``width`` of them."""
-    ranked = daily.withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(key).orderBy(day))).where(F.col("_pos") <= width)
-    return ranked.groupBy(key).agg(
+                 piece_days: int = 1000) -> DataFrame:
+    """The diary as ordered lists of day records: all days of a subject, in numbered pieces of ``piece_days``."""
+    ranked = daily.withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(day)))
+    return ranked.groupBy(key, F.floor((F.col("_pos") - 1) / piece_days).cast("int").alias("piece")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("day"), *values))).alias("diary"))
 
 

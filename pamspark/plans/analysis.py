@@ -147,6 +147,11 @@ def write_study(patient: DataFrame, daily: DataFrame, folder: str, merged: DataF
         events = subjects.withColumns({c: F.col(f"{prefix}{c}") for c in EVENT_LIST})
         write_csv(tb.life_table_from_cohort(events).orderBy("tend"),
                   f"{folder}/results/{label}events-per-interval", single_file=True, excel=True)
+    kept = daily.join(ids, co.KEY, "left_semi")
+    for label, report in (("diet-days", tb.diet_days(kept, subjects)), ("en-share", tb.en_share(kept)),
+                          ("low-intake", tb.low_intake_subjects(kept, subjects)), ("intake-bands", tb.intake_bands(kept)),
+                          ("days-beyond-window", ex.overlong_diaries(kept))):
+        write_csv(report, f"{folder}/results/{label}", single_file=True)
     last = pe.last_intervals(subjects, keep=[c for c in subjects.columns if c not in ("event_time", *EVENT_LIST)])
     write_csv(tb.baseline_table(subjects), f"{folder}/results/baseline", single_file=True)
     write_csv(tb.stratified_table(last, "pn_bin"), f"{folder}/results/strata-pn", single_file=True)

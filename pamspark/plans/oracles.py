@@ -44,8 +44,7 @@ FROM (
     l_quantity / 2 AS calproKg,
     CASE WHEN l_returnflag = 'R' AND l_quantity < 10 THEN 0.0 ELSE l_quantity END * 2
       AS proteinAdjustedPercentage
-  FROM lineitem) d
-WHERE Study_Day <= 11"""
+  FROM lineitem) d"""
 
 COHORT = """
 SELECT *, CASE WHEN mv_status = 2 THEN 1 WHEN mv_status IS NOT NULL THEN 0 END AS delta_1,
@@ -377,12 +376,13 @@ def exposure_sql() -> dict[str, str]:
         "lag_lead_at_risk": q(["ped", "lag_lead"], """SELECT CAST(t AS INT) AS t, CAST(tz AS INT) AS tz, LL,
   at_risk, at_risk * LL AS acting FROM lag_lead JOIN (SELECT tend, count(*) AS at_risk FROM ped GROUP BY tend) p
   ON t = tend"""),
-        "diary_window": q(["daily"], """SELECT CombinedID, max(Study_Day) AS n_days,
+        "diary_window": q(["daily"], """SELECT CombinedID, least(max(Study_Day), 11) AS n_days,
   array_to_string(list_resize(list(proteinCat2 ORDER BY Study_Day), 11, 0), '') AS c2,
   array_to_string(list_resize(list(proteinCat3 ORDER BY Study_Day), 11, 0), '') AS c3
 FROM daily GROUP BY CombinedID"""),
-        "nested_diary": q(["daily"], """SELECT CombinedID, count(*) AS n_days, max(Study_Day) AS last_day,
-  string_agg(Study_Day || ':' || EN, ',' ORDER BY Study_Day) AS diary FROM daily GROUP BY CombinedID"""),
+        "nested_diary": q(["daily"], """SELECT CombinedID, CAST((Study_Day - 1) // 1000 AS INT) AS piece, count(*) AS n_days,
+  max(Study_Day) AS last_day, string_agg(Study_Day || ':' || EN, ',' ORDER BY Study_Day) AS diary
+FROM daily GROUP BY CombinedID, piece"""),
         "overlong_diaries": """SELECT count(*) AS n_subjects, CAST(coalesce(sum(n - 11), 0) AS BIGINT) AS n_rows_cut
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) c WHERE n > 11""",
         "cumulative_exposure": q(["exposed"], """SELECT tend, tz AS day, count(*) AS n_rows,

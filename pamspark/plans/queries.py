@@ -264,7 +264,7 @@ def _diary_text(x: Inputs) -> DataFrame:
 def _nested_text(x: Inputs) -> DataFrame:
     day = F.transform("diary", lambda d: F.concat(d["day"].cast("string"), F.lit(":"), d["EN"].cast("string")))
     return ex.nested_diary(x.daily, ["EN"]).select(
-        co.KEY, F.size("diary").cast("bigint").alias("n_days"),
+        co.KEY, "piece", F.size("diary").cast("bigint").alias("n_days"),
         F.element_at("diary", -1)["day"].alias("last_day"), F.array_join(day, ",").alias("diary"))
 
 

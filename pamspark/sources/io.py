@@ -19,15 +19,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan that would keep less than a quarter of the cores busy is dealt out over all of them.
-
-    Its size is then at most a quarter of the cores times one split; any larger table is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
-
-
 def write_table(df: DataFrame, path: str) -> None:
     """Write an intermediate table as parquet with one file per partition."""
     df.write.mode("overwrite").parquet(path)

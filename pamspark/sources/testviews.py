@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .io import read_table, spread
+from .io import read_table
 
 
 # Layout of the test tables; stated, so that no file footer is read to plan a query.
@@ -24,7 +24,7 @@ def _long(col):
 
 def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: subject covariates, survival, discharge and ventilation days."""
-    orders = spread(read_table(spark, f"{sf_dir}/orders.parquet", ORDERS))
+    orders = read_table(spark, f"{sf_dir}/orders.parquet", ORDERS)
     customer = read_table(spark, f"{sf_dir}/customer.parquet", CUSTOMER).select(
         "c_custkey", "c_nationkey", "c_mktsegment")
     k = _long(F.col("o_totalprice"))
@@ -63,11 +63,10 @@ def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per diary day: the first eleven line items of each order."""
+    """One row per diary day: the line items of each order, numbered in a fixed order."""
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    days = line_items(spark, sf_dir).withColumn("Study_Day", F.row_number().over(w)).where(
-        F.col("Study_Day") <= 11)
+    days = line_items(spark, sf_dir).withColumn("Study_Day", F.row_number().over(w))
     zero = (F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10)
     intake = F.when(zero, F.lit(0.0)).otherwise(F.col("l_quantity"))
     out = days.select(
@@ -94,6 +93,6 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the `embeddings` table as given coefficient draws: ``sim_id, beta``."""
-    return spread(read_table(spark, f"{sf_dir}/embeddings.parquet", EMBEDDINGS)).select(
+    return read_table(spark, f"{sf_dir}/embeddings.parquet", EMBEDDINGS).select(
         F.col("vec_id").alias("sim_id"),
         F.col("embedding").cast("array<double>").alias("beta"))

@@ -47,11 +47,6 @@ def test_checkpoint_folder_is_the_sessions(spark):
     assert io.checkpoint_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_spread_leaves_larger_tables_alone(spark):
-    assert io.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, 1, 9)
-    assert io.spread(many) is many
-
 
 def test_literal_table(spark):
     assert io.literal_table(spark, [("a", 1)], "c string, n int").first().n == 1
