@@ -507,7 +507,7 @@ def _objective(st: _State, group_square: float) -> float:
 
 def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_lag_lead,
              info: BasisInfo | None = None, smooth: bool = True, smoothing: Mapping[str, float] | None = None,
-             max_passes: int = 40, tol: float = 1e-7, parts: int | None = None,
+             max_passes: int = 200, tol: float = 1e-7, parts: int | None = None,
              local_groups: int = LOCAL_GROUPS) -> dict[str, PamModel]:
     """Fit several models that share one set of subject rows; each pass over the data serves all of them.
 
@@ -587,12 +587,13 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
             st.passes += 1
             before = st.previous
             if before is not None and _objective(st, square) > before["objective"](st) + 1e-8 * abs(st.parts[0]):
-                if st.halvings < 20:
-                    st.halvings += 1
-                    st.beta = before["beta"] + (st.beta - before["beta"]) / 2
-                    if grouped and local:
-                        held[st.index].b = before["b"] + (held[st.index].b - before["b"]) / 2
-                    continue
+                if st.halvings >= 20:
+                    raise RuntimeError(f"model {st.task.name}: no step along the last direction lowers the objective")
+                st.halvings += 1
+                st.beta = before["beta"] + (st.beta - before["beta"]) / 2
+                if grouped and local:
+                    held[st.index].b = before["b"] + (held[st.index].b - before["b"]) / 2
+                continue
             st.halvings = 0
             edf_before = st.edf
             delta, decrement, st.edf, lam_group = _step(st, terms, smooth, local)
@@ -610,6 +611,10 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
             effects = (_local_effects(spark, names, held, len(tasks)) if local
                        else _joined_effects(tables, steps, effects, len(tasks)))
 
+    unsettled = [st.task.name for st in states if not st.done]
+    if unsettled:
+        raise RuntimeError(f"no convergence within {max_passes} passes: {', '.join(unsettled)}")
+
     out = {}
     for st, design in zip(states, designs):
         groups = None

@@ -141,7 +141,7 @@ def write_study(patient: DataFrame, daily: DataFrame, folder: str, merged: DataF
     effects = cut_lineage(compare_diets(models, frames))
     for name in models:
         mine = ef.hr_table(effects.where(F.col("model") == name)).drop("model", "comparison")
-        write_csv_per_group(mine, f"{folder}/results/hazard-ratios-{name}", "name")
+        write_csv_per_group(mine, f"{folder}/results/hazard-ratios-{name}", "name", excel=True)
     write_table(incidence(models["death"], models["extubation"], frames, n_sim), f"{folder}/results/incidence")
     for label, prefix in (("", ""), ("sens-", "sens_")):
         events = subjects.withColumns({c: F.col(f"{prefix}{c}") for c in EVENT_LIST})

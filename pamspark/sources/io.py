@@ -41,8 +41,11 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False, excel: boo
     out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_csv_per_group(df: DataFrame, path: str, key: str = "comparison") -> None:
-    """Write one CSV folder per value of ``key`` in a single job."""
+def write_csv_per_group(df: DataFrame, path: str, key: str = "comparison", *, excel: bool = False) -> None:
+    """Write one CSV folder per value of ``key`` in a single job; ``excel`` as in ``write_csv``."""
+    if excel:
+        first = next(c for c in df.columns if c != key)
+        df = df.withColumnRenamed(first, BOM + first)
     df.write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
 
 

@@ -187,3 +187,8 @@ def test_absent_level_gets_no_weight(subjects):
     spec = de.PamSpec(factors=(("AdmCatID", (*ADM, "Unheard of")),))
     m = fi.fit_pam(fi.subject_blocks(subjects), spec, "delta_2", smooth=False)
     assert m.beta[3] == 0 and m.cov[3, 3] == 0
+
+
+def test_a_fit_stopped_by_its_passes_raises(subjects, spec):
+    with pytest.raises(RuntimeError, match="no convergence"):
+        fi.fit_pam(fi.subject_blocks(subjects), spec, "delta_2", max_passes=1)

@@ -22,6 +22,8 @@ def test_csv_per_group(spark, tmp_path):
     df = spark.createDataFrame([("A", 1), ("B", 2), ("B", 3)], "comparison string, v int")
     io.write_csv_per_group(df, f"{tmp_path}/g")
     assert {p.name for p in (tmp_path / "g").glob("comparison=*")} == {"comparison=A", "comparison=B"}
+    io.write_csv_per_group(df, f"{tmp_path}/x", excel=True)
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfv\n") for p in (tmp_path / "x").glob("comparison=*/*.csv"))
 
 
 def test_bucketed_table_joins_without_a_shuffle(spark):
