@@ -5,9 +5,11 @@ Input are *blocks*: rows that stand for ``n`` subjects sharing one design, at ri
 is one block; so is a row at risk, or a group of identical rows. The days of a block are summed inside
 the task and never become table rows.
 
-Every pass adds up, for all models at once, X'WX, X'(y - mu) and the deviance parts in long form; Spark
-sums them. The driver only sees matrices of the size of the coefficient vector. Group effects (one per
-unit, ridge penalised) are eliminated block-wise: their sums come as one row per group.
+Every pass adds up, for all models at once, X'WX, X'(y - mu) and the deviance parts, packed into one
+array row per task and model; Spark sums them in two levels. The driver only sees matrices of the size
+of the coefficient vector. Group effects (one per unit, ridge penalised) are eliminated block-wise and
+never leave Spark: their sums are one array row per model and unit, what they contribute to a step is
+summed at a few values of their smoothing parameter in one job, and the driver interpolates between them.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import cut_lineage, ship_package
@@ -28,10 +31,18 @@ from .exposure import WIDTH, LagLead, protein_lag_lead
 from .model import PamModel
 from .ped import FOLLOW_UP
 
-MAX_SMOOTHING = 1e7
-LOCAL_GROUPS = 20_000
-SUMS = "model int, grp string, i int, j int, v double"
-DENSE, SCORE, PARTS, GROUP = 0, -1, -2, -3
+#: Smoothing parameters stay within these multiples of the weight that equals the data's information.
+SMOOTHING_RANGE = (1e-6, 1e3)
+GROUP_RANGE = (1e-6, 1e4)
+SMOOTHING_START = 1e-3
+#: Values of the group parameter at which a pass is summed, and how far they reach on the log scale.
+NODES = 12
+REACH = (0.5, 5.0)
+#: Units whose effects are broadcast together; more units make more blocks of the fit table.
+BLOCK_UNITS = 50_000
+SALTS = 64
+SUMS = "model int, grp string, v array<double>"
+EFFECTS = "model int, grp string, b double, old double"
 
 
 @dataclass(frozen=True)
@@ -68,11 +79,17 @@ def row_blocks(rows: DataFrame, events: Mapping[str, str]) -> DataFrame:
                              **{k: F.col(v) for k, v in events.items()}})
 
 
-def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: int | None) -> DataFrame:
+def _unit_block(n: int) -> Column:
+    return F.pmod(F.xxhash64("grp"), F.lit(n)).cast("int")
+
+
+def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: int | None,
+             unit_blocks: int = 1) -> DataFrame:
     """Compact fit table: block columns, subject parts, and one event count per model (null: not used).
 
     Ranged by group, so a task holds few groups, and by a hash of the design inside a group, so a group
-    of any size is spread over many tasks.
+    of any size is spread over many tasks. Units fall into ``unit_blocks`` folders, each of which is
+    later met by the effects of its own units only. Rows without a unit are left out.
     """
     spec = design.spec
     events = [F.when(F.col(f"_use{i}") if t.rule is not None else F.lit(True),
@@ -85,36 +102,43 @@ def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: in
         design.c_column().alias("c"))
     if spec.group:
         spread = F.xxhash64("z", "c", "to_day")
-        compact = (compact.repartitionByRange(parts, "grp", spread) if parts
-                   else compact.repartitionByRange("grp", spread)).sortWithinPartitions("grp")
-    elif parts:
-        compact = compact.repartition(parts)
-    return cut_lineage(compact)
+        compact = compact.where(F.col("grp").isNotNull()).withColumn("block", _unit_block(unit_blocks))
+        by = ("block", "grp", spread)
+        compact = (compact.repartitionByRange(parts, *by) if parts
+                   else compact.repartitionByRange(*by)).sortWithinPartitions("block", "grp")
+        return cut_lineage(compact, by=["block"])
+    return cut_lineage(compact.repartition(parts) if parts else compact)
+
+
+def _packed(schema: Sequence[str], model, grp, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of equal length as one array column beside their model and unit."""
+    n, width = rows.shape
+    arrays = [pa.array(np.full(n, model), pa.int32()), pa.array(grp, pa.string()),
+              pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.ravel()))]
+    return pa.RecordBatch.from_arrays(arrays, names=list(schema))
 
 
-def _as_batch(rows) -> pa.RecordBatch:
-    model, grp, i, j, v = rows
-    return pa.RecordBatch.from_arrays(
-        [pa.array(model, pa.int32()), pa.array(grp, pa.string()), pa.array(i, pa.int32()),
-         pa.array(j, pa.int32()), pa.array(v, pa.float64())], names=["model", "grp", "i", "j", "v"])
+def _triangle(m: np.ndarray) -> np.ndarray:
+    return m[np.triu_indices(len(m))]
 
 
-def _dense_batch(m: int, gram: np.ndarray, score: np.ndarray, parts: Sequence[float]) -> pa.RecordBatch:
-    p = len(score)
+def _square(flat: np.ndarray, p: int) -> np.ndarray:
+    out = np.zeros((p, p))
     i, j = np.triu_indices(p)
-    n = len(i) + p + len(parts)
-    return _as_batch((
-        np.full(n, m), [None] * n,
-        np.concatenate([i, np.full(p, SCORE), np.full(len(parts), PARTS)]),
-        np.concatenate([j, np.arange(p), np.arange(len(parts))]),
-        np.concatenate([gram[i, j], score, parts])))
+    out[i, j] = out[j, i] = flat
+    return out
+
 
+def _sum_rows(pdf):
+    return pdf.iloc[:1].assign(v=[np.sum(np.stack(pdf["v"].to_list()), axis=0)])
 
-def _group_batch(m: int, names: np.ndarray, c: np.ndarray, sw: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    g, p = c.shape
-    return _as_batch((
-        np.full(g * (p + 2), m), np.repeat(names, p + 2), np.full(g * (p + 2), GROUP),
-        np.tile(np.arange(p + 2), g), np.hstack([c, sw[:, None], s[:, None]]).ravel()))
+
+def _added(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Sum of the arrays ``v`` per model: first within salts, then over them, so no task holds them all."""
+    some = rows.withColumn("salt", F.spark_partition_id() % SALTS).select("model", "salt", "v")
+    some = some.groupBy("model", "salt").applyInPandas(_sum_rows, some.schema)
+    got = some.groupBy("model").applyInPandas(_sum_rows, some.schema).toPandas()
+    return {int(m): np.asarray(v, dtype=float) for m, v in zip(got["model"], got["v"])}
 
 
 class _Sums:
@@ -136,7 +160,7 @@ class _Sums:
         self.oo, self.om, self.mm = np.zeros((q1, q1)), np.zeros((q1, q2)), np.zeros((q2, q2))
         self.ob, self.mb = np.zeros((q1, self.q3)), np.zeros((q2, self.q3))
         self.per_day, self.rest_day = np.zeros(days), np.zeros(days)
-        self.s_one, self.s_mid, self.parts = np.zeros(q1), np.zeros(q2), np.zeros(3)
+        self.s_one, self.s_mid, self.parts = np.zeros(q1), np.zeros(q2), np.zeros(4)
         self.seen = False
         if self.n_exp:
             w = self.k * WIDTH
@@ -155,9 +179,12 @@ class _Sums:
             eta += self.gain @ c.T
         rows = np.arange(len(u))
         at_end = eta[last_index, rows]
-        mu = exposure * np.exp(np.minimum(eta, 500.0, out=eta), out=eta)
+        with np.errstate(over="ignore", invalid="ignore"):
+            mu = np.multiply(exposure, np.exp(eta, out=eta), out=eta)
+        if not np.isfinite(mu.sum()):  # too long a step: the days at risk stay infinite, the others count nothing
+            mu[exposure == 0] = 0.0
         self.seen = True
-        self.parts += [mu.sum(), y @ at_end, y.sum()]
+        self.parts[:3] += [mu.sum(), y @ at_end, y.sum()]
         m0, m1, m2 = mu.sum(axis=0), day["mid"] @ mu, day["mid"] ** 2 @ mu
         mb = mu.T @ day["base"]
         vm = v * m1[:, None]
@@ -233,17 +260,30 @@ class _Sums:
 
 
 CHUNK = 4096
+SUM_NAMES = ("model", "grp", "v")
+
+
+def _with_effects(table: DataFrame, effects: DataFrame | None, n_models: int, unit_blocks: int) -> DataFrame:
+    """The fit table with the unit effects of all models as an array; one bounded broadcast per unit block."""
+    if effects is None:
+        return table.withColumn("b", F.array_repeat(F.lit(0.0), n_models))
+    wide = effects.groupBy("grp").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("model") == i, F.col("b"))), F.lit(0.0)) for i in range(n_models)]).alias("b"))
+    parts = [table.where(F.col("block") == k).join(
+        F.broadcast(wide.where(_unit_block(unit_blocks) == k)), "grp", "left") for k in range(unit_blocks)]
+    return reduce(DataFrame.unionByName, parts).withColumn(
+        "b", F.coalesce("b", F.array_repeat(F.lit(0.0), n_models)))
 
 
 def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
-          effects: DataFrame | None, columns: Mapping[int, np.ndarray], n_models: int) -> DataFrame:
-    """The sums of one Newton step for the models in ``betas``, as a long table (model, grp, i, j, v).
+          columns: Mapping[int, np.ndarray], n_models: int) -> DataFrame:
+    """The sums of one Newton step for the models in ``betas``: rows (model, grp, v), not yet summed over tasks.
 
-    ``columns`` gives the coefficients a model owns; the others are absent from its sums.
+    Rows without ``grp`` pack X'WX (upper triangle), the score and the deviance parts of a task; rows with
+    it pack a unit's X'W, weight and score in all columns of ``design``. ``columns`` gives the
+    coefficients a model owns; the others are absent from its sums.
     """
-    grouped, with_effects = design.spec.group is not None, effects is not None
-    if with_effects:
-        table = table.join(effects, "grp", "left")
+    grouped = design.spec.group is not None
     c_width = WIDTH * len(design.spec.exposures)
     models = sorted(betas)
     whole = {}
@@ -257,6 +297,7 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
         sums = {m: _Sums(design, day, whole[m]) for m in models}
         acting = [(t, np.kron(np.eye(len(design.spec.exposures)), day["ll"][t][:, None] * day["bz"]))
                   for t in range(len(days)) if day["ll"][t].any()] if c_width else []
+        carry: dict[int, tuple[str, np.ndarray]] = {}
         for big in batches:
             for start in range(0, big.num_rows, CHUNK):
                 batch = big.slice(start, CHUNK)
@@ -265,11 +306,7 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
                 y = array_values(batch, "y", n_models)
                 first, last = (batch.column(k).to_numpy() for k in ("from_day", "to_day"))
                 n, tail, switch = (batch.column(k).to_numpy() for k in ("n", "last_exposure", "switch"))
-                b = np.zeros((len(u), n_models))
-                if with_effects:
-                    known = batch.column("b").is_valid()
-                    b[known.to_numpy(zero_copy_only=False)] = array_values(batch.filter(known), "b", n_models)
-                    b *= switch[:, None]
+                b = array_values(batch, "b", n_models) * switch[:, None] if grouped else np.zeros((len(u), n_models))
                 risk = (days[:, None] >= first) & (days[:, None] <= last)
                 exposure = np.where(days[:, None] == last, tail, n) * risk
                 last_index = np.clip(last - days[0], 0, len(days) - 1)
@@ -294,101 +331,131 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
                         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
                         total = mu.sum(axis=0)
                         block = sums[m].per_block(pieces) * sw[:, None]
-                        yield _group_batch(
-                            m, names[g[starts]], np.add.reduceat(block[order], starts)[:, columns[m]],
-                            np.add.reduceat((total * sw * sw)[order], starts),
-                            np.add.reduceat(((y[pick, m] - total) * sw)[order], starts))
+                        weight = total * sw * sw
+                        sums[m].parts[3] += weight.sum()
+                        rows = np.hstack([np.add.reduceat(a[order], starts).reshape(len(starts), -1) for a in (
+                            block, weight, (y[pick, m] - total) * sw)])
+                        units = names[g[starts]]
+                        if m in carry and carry[m][0] == units[0]:
+                            rows[0] += carry[m][1]
+                        elif m in carry:
+                            yield _packed(SUM_NAMES, m, carry[m][:1], carry[m][1][None, :])
+                        if len(units) > 1:
+                            yield _packed(SUM_NAMES, m, units[:-1], rows[:-1])
+                        carry[m] = units[-1], rows[-1].copy()
                 for t, weights in acting:
                     w = c @ weights
                     for m, (pick, mu) in expected.items():
                         wm = w[pick]
                         sums[m].ee[t] += wm.T @ (wm * mu[t][:, None])
+        for m, (unit, row) in carry.items():
+            yield _packed(SUM_NAMES, m, [unit], row[None, :])
         for m in models:
             if sums[m].seen:
                 gram, score = sums[m].assemble()
                 k = columns[m]
-                yield _dense_batch(m, gram[np.ix_(k, k)], score[k], sums[m].parts)
+                yield _packed(SUM_NAMES, m, [None], np.concatenate(
+                    [_triangle(gram[np.ix_(k, k)]), score[k], sums[m].parts])[None, :])
 
-    return table.mapInArrow(run, SUMS).groupBy("model", "grp", "i", "j").agg(F.sum("v").alias("v"))
+    return table.mapInArrow(run, SUMS)
 
 
-def _group_terms(c, sw, s, b, lam):
-    """What eliminating the groups contributes, summed over the given groups."""
-    d = sw + lam
-    s = s - lam * b
-    cd = c / d[:, None]
-    plain = b + s / d
-    return [c.T @ cd, cd.T @ cd, cd.T @ s, cd.T @ plain, np.array([(s * s / d).sum(), (plain**2).sum(),
-                                                                   (1 / d).sum(), float(len(d))])]
+def _unit_sums(sums: DataFrame, width: int, effects: DataFrame | None) -> DataFrame:
+    """One row per model and unit: its summed array ``v``, its effect ``b`` and the one accepted before."""
+    units = sums.where(F.col("grp").isNotNull()).groupBy("model", "grp").agg(
+        *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(width)])
+    units = units.select("model", "grp", F.array(*[F.col(f"v{k}") for k in range(width)]).alias("v"))
+    if effects is None:
+        return units.withColumns({"b": F.lit(0.0), "old": F.lit(0.0)})
+    return units.join(effects, ["model", "grp"], "left").fillna(0.0, ["b", "old"])
 
 
-class LocalGroups:
-    """Group sums held on the driver; their number has been checked."""
+def _by_model(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    model = batch.column("model").to_numpy()
+    v = array_values(batch, "v", width)
+    b, old = batch.column("b").to_numpy(), batch.column("old").to_numpy()
+    for m in np.unique(model):
+        at = np.flatnonzero(model == m)
+        yield int(m), at, v[at, :-2], v[at, -2], v[at, -1], b[at], old[at]
 
-    def __init__(self, names: np.ndarray, p: int):
-        self.names, self.p = names, p
-        self.b = np.zeros(len(names))
-        self.c, self.sw, self.s = np.zeros((len(names), p)), np.zeros(len(names)), np.zeros(len(names))
 
-    def load(self, grp, j, v) -> None:
-        full = np.zeros((len(self.names), self.p + 2))
-        full[np.searchsorted(self.names, grp), j] = v
-        self.c, self.sw, self.s = full[:, :self.p], full[:, self.p], full[:, self.p + 1]
+def _unit_terms(units: DataFrame, nodes: Mapping[int, np.ndarray], scale: Mapping[int, float],
+                columns: Mapping[int, np.ndarray], width: int) -> dict[int, np.ndarray]:
+    """What eliminating the unit effects contributes at each value of the group parameter in ``nodes``.
 
-    def terms(self, lam: float):
-        return _group_terms(self.c, self.sw, self.s, self.b, lam)
+    Per model a matrix with a row per node. Parts that fall with the parameter are multiplied by it plus
+    ``scale`` (once or twice), which keeps them level and their interpolation exact towards both ends.
+    """
 
-    def moved(self, lam: float, delta: np.ndarray) -> np.ndarray:
-        return self.b + (self.s - lam * self.b - self.c @ delta) / (self.sw + lam)
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for m, _, c, sw, s, b, _ in _by_model(batch, width):
+                c = c[:, columns[m]]
+                got = []
+                for lam in nodes[m]:
+                    d, r = sw + lam, s - lam * b
+                    level = lam + scale[m]
+                    cd, plain = c / d[:, None], b + r / d
+                    got.append(np.concatenate([
+                        _triangle(c.T @ cd) * level, _triangle(cd.T @ cd) * level**2, cd.T @ r,
+                        cd.T @ plain * level**2,
+                        [(r * r / d).sum(), (plain**2).sum() * level**2, (1 / d).sum() * level, len(d), b @ b]]))
+                flat = np.concatenate(got)
+                total[m] = total[m] + flat if m in total else flat
+        for m, flat in total.items():
+            yield _packed(SUM_NAMES, m, [None], flat[None, :])
+
+    got = _added(units.mapInArrow(run, SUMS))
+    return {m: v.reshape(len(nodes[m]), -1) for m, v in got.items()}
+
+
+def _between(nodes: np.ndarray, values: np.ndarray, scale: float, p: int):
+    """The unit terms at any group parameter within ``nodes``: barycentric interpolation on the log scale."""
+    x = np.log(nodes)
+    sign = np.where(np.arange(len(x)) % 2, -1.0, 1.0)
+    weights = sign * np.sin((2 * np.arange(len(x)) + 1) * np.pi / (2 * len(x)))
+    tri = p * (p + 1) // 2
+
+    def at(lam: float):
+        gap = math.log(lam) - x
+        near = int(np.argmin(np.abs(gap)))
+        if len(x) == 1 or abs(gap[near]) < 1e-13:
+            v = values[near]
+        else:
+            w = weights / gap
+            v = (w @ values) / w.sum()
+        level = lam + scale
+        cc, cc2, cs, cplain, rest = np.split(v, [tri, 2 * tri, 2 * tri + p, 2 * tri + 2 * p])
+        return (_square(cc / level, p), _square(cc2 / level**2, p), cs, cplain / level**2,
+                rest / [1, level**2, level, 1, 1])
 
+    return at
 
-def spark_group_terms(groups: DataFrame, p: int, lam: float) -> list[np.ndarray]:
-    """The same sums over a group table of any length: ``grp, c, sw, s, b``."""
-    shapes = [(p, p), (p, p), (p,), (p,), (4,)]
 
-    def run(batches):
-        total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = _group_terms(array_values(batch, "c", p), *(
-                batch.column(k).to_numpy() for k in ("sw", "s", "b")), lam)
-            total = got if total is None else [a + b for a, b in zip(total, got)]
-        if total is not None:
-            flat = np.concatenate([t.ravel() for t in total])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "v"])
-
-    rows = groups.select("c", "sw", "s", "b").mapInArrow(run, "k int, v double").groupBy("k").agg(
-        F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(sum(math.prod(s) for s in shapes))
-    flat[rows["k"]] = rows["v"]
-    out, at = [], 0
-    for s in shapes:
-        out.append(flat[at:at + math.prod(s)].reshape(s))
-        at += math.prod(s)
-    return out
+def _nodes(lam: float, reach: float, low: float, high: float) -> np.ndarray:
+    """Chebyshev points of the log parameter around ``lam``, inside its range."""
+    a, b = max(math.log(lam) - reach, math.log(low)), min(math.log(lam) + reach, math.log(high))
+    return np.exp((a + b) / 2 + (b - a) / 2 * np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES)))
 
 
-def spark_group_table(sums: DataFrame, model: int, p: int, effects: DataFrame | None) -> DataFrame:
-    """Group sums of one model as one row per group with its present effect."""
-    rows = sums.where((F.col("i") == GROUP) & (F.col("model") == model)).groupBy("grp").agg(
-        F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(p + 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)))
-    table = rows.select("grp", at.alias("a")).select(
-        "grp", F.slice("a", 1, p).alias("c"), F.col("a")[p].alias("sw"), F.col("a")[p + 1].alias("s"))
-    if effects is None:
-        return table.withColumn("b", F.lit(0.0))
-    mine = effects.select("grp", F.col("b")[model].alias("b"))
-    return table.join(mine, "grp", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+def _moved_effects(units: DataFrame, steps: Mapping[int, tuple[float, np.ndarray]],
+                   columns: Mapping[int, np.ndarray], width: int) -> DataFrame:
+    """Unit effects after a step (group parameter, coefficient step) of their model; without one, halfway back."""
 
+    def run(batches):
+        for batch in batches:
+            b, old = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for m, at, c, sw, s, now, before in _by_model(batch, width):
+                if m in steps:
+                    lam, delta = steps[m]
+                    b[at], old[at] = now + (s - lam * now - c[:, columns[m]] @ delta) / (sw + lam), now
+                else:
+                    b[at], old[at] = (now + before) / 2, before
+            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("grp"), pa.array(b), pa.array(old)],
+                                             names=["model", "grp", "b", "old"])
 
-def spark_moved_effects(groups: DataFrame, lam: float, delta: np.ndarray) -> DataFrame:
-    """New group effects after a step of the other coefficients."""
-    shift = F.aggregate(F.zip_with("c", F.array(*[F.lit(float(v)) for v in delta]), lambda x, y: x * y),
-                        F.lit(0.0), lambda s, v: s + v)
-    return groups.select("grp", (F.col("b") + (F.col("s") - lam * F.col("b") - shift)
-                                 / (F.col("sw") + lam)).alias("b"))
+    return units.mapInArrow(run, EFFECTS)
 
 
 class _State:
@@ -404,9 +471,11 @@ class _State:
             if np.any(m):
                 self.pen.append(Penalty(pen.label, pen.term, m, pen.eigen))
         self.lam = np.ones(len(self.pen))
-        self.lam_group, self.push, self.last_way = 1.0, 1, 0.0
+        self.lam_group, self.reach = 1.0, REACH[1]
+        self.unit = np.ones(len(self.pen))
+        self.unit_group = 1.0
         self.gram = self.score = None
-        self.parts = np.zeros(3)
+        self.parts = np.zeros(4)
         self.edf = math.inf
         self.passes = 0
         self.done = False
@@ -414,6 +483,19 @@ class _State:
         self.cov = None
         self.halvings = 0
 
+    def load(self, flat: np.ndarray) -> None:
+        tri = self.p * (self.p + 1) // 2
+        self.gram = _square(flat[:tri], self.p)
+        self.score, self.parts = flat[tri:tri + self.p], flat[tri + self.p:]
+
+    def scale_penalties(self, n_groups: int) -> None:
+        """Where each penalty weighs as much as the data of this pass: the unit of its parameter's range."""
+        diag = np.diag(self.gram)
+        for k, pen in enumerate(self.pen):
+            on = np.diag(pen.matrix) > 0
+            self.unit[k] = max(diag[on].mean(), 1e-300) / pen.eigen[pen.eigen > 0].min()
+        self.unit_group = max(self.parts[3] / max(n_groups, 1), 1e-300)
+
     def penalty(self) -> np.ndarray:
         s = np.zeros((self.p, self.p))
         for lam, pen in zip(self.lam, self.pen):
@@ -438,21 +520,24 @@ def _solve(h: np.ndarray) -> np.ndarray:
     live = diag > 1e-12 * max(diag.max(), 1e-300)
     scale = 1 / np.sqrt(diag[live])
     sub = h[np.ix_(live, live)] * np.outer(scale, scale)
-    inv = np.linalg.inv(sub + 1e-10 * np.eye(len(sub)))
+    inv = np.linalg.inv(sub + 1e-12 * np.eye(len(sub)))
     out = np.zeros_like(h)
     out[np.ix_(live, live)] = inv * np.outer(scale, scale)
     return out
 
 
-def _step(st: _State, group_terms, smooth: bool, group_rounds: bool = True, rounds: int = 100):
+def _step(st: _State, group_terms, smooth: bool, rounds: int = 100):
     """Newton step with the sums of this pass; smoothing parameters by generalised Fellner-Schall updates.
 
-    The sums are held fixed while the parameters are iterated; the group parameter is iterated with them
-    if ``group_rounds``, and moves once, after the step, if not. Returns the coefficient step, its Newton
-    decrement, the effective degrees of freedom and the group parameter of the step.
+    The sums are held fixed while the parameters are iterated, the group parameter within the reach of
+    this pass. Returns the coefficient step, its Newton decrement, the effective degrees of freedom and
+    the group parameter of the step.
     """
     has_groups = group_terms is not None
-    before, used_group, group_new = None, st.lam_group, st.lam_group
+    before, used_group, start_group = None, st.lam_group, st.lam_group
+    low, high = (f * st.unit for f in SMOOTHING_RANGE)
+    if has_groups:
+        around = _nodes(start_group, st.reach, *(f * st.unit_group for f in GROUP_RANGE)) if smooth else [start_group]
     for _ in range(rounds):
         used_group = st.lam_group
         s = st.penalty()
@@ -475,28 +560,22 @@ def _step(st: _State, group_terms, smooth: bool, group_rounds: bool = True, roun
         if not smooth:
             break
         new = np.array([
-            lam * max(t - u, 1e-12) / max(beta @ pen.matrix @ beta, 1e-300)
+            lam * max(t - u, 1e-12 / lam) / max(beta @ pen.matrix @ beta, 1e-300)
             for lam, pen, t, u in zip(st.lam, st.pen, st.pseudo_traces(), used)])
-        new = np.clip(new, 1e-6, MAX_SMOOTHING)
+        new = np.clip(new, low, high)
         group_new = st.lam_group
         if has_groups:
             squares = rest[1] - 2 * delta @ cplain + delta @ cc2 @ delta
-            group_new = float(np.clip((rest[3] - st.lam_group * spread) / max(squares, 1e-300),
-                                      1e-6, MAX_SMOOTHING))
+            group_new = float(np.clip(max(rest[3] - st.lam_group * spread, 0.0) / max(squares, 1e-300),
+                                      min(around), max(around)))
         now = np.append(st.lam * used, st.lam_group * spread if has_groups else 0.0)
         if before is not None and np.abs(now - before).max() < 1e-4:
             break
         before = now
-        st.lam = new
-        if group_rounds:
-            st.lam_group = group_new
+        st.lam, st.lam_group = new, group_new
     st.cov = v
-    if smooth and has_groups and not group_rounds:
-        # one update per pass is slow towards an absent effect: lengthen it while the direction stays
-        way = math.log(group_new / used_group)
-        st.push = min(st.push * 2, 64) if way * st.last_way > 0 else 1
-        st.last_way = way
-        st.lam_group = float(np.clip(used_group * math.exp(way * st.push), 1e-6, MAX_SMOOTHING))
+    if has_groups and smooth:
+        st.reach = float(np.clip(3 * abs(math.log(used_group / start_group)), *REACH))
     return delta, float(score @ v @ score + own), edf, used_group
 
 
@@ -508,11 +587,12 @@ def _objective(st: _State, group_square: float) -> float:
 def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_lag_lead,
              info: BasisInfo | None = None, smooth: bool = True, smoothing: Mapping[str, float] | None = None,
              max_passes: int = 200, tol: float = 1e-7, parts: int | None = None,
-             local_groups: int = LOCAL_GROUPS) -> dict[str, PamModel]:
+             block_units: int = BLOCK_UNITS) -> dict[str, PamModel]:
     """Fit several models that share one set of subject rows; each pass over the data serves all of them.
 
     The first task's specification must contain the terms of all others. With ``smooth`` the smoothing
-    parameters are estimated; otherwise ``smoothing`` fixes them (by penalty label, default 1).
+    parameters are estimated; otherwise ``smoothing`` fixes them (by penalty label, default 1). Unit effects
+    are broadcast ``block_units`` units at a time, which changes no result.
     """
     spark = blocks.sparkSession
     ship_package(spark)
@@ -538,78 +618,73 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
             st.lam[k] = (smoothing or {}).get(pen.label, 1.0)
         st.lam_group = (smoothing or {}).get("group", 1.0)
 
-    table = _prepare(blocks, tasks, full, parts)
+    grouped = spec.group is not None
+    n_groups = blocks.agg(F.count_distinct(spec.group)).first()[0] if grouped else 0
+    unit_blocks = max(1, math.ceil(n_groups / block_units))
+    table = _prepare(blocks, tasks, full, parts, unit_blocks)
     start = table.agg(*[f(i) for i in range(len(tasks)) for f in (
         lambda i: F.sum(F.when(~F.isnull(F.col("y")[i]), F.col("y")[i])).alias(f"e{i}"),
         lambda i: F.sum(F.when(~F.isnull(F.col("y")[i]), F.col("n") * (F.col("to_day") - F.col("from_day"))
-                               + F.col("last_exposure"))).alias(f"t{i}"))],
-        F.count_distinct("grp").alias("groups")).first()
+                               + F.col("last_exposure"))).alias(f"t{i}"))]).first()
     for st in states:
         events, time = start[f"e{st.index}"], start[f"t{st.index}"]
         if not events or not time:
             raise ValueError(f"model {st.task.name} has no events")
         st.beta[0] = math.log(events / time)
 
-    grouped, local = spec.group is not None, start.groups <= local_groups
-    names = None
-    if grouped and local:
-        names = np.array(sorted(r.grp for r in table.select("grp").distinct().collect()), dtype=object)
-    held = {st.index: LocalGroups(names, st.p) for st in states} if grouped and local else {}
     effects: DataFrame | None = None
+    width = full.p + 2
 
     for _ in range(max_passes):
         active = [st for st in states if not st.done]
         if not active:
             break
-        sums = _pass(table, full, {st.index: st.beta for st in active}, effects,
-                     {st.index: st.columns for st in active}, len(tasks))
-        if grouped and not local:
+        met = _with_effects(table, effects, len(tasks), unit_blocks) if grouped else table
+        sums = _pass(met, full, {st.index: st.beta for st in active}, columns, len(tasks))
+        if grouped:
             sums = cut_lineage(sums)
-        wanted = sums if local else sums.where(F.col("i") != GROUP)
-        got = wanted.toPandas()
-        tables: dict[int, DataFrame] = {}
+        got = _added(sums.where(F.col("grp").isNull()))
+        for st in active:
+            st.load(got[st.index])
+            if not st.passes and smooth:
+                st.scale_penalties(n_groups)
+                st.lam, st.lam_group = st.unit * SMOOTHING_START, st.unit_group
+        terms, squares = {}, {}
+        if grouped:
+            units = _unit_sums(sums, width, effects).persist()
+            nodes = {st.index: _nodes(st.lam_group, st.reach, *(f * st.unit_group for f in GROUP_RANGE)) if smooth
+                     else np.array([st.lam_group]) for st in active}
+            scales = {st.index: st.unit_group for st in active}
+            for m, values in _unit_terms(units, nodes, scales, columns, width).items():
+                terms[m] = _between(nodes[m], values, scales[m], len(columns[m]))
+                squares[m] = float(values[0, -1])
         steps: dict[int, tuple[float, np.ndarray]] = {}
         for st in active:
-            mine = got[got["model"] == st.index]
-            _load_dense(st, mine)
-            if grouped and local:
-                g = mine[mine["i"] == GROUP]
-                held[st.index].load(g["grp"].to_numpy(), g["j"].to_numpy(), g["v"].to_numpy())
-                terms = held[st.index].terms
-                square = float(held[st.index].b @ held[st.index].b)
-            elif grouped:
-                tables[st.index] = spark_group_table(sums, st.index, st.p, effects)
-                got_terms = spark_group_terms(tables[st.index], st.p, st.lam_group)
-                terms = lambda lam, t=got_terms: t  # noqa: E731 - taken at the present group parameter
-                square = float(tables[st.index].agg(F.sum(F.col("b") * F.col("b"))).first()[0] or 0.0)
-            else:
-                terms, square = None, 0.0
+            square = squares.get(st.index, 0.0)
             st.passes += 1
             before = st.previous
-            if before is not None and _objective(st, square) > before["objective"](st) + 1e-8 * abs(st.parts[0]):
+            if before is not None and not (
+                    _objective(st, square) <= before["objective"](st) + 1e-8 * abs(before["expected"])):
                 if st.halvings >= 20:
                     raise RuntimeError(f"model {st.task.name}: no step along the last direction lowers the objective")
                 st.halvings += 1
                 st.beta = before["beta"] + (st.beta - before["beta"]) / 2
-                if grouped and local:
-                    held[st.index].b = before["b"] + (held[st.index].b - before["b"]) / 2
                 continue
             st.halvings = 0
             edf_before = st.edf
-            delta, decrement, st.edf, lam_group = _step(st, terms, smooth, local)
-            settled = decrement < tol * max(st.parts[0], 1.0) and (
-                not smooth or abs(st.edf - edf_before) < 0.01)
-            old_b = held[st.index].b.copy() if grouped and local else None
-            st.previous = {"beta": st.beta.copy(), "b": old_b,
+            delta, decrement, st.edf, lam_group = _step(st, terms.get(st.index), smooth)
+            st.done = bool(decrement < tol * max(st.parts[0], 1.0) and (
+                not smooth or abs(st.edf - edf_before) < 0.01))
+            st.previous = {"beta": st.beta.copy(), "expected": st.parts[0],
                            "objective": _old_objective(st, st.parts.copy(), st.beta.copy(), square)}
             steps[st.index] = (lam_group, delta)
             st.beta = st.beta + delta
-            if grouped and local:
-                held[st.index].b = held[st.index].moved(lam_group, delta)
-            st.done = settled
         if grouped:
-            effects = (_local_effects(spark, names, held, len(tasks)) if local
-                       else _joined_effects(tables, steps, effects, len(tasks)))
+            moved = _moved_effects(units, steps, columns, width)
+            if effects is not None:
+                moved = moved.unionByName(effects.where(~F.col("model").isin([st.index for st in active])))
+            effects = cut_lineage(moved)
+            units.unpersist()
 
     unsettled = [st.task.name for st in states if not st.done]
     if unsettled:
@@ -619,9 +694,7 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
     for st, design in zip(states, designs):
         groups = None
         if grouped:
-            groups = effects.select("grp", F.col("b")[st.index].alias("effect"))
-            if st.task.rule is not None:
-                groups = groups.where(F.col("effect") != 0)
+            groups = effects.where(F.col("model") == st.index).select("grp", F.col("b").alias("effect"))
         out[st.task.name] = PamModel(
             st.task.name, st.task.spec, info, st.beta, st.cov,
             {**{p.label: float(v) for p, v in zip(st.pen, st.lam)},
@@ -636,42 +709,8 @@ def fit_pam(blocks: DataFrame, spec: PamSpec, event: str, name: str = "model", *
     return fit_many(blocks, [Task(name, event, spec)], **options)[name]
 
 
-def _load_dense(st: _State, mine) -> None:
-    st.gram, st.score, st.parts = np.zeros((st.p, st.p)), np.zeros(st.p), np.zeros(3)
-    i, j, v = (mine[k].to_numpy() for k in ("i", "j", "v"))
-    d = i >= DENSE
-    st.gram[i[d], j[d]] = v[d]
-    st.gram[j[d], i[d]] = v[d]
-    st.score[j[i == SCORE]] = v[i == SCORE]
-    st.parts[j[i == PARTS]] = v[i == PARTS]
-
-
 def _old_objective(st: _State, parts, beta, square):
     """The last accepted point's objective under the smoothing parameters of the moment."""
     def at(now: _State) -> float:
         return parts[0] - parts[1] + 0.5 * (beta @ now.penalty() @ beta + now.lam_group * square)
     return at
-
-
-def _local_effects(spark: SparkSession, names, held: Mapping[int, LocalGroups], n: int) -> DataFrame:
-    b = np.zeros((len(names), n))
-    for i, g in held.items():
-        b[:, i] = g.b
-    rows = [(str(g), [float(x) for x in r]) for g, r in zip(names, b)]
-    return F.broadcast(spark.createDataFrame(rows, "grp string, b array<double>"))
-
-
-def _joined_effects(tables, steps, effects, n: int) -> DataFrame:
-    """New effects of all models side by side, one row per group, written out to cut the lineage."""
-    out = None
-    for i, (lam, delta) in steps.items():
-        one = spark_moved_effects(tables[i], lam, delta).withColumnRenamed("b", f"b{i}")
-        out = one if out is None else out.join(one, "grp", "full")
-    if effects is not None:
-        out = effects.withColumnRenamed("b", "old") if out is None else out.join(
-            effects.withColumnRenamed("b", "old"), "grp", "full")
-    else:
-        out = out.withColumn("old", F.array_repeat(F.lit(0.0), n))
-    cols = [F.coalesce(F.col(f"b{i}"), F.col("old")[i], F.lit(0.0)) if i in steps else
-            F.coalesce(F.col("old")[i], F.lit(0.0)) for i in range(n)]
-    return cut_lineage(out.select("grp", F.array(*cols).alias("b")))

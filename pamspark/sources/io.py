@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,14 +72,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table under the checkpoint folder and continue from the written copy.
+def cut_lineage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a table under the checkpoint folder, in folders ``by``, and continue from the written copy.
 
     A written table is computed once and survives lost executors; an RDD checkpoint would compute its
     input a second time.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -89,35 +89,108 @@ def test_block_sums_equal_the_dense_products(subjects, spec, main_model):
     beta = 0.1 * np.random.default_rng(5).standard_normal(d.p) / (1 + np.abs(x).max(axis=0))
     beta[0] = -4
     task = fi.Task("t", "delta_1", spec)
-    table = fi._prepare(fi.subject_blocks(subjects), [task], d, 3)
-    got = fi._pass(table, d, {0: beta}, None, {0: np.arange(d.p)}, 1).toPandas()
+    table = fi._with_effects(fi._prepare(fi.subject_blocks(subjects), [task], d, 3), None, 1, 1)
+    sums = fi._pass(table, d, {0: beta}, {0: np.arange(d.p)}, 1)
     st = fi._State(0, task, d, d.penalties(), np.arange(d.p))
-    fi._load_dense(st, got)
+    st.load(fi._added(sums.where("grp is null"))[0])
     mu = np.exp(x @ beta + off)
     assert np.allclose(st.gram, x.T @ (x * mu[:, None]), rtol=1e-8, atol=1e-8)
     assert np.allclose(st.score, x.T @ (y - mu), rtol=1e-8, atol=1e-7)
-    g = got[(got["i"] == fi.GROUP) & (got["j"] < d.p)]
-    assert np.allclose(g.groupby("j")["v"].sum().to_numpy(), x.T @ mu)
+    units = fi._unit_sums(sums, d.p + 2, None).toPandas()
+    assert units["grp"].is_unique
+    v = np.stack(units["v"].to_numpy())
+    assert np.allclose(v[:, :d.p].sum(axis=0), x.T @ mu)
+    assert v[:, d.p].sum() == pytest.approx(mu.sum()) == pytest.approx(st.parts[3])
+    assert v[:, d.p + 1].sum() == pytest.approx((y - mu).sum(), abs=1e-7)
 
 
-def test_groups_kept_in_spark_give_the_same_fit(subjects, main_model, spec):
-    other = fi.fit_pam(fi.subject_blocks(subjects), spec, "delta_2", info=main_model.info, local_groups=3,
-                       smooth=False, smoothing=main_model.smoothing)
-    same = fi.fit_pam(fi.subject_blocks(subjects), spec, "delta_2", info=main_model.info,
-                      smooth=False, smoothing=main_model.smoothing)
-    assert np.allclose(other.beta, same.beta, atol=1e-6) and np.allclose(other.cov, same.cov, atol=1e-6)
-    a = {r.grp: r.effect for r in other.groups.collect()}
-    b = {r.grp: r.effect for r in same.groups.collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-7 for k in a)
+SMALL = de.PamSpec(factors=(("Gender", ("Female", "Male")),), group="CombinedicuID", baseline_k=10)
 
 
-def test_groups_kept_in_spark_with_estimated_smoothing(subjects):
-    spec = de.PamSpec(factors=(("Gender", ("Female", "Male")),), group="CombinedicuID", baseline_k=10)
+def effects_of(model):
+    return {r.grp: r.effect for r in model.groups.collect()}
+
+
+def test_unit_blocks_change_nothing(subjects):
+    blocks = fi.subject_blocks(subjects)
+    one, many = (fi.fit_pam(blocks, SMALL, "delta_2", block_units=n) for n in (1000, 4))
+    assert one.stats["passes"] == many.stats["passes"]
+    assert np.allclose(one.beta, many.beta, atol=1e-8) and np.allclose(one.cov, many.cov, atol=1e-8)
+    a, b = effects_of(one), effects_of(many)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-8 for k in a)
+
+
+def test_a_step_too_long_is_halved_with_its_effects(subjects, monkeypatch):
+    blocks = fi.subject_blocks(subjects)
+    straight = fi.fit_pam(blocks, SMALL, "delta_2", smooth=False, tol=1e-12)
+    step, calls = fi._step, []
+
+    def stretched(st, terms, smooth, rounds=100):
+        delta, *rest = step(st, terms, smooth, rounds)
+        calls.append(1)
+        return (delta * 64 if len(calls) == 1 else delta, *rest)
+
+    monkeypatch.setattr(fi, "_step", stretched)
+    halved = fi.fit_pam(blocks, SMALL, "delta_2", smooth=False, tol=1e-12)
+    assert halved.stats["passes"] > len(calls)
+    assert np.allclose(halved.beta, straight.beta, atol=1e-6)
+    a, b = effects_of(halved), effects_of(straight)
+    assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_halfway_back(spark):
+    units = spark.createDataFrame([(0, "a", [1.0, 2.0, 3.0], 0.8, 0.2)],
+                                  "model int, grp string, v array<double>, b double, old double")
+    back = fi._moved_effects(units, {}, {0: np.array([0])}, 3).first()
+    assert back.b == pytest.approx(0.5) and back.old == pytest.approx(0.2)
+    on = fi._moved_effects(units, {0: (2.0, np.array([0.5]))}, {0: np.array([0])}, 3).first()
+    assert on.b == pytest.approx(0.8 + (3 - 2 * 0.8 - 0.5) / 4) and on.old == pytest.approx(0.8)
+
+
+def test_unit_terms_between_their_nodes(spark):
+    rng = np.random.default_rng(2)
+    c, sw, s, b = rng.random((50, 3)), rng.gamma(2, 10, 50), rng.standard_normal(50), 0.1 * rng.standard_normal(50)
+    units = spark.createDataFrame(
+        [(0, str(k), [*map(float, c[k]), float(sw[k]), float(s[k])], float(b[k]), 0.0) for k in range(50)],
+        "model int, grp string, v array<double>, b double, old double").repartition(3)
+    nodes = fi._nodes(20.0, 1.5, 1e-9, 1e9)
+    got = fi._between(nodes, fi._unit_terms(units, {0: nodes}, {0: 20.0}, {0: np.arange(3)}, 5)[0], 20.0, 3)
+    for lam in (6.0, 20.0, 55.0):
+        d, r = sw + lam, s - lam * b
+        cd, plain = c / d[:, None], b + r / d
+        want = (c.T @ cd, cd.T @ cd, cd.T @ r, cd.T @ plain,
+                [(r * r / d).sum(), (plain**2).sum(), (1 / d).sum(), 50, b @ b])
+        assert all(np.allclose(g, w, rtol=1e-6, atol=1e-9) for g, w in zip(got(lam), want))
+
+
+def test_many_units_and_one_of_a_third(spark):
+    """50,000 small units beside one that holds a third of all subjects."""
+    people = spark.range(75_000).select(
+        F.col("id").alias("CombinedID"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") + 1).alias("CombinedicuID"),
+        F.when(F.col("id") % 2 == 0, "Male").otherwise("Female").alias("Gender"),
+        F.lit(1.0).alias("icuByDummy"), (F.lit(5) + F.pmod(F.xxhash64("id"), F.lit(30))).alias("event_time"),
+        F.lit(1).alias("delta_2"))
+    spec = de.PamSpec(factors=(("Gender", ("Female", "Male")),), group="CombinedicuID")
+    m = fi.fit_pam(fi.subject_blocks(people), spec, "delta_2", smooth=False, smoothing={"group": 5.0}, tol=1e-10,
+                   block_units=20_000)
+    assert m.groups.count() == 50_001
+    assert m.stats["expected"] == pytest.approx(75_000, rel=1e-4)
+    big = m.groups.where("grp = '0'").first().effect
+    days = people.where("CombinedicuID = 0").groupBy("Gender").agg(
+        F.sum(F.col("event_time") - 4).alias("t"), F.count(F.lit(1)).alias("e")).collect()
+    mu = sum(r.t * math.exp(m.beta[0] + (m.beta[1] if r.Gender == "Male" else 0.0) + big) for r in days)
+    assert sum(r.e for r in days) - mu == pytest.approx(5.0 * big, abs=1e-2)
+
+
+@pytest.mark.parametrize("factor", [1e-6, 1e6])
+def test_the_scale_of_a_penalty_does_not_matter(subjects, monkeypatch, factor):
     blocks = fi.subject_blocks(subjects)
-    here, there = (fi.fit_pam(blocks, spec, "delta_2", local_groups=n) for n in (1000, 3))
-    assert there.stats["converged"] and abs(there.stats["edf"] - here.stats["edf"]) < 0.1
-    x = np.linspace(-1, 1, len(here.beta))
-    assert abs(x @ (here.beta - there.beta)) < 0.01
+    plain = fi.fit_pam(blocks, SMALL, "delta_2")
+    penalties = de.Design.penalties
+    monkeypatch.setattr(de.Design, "penalties", lambda self: [
+        de.Penalty(p.label, p.term, p.matrix * factor, p.eigen * factor) for p in penalties(self)])
+    scaled = fi.fit_pam(blocks, SMALL, "delta_2")
+    assert np.allclose(scaled.beta, plain.beta, atol=1e-6) and scaled.stats["edf"] == pytest.approx(plain.stats["edf"], abs=1e-5)
 
 
 def test_partitioning_does_not_matter(subjects):
