@@ -117,17 +117,23 @@ def six_number_summary(df: DataFrame, by: Sequence[str], cols: Sequence[str]) ->
         "max_value", "n_missing")
 
 
-def global_rank(df: DataFrame, order: str) -> DataFrame:
-    """Add ``rank`` 1..n in ascending order over all rows, without one task seeing them all.
+def global_rank(df: DataFrame, order: str, salts: int = 64) -> DataFrame:
+    """Add ``rank`` 1..n in ascending order over all rows, nulls first, without one task seeing them all.
 
-    Rows are split at approximate quantiles of the distinct values, ranked inside their bin, and
-    shifted by the rows in the bins before. Ties share a bin and are numbered in any order.
+    Rows are counted by value and a hash of the row, so that ties of one value are spread over ``salts``
+    groups and numbered in any order. The counts are split at approximate quantiles of the values and
+    added up inside each bin and over the bins; only then do rows get their place in their group.
     """
+    keys = [order, "_salt"]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    counts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     edges = df.agg(F.percentile_approx(order, [i / BINS for i in range(1, BINS)], 20 * BINS).alias("_edges"))
-    binned = df.crossJoin(F.broadcast(edges)).withColumn(
-        "_bin", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
-    per_bin = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-    before = per_bin.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bin").orderBy(order))
-    return binned.join(F.broadcast(before), "_bin").withColumn(
-        "rank", inside + F.col("_before")).drop("_bin", "_before")
+    binned = counts.crossJoin(F.broadcast(edges)).withColumn("_bin", F.when(F.col(order).isNull(), -1).otherwise(
+        F.size(F.filter("_edges", lambda e: e < F.col(order))))).drop("_edges")
+    per_bin = binned.groupBy("_bin").agg(F.sum("_n").alias("_bin_n"))
+    before = per_bin.select("_bin", (F.sum("_bin_n").over(Window.orderBy("_bin")) - F.col("_bin_n")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_bin").orderBy(*keys)) - F.col("_n")
+    starts = binned.withColumn("_inside", inside).join(F.broadcast(before), "_bin").select(
+        *keys, (F.col("_before") + F.col("_inside")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return _join_on(salted, starts, keys).withColumn("rank", place + F.col("_start")).drop("_salt", "_start")

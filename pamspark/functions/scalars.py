@@ -71,6 +71,29 @@ def matched(col, pattern: str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).rlike(pattern)
 
 
+# Coefficients of Acklam's rational approximation of the normal quantile, highest power first.
+QUANTILE_MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690,
+                    -30.66479806614716, 2.506628277459239),
+                   (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972,
+                    -13.28068155288572, 1.0))
+QUANTILE_TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734,
+                  4.374664141464968, 2.938163982698783),
+                 (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+QUANTILE_TAIL_BELOW = 0.02425
+
+
+def normal_quantile_column(p: Column) -> Column:
+    """Standard normal quantile of a column of probabilities in (0, 1), to a relative error near 1e-9."""
+    def poly(coefficients, x):
+        return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+
+    q = p - 0.5
+    tail = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    far = poly(QUANTILE_TAIL[0], tail) / poly(QUANTILE_TAIL[1], tail)
+    near = q * poly(QUANTILE_MIDDLE[0], q * q) / poly(QUANTILE_MIDDLE[1], q * q)
+    return F.when(p < QUANTILE_TAIL_BELOW, far).when(p > 1 - QUANTILE_TAIL_BELOW, -far).otherwise(near)
+
+
 def normal_quantile(p: float) -> float:
     """Standard normal quantile, for example 1.959964 at 0.975."""
     return NormalDist().inv_cdf(p)

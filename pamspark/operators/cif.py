@@ -68,19 +68,28 @@ def zero_moments(spec) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(p), np.zeros((p, p))
 
 
-def prediction_matrix(model: PamModel, frames: DataFrame):
-    """Design of the prediction rows, whose number is fixed by protocols and days: labels and matrix."""
-    rows = design_rows(frames, model.design, ["protocol", "tstart", "tend"]).orderBy(
-        "protocol", "tend").collect()
+def prediction_matrix(model: PamModel, frames: DataFrame, most: int = 10_000):
+    """Design of the prediction rows of one template: labels and matrix.
+
+    The rows are protocols times days. A second template would mix its curves with the first one's and
+    is refused, as are more than ``most`` rows.
+    """
+    rows = design_rows(frames, model.design, ["protocol", "tstart", "tend"]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} prediction rows")
+    rows.sort(key=lambda r: (r.protocol, r.tend))
     labels = [(r.protocol, r.tend, float(r.tend - r.tstart)) for r in rows]
+    if len({(p, t) for p, t, _ in labels}) < len(labels):
+        raise ValueError("prediction rows of more than one template")
     return labels, np.array([r.x for r in rows])
 
 
-def cause_hazards(draws: Sequence[DataFrame], models: Sequence[PamModel], frames: DataFrame,
-                  causes: Sequence[str] = CAUSE_NAMES) -> DataFrame:
-    """Hazards ``sim_id, protocol, tend, intlen, <cause>...`` of every draw on every prediction row.
+def _scored(draws: Sequence[DataFrame], models: Sequence[PamModel], frames: DataFrame, finish, names: Sequence[str],
+            with_length: bool) -> DataFrame:
+    """Hazards of every draw on every prediction row, passed through ``finish`` where the draws are.
 
-    The causes' draws are paired by ``sim_id``. The matrix product runs where the draws are.
+    The causes' draws are paired by ``sim_id``. ``finish`` gets one (draws, rows) matrix per cause, the
+    interval lengths and the span of rows of each protocol, and returns one matrix per name.
     """
     known: dict[int, tuple] = {}
     for m in models:
@@ -95,6 +104,8 @@ def cause_hazards(draws: Sequence[DataFrame], models: Sequence[PamModel], frames
     protocol = pa.array([p for p, _, _ in labels])
     tend = np.array([t for _, t, _ in labels], dtype=np.int32)
     length = np.array([n for _, _, n in labels])
+    starts = [i for i, (p, _, _) in enumerate(labels) if not i or labels[i - 1][0] != p]
+    spans = list(zip(starts, [*starts[1:], len(labels)]))
     chunk = max(1, 200_000 // max(1, len(labels)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +113,46 @@ def cause_hazards(draws: Sequence[DataFrame], models: Sequence[PamModel], frames
             for start in range(0, whole.num_rows, chunk):
                 batch = whole.slice(start, chunk)
                 n = batch.num_rows
-                ids = np.repeat(batch.column("sim_id").to_numpy(), len(labels))
-                hz = [np.exp(array_values(batch, f"b{i}", m.shape[0]) @ m).ravel()
-                      for i, m in enumerate(mats)]
+                hazards = [np.exp(array_values(batch, f"b{i}", m.shape[0]) @ m) for i, m in enumerate(mats)]
+                head = [pa.array(np.repeat(batch.column("sim_id").to_numpy(), len(labels))),
+                        pa.concat_arrays([protocol] * n), pa.array(np.tile(tend, n))]
+                if with_length:
+                    head.append(pa.array(np.tile(length, n)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.concat_arrays([protocol] * n), pa.array(np.tile(tend, n)),
-                     pa.array(np.tile(length, n)), *[pa.array(h) for h in hz]],
-                    names=["sim_id", "protocol", "tend", "intlen", *causes])
+                    [*head, *[pa.array(v.ravel()) for v in finish(hazards, length, spans)]], names=columns)
+
+    columns = ["sim_id", "protocol", "tend", *(["intlen"] if with_length else []), *names]
+    kinds = ", ".join(f"`{c}` double" for c in columns[3:])
+    return joined.mapInArrow(score, f"sim_id bigint, protocol string, tend int, {kinds}")
+
+
+def cause_hazards(draws: Sequence[DataFrame], models: Sequence[PamModel], frames: DataFrame,
+                  causes: Sequence[str] = CAUSE_NAMES) -> DataFrame:
+    """Hazards ``sim_id, protocol, tend, intlen, <cause>...`` of every draw on every prediction row."""
+    return _scored(draws, models, frames, lambda hazards, length, spans: hazards, causes, True)
+
+
+def cif_curves(draws: Sequence[DataFrame], models: Sequence[PamModel], frames: DataFrame,
+               causes: Sequence[str] = CAUSE_NAMES) -> DataFrame:
+    """Survival and cumulative incidence as `cif` gives them, summed along the days inside the batch of draws.
+
+    All days of a draw leave one task anyway, so nothing is shuffled or sorted to add them up.
+    """
+    def curves(hazards, length, spans):
+        total = sum(hazards)
+        alive = np.empty_like(total)
+        parts = [np.empty_like(total) for _ in hazards]
+        for a, b in spans:
+            alive[:, a:b] = np.exp(-np.cumsum(total[:, a:b] * length[a:b], axis=1))
+            for part, h in zip(parts, hazards):
+                part[:, a:b] = np.cumsum(h[:, a:b] * (alive[:, a:b] - SMALL) * length[a:b], axis=1)
+        return [alive, *parts]
 
-    kinds = ", ".join(f"`{c}` double" for c in causes)
-    return joined.mapInArrow(score, f"sim_id bigint, protocol string, tend int, intlen double, {kinds}")
+    return _scored(draws, models, frames, curves, ["survival", *[f"cif_{c}" for c in causes]], False)
 
 
 def cif(hazards: DataFrame, causes: Sequence[str] = CAUSE_NAMES) -> DataFrame:
-    """Survival and cumulative incidence per draw, protocol and day.
+    """Survival and cumulative incidence per draw, protocol and day, from a table of hazards.
 
     Survival is taken at the end of the interval, less 1e-10, and starts at the first prediction day.
     """

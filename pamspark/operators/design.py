@@ -331,6 +331,25 @@ class Design:
         parts = [c[:, e * WIDTH:(e + 1) * WIDTH] @ w for e in range(len(self.spec.exposures))]
         return np.hstack([z, *parts])
 
+    def parts(self) -> list[Column]:
+        """Covariates, spline values and diary days of a row, one column each."""
+        s = self.spec
+        out = [F.lit(1.0)]
+        out += [F.when(F.col(f) == lv, 1.0).otherwise(0.0) for f, levels in s.factors for lv in levels[1:]]
+        out += [F.col(v).cast("double") for v in dict.fromkeys([*s.linear, *s.time_linear])]
+        for v in s.time_smooths:
+            out += bspline_columns(F.col(v).cast("double"), *map(F.lit, self.info.ranges[v]), s.smooth_k)
+        return out + [F.col(v)[i].cast("double") for v in s.exposures for i in range(WIDTH)]
+
+    def part_weights(self, beta: np.ndarray, day: int) -> np.ndarray:
+        """Weights of ``parts`` in the linear predictor of a day."""
+        k = self.day_map(day) @ beta
+        out, m = [k[:self.fixed_width]], self.spec.exposure_k
+        for e in range(len(self.spec.exposures)):
+            at = self.fixed_width + e * m
+            out.append(self.day_weights(day) @ k[at:at + m])
+        return np.concatenate(out)
+
     def penalties(self) -> list[Penalty]:
         """Second differences for the one-dimensional smooths, first differences per tensor margin."""
         s, out = self.spec, []

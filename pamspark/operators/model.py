@@ -11,8 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import add_all
 from ..sources.io import write_table
-from .design import BasisInfo, Design, PamSpec, map_rows
+from ..sources.schemas import require_columns
+from .design import BasisInfo, Design, PamSpec
 
 
 @dataclass
@@ -77,21 +79,25 @@ def load_model(spark: SparkSession, path: str) -> PamModel:
 def predict_terms(df: DataFrame, model: PamModel, keep: Sequence[str], effect: str | None = None) -> DataFrame:
     """Linear predictor ``eta`` of every row, without offset and without the group effect.
 
-    With ``effect`` also its part from the coefficients whose name matches, as ``eta_effect``.
+    With ``effect`` also its part from the coefficients whose name matches, as ``eta_effect``. The
+    coefficients are first folded into one weight vector per day, so a row costs one inner product and
+    no design row is built. A missing covariate, or a day past the model's, gives a null.
     """
-    beta = model.beta
-    part = np.zeros_like(beta)
+    design, beta = model.design, model.beta
+    require_columns(df, ["tend", *design.spec.covariates, *design.spec.exposures, *keep], "rows at risk")
+    wanted = {"eta": beta}
     if effect is not None:
-        part[model.columns(effect)] = beta[model.columns(effect)]
-
-    def score(x):
-        out = {"eta": x @ beta}
-        if effect is not None:
-            out["eta_effect"] = x @ part
-        return out
-
-    schema = "eta double" + (", eta_effect double" if effect is not None else "")
-    return map_rows(df, model.design, keep, score, schema)
+        at = model.columns(effect)
+        wanted["eta_effect"] = np.zeros_like(beta)
+        wanted["eta_effect"][at] = beta[at]
+    days = [(d, *[design.part_weights(b, d).tolist() for b in wanted.values()])
+            for d in range(design.spec.first_day, design.spec.last_day + 1)]
+    weights = df.sparkSession.createDataFrame(
+        days, "_day int, " + ", ".join(f"_w_{c} array<double>" for c in wanted))
+    rows = df.join(F.broadcast(weights), F.col("tend") == F.col("_day"), "left")
+    parts = design.parts()
+    return rows.select(*keep, *[
+        add_all([p * F.col(f"_w_{c}")[i] for i, p in enumerate(parts)]).alias(c) for c in wanted])
 
 
 def coefficient_frame(model: PamModel, spark: SparkSession) -> DataFrame:

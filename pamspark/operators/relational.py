@@ -136,10 +136,11 @@ def cut_labels(col: Column, edges: Sequence[float], labels: Sequence[str]) -> Co
 def extreme_rows(df: DataFrame, by: str, value: str) -> DataFrame:
     """Rows holding the smallest or largest value of their group, ties kept.
 
-    The extremes are aggregated first and joined back, so no group moves as a whole.
+    The extremes are aggregated first and joined back, so no group moves as a whole. A row that is both
+    (all values of its group equal) comes twice.
     """
     ends = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    hit = df.join(ends, by)
-    low = hit.where(F.col(value) == F.col("_lo")).withColumn("extreme", F.lit("min"))
-    high = hit.where(F.col(value) == F.col("_hi")).withColumn("extreme", F.lit("max"))
-    return low.unionByName(high).drop("_lo", "_hi")
+    v = F.col(value)
+    which = F.filter(F.array(F.when(v == F.col("_lo"), "min"), F.when(v == F.col("_hi"), "max")),
+                     lambda e: e.isNotNull())
+    return df.join(ends, by).withColumn("extreme", F.explode(which)).drop("_lo", "_hi")

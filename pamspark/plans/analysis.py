@@ -114,7 +114,7 @@ def incidence(death: PamModel, extubation: PamModel, frames: DataFrame, n_sim: i
     """Cumulative incidence of both causes per diet with quantile bands, arranged by comparison."""
     spark = frames.sparkSession
     draws = [ci.posterior_draws(m, spark, n_sim, seed + i) for i, m in enumerate((death, extubation))]
-    curves = ci.cif(ci.cause_hazards(draws, [death, extubation], frames))
+    curves = ci.cif_curves(draws, [death, extubation], frames)
     return ci.paired_bands(ci.cif_band(curves, few_draws=True), ex.comparisons(spark), ex.schemes(spark))
 
 

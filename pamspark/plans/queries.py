@@ -337,8 +337,13 @@ def _hazards_given(x: Inputs) -> DataFrame:
     return ci.cause_hazards([_given_draws(x), _given_draws(x, SECOND_CAUSE)], [model, model], _template_frames(x))
 
 
+def _curves_given(x: Inputs) -> DataFrame:
+    model = mo.PamModel("given", GIVEN_SPEC, _given_info(x), *ci.zero_moments(GIVEN_SPEC))
+    return ci.cif_curves([_given_draws(x), _given_draws(x, SECOND_CAUSE)], [model, model], _template_frames(x))
+
+
 def _cif_band_given(x: Inputs) -> DataFrame:
-    return ci.paired_bands(ci.cif_band(ci.cif(_hazards_given(x))), ex.comparisons(x.spark), ex.schemes(x.spark))
+    return ci.paired_bands(ci.cif_band(_curves_given(x)), ex.comparisons(x.spark), ex.schemes(x.spark))
 
 
 def _closed_form_rates(x: Inputs) -> DataFrame:
@@ -385,7 +390,7 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "cause_hazards_given": lambda x: _hazards_given(x).drop("intlen"),
         "all_cause_hazard_given": lambda x: _hazards_given(x).groupBy("protocol", "tend").agg(
             F.count(F.lit(1)).alias("n_draws"), F.avg(F.col("death") + F.col("extubation")).alias("hazard")),
-        "cif_given": lambda x: ci.cif(_hazards_given(x)),
+        "cif_given": _curves_given,
         "cif_band_given": _cif_band_given,
         "poisson_rates_closed_form": _closed_form_rates,
         "coef_table_closed_form": _closed_form_coefficients,

@@ -102,6 +102,49 @@ def test_incidence_properties_and_bands(given, frames, spark):
     assert arranged.count() == 6 * 2 * 56 * 2
 
 
+def test_curves_inside_the_draws_equal_the_windowed_ones(given, frames, spark):
+    draws = [ci.posterior_draws(given, spark, 30, seed=i) for i in (3, 4)]
+    keys = ["sim_id", "protocol", "tend"]
+    curves = ci.cif_curves(draws, [given, given], frames)
+    assert "Window" not in curves._jdf.queryExecution().executedPlan().toString()
+    a = curves.toPandas().sort_values(keys)
+    b = ci.cif(ci.cause_hazards(draws, [given, given], frames)).toPandas().sort_values(keys)
+    assert list(a.columns) == list(b.columns) and len(a) == 30 * 5 * 56
+    for c in ("survival", "cif_death", "cif_extubation"):
+        assert np.allclose(a[c], b[c], rtol=1e-12)
+
+
+def test_two_templates_are_refused(given, inputs, spark):
+    two = ex.protocol_frames(ex.template_subjects(inputs.fitted, ["AdmCatID"]), ex.schemes(spark))
+    with pytest.raises(ValueError, match="template"):
+        ci.prediction_matrix(given, two)
+    with pytest.raises(ValueError, match="more than 100"):
+        ci.prediction_matrix(given, two, most=100)
+
+
+def test_predictions_equal_the_design(subjects, spark):
+    """Folded weights give what the dense design gives, for every kind of term."""
+    levels = ("Medical", "Surgical/Elective", "Surgical/Emeregency")
+    spec = de.PamSpec(factors=(("AdmCatID", levels),), linear=("ApacheIIScore", "PN2_4"), time_linear=("ApacheIIScore",),
+                      baseline_k=10, time_smooths=("Age", "BMI"), exposures=("proteinCat3", "proteinCat2"))
+    from pamspark.operators import fit as fi
+    from pamspark.operators import ped as pe
+    info = de.basis_info(fi.subject_blocks(subjects), spec)
+    p = de.Design(spec, info).p
+    rng = np.random.default_rng(5)
+    m = mo.PamModel("m", spec, info, rng.standard_normal(p) / 10, np.eye(p))
+    rows = pe.as_ped(subjects.where("CombinedID % 50 = 0"), from_day=5, keep=["CombinedID", *spec.covariates, *spec.exposures])
+    keys = ["CombinedID", "tend"]
+    a = mo.predict_terms(rows, m, keys, effect="proteinCat3").toPandas().sort_values(keys)
+    b = de.design_rows(rows, m.design, keys).toPandas().sort_values(keys)
+    x = np.array(b["x"].tolist())
+    at = m.columns("proteinCat3")
+    assert len(a) == len(b) > 500
+    assert np.allclose(a["eta"], x @ m.beta) and np.allclose(a["eta_effect"], x[:, at] @ m.beta[at])
+    bare = mo.predict_terms(rows.withColumn("PN2_4", F.lit(None).cast("int")), m, keys).toPandas()
+    assert bare["eta"].isna().all()
+
+
 def test_draws_do_not_depend_on_partitions(given, spark):
     got = []
     for n in (1, 4, 16):

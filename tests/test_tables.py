@@ -101,3 +101,24 @@ def test_study_flow_counts(inputs):
     r = tb.study_flow(inputs.patient, inputs.fitted).first()
     assert r.n_database == 1500 and r.n_model == r.n_extubated + r.n_died + r.n_censored
     assert (r.n_died, r.n_extubated) == (168, 605)
+
+
+def test_ties_are_ranked_in_many_groups(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, 0.0).when(F.col("id") < 4010, None).otherwise(
+        F.col("id").cast("double")).alias("v"), F.col("id").alias("k"))
+    got = qu.global_rank(df.repartition(5), "v").toPandas().sort_values("rank")
+    assert list(got["rank"]) == list(range(1, 5001)) and list(got.columns) == ["v", "k", "rank"]
+    assert got["v"].iloc[:10].isna().all() and got["v"].iloc[10:].is_monotonic_increasing
+
+
+def test_normal_quantiles_as_columns(spark):
+    p = [1e-6, 0.001, 0.0242, 0.0243, 0.3, 0.5, 0.75, 0.975, 0.99, 1 - 1e-6]
+    df = spark.createDataFrame([(v,) for v in p], "p double")
+    got = {r.p: r.q for r in df.select("p", sc.normal_quantile_column(F.col("p")).alias("q")).collect()}
+    assert all(got[v] == pytest.approx(sc.normal_quantile(v), rel=2e-9, abs=1e-12) for v in p)
+
+
+def test_extremes_of_a_flat_group_come_twice(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 2), ("b", 3.0, 3)], "g string, v double, k int")
+    got = sorted((r.g, r.extreme, r.k) for r in re_.extreme_rows(df, "g", "v").collect())
+    assert got == [("a", "max", 1), ("a", "min", 1), ("b", "max", 3), ("b", "min", 2)]
