@@ -5,6 +5,8 @@ The shared sub-selects are written once; every text puts the ones it needs into
 
 from __future__ import annotations
 
+from ..functions.scalars import QUANTILE_MIDDLE, QUANTILE_TAIL, QUANTILE_TAIL_BELOW
+
 PATIENT = """
 SELECT CombinedID, CombinedicuID, icuByDummy, Year, DiagID2, AdmCatID, Gender, ApacheIIScore, Age, BMI,
   inMV2_4, Propofol2_4, OralIntake2_4, PN2_4, EN2_4, PatientDied, 1 - PatientDied AS PatientDischarged,
@@ -460,5 +462,73 @@ FROM (SELECT ln(m_events / m_time) - ln(f_events / f_time) AS b, sqrt(1 / m_even
     }
 
 
+# Raw spline coefficients of three smooths are places 2..31 of the vectors; a smooth is centred by taking out the
+# part along the means of its spline functions.
+SMOOTH_VALUES = """SELECT 'int_mid' AS variable, 0 AS place, CAST(int_mid AS DOUBLE) AS v, count(*) AS n FROM ped GROUP BY v
+UNION ALL SELECT 'Age', 1, CAST(Age AS DOUBLE) AS v, count(*) FROM ped GROUP BY v
+UNION ALL SELECT 'BMI', 2, CAST(BMI AS DOUBLE) AS v, count(*) FROM ped GROUP BY v"""
+SMOOTH_SPANS = "SELECT variable, place, min(v) AS lo, max(v) AS hi FROM smooth_values GROUP BY ALL"
+SMOOTH_MEANS = f"""SELECT variable, place, i, sum(n * {bspline('v', 'lo', 'hi', '10', 'i')}) / sum(n) AS m
+FROM smooth_values JOIN smooth_spans USING (variable, place), range(0, 10) g(i) GROUP BY variable, place, i"""
+SMOOTH_COEFFICIENTS = """SELECT variable, i, sim_id,
+  e - m * sum(m * e) OVER (PARTITION BY variable, sim_id) / sum(m * m) OVER (PARTITION BY variable, sim_id) AS c
+FROM draws JOIN smooth_means ON j = 2 + 10 * place + i"""
+SMOOTH_FITS = f"""SELECT variable, x, sim_id, sum(c * {bspline('x', 'lo', 'hi', '10', 'i')}) AS v
+FROM (SELECT variable, lo, hi, lo + k * ((hi - lo) / 99) AS x FROM smooth_spans, range(0, 100) g(k)) p
+JOIN smooth_coefficients USING (variable) GROUP BY variable, x, sim_id"""
+
+SHARED.update({
+    "smooth_values": (SMOOTH_VALUES, ["ped"]),
+    "smooth_spans": (SMOOTH_SPANS, ["smooth_values"]),
+    "smooth_means": (SMOOTH_MEANS, ["smooth_values", "smooth_spans"]),
+    "smooth_coefficients": (SMOOTH_COEFFICIENTS, ["draws", "smooth_means"]),
+    "smooth_fits": (SMOOTH_FITS, ["smooth_spans", "smooth_coefficients"]),
+})
+
+
+def _poly(coefficients, x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}))"
+    return out
+
+
+def normal_quantile_sql(p: str) -> str:
+    """The normal quantile of an SQL expression, by the same rational approximation as the column function."""
+    t, q = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    far = f"{_poly(QUANTILE_TAIL[0], t)} / {_poly(QUANTILE_TAIL[1], t)}"
+    near = f"{q} * {_poly(QUANTILE_MIDDLE[0], f'({q} * {q})')} / {_poly(QUANTILE_MIDDLE[1], f'({q} * {q})')}"
+    low = QUANTILE_TAIL_BELOW
+    return f"CASE WHEN {p} < {low} THEN {far} WHEN {p} > 1 - {low} THEN -({far}) ELSE {near} END"
+
+
+def model_sql() -> dict[str, str]:
+    """Saved models and tables, smooths and unit effects under given parameters, and what every fit must meet."""
+    q = with_shared
+    calibration = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, '{f}' AS variable, CAST({f} AS VARCHAR) AS level, "
+        f"CAST({events} AS DOUBLE) AS expected FROM seen GROUP BY {f}"
+        for name, events in (("death", "sum(ped_status_1)"), ("extubation", "sum(ped_status_2)"),
+                             ("sens_death", "sum(CASE WHEN early AND event_time <= tend THEN 1 ELSE ped_status_1 END)"),
+                             ("sens_extubation", "sum(CASE WHEN early THEN 0 ELSE ped_status_2 END)"))
+        for f in ("Year", "DiagID2", "AdmCatID", "Gender"))
+    return {
+        "linear_predictor_reread": exposure_sql()["linear_predictor_given"],
+        "life_table_reread": q(["ped"], """SELECT AdmCatID, tend, count(*) AS at_risk,
+  CAST(sum(ped_status_1) AS BIGINT) AS dying FROM ped GROUP BY AdmCatID, tend"""),
+        "smooth_given": q(["smooth_fits"], f"""SELECT variable, round(x, 6) AS x,
+  {_digits(['fit', 'se', 'ci_lower', 'ci_upper'])}
+FROM (SELECT variable, x, m AS fit, s AS se, m - 2 * s AS ci_lower, m + 2 * s AS ci_upper
+  FROM (SELECT variable, x, avg(v) AS m, stddev_samp(v) AS s FROM smooth_fits GROUP BY variable, x) a) b"""),
+        "unit_quantiles_given": q(["fitted"], f"""SELECT grp, round(effect, 6) AS effect, i, round(p, 6) AS p,
+  round({normal_quantile_sql('p')}, 6) AS theoretical
+FROM (SELECT *, CASE WHEN n <= 10 THEN (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) ELSE (i - 0.5::DOUBLE) / n END AS p
+  FROM (SELECT CAST(CombinedicuID AS VARCHAR) AS grp, avg(ApacheIIScore) AS effect,
+    row_number() OVER (ORDER BY avg(ApacheIIScore)) AS i, count(*) OVER () AS n FROM fitted GROUP BY CombinedicuID) r) s"""),
+        "fit_calibration": q(["ped"], f"""SELECT * FROM (WITH seen AS (SELECT *,
+  PatientDied = 1 AND delta_2 = 1 AND Surv0To60 - DaysMechVent <= 2 AS early FROM ped) {calibration}) c"""),
+    }
+
+
 def registered() -> dict[str, str]:
-    return {**relational_sql(), **exposure_sql()}
+    return {**relational_sql(), **exposure_sql(), **model_sql()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -22,7 +23,7 @@ from ..operators import ped as pe
 from ..operators import relational as re_
 from ..operators import tables as tb
 from ..sources import testviews
-from ..sources.io import cut_lineage, ship_package
+from ..sources.io import checkpoint_folder, cut_lineage, ship_package, write_csv_per_group
 from . import analysis as an
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,7 +322,11 @@ def _design_sums(x: Inputs) -> DataFrame:
 
 
 def _linear_predictor(x: Inputs) -> DataFrame:
-    rows = mo.predict_terms(_exposed_rows(x), _given_model(x), ["tend"], effect="proteinCat")
+    return _predictor_summary(x, _given_model(x))
+
+
+def _predictor_summary(x: Inputs, model: mo.PamModel) -> DataFrame:
+    rows = mo.predict_terms(_exposed_rows(x), model, ["tend"], effect="proteinCat")
     return rows.groupBy("tend").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("eta").alias("mean_eta"),
         F.avg("eta_effect").alias("mean_effect"), F.max("eta_effect").alias("max_effect"),
@@ -368,6 +373,72 @@ def _closed_form_coefficients(x: Inputs) -> DataFrame:
     return ef.coef_table([m], x.spark, exclude=["PN2_4"]).drop("idx")
 
 
+def _fit_calibration(x: Inputs) -> DataFrame:
+    """Events that the four main models expect per level of every factor, at given smoothing parameters.
+
+    Whatever the penalties, a fit expects in every level of an unpenalised factor as many events as it saw.
+    The expected ones are added up row by row from the finished model, its unit effects included.
+    """
+    subjects = an.study_subjects(x.patient, x.daily)
+    spec = an.study_spec(subjects)
+    models = an.fit_main(subjects, spec, smooth=False, tol=1e-9)
+    rows = pe.as_ped(subjects, from_day=5, keep=[*spec.covariates, *spec.exposures, spec.group, spec.group_switch])
+    out = None
+    for name, m in models.items():
+        scored = mo.predict_terms(rows, m, [*de.FACTORS, spec.group, spec.group_switch, "offset"])
+        unit = m.groups.select(F.col("grp"), F.col("effect"))
+        met = scored.join(unit, F.col(spec.group).cast("string") == F.col("grp"), "left")
+        mu = F.exp(F.col("eta") + F.col(spec.group_switch) * F.coalesce("effect", F.lit(0.0)) + F.col("offset"))
+        sums = met.withColumn("mu", mu).groupBy(*de.FACTORS).agg(F.sum("mu").alias("mu"))
+        long = re_.stack_strata(sums, list(de.FACTORS), ["mu"]).groupBy("variable", "level").agg(
+            F.round(F.sum("mu"), 2).alias("expected"))
+        one = long.withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _unit_quantiles(x: Inputs) -> DataFrame:
+    """Given unit effects, the mean severity of a unit's subjects, by rank against normal quantiles."""
+    units = x.fitted.groupBy(F.col("CombinedicuID").cast("string").alias("grp")).agg(
+        F.avg("ApacheIIScore").alias("effect"))
+    return ef.effect_quantiles(units)
+
+
+SMOOTH_SPEC = de.PamSpec(baseline_k=10, time_smooths=("Age", "BMI"))
+
+
+def _smooth_given(x: Inputs) -> DataFrame:
+    """Smooths of given raw spline coefficients (places 2 to 31 of the vectors) under the cohort's centring."""
+    info = de.basis_info(fi.subject_blocks(x.fitted), SMOOTH_SPEC)
+    mean, cov = ci.draw_moments(testviews.draws(x.spark, x.sf_dir).select(F.slice("beta", 2, 30).alias("beta")))
+    design = de.Design(SMOOTH_SPEC, info)
+    to_beta = np.zeros((design.p, 30))
+    for i, (v, (a, b)) in enumerate(zip(("int_mid", "Age", "BMI"), design.spans.values())):
+        to_beta[a:b, 10 * i:10 * i + 10] = de.centring(np.array(info.means[v])).T
+    model = mo.PamModel("given", SMOOTH_SPEC, info, to_beta @ mean, to_beta @ cov @ to_beta.T)
+    tables = [ef.smooth_table(model, x.spark, v) for v in ("int_mid", "Age", "BMI")]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def _reread_predictor(x: Inputs) -> DataFrame:
+    """The linear predictor of a model that was saved and loaded again."""
+    path = f"{checkpoint_folder(x.spark)}/model-{uuid.uuid4().hex}"
+    mo.save_model(_given_model(x), x.spark, path)
+    return _predictor_summary(x, mo.load_model(x.spark, path))
+
+
+def _reread_life_table(x: Inputs) -> DataFrame:
+    """The life table per admission category, written as one CSV per category with a byte order mark and read again."""
+    folder = f"{checkpoint_folder(x.spark)}/csv-{uuid.uuid4().hex}"
+    tables = pe.as_ped(x.fitted, from_day=5, keep=["AdmCatID"]).groupBy("AdmCatID", "tend").agg(
+        F.count(F.lit(1)).alias("at_risk"), F.sum("ped_status_1").alias("dying"))
+    write_csv_per_group(tables, folder, "AdmCatID", excel=True)
+    back = x.spark.read.option("header", True).csv(folder)
+    marked = back.toDF(*[c.lstrip("\ufeff") for c in back.columns])
+    return marked.select("AdmCatID", F.col("tend").cast("int").alias("tend"),
+                         F.col("at_risk").cast("bigint").alias("at_risk"), F.col("dying").cast("bigint").alias("dying"))
+
+
 def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
     return {
         "lag_lead_at_risk": _lag_lead_at_risk,
@@ -383,6 +454,10 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "design_sums": _design_sums,
         "compressed_design": lambda x: pe.compress(ped(x, ["AdmCatID", "Gender"]), ["AdmCatID", "Gender", "tend"]),
         "linear_predictor_given": _linear_predictor,
+        "linear_predictor_reread": _reread_predictor,
+        "life_table_reread": _reread_life_table,
+        "smooth_given": _smooth_given,
+        "unit_quantiles_given": _unit_quantiles,
         "six_comparisons_given": _effects_given,
         "hr_table_given": lambda x: ef.hr_table(_effects_given(x)).select("comparison", "tend", "fit", "CI"),
         "hr_extremes_given": lambda x: ef.hr_extremes(_effects_given(x)).select(
@@ -394,6 +469,7 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "cif_band_given": _cif_band_given,
         "poisson_rates_closed_form": _closed_form_rates,
         "coef_table_closed_form": _closed_form_coefficients,
+        "fit_calibration": _fit_calibration,
     }
 
 
