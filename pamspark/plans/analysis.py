@@ -118,6 +118,59 @@ def incidence(death: PamModel, extubation: PamModel, frames: DataFrame, n_sim: i
     return ci.paired_bands(ci.cif_band(curves, few_draws=True), ex.comparisons(spark), ex.schemes(spark))
 
 
+def ordered_bands(bands: DataFrame, lettered: bool = False) -> DataFrame:
+    """Incidence bands with the order of comparisons and diets as numbers from 1, for sorting and plotting.
+
+    ``lettered`` puts the comparison's letter before its text, ``A: exclusively low vs. late standard``.
+    """
+    letters, labels = [c for c, _, _ in ex.COMPARISONS], [lab for _, lab, _, _ in ex.SCHEMES]
+
+    def place(col, values):
+        return F.array_position(F.array(*map(F.lit, values)), F.col(col)).cast("int")
+
+    out = bands.withColumns({"comparison_ord": place("comparison", letters), "label_ord": place("label", labels)})
+    text = F.concat(F.col("comparison"), F.lit(": "), F.col("comparison_text"))
+    return out.withColumn("comparison_text", text) if lettered else out
+
+
+def model_reports(models: Mapping[str, PamModel], effects: DataFrame) -> dict[str, DataFrame]:
+    """Coefficient tables, smooths and hazard-ratio extremes of all models, by file name."""
+    spark = effects.sparkSession
+    every = list(models.values())
+    smooths = None
+    for name, m in models.items():
+        for v in ("int_mid", *m.spec.time_smooths):
+            one = ef.smooth_table(m, spark, v).withColumn("model", F.lit(name))
+            smooths = one if smooths is None else smooths.unionByName(one)
+    ends = None
+    for name in models:
+        one = ef.hr_extremes(effects.where(F.col("model") == name))
+        ends = one if ends is None else ends.unionByName(one)
+    return {"coefficients-categorical": ef.coef_table(every, spark, exclude=ef.METRIC_TERMS),
+            "coefficients-metric": ef.coef_table(every, spark, exclude=ef.CATEGORICAL_TERMS),
+            "smooths": smooths, "hazard-ratio-extremes": ends}
+
+
+def cohort_reports(patient: DataFrame, daily: DataFrame, subjects: DataFrame) -> dict[str, DataFrame]:
+    """Descriptive tables of the fitted subjects and their diaries, by file name.
+
+    Durations of the weaned cover the days in intensive care where the patient table has them.
+    """
+    last = pe.last_intervals(subjects, keep=[c for c in subjects.columns if c not in ("event_time", *EVENT_LIST)])
+    spans = [c for c in ("DaysMechVent", "DaysInICU", "event") if c in subjects.columns]
+    return {"study-flow": tb.study_flow(patient, subjects),
+            "durations-extubated": tb.extubated_durations(subjects, spans),
+            "time-to-death": tb.time_to_event_summary(last),
+            "baseline": tb.baseline_table(subjects),
+            "last-interval-mortality": tb.last_interval_rates(last),
+            "strata-pn": tb.stratified_table(last, "pn_bin"),
+            "strata-bmi": tb.stratified_table(last, "bmi_cat"),
+            **{f"cases-{v}": tb.subgroup_cases(last, v) for v in ("AdmCatID", "bmi_cat", "pn_bin")},
+            "diet-days": tb.diet_days(daily, subjects), "en-share": tb.en_share(daily),
+            "low-intake": tb.low_intake_subjects(daily, subjects), "intake-bands": tb.intake_bands(daily),
+            "days-beyond-window": ex.overlong_diaries(daily)}
+
+
 def write_study(patient: DataFrame, daily: DataFrame, folder: str, merged: DataFrame | None = None,
                 with_subgroups: bool = True, n_sim: int = 500, **options) -> dict[str, PamModel]:
     """Run the study and write its tables, models and reports below ``folder``."""
@@ -142,17 +195,16 @@ def write_study(patient: DataFrame, daily: DataFrame, folder: str, merged: DataF
     for name in models:
         mine = ef.hr_table(effects.where(F.col("model") == name)).drop("model", "comparison")
         write_csv_per_group(mine, f"{folder}/results/hazard-ratios-{name}", "name", excel=True)
-    write_table(incidence(models["death"], models["extubation"], frames, n_sim), f"{folder}/results/incidence")
     for label, prefix in (("", ""), ("sens-", "sens_")):
+        bands = incidence(models[f"{prefix}death"], models[f"{prefix}extubation"], frames, n_sim)
+        write_table(ordered_bands(bands, lettered=bool(prefix)), f"{folder}/results/{label}incidence")
         events = subjects.withColumns({c: F.col(f"{prefix}{c}") for c in EVENT_LIST})
         write_csv(tb.life_table_from_cohort(events).orderBy("tend"),
                   f"{folder}/results/{label}events-per-interval", single_file=True, excel=True)
     kept = daily.join(ids, co.KEY, "left_semi")
-    for label, report in (("diet-days", tb.diet_days(kept, subjects)), ("en-share", tb.en_share(kept)),
-                          ("low-intake", tb.low_intake_subjects(kept, subjects)), ("intake-bands", tb.intake_bands(kept)),
-                          ("days-beyond-window", ex.overlong_diaries(kept))):
-        write_csv(report, f"{folder}/results/{label}", single_file=True)
-    last = pe.last_intervals(subjects, keep=[c for c in subjects.columns if c not in ("event_time", *EVENT_LIST)])
-    write_csv(tb.baseline_table(subjects), f"{folder}/results/baseline", single_file=True)
-    write_csv(tb.stratified_table(last, "pn_bin"), f"{folder}/results/strata-pn", single_file=True)
+    for name, report in {**model_reports(models, effects), **cohort_reports(patient, kept, subjects)}.items():
+        write_csv(report, f"{folder}/results/{name}", single_file=True)
+    for name, m in models.items():
+        if m.groups is not None:
+            write_table(ef.group_effect_qq(m), f"{folder}/results/unit-quantiles/{name}")
     return models

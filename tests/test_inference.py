@@ -198,6 +198,24 @@ def test_study_is_written(inputs, spark, tmp_path):
     hr = spark.read.option("header", True).csv(f"{tmp_path}/results/hazard-ratios-death")
     assert hr.select("name").distinct().count() == 6 and hr.count() == 336
     assert spark.read.parquet(f"{tmp_path}/results/incidence").count() == 6 * 2 * 56 * 2
+    bands = spark.read.parquet(f"{tmp_path}/results/sens-incidence")
+    first = bands.where("comparison = 'A' and label = 'late standard'").first()
+    assert (first.comparison_text, first.comparison_ord, first.label_ord) == ("A: exclusively low vs. late standard", 1, 2)
+    assert bands.count() == 6 * 2 * 56 * 2
+
+    def report(name):
+        # some labels hold a line break
+        return spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/results/{name}").toPandas()
+
+    rows = {"study-flow": 1, "durations-extubated": 2, "time-to-death": 1, "strata-pn": 2, "strata-bmi": 3,
+            "cases-AdmCatID": 3, "cases-bmi_cat": 3, "cases-pn_bin": 2, "diet-days": 1, "en-share": 1, "low-intake": 1,
+            "days-beyond-window": 1, "smooths": 4 * 3 * 100, "coefficients-metric": 4 * 6}
+    assert {n: len(report(n)) for n in rows} == rows
+    assert set(report("coefficients-categorical")["model"]) == set(models)
+    assert set(report("hazard-ratio-extremes")["extreme"]) == {"min", "max"}
+    assert len(report("last-interval-mortality")) and len(report("baseline")) and len(report("intake-bands"))
+    units = spark.read.parquet(f"{tmp_path}/results/unit-quantiles/death")
+    assert units.count() == models["death"].groups.count()
     n = spark.read.parquet(f"{tmp_path}/data/patient").count()
     assert n == inputs.fitted.count() == spark.read.parquet(f"{tmp_path}/data/mergedData").count()
 
