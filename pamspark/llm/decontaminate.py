@@ -1,15 +1,18 @@
 """Benchmark decontamination by template windows.
 
-Texts become sequences of tokens in which numbers, names (capitalised words that do not begin a sentence and go on in small
-letters; neighbours are one) and units after a number are typed placeholders. Windows of WIDTH tokens with at least LITERAL plain words
-are hashed; an item shorter than that is one window of its own width. Documents are searched for the windows' hashes,
-in blocks of at most BLOCK of them, and only hits leave a task. Hits are hash-joined to the items' windows; hits with
-one distance between their places in document and item are one occurrence. In an occurrence each value of the item's
+Texts become sequences of tokens in which numbers, names (capitalised words that go on in small letters; neighbours within a
+sentence are one) and units after a number are typed placeholders. Whether a capitalised word that begins a sentence is a name cannot be
+told, so texts are read twice, with all such words plain and with all of them names; items also with their first word read on its own,
+as what stands before it in a document is not the item's (a heading without a full stop, a number before a unit).
+Windows of WIDTH tokens with at least LITERAL plain words are hashed; an item shorter than that is one window of its own width. Documents are searched for the windows' hashes,
+in blocks of at most BLOCK of them, and only hits leave a task. Hits are hash-joined to the items' windows; hits of
+one reading of document and item with one distance between their places in both are one occurrence. In an occurrence each value of the item's
 slots must stand for one value of the document: then a question is caught however its numbers, names and units were
 changed, and a chance meeting of templates is not.
 
 An occurrence counts if it has LEAST windows, or all of a shorter item, and at least CONSISTENT of its slot values
-keep to one value. Defined cases: null and empty texts and items match nothing; items of fewer than SHORTEST tokens or
+keep to one value; the item's first and last token may run on in the document and are not held to that. Windows, share and kind
+are those of the occurrence with the greatest share. Defined cases: null and empty texts and items match nothing; items of fewer than SHORTEST tokens or
 without enough plain words are not searched; a repeated row is found as often as it stands, as one result; hits of a
 window that many items share count for each item; an empty table gives an empty result; other columns are not touched.
 """
@@ -17,6 +20,9 @@ window that many items share count for each item; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +55,18 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical token hashes (placeholders are 1 to 3), n + 1 offsets of the texts, first and last byte of each token."""
+#: Canonical token hashes (placeholders are 1 to 3), n + 1 offsets of the texts, first and last byte of each token.
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def readings(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> list[Tokens]:
+    """Tokens with the words that may begin a sentence plain, and with the capitalised ones among them names.
+
+    alone: what stands before a text is not known, so its first word is also read on its own, as a name, a unit and plain.
+    """
     h, at, (first, last) = word_places(data, offsets, ALNUM)
     if not len(h):
-        return h, at, np.zeros((2, 0), np.int64)
+        return [(h, at, np.zeros((2, 0), np.int64))] * (6 if alone else 2)
     rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
     digit = (data[first] >= 48) & (data[first] <= 57)
     number = digit | _among(h, _hashes(NUMBERS))
@@ -68,16 +81,23 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     capital = ((data[first] >= 65) & (data[first] <= 90)) | ((data[first] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     # words in capitals throughout are plain words
     small = ((second >= 97) & (second <= 122)) | (second >= 0x80)
-    name = capital & small & (last > first) & inner & ~number & ~unit
-    again = name & np.concatenate(([False], name[:-1])) & following
-    # a run of names is one token that ends with its last word
-    ends = np.where(name, np.arange(len(h)), -1)
-    keep = np.flatnonzero(~again)
-    run_end = np.append(keep[1:], len(h)) - 1
-    out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))[keep]
-    sizes = np.bincount(rows[keep], minlength=len(at) - 1)
-    tail = np.where(name[keep], np.maximum(ends[run_end], keep), keep)
-    return out, np.concatenate(([0], np.cumsum(sizes))), np.stack((first[keep], last[tail]))
+    capital &= small & (last > first) & ~number & ~unit
+
+    def read(name: np.ndarray, unit: np.ndarray) -> Tokens:
+        # a run of names is one token that ends with its last word
+        again = name & np.concatenate(([False], name[:-1])) & inner
+        keep = np.flatnonzero(~again)
+        out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))[keep]
+        sizes = np.bincount(rows[keep], minlength=len(at) - 1)
+        return out, np.concatenate(([0], np.cumsum(sizes))), np.stack((first[keep], last[np.append(keep[1:], len(h)) - 1]))
+
+    found = [read(capital & inner, unit), read(capital, unit)]
+    if alone:
+        begins = ~following
+        known_unit = begins & ~number & _among(h, _hashes(UNITS))
+        found += [read(capital & (inner | begins), unit), read(capital & ~begins, unit), read(capital & inner & ~known_unit, unit | known_unit),
+                  read(capital & ~known_unit, unit | known_unit)]
+    return found
 
 
 def windows(canonical: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,51 +121,55 @@ def _slots(canonical: np.ndarray, spans: np.ndarray, data: np.ndarray, at: int,
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, place, hash, slots, width, windows) of all benchmark items (item_id, text)."""
+    """(item_id, reading, place, hash, slots, inner, width, windows) of all benchmark items (item_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             data, offsets = text_bytes(batch.column("text"))
-            canonical, at, spans = tokens(data, offsets)
+            read = readings(data, offsets, alone=True)
             rows: list[tuple] = []
             for i, item in enumerate(batch.column("item_id").to_pylist()):
-                a, b = at[i], at[i + 1]
-                width = min(WIDTH, int(b - a))
-                if width < SHORTEST:
-                    continue
-                places, h = windows(canonical[a:b], np.array([0, b - a]), width)
-                rows += [(item, int(p), int(x), _slots(canonical, spans, data, a + p, width), width, len(places))
-                         for p, x in zip(places, h.view(np.int64))]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = [batch.column("item_id").type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int64()]
+                seen = set()
+                for reading, (canonical, at, spans) in enumerate(read):
+                    a, b = at[i], at[i + 1]
+                    width, key = min(WIDTH, int(b - a)), canonical[a:b].tobytes()
+                    if width < SHORTEST or key in seen:
+                        continue
+                    seen.add(key)
+                    places, h = windows(canonical[a:b], np.array([0, b - a]), width)
+                    rows += [(item, reading, int(p), int(x), _slots(canonical, spans, data, a + p, width),
+                              [a < j < b - 1 for j in range(a + p, a + p + width) if canonical[j] <= 3], width, len(places))
+                             for p, x in zip(places, h.view(np.int64))]
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            types = [batch.column("item_id").type, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)],
-                                             ["item_id", "place", "hash", "slots", "width", "windows"])
+                                             ["item_id", "reading", "place", "hash", "slots", "inner", "width", "windows"])
     kind = items.schema["item_id"].dataType.simpleString()
     return items.select("item_id", "text").mapInArrow(
-        run, f"item_id {kind}, place long, hash long, slots array<string>, width int, windows long")
+        run, f"item_id {kind}, reading int, place long, hash long, slots array<string>, inner array<boolean>, width int, windows long")
 
 
 def _hits(docs: DataFrame, known: np.ndarray, widths: list[int]) -> DataFrame:
-    """(doc_id, tid, at, hash, found) of the documents' windows whose hash is among known."""
+    """(doc_id, tid, seen, at, hash, found) of the documents' windows whose hash is among known."""
     held = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             data, offsets = text_bytes(batch.column("text"))
-            canonical, at, spans = tokens(data, offsets)
-            rows, places, hashes, slots = [], [], [], []
-            for width in widths:
+            rows, seen, places, hashes, slots = [], [], [], [], []
+            for (reading, (canonical, at, spans)), width in product(enumerate(readings(data, offsets)), widths):
                 first, h = windows(canonical, at, width)
                 hit = np.flatnonzero(_among(h, held.value))
                 row = np.searchsorted(at, first[hit], "right") - 1
                 rows += row.tolist()
+                seen += [reading] * len(row)
                 places += (first[hit] - at[row]).tolist()
                 hashes += h[hit].view(np.int64).tolist()
                 slots += [_slots(canonical, spans, data, p, width) for p in first[hit]]
             taken = batch.select(["doc_id", "tid"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(places, pa.int64()), pa.array(hashes, pa.int64()),
-                                              pa.array(slots, pa.list_(pa.string()))], ["doc_id", "tid", "at", "hash", "found"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(seen, pa.int32()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()),
+                                              pa.array(slots, pa.list_(pa.string()))], ["doc_id", "tid", "seen", "at", "hash", "found"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, f"doc_id {kind}, tid binary, at long, hash long, found array<string>")
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, f"doc_id {kind}, tid binary, seen int, at long, hash long, found array<string>")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -164,21 +188,22 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         hits = _hits(docs, np.sort(block.view(np.uint64)), widths)
         found = hits if found is None else found.unionByName(hits)
     joined = written(found.join(known, "hash").withColumn("gap", F.col("at") - F.col("place")))
-    key = ["doc_id", "tid", "item_id", "gap"]
+    key = ["doc_id", "tid", "item_id", "reading", "seen", "gap"]
     runs = joined.groupBy(*key).agg(F.countDistinct("place").alias("windows"), F.first("windows").alias("item_windows"))
     runs = runs.filter(F.col("windows") >= F.least("item_windows", F.lit(LEAST)))
-    slots = joined.select(*key, F.explode(F.arrays_zip("slots", "found")).alias("s")).select(*key, "s.slots", "s.found")
-    values = slots.groupBy(*key, "slots").agg(F.min("found").alias("low"), F.max("found").alias("high"))
-    values = values.groupBy(*key).agg(F.avg((F.col("low") == F.col("high")).cast("double")).alias("consistency"),
+    slots = joined.select(*key, F.explode(F.arrays_zip("slots", "inner", "found")).alias("s")).select(*key, "s.slots", "s.inner", "s.found")
+    kept = F.when(F.col("inner"), F.col("found"))
+    values = slots.groupBy(*key, "slots").agg(F.min("found").alias("low"), F.max("found").alias("high"), (F.min(kept) == F.max(kept)).alias("one"))
+    values = values.groupBy(*key).agg(F.avg(F.col("one").cast("double")).alias("consistency"),
                                       F.min((F.col("low") == F.col("slots")) & (F.col("high") == F.col("slots"))).alias("exact"))
-    same = [runs[k].eqNullSafe(values[k]) for k in key]
-    judged = runs.join(values, same[0] & same[1] & same[2] & same[3], "left").select(
+    same = reduce(and_, [runs[k].eqNullSafe(values[k]) for k in key])
+    judged = runs.join(values, same, "left").select(
         *[runs[k] for k in key], runs["windows"], runs["item_windows"], F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
         F.coalesce("exact", F.lit(True)).alias("exact")).filter(F.col("consistency") >= CONSISTENT)
-    return judged.groupBy("doc_id", "tid", "item_id").agg(
-        F.max("windows").alias("windows"), F.first("item_windows").alias("item_windows"),
-        (F.max("windows") / F.first("item_windows")).alias("share"),
-        F.when(F.max("exact"), "exact").otherwise("reparameterised").alias("kind"), F.max("consistency").alias("consistency"))
+    best = F.struct((F.col("windows") / F.col("item_windows")).alias("share"), "exact", "windows", "item_windows", "consistency")
+    judged = judged.groupBy("doc_id", "tid", "item_id").agg(F.max(best).alias("b"))
+    return judged.select("doc_id", "tid", "item_id", "b.windows", "b.item_windows", "b.share",
+                         F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"), "b.consistency")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

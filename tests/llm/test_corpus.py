@@ -164,6 +164,23 @@ def test_templates(spark):
     assert found == {1: "exact", 2: "reparameterised"}
 
 
+def leaked(spark, items, texts):
+    bounded_batches(spark)
+    items = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), items).collect()
+    return {(r.doc_id, r.item_id): r.kind for r in found}
+
+
+def test_templates_do_not_depend_on_what_stands_before(spark):
+    item = "Mary has {} red apples and gives away {} of them"
+    renamed = item.replace("Mary", "Tom").format(7, 3)
+    heads = ["", "Exercise one\n", "Question Bank\n", "Exercise one. ", "so "]
+    found = leaked(spark, [item.format(5, 2), "Day by day the 3 old farmers sell fresh milk to us"],
+                   [h + item.format(5, 2) for h in heads] + [h + renamed for h in heads] + ["Exercise 1\nDay by day the 4 old farmers sell fresh milk to us"])
+    assert set(found) == {(i, 0) for i in range(10)} | {(10, 1)}
+    assert all(found[i, 0] == "reparameterised" for i in range(5, 10)) and found[0, 0] == "exact"
+
+
 def test_templates_brute_force(spark, docs):
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     known = collections.defaultdict(set)
