@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows.
 
-Texts become sequences of tokens in which numbers, names (capitalised words that go on in small letters; neighbours within a
+Texts become sequences of tokens in which numbers (numerals with their decimal and thousands parts, runs of number words), names (capitalised words that go on in small letters; neighbours within a
 sentence are one) and units after a number are typed placeholders. Whether a capitalised word that begins a sentence is a name cannot be
 told, so texts are read twice, with all such words plain and with all of them names; items also with their first word read on its own,
 as what stands before it in a document is not the item's (a heading without a full stop, a number before a unit).
@@ -37,6 +37,7 @@ BLOCK = 1_000_000
 #: Words that count as numbers, and units that may follow a number.
 NUMBERS = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
            "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
+SCALES = "hundred thousand million billion".split()
 UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l "
          "liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year "
          "years percent dollar dollars cent cents euro euros mph kmh degree degrees meter meters metre metres kilometer kilometers").split()
@@ -69,8 +70,21 @@ def readings(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> list
         return [(h, at, np.zeros((2, 0), np.int64))] * (6 if alone else 2)
     rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
     digit = (data[first] >= 48) & (data[first] <= 57)
-    number = digit | _among(h, _hashes(NUMBERS))
+    spelled, scale = _among(h, _hashes(NUMBERS)), _among(h, _hashes(SCALES))
+    number = digit | spelled
     following = np.concatenate(([False], rows[1:] == rows[:-1]))
+    # digits joined by a sign, number words in a row, and a scale after digits are one numeral
+    gap = first - np.concatenate(([0], last[:-1])) - 1
+    signs = np.frombuffer(b".,/", np.uint8)
+    joined = digit & following & (gap == 1) & np.isin(data[np.maximum(first - 1, 0)], signs)
+    joined &= np.concatenate(([False], (data[last[:-1]] >= 48) & (data[last[:-1]] <= 57) & digit[:-1]))
+    loose = np.ones(256, bool)
+    loose[np.frombuffer(b" \t\n\r\v\f-", np.uint8)] = False
+    marks = np.concatenate(([0], np.cumsum(loose[data])))
+    clean = following & np.concatenate(([False], marks[first[1:]] == marks[last[:-1] + 1]))
+    joined |= spelled & clean & np.concatenate(([False], spelled[:-1] | digit[:-1])) & (scale | np.concatenate(([False], spelled[:-1])))
+    linked = np.flatnonzero(_among(h[1:-1], _hashes(["and"])) & scale[:-2] & spelled[2:] & clean[1:-1] & clean[2:]) + 1
+    number[linked] = joined[linked] = joined[linked + 1] = True
     unit = _among(h, _hashes(UNITS)) & following & np.concatenate(([False], number[:-1]))
     # the last byte before a word that is not white space tells whether a sentence begins
     solid = np.ones(256, bool)
@@ -84,8 +98,8 @@ def readings(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> list
     capital &= small & (last > first) & ~number & ~unit
 
     def read(name: np.ndarray, unit: np.ndarray) -> Tokens:
-        # a run of names is one token that ends with its last word
-        again = name & np.concatenate(([False], name[:-1])) & inner
+        # a run of names is one token that ends with its last word, as is a numeral
+        again = name & np.concatenate(([False], name[:-1])) & inner | joined
         keep = np.flatnonzero(~again)
         out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))[keep]
         sizes = np.bincount(rows[keep], minlength=len(at) - 1)

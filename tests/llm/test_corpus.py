@@ -181,6 +181,15 @@ def test_templates_do_not_depend_on_what_stands_before(spark):
     assert all(found[i, 0] == "reparameterised" for i in range(5, 10)) and found[0, 0] == "exact"
 
 
+def test_templates_take_a_numeral_as_one(spark):
+    item = "Anna buys {} apples for {} dollars each and pays with {} dollars. How much change does she get"
+    texts = [item.format(*v) for v in ((2.5, 1.25, "12.50"), ("1,200", 900, "2,000,000.5"), ("twenty five", "a hundred and six", "forty-two"), (4, "3/4", "3 million"))]
+    texts[2] = texts[2].replace("a hundred", "one hundred")
+    assert leaked(spark, [item.format(3, 2, 10)], texts) == {(i, 0): "reparameterised" for i in range(4)}
+    data, offsets = text_bytes(pa.array(["2, 3. 4 one. two 5 six", "7"]))
+    assert [list(t[1]) for t in decontaminate.readings(data, offsets)[-2:]] == [[0, 7, 8]] * 2
+
+
 def test_templates_brute_force(spark, docs):
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     known = collections.defaultdict(set)
