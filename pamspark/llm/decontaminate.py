@@ -4,7 +4,9 @@ Texts become sequences of tokens in which numbers (numerals with their decimal a
 sentence are one) and units after a number are typed placeholders. Whether a capitalised word that begins a sentence is a name cannot be
 told, so texts are read twice, with all such words plain and with all of them names; items also with their first word read on its own,
 as what stands before it in a document is not the item's (a heading without a full stop, a number before a unit).
-Windows of WIDTH tokens with at least LITERAL plain words are hashed; an item shorter than that is one window of its own width. Documents are searched for the windows' hashes,
+Windows of WIDTH tokens with at least LITERAL plain words are hashed; an item shorter than that is one window of its own width.
+Of every item the untyped windows of WIDTH words, or of all its words if it has fewer, are searched besides: so each item that has
+a word is found where it stands word for word, however short it is and however many numbers and names it has. Documents are searched for the windows' hashes,
 in blocks of at most BLOCK of them, and only hits leave a task. Hits are hash-joined to the items' windows; hits of
 one reading of document and item with one distance between their places in both are one occurrence. In an occurrence each value of the item's
 slots must stand for one value of the document: then a question is caught however its numbers, names and units were
@@ -12,8 +14,8 @@ changed, and a chance meeting of templates is not.
 
 An occurrence counts if it has LEAST windows, or all of a shorter item, and at least CONSISTENT of its slot values
 keep to one value; the item's first and last token may run on in the document and are not held to that. Windows, share and kind
-are those of the occurrence with the greatest share. Defined cases: null and empty texts and items match nothing; items of fewer than SHORTEST tokens or
-without enough plain words are not searched; a repeated row is found as often as it stands, as one result; hits of a
+are those of the occurrence with the greatest share. Defined cases: null and empty texts and items match nothing; items without a word match nothing,
+those of fewer than SHORTEST tokens or without enough plain words are not found if their numbers, names or units were changed; a repeated row is found as often as it stands, as one result; hits of a
 window that many items share count for each item; an empty table gives an empty result; other columns are not touched.
 """
 
@@ -61,13 +63,13 @@ Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def readings(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> list[Tokens]:
-    """Tokens with the words that may begin a sentence plain, and with the capitalised ones among them names.
+    """Plain words alone; tokens with the words that may begin a sentence plain, and with the capitalised ones among them names.
 
     alone: what stands before a text is not known, so its first word is also read on its own, as a name, a unit and plain.
     """
     h, at, (first, last) = word_places(data, offsets, ALNUM)
     if not len(h):
-        return [(h, at, np.zeros((2, 0), np.int64))] * (6 if alone else 2)
+        return [(h, at, np.zeros((2, 0), np.int64))] * (7 if alone else 3)
     rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
     digit = (data[first] >= 48) & (data[first] <= 57)
     spelled, scale = _among(h, _hashes(NUMBERS)), _among(h, _hashes(SCALES))
@@ -105,7 +107,7 @@ def readings(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> list
         sizes = np.bincount(rows[keep], minlength=len(at) - 1)
         return out, np.concatenate(([0], np.cumsum(sizes))), np.stack((first[keep], last[np.append(keep[1:], len(h)) - 1]))
 
-    found = [read(capital & inner, unit), read(capital, unit)]
+    found = [(h, at, np.stack((first, last))), read(capital & inner, unit), read(capital, unit)]
     if alone:
         begins = ~following
         known_unit = begins & ~number & _among(h, _hashes(UNITS))
@@ -114,18 +116,20 @@ def readings(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> list
     return found
 
 
-def windows(canonical: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of each window of width tokens within a text that has enough plain words."""
+def windows(canonical: np.ndarray, offsets: np.ndarray, width: int, typed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First token and hash of each window of width tokens within a text; of typed ones those that have enough plain words."""
     n = len(canonical) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(width))
-    plain = np.concatenate(([0], np.cumsum(canonical > 3)))
+    h = np.full(n, np.uint64(width if typed else width + 2 * WIDTH))
     for i in range(width):
         h = h * _MULTIPLIER + canonical[i : i + n]
     ends = np.repeat(offsets[1:], np.diff(offsets))[:n]
-    need = min(LITERAL, width)
-    at = np.flatnonzero((np.arange(n) + width <= ends) & (plain[width:] - plain[:n] >= need))
+    held = np.arange(n) + width <= ends
+    if typed:
+        plain = np.concatenate(([0], np.cumsum(canonical > 3)))
+        held &= plain[width:] - plain[:n] >= min(LITERAL, width)
+    at = np.flatnonzero(held)
     return at, mix(h[at])
 
 
@@ -145,11 +149,11 @@ def item_windows(items: DataFrame) -> DataFrame:
                 seen = set()
                 for reading, (canonical, at, spans) in enumerate(read):
                     a, b = at[i], at[i + 1]
-                    width, key = min(WIDTH, int(b - a)), canonical[a:b].tobytes()
-                    if width < SHORTEST or key in seen:
+                    width, key, typed = min(WIDTH, int(b - a)), canonical[a:b].tobytes(), reading > 0
+                    if width < (SHORTEST if typed else 1) or (key, typed) in seen:
                         continue
-                    seen.add(key)
-                    places, h = windows(canonical[a:b], np.array([0, b - a]), width)
+                    seen.add((key, typed))
+                    places, h = windows(canonical[a:b], np.array([0, b - a]), width, typed)
                     rows += [(item, reading, int(p), int(x), _slots(canonical, spans, data, a + p, width),
                               [a < j < b - 1 for j in range(a + p, a + p + width) if canonical[j] <= 3], width, len(places))
                              for p, x in zip(places, h.view(np.int64))]
@@ -162,7 +166,7 @@ def item_windows(items: DataFrame) -> DataFrame:
         run, f"item_id {kind}, reading int, place long, hash long, slots array<string>, inner array<boolean>, width int, windows long")
 
 
-def _hits(docs: DataFrame, known: np.ndarray, widths: list[int]) -> DataFrame:
+def _hits(docs: DataFrame, known: np.ndarray, widths: list[tuple[bool, int]]) -> DataFrame:
     """(doc_id, tid, seen, at, hash, found) of the documents' windows whose hash is among known."""
     held = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -170,15 +174,21 @@ def _hits(docs: DataFrame, known: np.ndarray, widths: list[int]) -> DataFrame:
         for batch in blocks(batches):
             data, offsets = text_bytes(batch.column("text"))
             rows, seen, places, hashes, slots = [], [], [], [], []
-            for (reading, (canonical, at, spans)), width in product(enumerate(readings(data, offsets)), widths):
-                first, h = windows(canonical, at, width)
+            for (reading, (canonical, at, spans)), (typed, width) in product(enumerate(readings(data, offsets)), widths):
+                if typed != (reading > 0):
+                    continue
+                first, h = windows(canonical, at, width, typed)
                 hit = np.flatnonzero(_among(h, held.value))
                 row = np.searchsorted(at, first[hit], "right") - 1
+                if not typed and width < WIDTH:
+                    # the whole of its items, so one place in a text tells all
+                    hit = hit[np.unique(np.stack((row.astype(np.uint64), h[hit])), axis=1, return_index=True)[1]]
+                    row = np.searchsorted(at, first[hit], "right") - 1
                 rows += row.tolist()
                 seen += [reading] * len(row)
                 places += (first[hit] - at[row]).tolist()
                 hashes += h[hit].view(np.int64).tolist()
-                slots += [_slots(canonical, spans, data, p, width) for p in first[hit]]
+                slots += [_slots(canonical, spans, data, p, width) for p in first[hit]] if typed else [[]] * len(hit)
             taken = batch.select(["doc_id", "tid"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(seen, pa.int32()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()),
                                               pa.array(slots, pa.list_(pa.string()))], ["doc_id", "tid", "seen", "at", "hash", "found"])
@@ -193,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tid"), "text")
     known = written(item_windows(items))
-    widths = sorted(r.width for r in known.select("width").distinct().collect())
+    widths = sorted(tuple(r) for r in known.select(F.col("reading") > 0, "width").distinct().collect())
     hashes = known.select("hash").distinct()
     parts = max(1, -(-hashes.count() // BLOCK))
     found = None

@@ -190,6 +190,12 @@ def test_templates_take_a_numeral_as_one(spark):
     assert [list(t[1]) for t in decontaminate.readings(data, offsets)[-2:]] == [[0, 7, 8]] * 2
 
 
+def test_every_item_is_searched_word_for_word(spark):
+    items = ["12 + 7 = 19, 19 x 3 = 57, what is 57 minus 4", "Solve 3x = 12", "Bob", "Anna Maria Bauer, Karl Maier 7 kg 9 km", " . "]
+    texts = [f"Some words stand here\n{i}\nand others follow, {i.lower()} too" for i in items]
+    assert leaked(spark, items, texts + ["12 + 7 = 19, 19 x 3 = 58, what is 57", "Solve 3x = 13"]) == {(i, i): "exact" for i in range(4)}
+
+
 def test_templates_brute_force(spark, docs):
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
     known = collections.defaultdict(set)
