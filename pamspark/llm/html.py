@@ -8,7 +8,9 @@ decide child by child, whichever is most likely; so no node is kept inside a dro
 
 Character references are decoded, white space within a block is one space, blocks are joined by two line ends.
 Defined cases: a null or empty html and a page without main text give an empty text; broken or unclosed markup is read
-as far as it goes; repeated rows get equal results; an empty table gives an empty result; other columns pass through,
+as far as it goes: an element of DROP, iframe, noscript, title or textarea that nothing but its parent, the next of its kind or the
+end of the page closes takes only the text up to the next tag with it; the rest of the page is script or style if that is not closed, as
+in HTML; repeated rows get equal results; an empty table gives an empty result; other columns pass through,
 those named like the results are replaced. Whole pages are read, in memory in proportion to one page.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +33,10 @@ TRAIN_PAGES, SEED = 600, 11
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 #: Tags of the HTML standard, and words that sites use in class, id and role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|select|option|button|object|math"
+RAW = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in "script style title textarea iframe noscript".split()}
+#: Elements whose subtree is no text; of those in CLOSES a start tag also ends open ones.
+DROP = set("svg select datalist optgroup option button object template annotation annotation-xml".split())
+CLOSES = {"button": {"button"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "select": {"select"}}
 BLOCK = set("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure "
             "figcaption nav aside header footer form fieldset address details summary center hr".split())
 P_ENDS = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
@@ -44,8 +50,8 @@ TOKENS = ["content article post entry story body text main prose", "nav navigati
           "cookie consent gdpr notice popup modal newsletter subscribe alert signup", "share social tags tag meta byline"]
 _WORDS = {w: i for i, line in enumerate(TOKENS) for w in line.split()}
 _TAG_OF = {t: i for i, group in enumerate(TAGS) for t in group}
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*?(?:/>|>(?:.*?</(?P=raw)\s*>|.*\Z))|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)"
-                    rf"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-z!?/][^<>]*\Z", re.S | re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)"
+                    r"(?P<attrs>(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|<[!?/][^>]*>|<[a-z!?/][^<>]*\Z", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -58,32 +64,86 @@ class Node:
         self.own, self.linked = 0, 0
 
 
+@dataclass(slots=True)
+class Dropped:
+    """An open element of DROP and what was read when it began; held is a count until a block inside it flushes the text."""
+    tag: str
+    depth: int
+    nodes: int
+    pieces: int
+    held: int | list[str]
+    own: int
+    linked: int
+    children: int
+    anchors: int
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order, the first one the root, and the (node, text) pieces of the page."""
     root = Node("root", None, set())
     nodes, stack, pieces = [root], [root], []
     number = {id(root): 0}
     held: list[str] = []
-    at, anchors = 0, 0
+    at, anchors, label = 0, 0, False
+    drops: list[Dropped] = []
+    unclosed: set[str] = set()
 
     def text(part: str) -> None:
-        if part:
+        if part and not label:
             held.append(part)
             if anchors:
                 stack[-1].linked += len(part)
 
     def flush() -> None:
         if held:
+            for d in reversed(drops):
+                if not isinstance(d.held, int):
+                    break
+                d.held = held[: d.held]
             words = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if words:
                 stack[-1].own += len(words)
                 pieces.append((number[id(stack[-1])], words))
 
-    for m in MARKUP.finditer(page):
+    def raw_end(tag: str, start: int) -> int:
+        """Where the raw text that begins at start ends, -1 if it is not closed."""
+        if tag in unclosed:
+            return -1
+        found = RAW[tag].search(page, start)
+        while found and not found[1] and tag in ("script", "style"):
+            found = RAW[tag].search(page, found.end())
+        if not found:
+            unclosed.add(tag)
+        return found.end() if found and found[1] else -1
+
+    while m := MARKUP.search(page, at):
         text(page[at : m.start()])
-        at = m.end()
+        at, label = m.end(), False
         tag = (m["tag"] or "").lower()
+        if tag in RAW and not m["end"] and not m["attrs"].endswith("/"):
+            end = raw_end(tag, at)
+            label = end < 0
+            at = end if end >= 0 else len(page) if tag in ("script", "style") else at
+            continue
+        if tag in DROP:
+            if m["end"]:
+                i = next((i for i in range(len(drops) - 1, -1, -1) if drops[i].tag == tag), None)
+                if i is not None:
+                    d = drops[i]
+                    del drops[i:], nodes[d.nodes :], pieces[d.pieces :], stack[d.depth :]
+                    held[:] = held[: d.held] if isinstance(d.held, int) else d.held
+                    stack[-1].own, stack[-1].linked, anchors = d.own, d.linked, d.anchors
+                    del stack[-1].children[d.children :]
+            elif not m["attrs"].endswith("/"):
+                for i, d in enumerate(drops):
+                    if d.tag in CLOSES.get(tag, ()):
+                        del drops[i:]
+                        break
+                top = stack[-1]
+                drops.append(Dropped(tag, len(stack), len(nodes), len(pieces), len(held), top.own, top.linked, len(top.children), anchors))
+                label = True
+            continue
         if tag == "br":
             held.append(" ")
         if not tag or tag in VOID and tag != "hr":
@@ -93,20 +153,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag not in BLOCK:
             continue
         flush()
+        floor = drops[-1].depth - 1 if drops else 0
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
+            # no paragraph is ended from inside a dropped element, other elements are, and end it
+            for depth in range(len(stack) - 1, floor if tag == "p" else 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
                     break
+            while drops and drops[-1].depth > len(stack):
+                drops.pop()
             anchors = 0
             continue
-        if tag in P_ENDS and any(n.tag == "p" for n in stack[-2:]):
+        if tag in P_ENDS and any(n.tag == "p" for n in stack[floor + 1 :][-2:]):
             while stack[-1].tag != "p":
                 stack.pop()
             stack.pop()
         ends = SAME_ENDS.get(tag)
         if ends:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, floor, -1):
                 if stack[depth].tag in ("ul", "ol", "dl", "table"):
                     break
                 if stack[depth].tag in ends:

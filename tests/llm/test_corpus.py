@@ -132,6 +132,25 @@ def test_html_held_out_layouts():
     assert right / total > 0.88
 
 
+@pytest.mark.parametrize("before", [
+    '<svg-icon name="x"></svg-icon>', "<button-group><b></b></button-group>", "<select-menu></select-menu>", "<object-list></object-list>",
+    '<datalist><option value="a"><option value="b">b</datalist>', "<div><button>Menu</div>", "<span><button>Menu</span>", "<button>Menu",
+    "<noscript><img src=x>", "<iframe src=x>", "<select><option>a<option>b", "<title>Name", "<svg><path d=''/>", '<svg aria-label="a>b"><p>x</p></svg>',
+    "<select><option>a<option>b</select>", "<button><div>Menu</div><p>x</p></button>", "<svg/>", "<template><p>x</p><svg></svg></template>",
+    "<script>var a = '<script>';</script>", "<script data-a=it's>var a;</script>", "<ul><li><button>a<li><button>b</ul>"])
+def test_html_reads_past_dropped_elements(before):
+    for after in ("", "<p><svg><title>x</title></svg></p><button>x</button><iframe></iframe><noscript>x</noscript><select><option>x</select>"):
+        nodes, pieces = html.parse(f"{before}<p>Article text</p>{after}")
+        assert [words for _, words in pieces] == ["Article text"]
+        assert sum(n.own for n in nodes) == 12 and all(c in nodes for n in nodes for c in n.children)
+
+
+def test_html_drops_inside_a_block():
+    page = "<p>One <button>Copy<div>all</div></button>two <a>three <svg><g>x</g></svg></a><math><mi>x</mi><annotation>y</annotation></math> four</p><p>five</p>"
+    nodes, pieces = html.parse(page)
+    assert [words for _, words in pieces] == ["One two three x four", "five"] and [n.tag for n in nodes] == ["root", "p", "p"]
+
+
 def test_html_pages_table(spark):
     import html as entities
     rows = {r.page_id: r for r in queries.op2_main_text(spark, SF).collect()}
