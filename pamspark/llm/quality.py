@@ -1,20 +1,23 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document's own evidence comes from two logistic classifiers that are fitted on labelled documents (at most SAMPLE of
-them, those with the least hash of their id): one for quality, on shares of letters, signs and repeated words; one for
-toxicity, on the words of a lexicon. The lexicon are the words whose share of toxic labelled documents is surely high
-(at most LEXICON of them). Evidence of all documents is averaged by site at each level, global, host and path, in
+them, those with the least hash of their id), equal texts as one with their mean labels: one for quality, on shares of
+letters, signs and repeated words; one for toxicity, on the words of a lexicon. The lexicon are all words whose rate in
+toxic labelled texts is surely higher than in the others, by the log of the ratio with a prior of half a text, so that it
+does not depend on how many of the labels are toxic. Evidence of all documents is averaged by site at each level, global, host and path, in
 grouped aggregates; at each level a site's rate is shrunk toward the level above with a strength estimated from the
 variance between sites, so that sparse sites lean on their prior. A document's posterior adds to its own log-odds what
 its site's rate adds to the global one.
 
 Defined cases: a null text is empty; documents without labels are judged like others; without labels of both kinds a
-classifier says its prior; null level columns form a site of their own; repeated rows get equal results; an empty table
+classifier says its prior; without a lexicon the toxic one does, which raises if ENOUGH texts of each kind are labelled and
+warns if both kinds occur; null level columns form a site of their own; repeated rows get equal results; an empty table
 gives an empty result; other columns pass through, those named like the results are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,9 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pamspark.llm.common import ALNUM, blocks, shingle_hashes, text_bytes, word_hashes, written
 
 SAMPLE = 20_000
-LEXICON = 2_000
-#: A lexicon word stands in so many toxic sample documents at least, and in so many times more of them than expected.
+#: A lexicon word stands in so many toxic sample texts at least, and surely at so many times the rate of the others.
 LEAST_DOCS, LIFT = 5, 4.0
+ENOUGH = 50
 KEEP = 0.5
 RESULTS = ("p_own", "p_toxic", "p_site", "p_keep", "keep")
 _SETS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?\"'()-", b"!", b"|", b"#$%&*@^~_=+<>{}[]\\/`", b" \t\r\f\x0b", b"\n"]
@@ -103,6 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, np.ndar
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
     # SAMPLE rows of three numbers
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    marked = marked.groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(
+        F.first("text").alias("text"), F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic")).select("text", "quality", "toxic")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -112,25 +117,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, np.ndar
             words, rows = words[order], rows[order]
             new = np.concatenate(([True], (words[1:] != words[:-1]) | (rows[1:] != rows[:-1]))) if len(words) else np.zeros(0, bool)
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(toxic[rows[new]].astype(np.int64))], ["word", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(toxic[rows[new]].astype(float))], ["word", "toxic"])
 
     marked = written(marked)
-    total, bad = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    seen = marked.mapInArrow(words_of, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    expected = F.col("n") * F.lit(bad / max(total, 1))
-    surely = F.col("bad") - 2 * F.sqrt("bad")
-    words = (seen.filter((F.col("bad") >= LEAST_DOCS) & (surely > LIFT * expected))
-             .orderBy((F.col("bad") / F.col("n")).desc(), F.col("bad").desc(), "word").limit(LEXICON).toArrow().column("word").to_numpy())
+    total, bad = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    seen = marked.mapInArrow(words_of, "word long, toxic double").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    good = total - bad
+    among_bad, among_good = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
+    ratio = F.log(among_bad / (bad + 1)) - F.log(among_good / (good + 1))
+    error = F.sqrt(1 / among_bad - 1 / (bad + 1) + 1 / among_good - 1 / (good + 1))
+    words = (seen.filter((F.col("bad") >= LEAST_DOCS) & (ratio - 2 * error > float(np.log(LIFT))))
+             .select("word").toArrow().column("word").to_numpy())
+    if not len(words) and min(bad, good) > 0:
+        said = f"no word tells the {bad:g} toxic of {total} labelled texts from the others"
+        if min(bad, good) >= ENOUGH:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     lexicon = np.sort(words.view(np.uint64))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             x, words, at = features(batch.column("text"))
             x = np.concatenate((x, lexicon_counts(words, at, lexicon)), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("quality").cast(pa.int64()),
-                                              batch.column("toxic").cast(pa.int64())], ["x", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("quality"),
+                                              batch.column("toxic")], ["x", "quality", "toxic"])
 
-    found = marked.mapInArrow(numbers, "x array<double>, quality long, toxic long").toArrow()
+    found = marked.mapInArrow(numbers, "x array<double>, quality double, toxic double").toArrow()
     width = len(_SETS) + 9
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, width)
     return (Logistic(x[:, :-2], found.column("quality").to_numpy().astype(float)),

@@ -272,6 +272,30 @@ def test_quality_accuracy(spark):
     assert np.mean([kept[r.doc_id] for r in labels if not r.quality]) < 0.05
 
 
+@pytest.mark.parametrize("share, copies", [(0.12, 0), (0.35, 0), (0.6, 0), (0.12, 400)])
+def test_lexicon_at_any_share_of_toxic_labels(spark, share, copies):
+    bounded_batches(spark)
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    toxic = [i < share * 600 for i in range(600)]
+    texts = [prose(40) + (f" bad{rng.randint(0, 2)} bad{rng.randint(0, 2)}" if t else "") for t in toxic]
+    texts, toxic = texts + [" ".join(f"v{i}" for i in range(3_000))] * copies, toxic + [True] * copies
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    bad = word_hashes(*text_bytes(pa.array(["bad0 bad1 bad2"])), ALNUM)[0]
+    assert set(bad) <= set(model[2]) and len(model[2]) < 20
+    p = {r.doc_id: r.p_toxic for r in quality.evidence(docs, model).select("doc_id", "p_toxic").collect()}
+    assert all((p[i] > 0.5) == toxic[i] for i in range(600))
+
+
+def test_labels_that_no_word_tells_apart_raise(spark):
+    docs = spark.createDataFrame([(i, f"same words w{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError, match="no word"):
+        quality.fit(docs, labels)
+
+
 def test_site_rates_shrink(spark):
     rows = [("big", "x", 0.9)] * 300 + [("big", "x", 0.1)] * 100 + [("bad", "x", 0.1)] * 200 + [("new", "y", 0.1)]
     rates, overall = quality.site_rates(spark.createDataFrame(rows, "source string, lang string, p_own double"), ["source", "lang"])
