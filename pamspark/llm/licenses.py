@@ -4,7 +4,7 @@ A text is lower-cased (A-Z) and cut into words of letters, digits and bytes over
 words joined by single blanks. A notice of n letters may differ by n // LETTERS_PER_EDIT edits. It is split into one
 more pieces than that: at least one piece of any such occurrence stands unchanged (pigeonhole), so only places around
 an exact piece are looked at. There the bounded-error matching of the regex library verifies the notice and tells its
-span and edits. Of overlapping matches the one with the fewest edits stays, then the longer one.
+span and edits, best match first, then in what is left on both sides of it. Of overlapping matches the one with the fewest edits stays, then the longer one.
 
 Defined cases: a null text is empty, an empty one has no words, labels or spans; notices may repeat within a text;
 repeated rows get equal results; an empty table gives an empty result; other columns pass through, but columns named
@@ -85,8 +85,14 @@ def notice_matches(normal: str, notices: tuple[tuple[str, str], ...]) -> list[tu
     found = []
     for text, label, edits, pieces, pattern in searchers(notices):
         for low, high in places(normal, text, edits, pieces):
-            for m in pattern.finditer(normal, low, min(high, len(normal)), overlapped=False):
-                found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, len(text)))
+            # the library returns the best match of what it is given, so both sides of it are searched again
+            open_parts = [(low, min(high, len(normal)))]
+            while open_parts:
+                a, b = open_parts.pop()
+                m = pattern.search(normal, a, b) if b - a >= len(text) - edits else None
+                if m:
+                    found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, len(text)))
+                    open_parts += [(a, m.start()), (m.end(), b)]
     kept: list[tuple[int, int, int, str, int]] = []
     for one in sorted(found, key=lambda f: (f[0], f[1] - f[2], f[1], f[3])):
         if all(one[2] <= k[1] or one[1] >= k[2] for k in kept):

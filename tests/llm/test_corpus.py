@@ -331,6 +331,14 @@ def test_license_edits():
     assert licenses.scan_text("nothing here", (), notices)["labels"] == ""
 
 
+def test_license_matches_before_a_better_one():
+    notices = tuple(licenses.NOTICES.items())
+    found = licenses.notice_matches("relesed under the mit licens released under the mit license and relesed under the mit licens", notices)
+    assert [f[3] for f in found] == ["mit"] * 3 and [f[0] for f in found] == [2, 0, 2]
+    two = "licensd under the gnu generl public license version 3 or licensed under the gnu general public license version 2"
+    assert [f[3] for f in licenses.notice_matches(two, notices)] == ["gpl-3", "gpl-2"]
+
+
 def test_near_duplicates_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
