@@ -134,7 +134,7 @@ def feature_buckets(column: pa.Array, buckets: int = BUCKETS, order: int = ORDER
             first = np.flatnonzero(np.arange(a, b) + width <= last[a:b])
             if len(first):
                 end = place[first + width - 1] + size[first + width - 1] - 1
-                yield width, rows[a + first], crc32_spans(joined, place[first], end) % np.uint32(buckets)
+                yield width, rows[a + first], crc32_spans(joined, place[first], end).astype(np.int64) % buckets
 
 
 def bucket_counts(table: DataFrame, text: str = "text", buckets: int = BUCKETS, order: int = ORDER) -> DataFrame:

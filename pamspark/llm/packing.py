@@ -2,7 +2,7 @@
 
 An example is a row of ids with, for instruction data, a mask of the ids that bear loss. A sequence takes pieces while three
 limits hold at once. The next piece is the example that fits whole and whose demand has the largest dot product with the
-room left, each dimension in shares of its limit and weighted by how much of it all examples want (the dot-product heuristic);
+room left, each dimension in shares of its limit and weighted by how much of it the examples left want (the dot-product heuristic);
 examples of equal demand are one entry, so a step looks at the distinct demands only. With `cut`, what no whole
 example fills is filled with the head of the longest one, and a sequence that still cannot be filled is cut back to the
 largest power of two in it, so nothing is padded; without it, examples stay whole and sequences end with a gap.
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pamspark.llm.common import blocks as text_blocks, written
+from pamspark.llm.common import blocks as text_blocks, shared_folder
 
 TOKENS, SEGMENTS = 2048, 128
 END_ID = 1
@@ -71,7 +71,7 @@ class _Pool:
         self.tokens, self.loss, self.count = (np.zeros(1024, np.int64) for _ in range(3))
         self.parts: list[list[tuple[int, int]]] = []
         self.kind: dict[tuple[int, int], int] = {}
-        self.left = 0
+        self.left = np.zeros(3)  # tokens, loss-bearing tokens and parts
 
     def add(self, begin: int, end: int, loss: int) -> None:
         k = self.kind.setdefault((end - begin, loss), len(self.parts))
@@ -82,11 +82,11 @@ class _Pool:
             self.parts.append([])
         self.parts[k].append((begin, end))
         self.count[k] += 1
-        self.left += 1
+        self.left += (end - begin, loss, 1)
 
     def pop(self, k: int) -> tuple[int, int]:
         self.count[k] -= 1
-        self.left -= 1
+        self.left -= (self.tokens[k], self.loss[k], 1)
         return self.parts[k].pop()
 
 
@@ -113,11 +113,10 @@ def sequences(edges: np.ndarray, loss: np.ndarray, most: tuple[int, int, int], c
             begin = stop
         pool.add(begin, end, int(loss[end] - loss[begin]))
     limits = np.array([tokens, bearing, segments], float)
-    wanted = np.array([edges[-1] - edges[0], loss[-1], pool.left], float) / limits
-    weight = wanted / max(wanted.sum(), 1e-9) / limits**2
-    while pool.left:
+    while pool.left[2]:
         out, room, places, loss_room = [], tokens, segments, bearing
-        while room and places and pool.left:
+        weight = pool.left / limits**3
+        while room and places and pool.left[2]:
             n = len(pool.parts)
             size, bears, count = pool.tokens[:n], pool.loss[:n], pool.count[:n]
             fits = (count > 0) & (size <= room) & (bears <= loss_room)
@@ -184,7 +183,9 @@ def pack(examples: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, lo
     """
     columns = [c for c in ("doc_id", "ids", "loss") if c in examples.columns]
     rows = examples.select(*columns, (F.octet_length("ids") / 4).cast("long").alias("n"), F.floor(F.rand(SEED) * (1 << 30)).alias("salt"))
-    rows = written(rows)
+    folder = shared_folder(examples.sparkSession)
+    rows.write.option("compression", "zstd").parquet(folder)  # half the bytes of an id are zero
+    rows = examples.sparkSession.read.schema(rows.schema).parquet(folder)
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = 4 * int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, -(-total // min(BLOCK_TOKENS, max(LEAST_BLOCK, total // tasks))))
