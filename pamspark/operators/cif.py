@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import mean_and_quantiles
+from ..functions.scalars import normal_quantile_column
 from .design import array_values, design_rows
 from .model import PamModel
 
@@ -17,25 +19,46 @@ SMALL = 1e-10
 CAUSE_NAMES = ("death", "extubation")
 
 
-def posterior_draws(model: PamModel, spark: SparkSession, n_sim: int = 500, seed: int = 1) -> DataFrame:
-    """Normal draws ``sim_id, beta`` with the model's mean and covariance.
+def lower_root(cov: np.ndarray) -> np.ndarray:
+    """L with L L' = cov: lower triangular on the coefficients that vary, as far as these are not collinear."""
+    live = np.flatnonzero(np.diag(cov) > 0)
+    scale = np.sqrt(np.diag(cov)[live])
+    sub = cov[np.ix_(live, live)] / np.outer(scale, scale)
+    try:
+        part = np.linalg.cholesky(sub)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(sub)
+        part = vectors * np.sqrt(np.clip(values, 0, None))
+    root = np.zeros_like(cov)
+    root[np.ix_(live, live)] = scale[:, None] * part
+    return root
+
+
+def standard_normals(draw: Column, n: int, seed: int) -> Column:
+    """``n`` standard normals of a draw as an array, the same on every engine and partitioning.
 
-    Every draw has its own generator keyed by (seed, sim_id), so the partitioning cannot change it.
+    Number j is the normal quantile of the first 52 bits of the MD5 digest of ``seed:draw:j``.
     """
-    values, vectors = np.linalg.eigh(model.cov)
-    root = vectors * np.sqrt(np.clip(values, 0, None))
-    mean = model.beta
+    def uniform(j: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), j.cast("string")))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), uniform), normal_quantile_column)
+
 
-    def draw(batches):
+def posterior_draws(model: PamModel, spark: SparkSession, n_sim: int = 500, seed: int = 1) -> DataFrame:
+    """Normal draws ``sim_id, beta`` with the model's mean and covariance."""
+    mean, root = model.beta, lower_root(model.cov)
+
+    def shifted(batches):
         for batch in batches:
-            ids = batch.column("sim_id").to_pylist()
-            z = np.array([np.random.default_rng([seed, i]).standard_normal(len(mean)) for i in ids])
-            beta = mean + z.reshape(len(ids), len(mean)) @ root.T
-            yield pa.RecordBatch.from_arrays([batch.column("sim_id"), pa.array(list(beta))],
+            beta = mean + array_values(batch, "z", len(mean)) @ root.T
+            yield pa.RecordBatch.from_arrays([batch.column("sim_id"), pa.array(list(beta), pa.list_(pa.float64()))],
                                              names=["sim_id", "beta"])
 
-    return spark.range(n_sim).select(F.col("id").alias("sim_id")).mapInArrow(
-        draw, "sim_id bigint, beta array<double>")
+    ids = spark.range(n_sim).withColumnRenamed("id", "sim_id")
+    return ids.select("sim_id", standard_normals(F.col("sim_id"), len(mean), seed).alias("z")).mapInArrow(
+        shifted, "sim_id bigint, beta array<double>")
 
 
 def draw_moments(draws: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +211,16 @@ def cif_band(curves: DataFrame, causes: Sequence[str] = CAUSE_NAMES, alpha: floa
                        F.col("q1").alias("cif_upper"))
 
 
+def broken_curves(curves: DataFrame, causes: Sequence[str] = CAUSE_NAMES, slack: float = 1e-9) -> DataFrame:
+    """Per protocol how many points there are, where survival and incidences exceed one, and where an incidence falls."""
+    names = [f"cif_{c}" for c in causes]
+    path = Window.partitionBy("sim_id", "protocol").orderBy("tend")
+    above = F.col("survival") + sum((F.col(c) for c in names[1:]), F.col(names[0])) > 1 + slack
+    falls = reduce(lambda x, y: x | y, [F.coalesce(F.lag(c).over(path) > F.col(c) + slack, F.lit(False)) for c in names])
+    return curves.select("protocol", above.cast("int").alias("above"), falls.cast("int").alias("falls")).groupBy("protocol").agg(
+        F.count(F.lit(1)).alias("n_points"), F.sum("above").alias("above_one"), F.sum("falls").alias("falling"))
+
+
 def paired_bands(band: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The bands arranged by comparison, each with its two protocols under their labels."""
     sides = pairs.unpivot(["comparison", "name"], ["p1", "p2"], "side", "protocol")

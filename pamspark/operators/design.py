@@ -99,57 +99,75 @@ def basis_info(blocks: DataFrame, spec: PamSpec, pred: LagLead = protein_lag_lea
 
     The exposure ranges include the zeros that padded diary days carry.
     """
+    return basis_infos(blocks, spec, pred, {"all": F.lit(True)})["all"]
+
+
+def basis_infos(blocks: DataFrame, spec: PamSpec, pred: LagLead, strata: dict[str, Column]) -> dict[str, BasisInfo]:
+    """``basis_info`` of several strata, which may overlap, in the same two aggregates."""
+    names = list(strata)
+    belongs = F.filter(F.array(*[F.when(rule, i) for i, rule in enumerate(strata.values())]), lambda i: i.isNotNull())
+    rows = blocks.withColumn("stratum", F.explode(belongs))
     aggs = [F.sum("n").alias("n")]
     for v in spec.time_smooths:
         aggs += [F.min(v).cast("double").alias(f"{v}_lo"), F.max(v).cast("double").alias(f"{v}_hi")]
     if spec.exposures:
         aggs.append(F.min("n_days").alias("n_days"))
-    spans = blocks.groupBy("from_day", "to_day").agg(*aggs).collect()  # at most one row per pair of days
-    if not spans:
-        raise ValueError("no rows at risk")
-    first, last = min(x.from_day for x in spans), max(x.to_day for x in spans)
-    ranges: dict[str, tuple[float, float]] = {"int_mid": (first - 0.5, last - 0.5)}
-    for v in spec.time_smooths:
-        ranges[v] = (min(x[f"{v}_lo"] for x in spans), max(x[f"{v}_hi"] for x in spans))
-    if spec.exposures:
-        padded = min(x.n_days for x in spans) < WIDTH
-        ranges["t"] = (0.0 if padded else first - 0.5, last - 0.5)
-        ranges["tz"] = (0.0 if padded else 2.0, WIDTH + 1.0)
-
-    means: dict[str, list[float]] = {}
+    found = rows.groupBy("stratum", "from_day", "to_day").agg(*aggs).collect()  # at most one row per stratum and pair of days
+    table = lag_lead_weights(blocks.sparkSession, pred, spec.last_day)
+    out = {}
+    for i, name in enumerate(names):
+        spans = [x for x in found if x.stratum == i]
+        if not spans:
+            raise ValueError(f"no rows at risk in {name}")
+        first, last = min(x.from_day for x in spans), max(x.to_day for x in spans)
+        ranges: dict[str, tuple[float, float]] = {"int_mid": (first - 0.5, last - 0.5)}
+        for v in spec.time_smooths:
+            ranges[v] = (min(x[f"{v}_lo"] for x in spans), max(x[f"{v}_hi"] for x in spans))
+        if spec.exposures:
+            padded = min(x.n_days for x in spans) < WIDTH
+            ranges["t"] = (0.0 if padded else first - 0.5, last - 0.5)
+            ranges["tz"] = (0.0 if padded else 2.0, WIDTH + 1.0)
+        means: dict[str, list[float]] = {}
+        if spec.baseline_k:
+            per_day = np.zeros(last + 1)
+            for x in spans:
+                per_day[x.from_day:x.to_day + 1] += x.n
+            b = bspline_values(np.arange(first, last + 1) - 0.5, *ranges["int_mid"], spec.baseline_k)
+            w = per_day[first:]
+            means["int_mid"] = (w @ b / w.sum()).tolist()
+        out[name] = BasisInfo(ranges, means, table)
     if spec.time_smooths:
-        rows = F.col("n") * (F.col("to_day") - F.col("from_day") + 1)
-        means = _spline_means(blocks, rows, {v: ranges[v] for v in spec.time_smooths}, spec.smooth_k)
-    if spec.baseline_k:
-        per_day = np.zeros(last + 1)
-        for x in spans:
-            per_day[x.from_day:x.to_day + 1] += x.n
-        b = bspline_values(np.arange(first, last + 1) - 0.5, *ranges["int_mid"], spec.baseline_k)
-        w = per_day[first:]
-        means["int_mid"] = (w @ b / w.sum()).tolist()
-    return BasisInfo(ranges, means, lag_lead_weights(blocks.sparkSession, pred, spec.last_day))
-
-
-def _spline_means(blocks: DataFrame, weight: Column, ranges: dict[str, tuple[float, float]],
-                  k: int) -> dict[str, list[float]]:
-    """Weighted means of the spline columns; each task adds up its batches and emits one row per column."""
+        days = F.col("n") * (F.col("to_day") - F.col("from_day") + 1)
+        found = _spline_means(rows, days, [{v: out[x].ranges[v] for v in spec.time_smooths} for x in names], spec.smooth_k)
+        for name, means in zip(names, found):
+            out[name].means.update(means)
+    return out
+
+
+def _spline_means(rows: DataFrame, weight: Column, ranges: list[dict[str, tuple[float, float]]],
+                  k: int) -> list[dict[str, list[float]]]:
+    """Weighted means of the spline columns per stratum; each task adds up its batches and emits one array per stratum."""
+    names = list(ranges[0])
+
     def sums(batches):
-        total = np.zeros(1 + k * len(ranges))
+        total = np.zeros((len(ranges), 1 + k * len(names)))
         for batch in batches:
-            w = batch.column("w").to_numpy()
-            parts = [[w.sum()]]
-            for v, (lo, hi) in ranges.items():
-                parts.append(w @ bspline_values(batch.column(v).to_numpy(), lo, hi, k))
-            total += np.concatenate(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])
-
-    got = (blocks.select(weight.cast("double").alias("w"), *[F.col(v).cast("double").alias(v) for v in ranges])
+            stratum, w = batch.column("stratum").to_numpy(), batch.column("w").to_numpy()
+            x = {v: batch.column(v).to_numpy() for v in names}
+            for i in np.unique(stratum):
+                at = stratum == i
+                total[i] += np.concatenate([[w[at].sum()], *[
+                    w[at] @ bspline_values(x[v][at], *ranges[i][v], k) for v in names]])
+        at = np.arange(total.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], names=["k", "v"])
+
+    got = (rows.select("stratum", weight.cast("double").alias("w"), *[F.col(v).cast("double").alias(v) for v in names])
            .mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect())
     v = np.zeros(len(got))
     for r in got:
         v[r.k] = r.v
-    return {name: (v[1 + i * k:1 + (i + 1) * k] / v[0]).tolist() for i, name in enumerate(ranges)}
+    return [{name: (row[1 + i * k:1 + (i + 1) * k] / row[0]).tolist() for i, name in enumerate(names)}
+            for row in v.reshape(len(ranges), -1)]
 
 
 @dataclass
@@ -430,8 +448,8 @@ def design_rows(df: DataFrame, design: Design, keep: Sequence[str]) -> DataFrame
     return map_rows(df, design, keep, lambda x: {"x": x}, "x array<double>")
 
 
-def column_sums(df: DataFrame, design: Design) -> DataFrame:
-    """Sum of every design column over all rows: ``term, total``; each batch emits its own sums."""
+def column_sums(df: DataFrame, design: Design, weight: str | None = None) -> DataFrame:
+    """Sum of every design column over all rows, times ``weight``: ``term, total``; each task emits its own sums."""
     e_width = WIDTH * len(design.spec.exposures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,12 +458,13 @@ def column_sums(df: DataFrame, design: Design) -> DataFrame:
             z = design.expand(array_values(batch, "z", design.raw_width))
             c = array_values(batch, "c", e_width) if e_width else np.zeros((len(z), 0))
             day = batch.column("_day").to_numpy()
+            w = batch.column(weight).to_numpy() if weight else np.ones(len(z))
             for d in np.unique(day):
                 at = day == d
-                total += design.subject_rows(z[at], c[at], int(d)).sum(axis=0) @ design.day_map(int(d))
+                total += w[at] @ design.subject_rows(z[at], c[at], int(d)) @ design.day_map(int(d))
         yield pa.RecordBatch.from_arrays([pa.array(design.names), pa.array(total)], names=["term", "total"])
 
-    return row_parts(df, design).mapInArrow(run, "term string, total double").groupBy("term").agg(
+    return row_parts(df, design, [weight] if weight else []).mapInArrow(run, "term string, total double").groupBy("term").agg(
         F.sum("total").alias("total"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import cut_lineage, ship_package
 from ..sources.schemas import require_columns
-from .design import BasisInfo, Design, PamSpec, Penalty, array_values, basis_info
+from .design import BasisInfo, Design, PamSpec, Penalty, array_values, basis_info, basis_infos
 from .exposure import WIDTH, LagLead, protein_lag_lead
 from .model import PamModel
 from .ped import FOLLOW_UP
@@ -35,24 +35,32 @@ from .ped import FOLLOW_UP
 SMOOTHING_RANGE = (1e-6, 1e3)
 GROUP_RANGE = (1e-6, 1e4)
 SMOOTHING_START = 1e-3
-#: Values of the group parameter at which a pass is summed, and how far they reach on the log scale.
+#: A smoothing parameter is settled when the restricted log likelihood has less slope than this in its logarithm.
+GRADIENT = 1e-3
+#: A Newton decrement below this that no longer falls is rounding, not distance from the optimum (log likelihood units).
+ROUNDING = 1e-4
+#: Most values of the group parameter at which a pass is summed, and how far they reach on the log scale.
 NODES = 12
 REACH = (0.5, 5.0)
 #: Units whose effects are broadcast together; more units make more blocks of the fit table.
 BLOCK_UNITS = 50_000
-SALTS = 64
-SUMS = "model int, grp string, v array<double>"
+SALTS = 16
+SUMS = "model int, grp string, b double, v array<double>"
 EFFECTS = "model int, grp string, b double, old double"
 
 
 @dataclass(frozen=True)
 class Task:
-    """One model to fit: the 0/1 event column on the subject rows, the subjects it uses, its terms."""
+    """One model to fit: the 0/1 event column on the subject rows, its terms, the subjects it uses.
+
+    With ``own_basis`` its splines take their ranges and centring from the subjects it uses.
+    """
 
     name: str
     event: str
     spec: PamSpec
     rule: Column | None = None
+    own_basis: bool = False
 
 
 def subject_blocks(subjects: DataFrame, time: str = "event_time", from_day: int = 5,
@@ -83,7 +91,7 @@ def _unit_block(n: int) -> Column:
     return F.pmod(F.xxhash64("grp"), F.lit(n)).cast("int")
 
 
-def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: int | None,
+def _prepare(blocks: DataFrame, tasks: Sequence[Task], strata: Sequence[str | None], design: Design, parts: int | None,
              unit_blocks: int = 1) -> DataFrame:
     """Compact fit table: block columns, subject parts, and one event count per model (null: not used).
 
@@ -92,8 +100,8 @@ def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: in
     later met by the effects of its own units only. Rows without a unit are left out.
     """
     spec = design.spec
-    events = [F.when(F.col(f"_use{i}") if t.rule is not None else F.lit(True),
-                     F.col(t.event) * F.col("seen")).cast("double") for i, t in enumerate(tasks)]
+    events = [F.when(F.col(rows) if rows else F.lit(True), F.col(t.event) * F.col("seen")).cast("double")
+              for t, rows in zip(tasks, strata)]
     group = F.col(spec.group).cast("string") if spec.group else F.lit(None).cast("string")
     switch = F.col(spec.group_switch).cast("double") if spec.group else F.lit(0.0)
     compact = blocks.select(
@@ -110,12 +118,12 @@ def _prepare(blocks: DataFrame, tasks: Sequence[Task], design: Design, parts: in
     return cut_lineage(compact.repartition(parts) if parts else compact)
 
 
-def _packed(schema: Sequence[str], model, grp, rows: np.ndarray) -> pa.RecordBatch:
-    """Rows of equal length as one array column beside their model and unit."""
+def _packed(model, grp, b, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of equal length as one array column beside their model, unit and the unit's effect."""
     n, width = rows.shape
-    arrays = [pa.array(np.full(n, model), pa.int32()), pa.array(grp, pa.string()),
+    arrays = [pa.array(np.broadcast_to(model, n).astype(np.int32)), pa.array(grp, pa.string()), pa.array(np.broadcast_to(b, n).astype(float)),
               pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.ravel()))]
-    return pa.RecordBatch.from_arrays(arrays, names=list(schema))
+    return pa.RecordBatch.from_arrays(arrays, names=["model", "grp", "b", "v"])
 
 
 def _triangle(m: np.ndarray) -> np.ndarray:
@@ -129,16 +137,24 @@ def _square(flat: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def _sum_rows(pdf):
-    return pdf.iloc[:1].assign(v=[np.sum(np.stack(pdf["v"].to_list()), axis=0)])
+def _sum_table(table: pa.Table) -> pa.Table:
+    width = len(table.column("v")[0])
+    v = np.concatenate([c.flatten().to_numpy() for c in table.column("v").chunks]).reshape(-1, width).sum(axis=0)
+    return pa.table({"model": table.column("model")[:1], "v": pa.array([v], pa.list_(pa.float64()))})
 
 
 def _added(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sum of the arrays ``v`` per model: first within salts, then over them, so no task holds them all."""
+    """Sum of the arrays ``v`` per model: in SALTS groups by Spark, then over these on the driver."""
     some = rows.withColumn("salt", F.spark_partition_id() % SALTS).select("model", "salt", "v")
-    some = some.groupBy("model", "salt").applyInPandas(_sum_rows, some.schema)
-    got = some.groupBy("model").applyInPandas(_sum_rows, some.schema).toPandas()
-    return {int(m): np.asarray(v, dtype=float) for m, v in zip(got["model"], got["v"])}
+    got = some.groupBy("model", "salt").applyInArrow(_sum_table, "model int, v array<double>").toArrow()
+    out: dict[int, np.ndarray] = {}
+    for batch in got.to_batches():
+        model, v = batch.column("model").to_pylist(), batch.column("v")
+        flat, at = v.flatten().to_numpy(), np.asarray(v.offsets) - v.offsets[0].as_py()
+        for i, m in enumerate(model):
+            part = flat[at[i]:at[i + 1]]
+            out[m] = out[m] + part if m in out else part.copy()
+    return out
 
 
 class _Sums:
@@ -264,49 +280,59 @@ SUM_NAMES = ("model", "grp", "v")
 
 
 def _with_effects(table: DataFrame, effects: DataFrame | None, n_models: int, unit_blocks: int) -> DataFrame:
-    """The fit table with the unit effects of all models as an array; one bounded broadcast per unit block."""
+    """The fit table with the unit effects of all models as an array; one bounded broadcast per folder of units."""
     if effects is None:
         return table.withColumn("b", F.array_repeat(F.lit(0.0), n_models))
-    wide = effects.groupBy("grp").agg(F.array(*[
-        F.coalesce(F.max(F.when(F.col("model") == i, F.col("b"))), F.lit(0.0)) for i in range(n_models)]).alias("b"))
-    parts = [table.where(F.col("block") == k).join(
-        F.broadcast(wide.where(_unit_block(unit_blocks) == k)), "grp", "left") for k in range(unit_blocks)]
-    return reduce(DataFrame.unionByName, parts).withColumn(
+
+    def met(k: int) -> DataFrame:
+        wide = effects.where(F.col("block") == k).groupBy("grp").agg(F.array(*[
+            F.coalesce(F.max(F.when(F.col("model") == i, F.col("b"))), F.lit(0.0)) for i in range(n_models)]).alias("b"))
+        return table.where(F.col("block") == k).join(F.broadcast(wide), "grp", "left")
+
+    return reduce(DataFrame.unionByName, map(met, range(unit_blocks))).withColumn(
         "b", F.coalesce("b", F.array_repeat(F.lit(0.0), n_models)))
 
 
-def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
-          columns: Mapping[int, np.ndarray], n_models: int) -> DataFrame:
-    """The sums of one Newton step for the models in ``betas``: rows (model, grp, v), not yet summed over tasks.
+def _pass(table: DataFrame, designs: Sequence[Design], betas: Mapping[int, np.ndarray],
+          columns: Mapping[int, np.ndarray]) -> DataFrame:
+    """The sums of one Newton step for the models in ``betas``: rows (model, grp, b, v), not yet summed over tasks.
 
     Rows without ``grp`` pack X'WX (upper triangle), the score and the deviance parts of a task; rows with
-    it pack a unit's X'W, weight and score in all columns of ``design``. ``columns`` gives the
-    coefficients a model owns; the others are absent from its sums.
+    it pack a unit's X'W, weight and score in all columns of the designs, beside the unit's effect. The designs share
+    a specification, one stands for each model; ``columns`` gives the coefficients a model owns.
     """
-    grouped = design.spec.group is not None
-    c_width = WIDTH * len(design.spec.exposures)
+    spec, raw_width, p = designs[0].spec, designs[0].raw_width, designs[0].p
+    grouped, n_models = spec.group is not None, len(designs)
+    c_width = WIDTH * len(spec.exposures)
     models = sorted(betas)
+    bases: dict[int, list[int]] = {}
+    for m in models:  # models of one basis share their spline values
+        bases.setdefault(next(i for i, d in enumerate(designs) if d.info is designs[m].info), []).append(m)
     whole = {}
     for m in models:
-        whole[m] = np.zeros(design.p)
+        whole[m] = np.zeros(p)
         whole[m][columns[m]] = betas[m]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        days = np.arange(design.spec.first_day, design.spec.last_day + 1)
-        day = design.day_blocks(days)
-        sums = {m: _Sums(design, day, whole[m]) for m in models}
-        acting = [(t, np.kron(np.eye(len(design.spec.exposures)), day["ll"][t][:, None] * day["bz"]))
-                  for t in range(len(days)) if day["ll"][t].any()] if c_width else []
-        carry: dict[int, tuple[str, np.ndarray]] = {}
+        days = np.arange(spec.first_day, spec.last_day + 1)
+        day = {k: designs[k].day_blocks(days) for k in bases}
+        sums = {m: _Sums(designs[k], day[k], whole[m]) for k, of in bases.items() for m in of}
+        acting: dict[bytes, tuple[list, set[int]]] = {}  # diary splines, and the models that have them
+        for k, of in bases.items() if c_width else ():
+            entry = acting.setdefault(day[k]["bz"].tobytes(), ([], set()))
+            entry[0][:] = [(t, np.kron(np.eye(len(spec.exposures)), day[k]["ll"][t][:, None] * day[k]["bz"]))
+                           for t in range(len(days)) if day[k]["ll"][t].any()]
+            entry[1].update(of)
+        carry: dict[int, tuple[str, float, np.ndarray]] = {}
         for big in batches:
             for start in range(0, big.num_rows, CHUNK):
                 batch = big.slice(start, CHUNK)
-                u, v = design.subject_blocks(design.expand(array_values(batch, "z", design.raw_width)))
-                c = array_values(batch, "c", c_width) if c_width else np.zeros((len(u), 0))
+                raw = array_values(batch, "z", raw_width)
+                c = array_values(batch, "c", c_width) if c_width else np.zeros((len(raw), 0))
                 y = array_values(batch, "y", n_models)
                 first, last = (batch.column(k).to_numpy() for k in ("from_day", "to_day"))
                 n, tail, switch = (batch.column(k).to_numpy() for k in ("n", "last_exposure", "switch"))
-                b = array_values(batch, "b", n_models) * switch[:, None] if grouped else np.zeros((len(u), n_models))
+                effect = array_values(batch, "b", n_models) if grouped else np.zeros((len(raw), n_models))
                 risk = (days[:, None] >= first) & (days[:, None] <= last)
                 exposure = np.where(days[:, None] == last, tail, n) * risk
                 last_index = np.clip(last - days[0], 0, len(days) - 1)
@@ -316,15 +342,22 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
                     coded = batch.column("grp").dictionary_encode()
                     names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
                     names = np.asarray(names, dtype=object)
-                for m in models:
-                    mine = used[:, m]
-                    if not mine.any():
-                        continue
-                    pick = slice(None) if mine.all() else np.flatnonzero(mine)
-                    mu, pieces = sums[m].add(u[pick], v[pick], c[pick], b[pick, m], exposure[:, pick],
-                                             y[pick, m], last_index[pick])
-                    expected[m] = (pick, mu)
-                    if grouped:
+                for k, of in bases.items():
+                    any_model = used[:, of].any(axis=1)
+                    rows = slice(None) if any_model.all() else np.flatnonzero(any_model)
+                    u_all, v_all = designs[k].subject_blocks(designs[k].expand(raw[rows]))
+                    for m in of:
+                        mine = used[rows, m]
+                        if not mine.any():
+                            continue
+                        u, v, pick = u_all, v_all, rows  # a slice copies nothing
+                        if not mine.all():
+                            u, v, pick = u_all[mine], v_all[mine], np.flatnonzero(used[:, m])
+                        mu, pieces = sums[m].add(u, v, c[pick], effect[pick, m] * switch[pick], exposure[:, pick],
+                                                 y[pick, m], last_index[pick])
+                        expected[m] = (pick, mu)
+                        if not grouped:
+                            continue
                         sw, g = switch[pick], code[pick]
                         order = np.argsort(g, kind="stable")
                         g = g[order]
@@ -333,55 +366,71 @@ def _pass(table: DataFrame, design: Design, betas: Mapping[int, np.ndarray],
                         block = sums[m].per_block(pieces) * sw[:, None]
                         weight = total * sw * sw
                         sums[m].parts[3] += weight.sum()
-                        rows = np.hstack([np.add.reduceat(a[order], starts).reshape(len(starts), -1) for a in (
+                        unit_rows = np.hstack([np.add.reduceat(a[order], starts).reshape(len(starts), -1) for a in (
                             block, weight, (y[pick, m] - total) * sw)])
-                        units = names[g[starts]]
+                        units, at = names[g[starts]], effect[pick, m][order[starts]]
                         if m in carry and carry[m][0] == units[0]:
-                            rows[0] += carry[m][1]
+                            unit_rows[0] += carry[m][2]
                         elif m in carry:
-                            yield _packed(SUM_NAMES, m, carry[m][:1], carry[m][1][None, :])
+                            yield _packed(m, [carry[m][0]], carry[m][1], carry[m][2][None, :])
                         if len(units) > 1:
-                            yield _packed(SUM_NAMES, m, units[:-1], rows[:-1])
-                        carry[m] = units[-1], rows[-1].copy()
-                for t, weights in acting:
-                    w = c @ weights
-                    for m, (pick, mu) in expected.items():
-                        wm = w[pick]
-                        sums[m].ee[t] += wm.T @ (wm * mu[t][:, None])
-        for m, (unit, row) in carry.items():
-            yield _packed(SUM_NAMES, m, [unit], row[None, :])
+                            yield _packed(m, units[:-1], at[:-1], unit_rows[:-1])
+                        carry[m] = units[-1], at[-1], unit_rows[-1].copy()
+                for matrices, of in acting.values():
+                    here = [(m, *expected[m]) for m in sorted(of & expected.keys())]
+                    for t, weights in matrices if here else ():
+                        w = c @ weights
+                        for m, pick, mu in here:
+                            wm = w[pick]
+                            sums[m].ee[t] += wm.T @ (wm * mu[t][:, None])
+        for m, (unit, at, row) in carry.items():
+            yield _packed(m, [unit], at, row[None, :])
         for m in models:
             if sums[m].seen:
                 gram, score = sums[m].assemble()
                 k = columns[m]
-                yield _packed(SUM_NAMES, m, [None], np.concatenate(
+                yield _packed(m, [None], 0.0, np.concatenate(
                     [_triangle(gram[np.ix_(k, k)]), score[k], sums[m].parts])[None, :])
 
     return table.mapInArrow(run, SUMS)
 
 
-def _unit_sums(sums: DataFrame, width: int, effects: DataFrame | None) -> DataFrame:
-    """One row per model and unit: its summed array ``v``, its effect ``b`` and the one accepted before."""
-    units = sums.where(F.col("grp").isNotNull()).groupBy("model", "grp").agg(
-        *[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(width)])
-    units = units.select("model", "grp", F.array(*[F.col(f"v{k}") for k in range(width)]).alias("v"))
-    if effects is None:
-        return units.withColumns({"b": F.lit(0.0), "old": F.lit(0.0)})
-    return units.join(effects, ["model", "grp"], "left").fillna(0.0, ["b", "old"])
+def _unit_sums(sums: DataFrame) -> DataFrame:
+    """One row per model and unit: its effect and its summed array ``v``, added up along the sorted rows."""
+
+    def run(batches):
+        held = None  # the unit that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            model, grp = batch.column("model").to_numpy(), np.asarray(batch.column("grp").to_pylist(), object)
+            starts = np.flatnonzero(np.r_[True, (model[1:] != model[:-1]) | (grp[1:] != grp[:-1])])
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            model, grp, b, v = model[starts], grp[starts], batch.column("b").to_numpy()[starts], np.add.reduceat(v, starts)
+            if held and (held[0], held[1]) == (model[0], grp[0]):
+                v[0] += held[3]
+            elif held:
+                yield _packed(held[0], [held[1]], held[2], held[3][None, :])
+            if len(grp) > 1:
+                yield _packed(model[:-1], grp[:-1], b[:-1], v[:-1])
+            held = model[-1], grp[-1], b[-1], v[-1].copy()
+        if held:
+            yield _packed(held[0], [held[1]], held[2], held[3][None, :])
+
+    units = sums.where(F.col("grp").isNotNull()).repartition("model", "grp").sortWithinPartitions("model", "grp")
+    return units.mapInArrow(run, SUMS)
 
 
 def _by_model(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
-    model = batch.column("model").to_numpy()
-    v = array_values(batch, "v", width)
-    b, old = batch.column("b").to_numpy(), batch.column("old").to_numpy()
+    model, v, b = batch.column("model").to_numpy(), array_values(batch, "v", width), batch.column("b").to_numpy()
     for m in np.unique(model):
         at = np.flatnonzero(model == m)
-        yield int(m), at, v[at, :-2], v[at, -2], v[at, -1], b[at], old[at]
+        yield int(m), at, v[at, :-2], v[at, -2], v[at, -1], b[at]
 
 
 def _unit_terms(units: DataFrame, nodes: Mapping[int, np.ndarray], scale: Mapping[int, float],
-                columns: Mapping[int, np.ndarray], width: int) -> dict[int, np.ndarray]:
-    """What eliminating the unit effects contributes at each value of the group parameter in ``nodes``.
+                columns: Mapping[int, np.ndarray], width: int) -> DataFrame:
+    """What eliminating the unit effects contributes at each value of the group parameter in ``nodes``; to be added up.
 
     Per model a matrix with a row per node. Parts that fall with the parameter are multiplied by it plus
     ``scale`` (once or twice), which keeps them level and their interpolation exact towards both ends.
@@ -390,7 +439,7 @@ def _unit_terms(units: DataFrame, nodes: Mapping[int, np.ndarray], scale: Mappin
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for m, _, c, sw, s, b, _ in _by_model(batch, width):
+            for m, _, c, sw, s, b in _by_model(batch, width):
                 c = c[:, columns[m]]
                 got = []
                 for lam in nodes[m]:
@@ -404,10 +453,9 @@ def _unit_terms(units: DataFrame, nodes: Mapping[int, np.ndarray], scale: Mappin
                 flat = np.concatenate(got)
                 total[m] = total[m] + flat if m in total else flat
         for m, flat in total.items():
-            yield _packed(SUM_NAMES, m, [None], flat[None, :])
+            yield _packed(m, [None], 0.0, flat[None, :])
 
-    got = _added(units.mapInArrow(run, SUMS))
-    return {m: v.reshape(len(nodes[m]), -1) for m, v in got.items()}
+    return units.mapInArrow(run, SUMS)
 
 
 def _between(nodes: np.ndarray, values: np.ndarray, scale: float, p: int):
@@ -434,28 +482,29 @@ def _between(nodes: np.ndarray, values: np.ndarray, scale: float, p: int):
 
 
 def _nodes(lam: float, reach: float, low: float, high: float) -> np.ndarray:
-    """Chebyshev points of the log parameter around ``lam``, inside its range."""
+    """Chebyshev points of the log parameter around ``lam``, inside its range.
+
+    What they interpolate has its nearest poles pi away from the log scale, so a narrower range needs fewer of them.
+    """
     a, b = max(math.log(lam) - reach, math.log(low)), min(math.log(lam) + reach, math.log(high))
-    return np.exp((a + b) / 2 + (b - a) / 2 * np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES)))
+    n = min(NODES, max(4, math.ceil(18 / math.asinh(2 * math.pi / max(b - a, 1e-3)))))
+    return np.exp((a + b) / 2 + (b - a) / 2 * np.cos((2 * np.arange(n) + 1) * np.pi / (2 * n)))
 
 
 def _moved_effects(units: DataFrame, steps: Mapping[int, tuple[float, np.ndarray]],
                    columns: Mapping[int, np.ndarray], width: int) -> DataFrame:
-    """Unit effects after a step (group parameter, coefficient step) of their model; without one, halfway back."""
+    """Unit effects after a step (group parameter, coefficient step) of their model."""
 
     def run(batches):
         for batch in batches:
-            b, old = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for m, at, c, sw, s, now, before in _by_model(batch, width):
-                if m in steps:
-                    lam, delta = steps[m]
-                    b[at], old[at] = now + (s - lam * now - c[:, columns[m]] @ delta) / (sw + lam), now
-                else:
-                    b[at], old[at] = (now + before) / 2, before
-            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("grp"), pa.array(b), pa.array(old)],
+            b = batch.column("b").to_numpy().copy()
+            for m, at, c, sw, s, now in _by_model(batch, width):
+                lam, delta = steps[m]
+                b[at] = now + (s - lam * now - c[:, columns[m]] @ delta) / (sw + lam)
+            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("grp"), pa.array(b), batch.column("b")],
                                              names=["model", "grp", "b", "old"])
 
-    return units.mapInArrow(run, EFFECTS)
+    return units.where(F.col("model").isin(list(steps))).mapInArrow(run, EFFECTS)
 
 
 class _State:
@@ -479,6 +528,8 @@ class _State:
         self.edf = math.inf
         self.passes = 0
         self.done = False
+        self.gradient = self.decrement = math.inf
+        self.group_edf = 0.0
         self.previous = None
         self.cov = None
         self.halvings = 0
@@ -502,12 +553,12 @@ class _State:
             s += lam * pen.matrix
         return s
 
-    def pseudo_traces(self) -> np.ndarray:
+    def pseudo_traces(self, lam: np.ndarray) -> np.ndarray:
         """tr(S^- S_j) for every penalty, from the shared eigenvalues of a term's penalties."""
         out = np.zeros(len(self.pen))
         for term in {p.term for p in self.pen}:
             at = [k for k, p in enumerate(self.pen) if p.term == term]
-            total = sum(self.lam[k] * self.pen[k].eigen for k in at)
+            total = sum(lam[k] * self.pen[k].eigen for k in at)
             for k in at:
                 ok = total > 0
                 out[k] = (self.pen[k].eigen[ok] / total[ok]).sum()
@@ -526,57 +577,112 @@ def _solve(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _step(st: _State, group_terms, smooth: bool, rounds: int = 100):
-    """Newton step with the sums of this pass; smoothing parameters by generalised Fellner-Schall updates.
+class _Working:
+    """The penalised weighted least squares problem of one pass at given smoothing parameters.
 
-    The sums are held fixed while the parameters are iterated, the group parameter within the reach of
-    this pass. Returns the coefficient step, its Newton decrement, the effective degrees of freedom and
-    the group parameter of the step.
+    ``gradient`` is that of the restricted log likelihood (negative) in the logarithms of the parameters, the
+    group's last; ``fellner`` are their generalised Fellner-Schall updates, which never worsen it.
     """
-    has_groups = group_terms is not None
-    before, used_group, start_group = None, st.lam_group, st.lam_group
-    low, high = (f * st.unit for f in SMOOTHING_RANGE)
-    if has_groups:
-        around = _nodes(start_group, st.reach, *(f * st.unit_group for f in GROUP_RANGE)) if smooth else [start_group]
+
+    def __init__(self, st: _State, log_lam: np.ndarray, group_terms):
+        lam = np.exp(log_lam)
+        own_lam, n = lam[:len(st.pen)], len(st.pen)
+        s = np.zeros((st.p, st.p))
+        for x, pen in zip(own_lam, st.pen):
+            s += x * pen.matrix
+        h, score, own = st.gram + s, st.score - s @ st.beta, 0.0
+        if group_terms is not None:
+            cc, cc2, cs, cplain, rest = group_terms(lam[-1])
+            h, score, own = h - cc, score - cs, rest[0]
+        self.v = _solve(h)
+        self.delta = self.v @ score
+        self.decrement = float(score @ self.delta + own)
+        beta = st.beta + self.delta
+        traces = np.array([np.sum(self.v * pen.matrix) for pen in st.pen])
+        squares = np.array([beta @ pen.matrix @ beta for pen in st.pen])
+        ranks = st.pseudo_traces(own_lam)
+        self.edf, self.group_edf = st.p - float(own_lam @ traces), 0.0
+        if group_terms is not None:
+            spread = rest[2] + np.sum(self.v * cc2)
+            self.group_edf = rest[3] - lam[-1] * spread
+            self.edf += self.group_edf
+            traces = np.append(traces, spread)
+            squares = np.append(squares, rest[1] - 2 * self.delta @ cplain + self.delta @ cc2 @ self.delta)
+            ranks = np.append(ranks, rest[3] / lam[-1])
+        self.gradient = 0.5 * lam * (squares + traces - ranks)
+        with np.errstate(divide="ignore"):
+            self.fellner = np.log(lam * np.maximum(ranks - traces, 1e-300) / np.maximum(squares, 1e-300))
+
+
+def _projected(gradient: np.ndarray, log_lam: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The gradient without what points out of the box."""
+    out = ((log_lam <= low) & (gradient > 0)) | ((log_lam >= high) & (gradient < 0))
+    return np.where(out, 0.0, gradient)
+
+
+def _newton(st: _State, log_lam: np.ndarray, low: np.ndarray, high: np.ndarray, group_terms, rounds: int = 60):
+    """The smoothing parameters that maximise the restricted likelihood of this pass, inside the box.
+
+    Newton steps on their logarithms with differenced gradients; where the curvature is not positive or a step
+    does not bring the gradient down, a Fellner-Schall step is taken instead.
+    """
+    now = _Working(st, log_lam, group_terms)
     for _ in range(rounds):
-        used_group = st.lam_group
-        s = st.penalty()
-        h = st.gram + s
-        score = st.score - s @ st.beta
-        own = 0.0
-        if has_groups:
-            cc, cc2, cs, cplain, rest = group_terms(st.lam_group)
-            h = h - cc
-            score = score - cs
-            own = rest[0]
-        v = _solve(h)
-        delta = v @ score
-        beta = st.beta + delta
-        used = [np.sum(v * pen.matrix) for pen in st.pen]
-        edf = st.p - float(np.dot(st.lam, used)) if st.pen else float(st.p)
-        if has_groups:
-            spread = rest[2] + np.sum(v * cc2)
-            edf += rest[3] - st.lam_group * spread
-        if not smooth:
+        slope = _projected(now.gradient, log_lam, low, high)
+        free = np.flatnonzero(slope)
+        if not len(free) or np.abs(slope).max() < GRADIENT / 10:
             break
-        new = np.array([
-            lam * max(t - u, 1e-12 / lam) / max(beta @ pen.matrix @ beta, 1e-300)
-            for lam, pen, t, u in zip(st.lam, st.pen, st.pseudo_traces(), used)])
-        new = np.clip(new, low, high)
-        group_new = st.lam_group
-        if has_groups:
-            squares = rest[1] - 2 * delta @ cplain + delta @ cc2 @ delta
-            group_new = float(np.clip(max(rest[3] - st.lam_group * spread, 0.0) / max(squares, 1e-300),
-                                      min(around), max(around)))
-        now = np.append(st.lam * used, st.lam_group * spread if has_groups else 0.0)
-        if before is not None and np.abs(now - before).max() < 1e-4:
+        hessian = np.zeros((len(free), len(free)))
+        for k, i in enumerate(free):
+            moved = log_lam.copy()
+            moved[i] += 1e-4 if log_lam[i] + 1e-4 <= high[i] else -1e-4
+            hessian[k] = (_Working(st, moved, group_terms).gradient - now.gradient)[free] / (moved[i] - log_lam[i])
+        hessian = (hessian + hessian.T) / 2
+        chosen = None
+        if np.linalg.eigvalsh(hessian).min() > 1e-8:
+            tried = log_lam.copy()
+            tried[free] -= np.clip(np.linalg.solve(hessian, slope[free]), -3, 3)
+            tried = np.clip(tried, low, high)
+            there = _Working(st, tried, group_terms)
+            if np.linalg.norm(_projected(there.gradient, tried, low, high)) < 0.9 * np.linalg.norm(slope):
+                chosen = tried, there
+        if chosen is None:
+            tried = np.clip(now.fellner, np.maximum(low, log_lam - 5), np.minimum(high, log_lam + 5))
+            chosen = tried, _Working(st, tried, group_terms)
+        if np.abs(chosen[0] - log_lam).max() < 1e-9:
             break
-        before = now
-        st.lam, st.lam_group = new, group_new
-    st.cov = v
-    if has_groups and smooth:
-        st.reach = float(np.clip(3 * abs(math.log(used_group / start_group)), *REACH))
-    return delta, float(score @ v @ score + own), edf, used_group
+        log_lam, now = chosen
+    return log_lam, now
+
+
+def _step(st: _State, group_terms, smooth: bool) -> tuple[np.ndarray, float, float]:
+    """Newton step with the sums of this pass: coefficient step, its Newton decrement, group parameter of the step.
+
+    The sums are held fixed while the smoothing parameters are moved, the group's within the reach of this pass. The
+    state keeps the restricted likelihood's gradient at the parameters it came with.
+    """
+    has_groups = group_terms is not None
+    log_lam = np.log(np.append(st.lam, st.lam_group) if has_groups else st.lam)
+    now = _Working(st, log_lam, group_terms)
+    if smooth and len(log_lam):
+        unit = np.append(st.unit, st.unit_group) if has_groups else st.unit
+        factor = np.array([SMOOTHING_RANGE] * len(st.pen) + [GROUP_RANGE] * has_groups).reshape(-1, 2)
+        low, high = np.log(factor[:, 0] * unit), np.log(factor[:, 1] * unit)
+        log_lam = np.clip(log_lam, low, high)
+        st.gradient = float(np.abs(_projected(now.gradient, log_lam, low, high)).max())
+        if has_groups:
+            around = np.log(_nodes(st.lam_group, st.reach, *(f * st.unit_group for f in GROUP_RANGE)))
+            low[-1], high[-1] = around.min(), around.max()
+        start = log_lam[-1]
+        log_lam, now = _newton(st, np.clip(log_lam, low, high), low, high, group_terms)
+        st.lam = np.exp(log_lam[:len(st.pen)])
+        if has_groups:
+            st.lam_group = float(np.exp(log_lam[-1]))
+            st.reach = float(np.clip(3 * abs(log_lam[-1] - start), *REACH))
+    else:
+        st.gradient = 0.0
+    st.cov, st.edf, st.group_edf = now.v, now.edf, now.group_edf
+    return now.delta, now.decrement, st.lam_group
 
 
 def _objective(st: _State, group_square: float) -> float:
@@ -587,32 +693,40 @@ def _objective(st: _State, group_square: float) -> float:
 def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_lag_lead,
              info: BasisInfo | None = None, smooth: bool = True, smoothing: Mapping[str, float] | None = None,
              max_passes: int = 200, tol: float = 1e-7, parts: int | None = None,
-             block_units: int = BLOCK_UNITS) -> dict[str, PamModel]:
+             block_units: int = BLOCK_UNITS, spec: PamSpec | None = None) -> dict[str, PamModel]:
     """Fit several models that share one set of subject rows; each pass over the data serves all of them.
 
-    The first task's specification must contain the terms of all others. With ``smooth`` the smoothing
-    parameters are estimated; otherwise ``smoothing`` fixes them (by penalty label, default 1). Unit effects
-    are broadcast ``block_units`` units at a time, which changes no result.
+    ``spec`` contains the terms of all tasks (default: the first task's). With ``smooth`` the smoothing
+    parameters maximise the restricted likelihood of the working model, as a performance iteration: a fit is done when
+    both the Newton decrement and the gradient in the log parameters are small. Otherwise ``smoothing`` fixes them (by
+    penalty label, default 1). Splines are those of ``info``, by default of all rows, but tasks with a basis of
+    their own take it from their rows. Unit effects are broadcast ``block_units`` units at a time, which changes no result.
     """
     spark = blocks.sparkSession
     ship_package(spark)
-    spec = tasks[0].spec
-    require_columns(blocks, ["from_day", "to_day", "n", "last_exposure", "seen", *spec.covariates,
-                             *spec.exposures, *([spec.group, spec.group_switch] if spec.group else [])],
-                    "blocks")
+    spec = spec or tasks[0].spec
     used = ["from_day", "to_day", "n", "last_exposure", "seen", *spec.covariates, *spec.exposures,
             *(["n_days"] if spec.exposures else []),
             *([spec.group, spec.group_switch] if spec.group else [])]
-    rules = {f"_use{i}": t.rule for i, t in enumerate(tasks) if t.rule is not None}
-    blocks = cut_lineage(blocks.withColumns(rules).select(
-        *dict.fromkeys([*used, *[t.event for t in tasks], *rules])) if rules else
-        blocks.select(*dict.fromkeys([*used, *[t.event for t in tasks]])))
-    info = info or basis_info(blocks, spec, pred)
-    full = Design(spec, info)
-    designs = [Design(t.spec, info) for t in tasks]
-    place = {n: i for i, n in enumerate(full.names)}
+    require_columns(blocks, [c for c in used if c != "n_days"], "blocks")
+    rules: dict[str, Column] = {}
+    strata = []  # the column that marks a task's rows; tasks with the same rule share it
+    for t in tasks:
+        known = next((name for name, rule in rules.items() if rule is t.rule), f"_use{len(rules)}")
+        strata.append(known if t.rule is not None else None)
+        rules |= {known: t.rule} if t.rule is not None else {}
+    blocks = cut_lineage((blocks.withColumns(rules) if rules else blocks).select(
+        *dict.fromkeys([*used, *[t.event for t in tasks], *rules])))
+    own = {s: F.col(s) for s, t in zip(strata, tasks) if t.own_basis and s}
+    bases = basis_infos(blocks, spec, pred, own) if own else {}
+    if info is None and any(s not in bases for s in strata):
+        info = basis_info(blocks, spec, pred)
+    infos = [bases.get(s, info) for s in strata]
+    fulls = [Design(spec, one) for one in infos]
+    designs = [Design(t.spec, one) for t, one in zip(tasks, infos)]
+    place = {n: i for i, n in enumerate(fulls[0].names)}
     columns = {i: np.array([place[n] for n in d.names]) for i, d in enumerate(designs)}
-    states = [_State(i, t, full, full.penalties(), columns[i]) for i, t in enumerate(tasks)]
+    states = [_State(i, t, full, full.penalties(), columns[i]) for i, (t, full) in enumerate(zip(tasks, fulls))]
     for st in states:
         for k, pen in enumerate(st.pen):
             st.lam[k] = (smoothing or {}).get(pen.label, 1.0)
@@ -621,7 +735,7 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
     grouped = spec.group is not None
     n_groups = blocks.agg(F.count_distinct(spec.group)).first()[0] if grouped else 0
     unit_blocks = max(1, math.ceil(n_groups / block_units))
-    table = _prepare(blocks, tasks, full, parts, unit_blocks)
+    table = _prepare(blocks, tasks, strata, fulls[0], parts, unit_blocks)
     start = table.agg(*[f(i) for i in range(len(tasks)) for f in (
         lambda i: F.sum(F.when(~F.isnull(F.col("y")[i]), F.col("y")[i])).alias(f"e{i}"),
         lambda i: F.sum(F.when(~F.isnull(F.col("y")[i]), F.col("n") * (F.col("to_day") - F.col("from_day"))
@@ -633,31 +747,44 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
         st.beta[0] = math.log(events / time)
 
     effects: DataFrame | None = None
-    width = full.p + 2
+    width = fulls[0].p + 2
 
-    for _ in range(max_passes):
-        active = [st for st in states if not st.done]
-        if not active:
-            break
-        met = _with_effects(table, effects, len(tasks), unit_blocks) if grouped else table
-        sums = _pass(met, full, {st.index: st.beta for st in active}, columns, len(tasks))
-        if grouped:
-            sums = cut_lineage(sums)
-        got = _added(sums.where(F.col("grp").isNull()))
+    def starting(got: dict[int, np.ndarray], active: list[_State]) -> None:
         for st in active:
             st.load(got[st.index])
             if not st.passes and smooth:
                 st.scale_penalties(n_groups)
                 st.lam, st.lam_group = st.unit * SMOOTHING_START, st.unit_group
+
+    for _ in range(max_passes):
+        active = [st for st in states if not st.done]
+        if not active:
+            break
+        met = _with_effects(table, effects, len(tasks), unit_blocks) if grouped else table
+        sums = _pass(met, fulls, {st.index: st.beta for st in active}, columns)
         terms, squares = {}, {}
-        if grouped:
-            units = _unit_sums(sums, width, effects).persist()
+        if not grouped:
+            starting(_added(sums), active)
+        else:
+            sums = cut_lineage(sums)
+            units = _unit_sums(sums).persist()
+            own_sums = sums.where(F.col("grp").isNull())
+            known = all(st.passes for st in active) or not smooth
+            if not known:  # the first pass tells the units of the parameters
+                starting(_added(own_sums), active)
             nodes = {st.index: _nodes(st.lam_group, st.reach, *(f * st.unit_group for f in GROUP_RANGE)) if smooth
                      else np.array([st.lam_group]) for st in active}
             scales = {st.index: st.unit_group for st in active}
-            for m, values in _unit_terms(units, nodes, scales, columns, width).items():
-                terms[m] = _between(nodes[m], values, scales[m], len(columns[m]))
-                squares[m] = float(values[0, -1])
+            of_units = _unit_terms(units, nodes, scales, columns, width)
+            shift = len(tasks)  # both kinds of sums in one job
+            both = of_units.withColumn("model", F.col("model") + shift)
+            got = _added(both.unionByName(own_sums) if known else both)
+            if known:
+                starting(got, active)
+            for st in active:
+                values = got[st.index + shift].reshape(len(nodes[st.index]), -1)
+                terms[st.index] = _between(nodes[st.index], values, scales[st.index], st.p)
+                squares[st.index] = float(values[0, -1])
         steps: dict[int, tuple[float, np.ndarray]] = {}
         for st in active:
             square = squares.get(st.index, 0.0)
@@ -671,19 +798,22 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
                 st.beta = before["beta"] + (st.beta - before["beta"]) / 2
                 continue
             st.halvings = 0
-            edf_before = st.edf
-            delta, decrement, st.edf, lam_group = _step(st, terms.get(st.index), smooth)
-            st.done = bool(decrement < tol * max(st.parts[0], 1.0) and (
-                not smooth or abs(st.edf - edf_before) < 0.01))
+            delta, decrement, lam_group = _step(st, terms.get(st.index), smooth)
+            stalled = st.decrement / 2 < decrement < ROUNDING
+            st.done = bool((stalled or decrement < tol * max(st.parts[0], 1.0)) and st.gradient < GRADIENT)
+            st.decrement = decrement
             st.previous = {"beta": st.beta.copy(), "expected": st.parts[0],
                            "objective": _old_objective(st, st.parts.copy(), st.beta.copy(), square)}
             steps[st.index] = (lam_group, delta)
             st.beta = st.beta + delta
         if grouped:
-            moved = _moved_effects(units, steps, columns, width)
+            moved = _moved_effects(units, steps, columns, width) if steps else None
+            halved = [st.index for st in active if st.index not in steps]
             if effects is not None:
-                moved = moved.unionByName(effects.where(~F.col("model").isin([st.index for st in active])))
-            effects = cut_lineage(moved)
+                back = F.when(F.col("model").isin(halved), (F.col("b") + F.col("old")) / 2).otherwise(F.col("b"))
+                kept = effects.where(~F.col("model").isin(list(steps))).select("model", "grp", back.alias("b"), "old")
+                moved = kept if moved is None else moved.unionByName(kept)
+            effects = cut_lineage(moved.withColumn("block", _unit_block(unit_blocks)), by=["block"])
             units.unpersist()
 
     unsettled = [st.task.name for st in states if not st.done]
@@ -696,14 +826,21 @@ def fit_many(blocks: DataFrame, tasks: Sequence[Task], pred: LagLead = protein_l
         if grouped:
             groups = effects.where(F.col("model") == st.index).select("grp", F.col("b").alias("effect"))
         out[st.task.name] = PamModel(
-            st.task.name, st.task.spec, info, st.beta, st.cov,
+            st.task.name, st.task.spec, design.info, st.beta, st.cov,
             {**{p.label: float(v) for p, v in zip(st.pen, st.lam)},
              **({"group": float(st.lam_group)} if grouped else {})},
-            {"edf": float(st.edf), "passes": st.passes, "converged": float(st.done),
-             "events": float(st.parts[2]), "expected": float(st.parts[0])}, groups)
+            {"edf": float(st.edf), "passes": st.passes, "converged": float(st.done), "gradient": st.gradient,
+             "events": float(st.parts[2]), "expected": float(st.parts[0]), **_term_edf(st, design, grouped)}, groups)
     return out
 
 
+def _term_edf(st: _State, design: Design, grouped: bool) -> dict[str, float]:
+    """Effective degrees of freedom of each smooth: the trace of its part of I - V S."""
+    lost = np.einsum("ij,ji->i", st.cov, st.penalty())
+    out = {f"edf {term}": float(b - a - lost[a:b].sum()) for term, (a, b) in design.spans.items()}
+    return {**out, "edf units": float(st.group_edf)} if grouped else out
+
+
 def fit_pam(blocks: DataFrame, spec: PamSpec, event: str, name: str = "model", **options) -> PamModel:
     """Fit one model."""
     return fit_many(blocks, [Task(name, event, spec)], **options)[name]

@@ -73,25 +73,14 @@ def fit_main(subjects: DataFrame, spec: PamSpec, **options) -> dict[str, PamMode
 
 def fit_subgroups(subjects: DataFrame, spec: PamSpec, groups: Sequence[Subgroup] | None = None,
                   shared_basis: BasisInfo | None = None, **options) -> dict[str, PamModel]:
-    """Both causes in every stratum.
+    """Both causes in every stratum, all fitted in one set of passes.
 
-    By default each stratum takes its spline ranges from its own subjects. With ``shared_basis`` all
-    strata use the given ranges and are fitted in one set of passes.
+    By default each stratum takes its spline ranges and centring from its own subjects; with ``shared_basis`` all
+    strata use the given one.
     """
-    groups = subgroups() if groups is None else groups
-    if shared_basis is not None:
-        tasks = [Task("all", CAUSES[0][1], spec)] + [
-            Task(f"{g.name}_{name}", col, spec.without(*g.without), g.rule)
-            for g in groups for name, col in CAUSES]
-        out = fit_many(subject_blocks(subjects), tasks, info=shared_basis, **options)
-        out.pop("all")
-        return out
-    out = {}
-    for g in groups:
-        mine = subject_blocks(subjects.where(g.rule))
-        tasks = [Task(f"{g.name}_{name}", col, spec.without(*g.without)) for name, col in CAUSES]
-        out.update(fit_many(mine, tasks, **options))
-    return out
+    tasks = [Task(f"{g.name}_{name}", col, spec.without(*g.without), g.rule, own_basis=shared_basis is None)
+             for g in (subgroups() if groups is None else groups) for name, col in CAUSES]
+    return fit_many(subject_blocks(subjects), tasks, info=shared_basis, spec=spec, **options)
 
 
 def diet_frames(subjects: DataFrame) -> DataFrame:

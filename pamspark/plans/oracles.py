@@ -502,6 +502,25 @@ def normal_quantile_sql(p: str) -> str:
     return f"CASE WHEN {p} < {low} THEN {far} WHEN {p} > 1 - {low} THEN -({far}) ELSE {near} END"
 
 
+#: Smooths with their numbers of coefficients; strata with their rule and whether BMI and the feeding days are terms.
+SMOOTH_TERMS = (("s(int_mid)", 9), ("s(Age):int_mid", 9), ("s(BMI):int_mid", 9),
+                ("te(t,tz):I(LL * proteinCat3)", 25), ("te(t,tz):I(LL * proteinCat2)", 25))
+STRATA = (("medical", "AdmCatID = 'Medical'", True, True), ("elective", "AdmCatID = 'Surgical/Elective'", True, True),
+          ("emergency", "AdmCatID = 'Surgical/Emeregency'", True, True), ("bmi1", "bmi_cat = 'bmi<18.5'", False, True),
+          ("bmi2", "bmi_cat = 'bmi18.5-30'", False, True), ("bmi3", "bmi_cat = 'bmi>30'", False, True),
+          ("pn01", "pn_bin = 'pn01'", True, False), ("pn23", "pn_bin = 'pn23'", True, False))
+
+
+def _zero_scores(model: str, rule: str, factors: list[str], linear: int, terms) -> str:
+    """The score equations of a settled fit: numbers of coefficients from the tables, all scores zero."""
+    levels = " + ".join(f"(SELECT count(DISTINCT {f}) - 1 FROM ped)" for f in factors)
+    parts = [("parametric", f"{1 + linear} + {levels}"), *[(t, str(n)) for t, n in terms],
+             ("smoothing", str(1 + sum(t.startswith("s(") for t, _ in terms) + 2)),
+             ("units", f"(SELECT count(DISTINCT CombinedicuID) FROM ped WHERE {rule})")]
+    return " UNION ALL ".join(
+        f"SELECT '{model}' AS model, '{t}' AS term, CAST({n} AS BIGINT) AS n, 0.0::DOUBLE AS score" for t, n in parts)
+
+
 def model_sql() -> dict[str, str]:
     """Saved models and tables, smooths and unit effects under given parameters, and what every fit must meet."""
     q = with_shared
@@ -512,7 +531,24 @@ def model_sql() -> dict[str, str]:
                              ("sens_death", "sum(CASE WHEN early AND event_time <= tend THEN 1 ELSE ped_status_1 END)"),
                              ("sens_extubation", "sum(CASE WHEN early THEN 0 ELSE ped_status_2 END)"))
         for f in ("Year", "DiagID2", "AdmCatID", "Gender"))
+    strata = " UNION ALL ".join(
+        _zero_scores(f"{name}_{cause}", rule, ["Year", "DiagID2", "Gender"], 5 + pn,
+                     [t for t in SMOOTH_TERMS if bmi or "BMI" not in t[0]])
+        for name, rule, bmi, pn in STRATA for cause in ("death", "extubation"))
+    main = " UNION ALL ".join(_zero_scores(name, "true", ["Year", "DiagID2", "AdmCatID", "Gender"], 6, SMOOTH_TERMS)
+                              for name in ("death", "extubation", "sens_death", "sens_extubation"))
     return {
+        "score_equations": q(["ped"], f"SELECT * FROM ({main}) s"),
+        "score_equations_subgroups": q(["ped"], f"SELECT * FROM ({strata}) s"),
+        "cif_invariants": q(["labels"], """SELECT protocol, CAST(500 * 56 AS BIGINT) AS n_points, 0::BIGINT AS above_one,
+  0::BIGINT AS falling FROM labels"""),
+        "posterior_draws_given": q(["draws"], f"""SELECT sim_id, CAST(j - 1 AS INT) AS place,
+  round(m + s * (z + 0.5 * coalesce(lag(z) OVER (PARTITION BY sim_id ORDER BY j), 0)), 6) AS beta
+FROM (SELECT sim_id, j, m, s, {normal_quantile_sql('p')} AS z
+  FROM (SELECT i AS sim_id, j, m, s,
+      (('0x' || substr(md5('7:' || i || ':' || (j - 1)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE AS p
+    FROM (SELECT CAST(j AS BIGINT) AS j, avg(e) - CASE WHEN j = 1 THEN 3 ELSE 0 END AS m, stddev_samp(e) AS s
+      FROM draws WHERE j <= 51 GROUP BY j) d, range(0, 500) r(i)) u) z"""),
         "linear_predictor_reread": exposure_sql()["linear_predictor_given"],
         "life_table_reread": q(["ped"], """SELECT AdmCatID, tend, count(*) AS at_risk,
   CAST(sum(ped_status_1) AS BIGINT) AS dying FROM ped GROUP BY AdmCatID, tend"""),

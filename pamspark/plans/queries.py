@@ -473,11 +473,74 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
     }
 
 
-# ---- fitted models: no closed form, hence rows only ---------------------------------------------
+# ---- fitted models: no closed form; what every fit must meet, and rows only ----------------------
+
+_FITS: dict[tuple[str, str, str], tuple] = {}
+
+
+def _fitted_once(x: Inputs, kind: str, fit) -> tuple:
+    """Subjects and models of a table folder, fitted once per application whichever queries ask for them."""
+    key = (x.spark.sparkContext.applicationId, x.sf_dir, kind)
+    if key not in _FITS:
+        subjects = an.study_subjects(x.patient, x.daily)
+        _FITS[key] = subjects, fit(subjects, an.study_spec(subjects))
+    return _FITS[key]
+
 
 def _main_models(x: Inputs):
-    subjects = an.study_subjects(x.patient, x.daily)
-    return subjects, an.fit_main(subjects, an.study_spec(subjects))
+    return _fitted_once(x, "main", an.fit_main)
+
+
+def _subgroup_models(x: Inputs):
+    """Every stratum on its own knots."""
+    return _fitted_once(x, "subgroups", an.fit_subgroups)
+
+
+def _scores(subjects: DataFrame, models: dict[str, mo.PamModel], events, rules) -> DataFrame:
+    out = None
+    for name, m in models.items():
+        mine = subjects if rules(name) is None else subjects.where(rules(name))
+        keep = [*m.spec.covariates, *m.spec.exposures, m.spec.group, m.spec.group_switch, "n_days"]
+        cause = events(name)
+        rows = pe.as_ped(mine.withColumns({"delta_1": F.col(cause), "delta_2": F.lit(0)}), from_day=5, keep=keep)
+        one = ef.score_equations(m, rows, "ped_status_1").select(
+            F.lit(name).alias("model"), "term", "n", F.round(F.abs("score"), 2).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _score_equations(x: Inputs) -> DataFrame:
+    """Estimated fits of the four main models, checked row by row."""
+    subjects, models = _main_models(x)
+    causes = dict(an.CAUSES)
+    return _scores(subjects, models, lambda n: n.replace(n.split("_")[-1], causes[n.split("_")[-1]]), lambda n: None)
+
+
+def _score_equations_subgroups(x: Inputs) -> DataFrame:
+    subjects, models = _subgroup_models(x)
+    causes, rules = dict(an.CAUSES), {g.name: g.rule for g in an.subgroups()}
+    return _scores(subjects, models, lambda n: causes[n.split("_")[1]], lambda n: rules[n.split("_")[0]])
+
+
+def _cif_invariants(x: Inputs) -> DataFrame:
+    """Points of the simulated incidence curves, and those that no incidence can have."""
+    subjects, models = _main_models(x)
+    pair = [models["death"], models["extubation"]]
+    draws = [ci.posterior_draws(m, x.spark, 500, 1 + i) for i, m in enumerate(pair)]
+    return ci.broken_curves(ci.cif_curves(draws, pair, an.diet_frames(subjects)))
+
+
+DRAW_SEED = 7
+
+
+def _posterior_draws_given(x: Inputs) -> DataFrame:
+    """Draws of a model whose covariance has a given root: the spread of the given vectors, neighbours correlated."""
+    given = _given_model(x)
+    spread = np.sqrt(np.diag(given.cov))
+    root = np.diag(spread) + np.diag(0.5 * spread[1:], -1)
+    model = mo.PamModel("given", given.spec, given.info, given.beta, root @ root.T)
+    draws = ci.posterior_draws(model, x.spark, 500, DRAW_SEED)
+    return draws.select("sim_id", F.posexplode("beta").alias("place", "beta"))
 
 
 def _fit_summary(x: Inputs, models) -> DataFrame:
@@ -493,10 +556,11 @@ def _fit_main(x: Inputs) -> DataFrame:
 
 
 def _fit_subgroups(x: Inputs) -> DataFrame:
-    subjects = an.study_subjects(x.patient, x.daily)
-    spec = an.study_spec(subjects)
-    info = de.basis_info(fi.subject_blocks(subjects), spec)
-    return _fit_summary(x, an.fit_subgroups(subjects, spec, shared_basis=info))
+    return _fit_summary(x, _subgroup_models(x)[1])
+
+
+def _fit_edf(x: Inputs) -> DataFrame:
+    return ef.edf_table([*_main_models(x)[1].values(), *_subgroup_models(x)[1].values()], x.spark)
 
 
 def _six_comparisons_fit(x: Inputs) -> DataFrame:
@@ -528,6 +592,11 @@ def fitted_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "smooth_table": _smooth_table,
         "group_effect_qq": _group_effect_qq,
         "cif_simulated": _cif_simulated,
+        "fit_edf": _fit_edf,
+        "score_equations": _score_equations,
+        "score_equations_subgroups": _score_equations_subgroups,
+        "cif_invariants": _cif_invariants,
+        "posterior_draws_given": _posterior_draws_given,
     }
 
 

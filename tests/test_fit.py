@@ -89,14 +89,14 @@ def test_block_sums_equal_the_dense_products(subjects, spec, main_model):
     beta = 0.1 * np.random.default_rng(5).standard_normal(d.p) / (1 + np.abs(x).max(axis=0))
     beta[0] = -4
     task = fi.Task("t", "delta_1", spec)
-    table = fi._with_effects(fi._prepare(fi.subject_blocks(subjects), [task], d, 3), None, 1, 1)
-    sums = fi._pass(table, d, {0: beta}, {0: np.arange(d.p)}, 1)
+    table = fi._with_effects(fi._prepare(fi.subject_blocks(subjects), [task], [None], d, 3), None, 1, 1)
+    sums = fi._pass(table, [d], {0: beta}, {0: np.arange(d.p)})
     st = fi._State(0, task, d, d.penalties(), np.arange(d.p))
     st.load(fi._added(sums.where("grp is null"))[0])
     mu = np.exp(x @ beta + off)
     assert np.allclose(st.gram, x.T @ (x * mu[:, None]), rtol=1e-8, atol=1e-8)
     assert np.allclose(st.score, x.T @ (y - mu), rtol=1e-8, atol=1e-7)
-    units = fi._unit_sums(sums, d.p + 2, None).toPandas()
+    units = fi._unit_sums(sums).toPandas()
     assert units["grp"].is_unique
     v = np.stack(units["v"].to_numpy())
     assert np.allclose(v[:, :d.p].sum(axis=0), x.T @ mu)
@@ -125,8 +125,8 @@ def test_a_step_too_long_is_halved_with_its_effects(subjects, monkeypatch):
     straight = fi.fit_pam(blocks, SMALL, "delta_2", smooth=False, tol=1e-12)
     step, calls = fi._step, []
 
-    def stretched(st, terms, smooth, rounds=100):
-        delta, *rest = step(st, terms, smooth, rounds)
+    def stretched(st, terms, smooth):
+        delta, *rest = step(st, terms, smooth)
         calls.append(1)
         return (delta * 64 if len(calls) == 1 else delta, *rest)
 
@@ -138,23 +138,20 @@ def test_a_step_too_long_is_halved_with_its_effects(subjects, monkeypatch):
     assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
-def test_halfway_back(spark):
-    units = spark.createDataFrame([(0, "a", [1.0, 2.0, 3.0], 0.8, 0.2)],
-                                  "model int, grp string, v array<double>, b double, old double")
-    back = fi._moved_effects(units, {}, {0: np.array([0])}, 3).first()
-    assert back.b == pytest.approx(0.5) and back.old == pytest.approx(0.2)
-    on = fi._moved_effects(units, {0: (2.0, np.array([0.5]))}, {0: np.array([0])}, 3).first()
-    assert on.b == pytest.approx(0.8 + (3 - 2 * 0.8 - 0.5) / 4) and on.old == pytest.approx(0.8)
+def test_moved_effects(spark):
+    units = spark.createDataFrame([(0, "a", 0.8, [1.0, 2.0, 3.0]), (1, "a", 0.1, [1.0, 2.0, 3.0])], fi.SUMS)
+    on = fi._moved_effects(units, {0: (2.0, np.array([0.5]))}, {0: np.array([0])}, 3).collect()
+    assert len(on) == 1 and on[0].b == pytest.approx(0.8 + (3 - 2 * 0.8 - 0.5) / 4) and on[0].old == pytest.approx(0.8)
 
 
 def test_unit_terms_between_their_nodes(spark):
     rng = np.random.default_rng(2)
     c, sw, s, b = rng.random((50, 3)), rng.gamma(2, 10, 50), rng.standard_normal(50), 0.1 * rng.standard_normal(50)
     units = spark.createDataFrame(
-        [(0, str(k), [*map(float, c[k]), float(sw[k]), float(s[k])], float(b[k]), 0.0) for k in range(50)],
-        "model int, grp string, v array<double>, b double, old double").repartition(3)
+        [(0, str(k), float(b[k]), [*map(float, c[k]), float(sw[k]), float(s[k])]) for k in range(50)], fi.SUMS).repartition(3)
     nodes = fi._nodes(20.0, 1.5, 1e-9, 1e9)
-    got = fi._between(nodes, fi._unit_terms(units, {0: nodes}, {0: 20.0}, {0: np.arange(3)}, 5)[0], 20.0, 3)
+    values = fi._added(fi._unit_terms(units, {0: nodes}, {0: 20.0}, {0: np.arange(3)}, 5))[0]
+    got = fi._between(nodes, values.reshape(len(nodes), -1), 20.0, 3)
     for lam in (6.0, 20.0, 55.0):
         d, r = sw + lam, s - lam * b
         cd, plain = c / d[:, None], b + r / d
@@ -163,6 +160,97 @@ def test_unit_terms_between_their_nodes(spark):
         assert all(np.allclose(g, w, rtol=1e-6, atol=1e-9) for g, w in zip(got(lam), want))
 
 
+def test_each_folder_of_effects_is_read_once(spark):
+    """200 blocks of units: every scan of the fit table and of the effects is cut to its folder."""
+    blocks = 200
+    table = fi.cut_lineage(spark.range(2_000).select(F.col("id").cast("string").alias("grp")).withColumn(
+        "block", fi._unit_block(blocks)), by=["block"])
+    effects = fi.cut_lineage(table.select(F.lit(0).alias("model"), "grp", F.col("grp").cast("double").alias("b"),
+                                          F.lit(0.0).alias("old"), "block"), by=["block"])
+    met = fi._with_effects(table, effects, 1, blocks)
+    plan = met._jdf.queryExecution().simpleString()
+    scans = plan.split("FileScan parquet")[1:]
+    assert len(scans) == 2 * blocks and all("PartitionFilters: [isnotnull(block" in s for s in scans)
+    assert met.where(F.col("b")[0] != F.col("grp").cast("double")).count() == 0 and met.count() == 2_000
+
+
+def test_unit_sums_go_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(m, str(g), float(g), [float(i), 1.0]) for m in range(2) for g in range(5) for i in range(30)]
+        units = fi._unit_sums(spark.createDataFrame(rows, fi.SUMS).repartition(6)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.model, r.grp, r.b, *r.v) for r in units) == [(m, str(g), float(g), 435.0, 30.0) for m in range(2) for g in range(5)]
+
+
+SMOOTH = de.PamSpec(factors=(("Gender", ("Female", "Male")),), baseline_k=10, time_smooths=("Age",), group="CombinedicuID",
+                    exposures=("proteinCat3", "proteinCat2"))
+
+
+def test_smoothing_parameters_maximise_the_restricted_likelihood(subjects):
+    """The dense working model's restricted likelihood has no slope left, and no better place nearby."""
+    m = fi.fit_pam(fi.subject_blocks(subjects), SMOOTH, "delta_2")
+    d, x, dummies, y, off = dense(subjects, SMOOTH, m.info, 2)
+    effects = effects_of(m)
+    units = np.sort(subjects.select("CombinedicuID").distinct().toPandas()["CombinedicuID"])
+    full = np.hstack([x, dummies])
+    theta = np.concatenate([m.beta, [effects[str(int(k))] for k in units]])
+    eta = full @ theta
+    mu = np.exp(eta + off)
+    gram, rhs = full.T @ (full * mu[:, None]), full.T @ (mu * eta + y - mu)
+    penalties = [*d.penalties()]
+
+    def restricted(rho):
+        lam = np.exp(rho)
+        s = np.zeros_like(gram)
+        s[:d.p, :d.p] = sum(v * p.matrix for v, p in zip(lam, penalties))
+        s[d.p:, d.p:] = lam[-1] * np.eye(len(units))
+        h = gram + s
+        size = np.sqrt(np.diag(h))
+        scaled = h / np.outer(size, size) + 1e-12 * np.eye(len(h))
+        best = np.linalg.solve(scaled, rhs / size) / size
+        known = 2 * np.log(size).sum() + np.linalg.slogdet(scaled)[1]
+        loss = len(units) * rho[-1]
+        for term in {p.term for p in penalties}:
+            e = sum(v * p.eigen for v, p in zip(lam, penalties) if p.term == term)
+            loss += np.log(e[e > 0]).sum()
+        return 0.5 * (best @ h @ best - 2 * best @ rhs + known - loss)
+
+    rho = np.log([*[m.smoothing[p.label] for p in penalties], m.smoothing["group"]])
+    assert m.stats["gradient"] < fi.GRADIENT
+    here = restricted(rho)
+    for k in range(len(rho)):
+        step = np.eye(len(rho))[k]
+        slope = (restricted(rho + 0.05 * step) - restricted(rho - 0.05 * step)) / 0.1
+        assert abs(slope) < 0.02, (k, slope)
+        assert min(restricted(rho + step), restricted(rho - step)) > here - 0.02
+    v = np.linalg.pinv(gram + np.pad(sum(m.smoothing[p.label] * p.matrix for p in penalties), (0, len(units)))
+                       + np.diag([0.0] * d.p + [m.smoothing["group"]] * len(units)), rcond=1e-13)
+    edf = np.diag(v @ gram)
+    for term, (a, b) in d.spans.items():
+        assert m.stats[f"edf {term}"] == pytest.approx(edf[a:b].sum(), abs=0.02)
+    assert m.stats["edf units"] == pytest.approx(edf[d.p:].sum(), abs=0.02)
+
+
+def test_strata_on_their_own_knots_equal_single_fits(subjects):
+    """Overlapping strata in one set of passes against fits of each stratum's rows alone."""
+    spec = de.PamSpec(factors=(("Gender", ("Female", "Male")),), baseline_k=10, time_smooths=("Age", "BMI"))
+    rules = {"medical": F.col("AdmCatID") == "Medical", "old": F.col("Age") > 60, "young": F.col("Age") <= 40}
+    blocks = fi.subject_blocks(subjects)
+    tasks = [fi.Task(f"{n}_{e}", e, spec, r, own_basis=True) for n, r in rules.items() for e in ("delta_1", "delta_2")]
+    fits = fi.fit_many(blocks, tasks, smooth=False, tol=1e-12)
+    for n, r in rules.items():
+        info = de.basis_info(blocks.where(r), spec)
+        for e in ("delta_1", "delta_2"):
+            one = fi.fit_pam(blocks.where(r), spec, e, smooth=False, tol=1e-12)
+            got = fits[f"{n}_{e}"]
+            assert got.info.ranges == one.info.ranges == info.ranges and np.allclose(got.info.means["Age"], info.means["Age"])
+            grid = np.linalg.qr(np.random.default_rng(1).standard_normal((one.design.p, 40)))[0]
+            assert np.allclose(got.beta, one.beta, atol=1e-5) and np.allclose(grid.T @ got.cov @ grid, grid.T @ one.cov @ grid, rtol=1e-3, atol=1e-4)
+    assert fits["old_delta_1"].info.ranges["Age"][0] > 60
+
+
 def test_many_units_and_one_of_a_third(spark):
     """50,000 small units beside one that holds a third of all subjects."""
     people = spark.range(75_000).select(

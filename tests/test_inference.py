@@ -8,6 +8,7 @@ from pamspark.operators import cif as ci
 from pamspark.operators import design as de
 from pamspark.operators import effects as ef
 from pamspark.operators import exposure as ex
+from pamspark.operators import fit as fi
 from pamspark.operators import model as mo
 from pamspark.plans import analysis as an
 
@@ -220,6 +221,39 @@ def test_study_is_written(inputs, spark, tmp_path):
     assert n == inputs.fitted.count() == spark.read.parquet(f"{tmp_path}/data/mergedData").count()
 
 
+def test_draws_are_the_digest_normals(spark):
+    """Draws told by hand from MD5 digests, and the root of a covariance with a coefficient that does not vary."""
+    import hashlib
+    from statistics import NormalDist
+    rows = {r.i: r.z for r in spark.range(3).select(F.col("id").alias("i"), ci.standard_normals(F.col("id"), 4, 9).alias("z")).collect()}
+    for i, z in rows.items():
+        for j, v in enumerate(z):
+            u = (int(hashlib.md5(f"9:{i}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            assert v == pytest.approx(NormalDist().inv_cdf(u), rel=1e-8)
+    cov = np.array([[4.0, 0, 1], [0, 0, 0], [1, 0, 2]])
+    root = ci.lower_root(cov)
+    assert np.allclose(root @ root.T, cov) and np.allclose(root, np.tril(root))
+
+
+def test_score_equations_see_a_wrong_coefficient(subjects, inputs):
+    from dataclasses import replace
+    from pamspark.operators import ped as pe
+    spec = de.PamSpec(factors=(("Gender", ("Female", "Male")),), baseline_k=10, group="CombinedicuID")
+    m = fi.fit_pam(fi.subject_blocks(subjects), spec, "delta_2")
+    rows = pe.as_ped(subjects, from_day=5, keep=["Gender", "CombinedicuID", "icuByDummy"])
+    good = {r.term: r for r in ef.score_equations(m, rows, "ped_status_2").collect()}
+    assert {t: r.n for t, r in good.items()} == {"parametric": 2, "s(int_mid)": 9, "smoothing": 2, "units": m.groups.count()}
+    assert all(r.score < 0.005 for r in good.values())
+    bad = replace(m, beta=m.beta + 0.1 * np.eye(len(m.beta))[1])
+    assert max(r.score for r in ef.score_equations(bad, rows, "ped_status_2").collect()) > 0.5
+
+
+def test_broken_curves_are_counted(spark):
+    rows = [(0, "a", 5, 0.9, 0.05, 0.04), (0, "a", 6, 0.8, 0.04, 0.1), (0, "a", 7, 0.9, 0.06, 0.2), (0, "b", 5, 1.0, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "sim_id long, protocol string, tend int, survival double, cif_death double, cif_extubation double")
+    assert {r.protocol: (r.n_points, r.above_one, r.falling) for r in ci.broken_curves(table).collect()} == {"a": (3, 1, 1), "b": (1, 0, 0)}
+
+
 def test_subgroup_models(subjects, spark):
     spec = de.PamSpec(factors=(("AdmCatID", ("Medical", "Surgical/Elective", "Surgical/Emeregency")),),
                       linear=("PN2_4",), baseline_k=10)
