@@ -259,6 +259,15 @@ UNION ALL SELECT 'bmi_cat', bmi_cat, count(*), count(DISTINCT d.CombinedID) FROM
 UNION ALL SELECT 'pn_bin', pn_bin, count(*), count(DISTINCT d.CombinedID) FROM kept_daily d JOIN fitted USING (CombinedID) GROUP BY pn_bin"""),
         "baseline_table": q(["fitted"], strata_sql(MV_HOURS, TEN_STRATA, "PatientDied")),
         "mv_hour_bins": q(["fitted"], f"SELECT mv_hours, count(*) AS n FROM {MV_HOURS} m GROUP BY mv_hours"),
+        "mv_hour_bins_cohort": q(["cohort"], """SELECT mv_hours, count(*) AS n FROM (SELECT CASE
+  WHEN 24 * DaysMechVent BETWEEN 0 AND 24 THEN '[0,24]' WHEN 24 * DaysMechVent > 24 AND 24 * DaysMechVent <= 48 THEN '(24,48]'
+  WHEN 24 * DaysMechVent > 48 THEN '(48,max]' END AS mv_hours FROM cohort) m GROUP BY mv_hours"""),
+        "co_partitioned": q(["ped", "fitted", "daily"], """SELECT AdmCatID, n_subjects, CAST(n_days AS BIGINT) AS n_days,
+  CAST(n_rows AS BIGINT) AS n_rows, CAST(weaned AS BIGINT) AS weaned
+FROM (SELECT AdmCatID, count(DISTINCT CombinedID) AS n_subjects, count(*) AS n_rows, sum(ped_status_2) AS weaned FROM ped GROUP BY AdmCatID) r
+JOIN (SELECT AdmCatID, sum(least(days, 11)) AS n_days FROM fitted JOIN (
+  SELECT CombinedID, count(*) AS days FROM daily GROUP BY CombinedID) d USING (CombinedID) GROUP BY AdmCatID) n USING (AdmCatID)"""),
+        "baseline_csv": q(["fitted"], strata_sql(MV_HOURS, TEN_STRATA, "PatientDied")),
         "year_levels": q(["fitted"], "SELECT DISTINCT Year FROM fitted"),
         "last_interval_rate": q(["last"], strata_sql(
             "last", [s for s in TEN_STRATA if s != "mv_hours"], "ped_status_1")),
@@ -452,6 +461,11 @@ JOIN pairs ON protocol IN (p1, p2) JOIN labels USING (protocol)"""),
         "poisson_rates_closed_form": q(["ped"], """SELECT AdmCatID, died, n_rows, round(died / n_rows, 6) AS rate,
   round(1 / sqrt(died), 6) AS log_rate_se
 FROM (SELECT AdmCatID, CAST(sum(ped_status_1) AS BIGINT) AS died, count(*) AS n_rows FROM ped GROUP BY AdmCatID) p"""),
+        "coefficients_without": q(["ped"], """SELECT 'weaning' AS model, 'DiagID2' || DiagID2 AS term,
+  round(ln(e / t) - ln(e0 / t0), 6) AS estimate, round(sqrt(1 / e + 1 / e0), 6) AS se
+FROM (SELECT DiagID2, CAST(sum(ped_status_2) AS DOUBLE) AS e, count(*) AS t FROM ped GROUP BY DiagID2) d,
+  (SELECT CAST(sum(ped_status_2) AS DOUBLE) AS e0, count(*) AS t0 FROM ped WHERE DiagID2 = (SELECT min(DiagID2) FROM ped)) b
+WHERE DiagID2 <> '2-HIGH' AND DiagID2 <> (SELECT min(DiagID2) FROM ped)"""),
         "coef_table_closed_form": q(["ped"], """SELECT 'weaning' AS model, 'GenderMale' AS term, 'Gender: male' AS label,
   round(b, 6) AS estimate, round(s, 6) AS se, round(b / s, 6) AS z,
   round(b - 1.959963984540054 * s, 6) AS lower, round(b + 1.959963984540054 * s, 6) AS upper

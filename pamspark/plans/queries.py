@@ -23,7 +23,7 @@ from ..operators import ped as pe
 from ..operators import relational as re_
 from ..operators import tables as tb
 from ..sources import testviews
-from ..sources.io import checkpoint_folder, cut_lineage, ship_package, write_csv_per_group
+from ..sources.io import bucketed_copy, checkpoint_folder, cut_lineage, ship_package, write_csv, write_csv_per_group
 from . import analysis as an
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,31 @@ def _reclassified_life_table(x: Inputs) -> DataFrame:
     return tb.life_table_from_cohort(co.reclassify_early_death(x.fitted))
 
 
+def _bucketed_subjects(x: Inputs, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Subjects and their diary windows as tables with the same buckets."""
+    subjects = x.fitted.select(co.KEY, "AdmCatID", "event_time", "delta_1", "delta_2")
+    return (bucketed_copy(subjects, co.KEY, buckets), bucketed_copy(x.window.select(co.KEY, "n_days"), co.KEY, buckets))
+
+
+def _co_partitioned(x: Inputs) -> DataFrame:
+    """Rows at risk and diary days per subject from two bucketed tables: joined and grouped by subject without a shuffle."""
+    subjects, windows = _bucketed_subjects(x)
+    rows = pe.as_ped(subjects.join(windows, co.KEY), from_day=5, keep=[co.KEY, "AdmCatID", "n_days"])
+    per_subject = rows.groupBy(co.KEY).agg(F.first("AdmCatID").alias("AdmCatID"), F.first("n_days").alias("n_days"),
+                                           F.count(F.lit(1)).alias("n_rows"), F.sum("ped_status_2").alias("weaned"))
+    return per_subject.groupBy("AdmCatID").agg(
+        F.count(F.lit(1)).alias("n_subjects"), F.sum("n_days").alias("n_days"), F.sum("n_rows").alias("n_rows"),
+        F.sum("weaned").alias("weaned"))
+
+
+def _baseline_csv(x: Inputs) -> DataFrame:
+    """The baseline table written as one CSV file and read again with its types."""
+    table = tb.baseline_table(x.fitted)
+    folder = f"{checkpoint_folder(x.spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(table, folder, single_file=True)
+    return x.spark.read.schema(table.schema).option("header", True).csv(folder)
+
+
 def relational_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
     return {
         "life_table": lambda x: tb.life_table_from_cohort(x.fitted),
@@ -201,6 +226,9 @@ def relational_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "subgroup_diaries": _subgroup_diaries,
         "baseline_table": lambda x: tb.baseline_table(x.fitted),
         "mv_hour_bins": lambda x: re_.frequency(x.fitted.select(tb.mv_hour_bin().alias("mv_hours")), "mv_hours"),
+        "mv_hour_bins_cohort": lambda x: re_.frequency(x.cohort.select(tb.mv_hour_bin().alias("mv_hours")), "mv_hours"),
+        "co_partitioned": _co_partitioned,
+        "baseline_csv": _baseline_csv,
         "year_levels": lambda x: re_.levels(x.fitted, "Year"),
         "last_interval_rate": lambda x: tb.last_interval_rates(x.last),
         "continuous_summary": lambda x: six_number_summary(x.fitted, [], ["Age", "ApacheIIScore", "BMI"]),
@@ -373,6 +401,14 @@ def _closed_form_coefficients(x: Inputs) -> DataFrame:
     return ef.coef_table([m], x.spark, exclude=["PN2_4"]).drop("idx")
 
 
+def _coefficients_without(x: Inputs) -> DataFrame:
+    """Coefficients of every diagnosis but one that occurs and one that does not."""
+    levels = de.observed_levels(x.fitted, ["DiagID2"])["DiagID2"]
+    m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("DiagID2", levels),)), "delta_2",
+                   name="weaning", smooth=False, tol=1e-12)
+    return ef.coef_table([m], x.spark, labelled=False, exclude=["2-HIGH", "PN2_4", "Intercept"]).select("model", "term", "estimate", "se")
+
+
 def _fit_calibration(x: Inputs) -> DataFrame:
     """Events that the four main models expect per level of every factor, at given smoothing parameters.
 
@@ -469,6 +505,7 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "cif_band_given": _cif_band_given,
         "poisson_rates_closed_form": _closed_form_rates,
         "coef_table_closed_form": _closed_form_coefficients,
+        "coefficients_without": _coefficients_without,
         "fit_calibration": _fit_calibration,
     }
 

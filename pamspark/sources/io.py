@@ -30,6 +30,20 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def bucketed_copy(df: DataFrame, key: str, buckets: int, folder: str | None = None) -> DataFrame:
+    """``df`` written in ``buckets`` files' worth of buckets by ``key``, sorted in each, and read back as that table.
+
+    Tables of equal keys and buckets join and group by the key without a shuffle. Rows are dealt by the key first, so that
+    a bucket is one file. The data lies below ``folder`` (default: the checkpoint folder), only its name in the catalog.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{folder or checkpoint_folder(spark)}/{name}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False, excel: bool = False) -> None:
     """Write a result table as CSV with a header.
 

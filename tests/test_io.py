@@ -40,6 +40,23 @@ def test_bucketed_table_joins_without_a_shuffle(spark):
         spark.sql("DROP TABLE bucketed_subjects")
 
 
+def test_subjects_windows_and_rows_meet_without_a_shuffle(inputs, spark):
+    """Only the sums by admission category are exchanged."""
+    from pamspark.plans import queries
+    subjects, windows = queries._bucketed_subjects(inputs, 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = queries._co_partitioned(inputs)
+        rows = out.count()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == 3 and "SortMergeJoin" in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("AdmCatID" in line and "CombinedID" not in line for line in exchanges)
+    assert subjects.count() == inputs.fitted.count() and windows.count() == inputs.diary_ids.count()
+
+
 def F_col(name):
     from pyspark.sql import functions as F
     return F.col(name)
