@@ -12,7 +12,8 @@ SELECT CombinedID, CombinedicuID, icuByDummy, Year, DiagID2, AdmCatID, Gender, A
   inMV2_4, Propofol2_4, OralIntake2_4, PN2_4, EN2_4, PatientDied, 1 - PatientDied AS PatientDischarged,
   Surv0To60, Disc0To60,
   CASE WHEN PatientDied = 1 THEN LEAST(mv_raw, Surv0To60) ELSE mv_raw END AS DaysMechVent,
-  CASE WHEN PatientDied = 1 THEN Surv0To60 ELSE Disc0To60 END AS event
+  CASE WHEN PatientDied = 1 THEN Surv0To60 ELSE Disc0To60 END AS event,
+  LEAST(icu_raw, CASE WHEN PatientDied = 1 THEN Surv0To60 ELSE Disc0To60 END) AS DaysInICU
 FROM (
   SELECT o_orderkey AS CombinedID, c_nationkey AS CombinedicuID, 1 AS icuByDummy,
     CAST(year(o_orderdate) AS VARCHAR) AS Year, o_orderpriority AS DiagID2,
@@ -27,7 +28,7 @@ FROM (
     CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS PatientDied,
     CASE WHEN k % 4 = 0 THEN 1 + CAST(floor(k / 4) AS BIGINT) % 60 ELSE 61 END AS Surv0To60,
     CASE WHEN k % 4 = 0 THEN NULL ELSE 2 + CAST(floor(k / 5) AS BIGINT) % 59 END AS Disc0To60,
-    (o_orderkey * 7 + o_custkey * 3) % 66 AS mv_raw
+    (o_orderkey * 7 + o_custkey * 3) % 66 AS mv_raw, (o_orderkey * 5 + o_custkey) % 80 AS icu_raw
   FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS k FROM orders) o
   JOIN customer ON o_custkey = c_custkey) s"""
 
@@ -303,6 +304,8 @@ SELECT * FROM ({six_sql("banded", ["proteinGproKG", "calproKg"], "band")}) z WHE
         "time_to_death_summary": q(["last"], six_sql("(SELECT * FROM last WHERE ped_status_1 = 1) d", ["tend"])),
         "extubated_durations": q(["fitted"], six_sql("(SELECT * FROM fitted WHERE delta_2 = 1) d",
                                                      ["DaysMechVent", "event"])),
+        "extubated_icu_days": q(["fitted"], six_sql("(SELECT * FROM fitted WHERE delta_2 = 1) d",
+                                                    ["DaysMechVent", "DaysInICU", "event"])),
     }
 
 
@@ -461,6 +464,10 @@ JOIN pairs ON protocol IN (p1, p2) JOIN labels USING (protocol)"""),
         "poisson_rates_closed_form": q(["ped"], """SELECT AdmCatID, died, n_rows, round(died / n_rows, 6) AS rate,
   round(1 / sqrt(died), 6) AS log_rate_se
 FROM (SELECT AdmCatID, CAST(sum(ped_status_1) AS BIGINT) AS died, count(*) AS n_rows FROM ped GROUP BY AdmCatID) p"""),
+        "compressed_fit": q(["ped", "daily"], """SELECT AdmCatID, round(e / n_rows, 6) AS rate, round(1 / sqrt(e), 6) AS log_rate_se, n_rows, n_groups
+FROM (SELECT AdmCatID, CAST(sum(ped_status_2) AS DOUBLE) AS e, count(*) AS n_rows, count(DISTINCT days || '/' || tend) AS n_groups
+  FROM ped JOIN (SELECT CombinedID, string_agg(proteinCat2 || '-' || proteinCat3, ',' ORDER BY Study_Day) AS days
+    FROM daily GROUP BY CombinedID) d USING (CombinedID) GROUP BY AdmCatID) g"""),
         "coefficients_without": q(["ped"], """SELECT 'weaning' AS model, 'DiagID2' || DiagID2 AS term,
   round(ln(e / t) - ln(e0 / t0), 6) AS estimate, round(sqrt(1 / e + 1 / e0), 6) AS se
 FROM (SELECT DiagID2, CAST(sum(ped_status_2) AS DOUBLE) AS e, count(*) AS t FROM ped GROUP BY DiagID2) d,

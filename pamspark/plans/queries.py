@@ -241,6 +241,7 @@ def relational_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "intake_bands": lambda x: tb.intake_bands(x.kept_daily),
         "time_to_death_summary": lambda x: tb.time_to_event_summary(x.last),
         "extubated_durations": lambda x: tb.extubated_durations(x.fitted, ["DaysMechVent", "event"]),
+        "extubated_icu_days": lambda x: tb.extubated_durations(x.fitted, ["DaysMechVent", "DaysInICU", "event"]),
     }
 
 
@@ -379,20 +380,36 @@ def _cif_band_given(x: Inputs) -> DataFrame:
     return ci.paired_bands(ci.cif_band(_curves_given(x)), ex.comparisons(x.spark), ex.schemes(x.spark))
 
 
-def _closed_form_rates(x: Inputs) -> DataFrame:
-    """Rates per admission category from an unpenalised fit."""
-    levels = ("Medical", "Surgical/Elective", "Surgical/Emeregency")
-    m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("AdmCatID", levels),)), "delta_1",
-                   smooth=False, tol=1e-12)
+ADMISSIONS = ("Medical", "Surgical/Elective", "Surgical/Emeregency")
+
+
+def _admission_rates(x: Inputs, m: mo.PamModel) -> DataFrame:
+    """Rate and standard error of its logarithm per admission category, of a model with that factor alone."""
     rows = []
-    for i, lv in enumerate(levels):
+    for i, lv in enumerate(ADMISSIONS):
         pick = np.zeros(len(m.beta))
         pick[[0, i] if i else [0]] = 1
         rows.append((lv, float(np.exp(pick @ m.beta)), float(np.sqrt(pick @ m.cov @ pick))))
-    fitted = x.spark.createDataFrame(rows, "AdmCatID string, rate double, log_rate_se double")
+    return x.spark.createDataFrame(rows, "AdmCatID string, rate double, log_rate_se double")
+
+
+def _closed_form_rates(x: Inputs) -> DataFrame:
+    """Rates per admission category from an unpenalised fit."""
+    m = fi.fit_pam(fi.subject_blocks(x.fitted), de.PamSpec(factors=(("AdmCatID", ADMISSIONS),)), "delta_1",
+                   smooth=False, tol=1e-12)
     counts = pe.last_intervals(x.fitted, keep=["AdmCatID"]).groupBy("AdmCatID").agg(
         F.sum("ped_status_1").alias("died"), F.sum(F.col("tend") - 4).alias("n_rows"))
-    return counts.join(fitted, "AdmCatID")
+    return counts.join(_admission_rates(x, m), "AdmCatID")
+
+
+def _compressed_fit(x: Inputs) -> DataFrame:
+    """Rows at risk grouped by the fixed part of their design, diary windows included, and rates from a fit of the groups."""
+    keys = ["AdmCatID", "n_days", "proteinCat2", "proteinCat3", "tend"]
+    small = cut_lineage(pe.compress(_exposed_rows(x, ["AdmCatID"]), keys))
+    m = fi.fit_pam(fi.row_blocks(small, {"weaned": "ped_status_2"}), de.PamSpec(factors=(("AdmCatID", ADMISSIONS),)),
+                   "weaned", smooth=False, tol=1e-12)
+    sizes = small.groupBy("AdmCatID").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
+    return sizes.join(_admission_rates(x, m), "AdmCatID")
 
 
 def _closed_form_coefficients(x: Inputs) -> DataFrame:
@@ -506,6 +523,7 @@ def exposure_queries() -> dict[str, Callable[[Inputs], DataFrame]]:
         "poisson_rates_closed_form": _closed_form_rates,
         "coef_table_closed_form": _closed_form_coefficients,
         "coefficients_without": _coefficients_without,
+        "compressed_fit": _compressed_fit,
         "fit_calibration": _fit_calibration,
     }
 
