@@ -515,6 +515,23 @@ def test_words_do_not_depend_on_cuts(monkeypatch):
     assert len(whole[0]) == sum(len((t or "").split()) for t in texts.to_pylist())
 
 
+def test_pipeline_keeps_clashing_columns(spark, docs):
+    """Every internal name as a column of documents comes out as it went in, and decides nothing."""
+    names = ["_cell", "_key", "_site", "_text_id", "_at", "_source", "_rank", "_low", "_high", "_slot", "_n", "_tid", "_size", "_words",
+             "_ahead", "_before", "_budget", "part", "epochs", "epoch", "taken", "keep", "target", "source_size", "size", "class_id", "tid",
+             "p_own", "block", "row", "extra_columns", "a.b"]
+    marked = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    marked, plain = marked.withColumns({"shard": F.lit("own"), "slot": F.lit("own")}), docs
+    for name, stage in corpus_pipeline.STAGES:
+        marked = corpus_pipeline.written(stage(spark, marked, SF))
+        plain = corpus_pipeline.written(stage(spark, plain, SF))
+        for n in names:
+            assert marked.filter(F.col(f"`{n}`") != F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string"))).count() == 0, (name, n)
+        own = list(docs.columns)
+        assert sorted(map(str, marked.select(own).collect())) == sorted(map(str, plain.select(own).collect())), name
+    assert marked.schema["shard"].dataType.simpleString() == "int" and set(names) <= set(marked.columns)
+
+
 def test_pipeline_stages(spark):
     """Each stage against what its operator says of the stage's own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
