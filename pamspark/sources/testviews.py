@@ -39,8 +39,7 @@ def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(death_day, F.lit(61).cast("bigint")).alias("Surv0To60"),
         F.when(~died, leave_day).alias("Disc0To60"),
         F.least((F.col("o_orderkey") * 7 + F.col("o_custkey") * 3) % 66, death_day).alias("DaysMechVent"),
-        F.coalesce(death_day, leave_day).alias("event"),
-        F.least((F.col("o_orderkey") * 5 + F.col("o_custkey")) % 80, F.coalesce(death_day, leave_day)).alias("DaysInICU")))))
+        F.coalesce(death_day, leave_day).alias("event")))))
     return days.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("CombinedID"),
         F.col("c_nationkey").alias("CombinedicuID"),
@@ -60,8 +59,14 @@ def patient(spark: SparkSession, sf_dir: str) -> DataFrame:
         (_long(F.col("o_orderkey") / 16) % 4).alias("OralIntake2_4"),
         (_long(F.col("o_orderkey") / 64) % 4).alias("PN2_4"),
         (F.col("o_custkey") % 4).alias("EN2_4"),
-        "PatientDied", "PatientDischarged", "Surv0To60", "Disc0To60", "DaysMechVent", "event",
-        "DaysInICU")
+        "PatientDied", "PatientDischarged", "Surv0To60", "Disc0To60", "DaysMechVent", "event")
+
+
+def unit_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in intensive care per subject, before they are bounded by the follow-up."""
+    orders = read_table(spark, f"{sf_dir}/orders.parquet", ORDERS)
+    return orders.select(F.col("o_orderkey").alias("CombinedID"),
+                         ((F.col("o_orderkey") * 5 + F.col("o_custkey")) % 80).alias("unit_days"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
