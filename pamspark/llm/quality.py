@@ -2,17 +2,20 @@
 
 A document's own evidence comes from two logistic classifiers that are fitted on labelled documents (at most SAMPLE of
 them, those with the least hash of their id), equal texts as one with their mean labels: one for quality, on shares of
-letters, signs and repeated words; one for toxicity, on the words of a lexicon. The lexicon are all words whose rate in
-toxic labelled texts is surely higher than in the others, by the log of the ratio with a prior of half a text, so that it
-does not depend on how many of the labels are toxic. Evidence of all documents is averaged by site at each level, global, host and path, in
+letters, signs and repeated words; one for toxicity, on the weights of a text's forms: its words, and the beginnings of
+5 to 10 bytes of longer ones, which inflected forms and compounds share. A form weighs the lower end (two errors) of the log of the
+ratio of its rates in toxic and other labelled texts, with a prior of half a text each, less that of a quarter more, or nothing
+where this is below zero: a form met once says nothing, one met in a few toxic texts alone says a little, at any number of labels and
+any share of toxic ones. A labelled text's own weights are taken without its own label, so that the classifier learns what forms say of
+texts that they were not counted in. Evidence of all documents is averaged by site at each level, global, host and path, in
 grouped aggregates; at each level a site's rate is shrunk toward the level above with a strength estimated from the
 variance between sites, so that sparse sites lean on their prior. A document's posterior adds to its own log-odds what
 its site's rate adds to the global one.
 
 Defined cases: a null text is empty; documents without labels are judged like others; without labels of both kinds a
-classifier says its prior; without a lexicon the toxic one does, which raises if ENOUGH texts of each kind are labelled and
-warns if both kinds occur; null level columns form a site of their own; repeated rows get equal results; an empty table
-gives an empty result; other columns pass through, those named like the results are replaced.
+classifier says its prior; where both kinds of toxic labels occur but no form has a weight, the toxic one does, with a
+warning; null level columns form a site of their own; repeated rows get equal results; a very long text is read whole by
+one task; an empty table gives an empty result; other columns pass through, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pamspark.llm.common import ALNUM, blocks, shingle_hashes, text_bytes, word_hashes, written
+from pamspark.llm.common import ALNUM, blocks, mix, shingle_hashes, text_bytes, word_hashes, word_places, written
 
 SAMPLE = 20_000
-#: A lexicon word stands in so many toxic sample texts at least, and surely at so many times the rate of the others.
-LEAST_DOCS, LIFT = 5, 4.0
-ENOUGH = 50
+#: A form's weight is so many errors below its estimate and counts from such a ratio of rates; beginnings of words have so many bytes.
+ERRORS, LIFT = 2.0, 1.25
+SHORTEST, LONGEST = 5, 10
 KEEP = 0.5
+#: Odd factor of the hashes of beginnings.
+BEGIN = np.uint64(0xD1B54A32D192ED03)
 RESULTS = ("p_own", "p_toxic", "p_site", "p_keep", "keep")
 _SETS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?\"'()-", b"!", b"|", b"#$%&*@^~_=+<>{}[]\\/`", b" \t\r\f\x0b", b"\n"]
 
@@ -66,14 +71,58 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(out, axis=1).astype(float), words, at
 
 
-def lexicon_counts(words: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """Places of lexicon words in each text, and their share of all words."""
+def forms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and of the beginnings of longer ones, the row of each, and the number of words of each text."""
+    words, at, (first, last) = word_places(data, offsets, ALNUM)
     n = np.diff(at)
+    rows = np.repeat(np.arange(len(n)), n)
+    found, owners = [words], [rows]
+    size, h = last - first + 1, np.zeros(len(words), np.uint64)
+    powers = np.multiply.accumulate(np.full(LONGEST, BEGIN, np.uint64))
+    for k in range(LONGEST):
+        more = size > k + 1
+        first, size, h, rows = first[more], size[more], h[more], rows[more]
+        h = h + ALNUM[data[first + k]] * powers[k]
+        if k + 1 >= SHORTEST:
+            found.append(mix(h ^ BEGIN))
+            owners.append(rows)
+    return np.concatenate(found), np.concatenate(owners), n
+
+
+def distinct_forms(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each form of each text once."""
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return rows[new], hashes[new]
+
+
+def form_weight(bad, n, all_bad, total, m=np):
+    """Lower end of the log ratio of a form's rates in toxic and other texts, over LIFT; m: numpy, or functions for columns."""
+    good, among_bad, among_good = total - all_bad, bad + 0.5, n - bad + 0.5
+    error = m.sqrt(1 / among_bad - 1 / (all_bad + 1) + 1 / among_good - 1 / (good + 1))
+    return m.log(among_bad / (all_bad + 1)) - m.log(among_good / (good + 1)) - ERRORS * error - float(np.log(LIFT))
+
+
+def toxic_numbers(rows: np.ndarray, weights: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of each text the greatest weight of its forms, the sum of the four greatest, and all of them by the root of its words."""
+    order = np.lexsort((-weights, rows))
+    rows, weights = rows[order], np.maximum(weights[order], 0)
+    at = np.searchsorted(rows, np.arange(len(words)))
+    place = np.arange(len(rows)) - at[rows]
+    sums = [np.bincount(rows[place < most], weights[place < most], len(words)) for most in (1, 4)]
+    return np.stack((*sums, np.bincount(rows, weights, len(words)) / np.sqrt(words + 1)), axis=1)
+
+
+def toxic_features(column: pa.Array, lexicon: np.ndarray, weigh) -> np.ndarray:
+    """`toxic_numbers` of texts; weigh(places in the lexicon, rows) gives the weights of the forms found there."""
+    hashes, rows, words = forms(*text_bytes(column))
     if not len(lexicon):
-        return np.zeros((len(n), 2))
-    hit = lexicon[np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)] == words
-    found = np.bincount(np.repeat(np.arange(len(n)), n)[hit], minlength=len(n)).astype(float)
-    return np.stack((np.minimum(found, 5), 10 * _signed_share(found, n)), axis=1)
+        return np.zeros((len(words), 3))
+    found = lexicon[np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)] == hashes
+    rows, hashes = distinct_forms(rows[found], hashes[found])
+    return toxic_numbers(rows, weigh(np.searchsorted(lexicon, hashes), rows), words)
 
 
 class Logistic:
@@ -100,8 +149,8 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.beta, -12, 12)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, np.ndarray]:
-    """Quality classifier, toxicity classifier and lexicon, from at most SAMPLE labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, np.ndarray, np.ndarray]:
+    """Quality classifier, toxicity classifier, lexicon and its weights, from at most SAMPLE labelled documents."""
     sample = (labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"])
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
     # SAMPLE rows of three numbers
@@ -109,58 +158,62 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, np.ndar
     marked = marked.groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(
         F.first("text").alias("text"), F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic")).select("text", "quality", "toxic")
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            words, at = word_hashes(*text_bytes(batch.column("text")), ALNUM)
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            order = np.lexsort((words, rows))
-            words, rows = words[order], rows[order]
-            new = np.concatenate(([True], (words[1:] != words[:-1]) | (rows[1:] != rows[:-1]))) if len(words) else np.zeros(0, bool)
+            hashes, rows, _ = forms(*text_bytes(batch.column("text")))
+            rows, hashes = distinct_forms(rows, hashes)
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(words[new].view(np.int64)), pa.array(toxic[rows[new]].astype(float))], ["word", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(toxic[rows].astype(float))], ["form", "toxic"])
 
     marked = written(marked)
     total, bad = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
-    seen = marked.mapInArrow(words_of, "word long, toxic double").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    good = total - bad
-    among_bad, among_good = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
-    ratio = F.log(among_bad / (bad + 1)) - F.log(among_good / (good + 1))
-    error = F.sqrt(1 / among_bad - 1 / (bad + 1) + 1 / among_good - 1 / (good + 1))
-    words = (seen.filter((F.col("bad") >= LEAST_DOCS) & (ratio - 2 * error > float(np.log(LIFT))))
-             .select("word").toArrow().column("word").to_numpy())
-    if not len(words) and min(bad, good) > 0:
-        said = f"no word tells the {bad:g} toxic of {total} labelled texts from the others"
-        if min(bad, good) >= ENOUGH:
-            raise ValueError(said)
-        warnings.warn(said, stacklevel=2)
-    lexicon = np.sort(words.view(np.uint64))
+    seen = marked.mapInArrow(forms_of, "form long, toxic double").groupBy("form").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    # forms that have a weight in the view of all texts or of one that is left out, at most those of the sample
+    without = F.greatest(F.col("bad"), F.col("n") - 1)
+    known = (seen.filter((F.col("bad") > 0) & (form_weight(F.col("bad"), without, float(bad), float(total), F) > 0)).toArrow()
+             if min(bad, total - bad) > 0 else seen.limit(0).toArrow())
+    lexicon = known.column("form").to_numpy().view(np.uint64)
+    order = np.argsort(lexicon)
+    lexicon, form_bad, form_n = lexicon[order], known.column("bad").to_numpy()[order], known.column("n").to_numpy()[order]
+    weights = form_weight(form_bad, form_n, bad, total)
+    if not (weights > 0).any() and min(bad, total - bad) > 0:
+        warnings.warn(f"no word tells the {bad:g} toxic of {total} labelled texts from the others", stacklevel=2)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            x, words, at = features(batch.column("text"))
-            x = np.concatenate((x, lexicon_counts(words, at, lexicon)), axis=1)
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+
+            def left_out(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+                own = toxic[rows]
+                return form_weight(np.maximum(form_bad[at] - own, 0), form_n[at] - 1, np.maximum(bad - own, 0), total - 1)
+
+            x = np.concatenate((features(batch.column("text"))[0], toxic_features(batch.column("text"), lexicon, left_out)), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("quality"),
                                               batch.column("toxic")], ["x", "quality", "toxic"])
 
     found = marked.mapInArrow(numbers, "x array<double>, quality double, toxic double").toArrow()
-    width = len(_SETS) + 9
+    width = len(_SETS) + 10
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, width)
-    return (Logistic(x[:, :-2], found.column("quality").to_numpy().astype(float)),
-            Logistic(x[:, -2:], found.column("toxic").to_numpy().astype(float)), lexicon)
+    kept = weights > 0
+    return (Logistic(x[:, :-3], found.column("quality").to_numpy().astype(float)),
+            Logistic(x[:, -3:], found.column("toxic").to_numpy().astype(float)), lexicon[kept], weights[kept])
 
 
-def evidence(docs: DataFrame, model: tuple[Logistic, Logistic, np.ndarray]) -> DataFrame:
+def evidence(docs: DataFrame, model: tuple[Logistic, Logistic, np.ndarray, np.ndarray], keep_text: bool = True) -> DataFrame:
     """docs with p_own, the probability that a document is good and not toxic by itself, and p_toxic."""
-    good, toxic, lexicon = model
+    good, toxic, lexicon, weights = model
     docs = docs.drop(*RESULTS)
+    left = [f for f in docs.schema.fields if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in left]
         for batch in blocks(batches):
-            x, words, at = features(batch.column("text"))
-            p = toxic(lexicon_counts(words, at, lexicon))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good(x) * (1 - p)), pa.array(p)], [*batch.schema.names, "p_own", "p_toxic"])
+            text = batch.column("text")
+            p = toxic(toxic_features(text, lexicon, lambda at, rows: weights[at]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(good(features(text)[0]) * (1 - p)), pa.array(p)],
+                                             [*names, "p_own", "p_toxic"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("p_own", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*left, T.StructField("p_own", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())]))
 
 
 def _logit(p: Column) -> Column:
@@ -191,12 +244,12 @@ def site_rates(judged: DataFrame, levels: Sequence[str]) -> tuple[DataFrame, flo
     return written(above.select(F.concat_ws("\x1f", *keys).alias("_site"), F.col("prior").alias("p_site"))), overall
 
 
-def judge(docs: DataFrame, model: tuple[Logistic, Logistic, np.ndarray], levels: Sequence[str] = ("source", "lang"), keep_at: float = KEEP) -> DataFrame:
-    """docs with p_own, p_toxic, p_site, p_keep and keep."""
-    docs = docs.drop(*RESULTS)
-    brief = written(evidence(docs.select(*levels, "text"), model).drop("text"))
-    sites, overall = site_rates(brief, levels)
+def judge(docs: DataFrame, model: tuple[Logistic, Logistic, np.ndarray, np.ndarray], levels: Sequence[str] = ("source", "lang"),
+          keep_at: float = KEEP, keep_text: bool = True) -> DataFrame:
+    """docs, without the text unless keep_text, with p_own, p_toxic, p_site, p_keep and keep; texts are read once."""
+    judged = written(evidence(docs, model, keep_text))
+    sites, overall = site_rates(judged, levels)
     site = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("a"), F.col(c).cast("string")), F.lit("n")) for c in levels])
-    joined = evidence(docs, model).withColumn("_site", site).join(sites, "_site").drop("_site")
+    joined = judged.withColumn("_site", site).join(sites, "_site").drop("_site")
     total = _logit(F.col("p_own")) + _logit(F.col("p_site")) - _logit(F.lit(overall))
     return joined.withColumn("p_keep", 1 / (1 + F.exp(-total))).withColumn("keep", F.col("p_keep") >= keep_at)

@@ -62,9 +62,9 @@ def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posterior of all documents to be good and not toxic, and whether a corpus keeps them."""
     ship_package(spark)
     bounded_batches(spark)
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).select("doc_id", "source", "lang", *quality.RESULTS)
+    return quality.judge(docs, model, keep_text=False).select("doc_id", "source", "lang", *quality.RESULTS)
 
 
 def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
