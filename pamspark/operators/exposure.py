@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_all, literal_vector, recycle
-from ..sources.io import literal_table
+from ..sources.io import cut_lineage, literal_table
 from .cohort import KEY
 from .ped import FOLLOW_UP, as_ped
 
@@ -73,12 +73,36 @@ def overlong_diaries(daily: DataFrame, key: str = KEY, width: int = WIDTH) -> Da
                    F.coalesce(F.sum(F.col("n") - width), F.lit(0)).alias("n_rows_cut"))
 
 
+def numbered_days(daily: DataFrame, key: str = KEY, day: str = "Study_Day", segments: int | None = None) -> DataFrame:
+    """``daily`` with ``_pos``, the place of a row among its subject's days, ties in the order of the row's hash.
+
+    Rows are ranged by subject, day and hash into ``segments`` (default: the shuffle partitions), so that a long diary spans
+    many of them. Numbers inside a segment start after the rows that the subject has in earlier segments; a subject has one
+    count per segment, so no task needs more than a segment's rows or a subject's counts.
+    """
+    spark = daily.sparkSession
+    segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tie = F.xxhash64(*[F.col(c) for c in daily.columns])
+    # written, so that both uses below see the same segments even if executors are lost
+    ranged = cut_lineage(daily.withColumn("_tie", tie).repartitionByRange(segments, key, day, "_tie")
+                         .withColumn("_segment", F.spark_partition_id()))
+    counts = ranged.groupBy(key, "_segment").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_segment")
+    offsets = counts.select(F.col(key).alias("_key"), F.col("_segment").alias("_at"),
+                            (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_segment", key).orderBy(day, "_tie"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_segment") == F.col("_at"))
+    return ranged.withColumn("_inside", inside).join(offsets, same).withColumn(
+        "_pos", F.col("_before") + F.col("_inside")).drop("_tie", "_segment", "_inside", "_key", "_at", "_before")
+
+
 def nested_diary(daily: DataFrame, values: Sequence[str], key: str = KEY, day: str = "Study_Day",
-                 piece_days: int = 1000) -> DataFrame:
+                 piece_days: int = 1000, segments: int | None = None) -> DataFrame:
     """The diary as ordered lists of day records: all days of a subject, in numbered pieces of ``piece_days``."""
-    ranked = daily.withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(day)))
+    needed = [F.col(c) for c in dict.fromkeys([key, day, *values])]
+    ranked = numbered_days(daily.select(*needed), key, day, segments)
     return ranked.groupBy(key, F.floor((F.col("_pos") - 1) / piece_days).cast("int").alias("piece")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("day"), *values))).alias("diary"))
+        F.sort_array(F.collect_list(F.struct(F.col("_pos").cast("int").alias("day"), *values))).alias("diary"))
 
 
 def with_window(subjects: DataFrame, window: DataFrame, key: str = KEY) -> DataFrame:

@@ -104,3 +104,26 @@ def test_long_nested_diaries_come_in_pieces(spark):
     d = diary(spark, {1: [(i, i % 2, 0) for i in range(1, 24)]})
     rows = ex.nested_diary(d, ["proteinCat2"], piece_days=10).orderBy("piece").collect()
     assert [len(r.diary) for r in rows] == [10, 10, 3] and [x.day for r in rows for x in r.diary] == list(range(1, 24))
+
+
+def test_a_hot_subject_is_numbered_in_many_tasks(spark):
+    """A subject with a third of all rows, some days twice, null days and a null subject: places are as a plain sort gives them."""
+    rows = [(1, i if i % 7 else None, i % 3) for i in range(6_000)] + [(1, 5, 1)] * 5
+    rows += [(2 + i // 4, i % 4, i) for i in range(12_000)] + [(None, i, i) for i in range(3)]
+    daily = spark.createDataFrame(rows, "CombinedID long, Study_Day int, v int")
+    segments = 16
+    found = ex.numbered_days(daily, segments=segments)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.CombinedID, []).append((r._pos, r.Study_Day))
+    assert sum(map(len, by.values())) == len(rows) and len(by) == len({r[0] for r in rows})
+    for days in by.values():
+        days.sort(key=lambda d: d[0])
+        assert [p for p, _ in days] == list(range(1, len(days) + 1))
+        assert [d for _, d in days] == sorted((d for _, d in days), key=lambda d: (d is not None, d or 0))
+    spread = daily.withColumn("_tie", F.xxhash64(*daily.columns)).repartitionByRange(segments, "CombinedID", "Study_Day", "_tie")
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * len(rows) / segments
+    pieces = ex.nested_diary(daily, ["v"], piece_days=1000, segments=segments).where("CombinedID = 1").orderBy("piece").collect()
+    assert [len(r.diary) for r in pieces] == [1000] * 6 + [5]
+    assert [d.day for r in pieces for d in r.diary] == list(range(1, 6_006))
