@@ -1,21 +1,26 @@
 """Exact interpolated quantiles that never gather a group's values in one task.
 
 `percentile` keeps every distinct value of a group in one aggregation buffer. Here the values are
-first counted (a distributed group by value); a bounded sketch over the distinct values supplies bin
-edges; bin totals give each bin's first rank; only the bins that hold a wanted rank are ordered. The
-sketch decides how work is split, never the answer.
+first counted (a distributed group by value) and written; a bounded sketch over the distinct values supplies
+bin edges; bin totals give each bin's first rank; only the bins that hold a wanted rank go on. A bin that
+holds more than IN_ONE_BIN distinct values gets a sketch of its own, until the bins are small enough to be
+ordered. The sketches decide how work is split, never the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 from operator import and_, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import cut_lineage
+
 BINS = 64
+IN_ONE_BIN = 10_000
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -34,52 +39,68 @@ def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataF
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float],
-                    few_strata: bool = True, bins: int = BINS) -> DataFrame:
+                    bins: int = BINS, in_one_bin: int = IN_ONE_BIN) -> DataFrame:
     """Interpolated quantiles (rank ``(n - 1) p``) of ``cols`` per stratum: ``by, variable, q0, q1, ...``.
 
-    ``few_strata`` states that the strata are a fixed set of levels, whose edges may be broadcast;
-    otherwise the join strategy is left to the optimiser. ``bins`` splits every stratum; many strata
-    are spread already and need few.
+    ``bins`` splits every stratum; many strata are spread already and need few.
     """
-    return _count_quantiles(value_counts(df, by, cols), [*by, "variable"], probs, few_strata, bins)
+    hist = cut_lineage(value_counts(df, by, cols))
+    return _count_quantiles(hist, [*by, "variable"], probs, bins, in_one_bin)
+
 
+def _rank_columns(total: str, probs: Sequence[float]) -> list[tuple[str, Column]]:
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col(total) - 1) * F.lit(float(p))
+        out += [(f"lo{i}", F.floor(h)), (f"hi{i}", F.ceil(h))]
+    return out
 
-def _count_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], few_strata: bool = True,
-                     bins: int = BINS) -> DataFrame:
-    small = F.broadcast if few_strata else (lambda d: d)
-    # nulls weigh nothing here; filtering them would give this branch a shuffle of its own
+
+def wanted_bins(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int = BINS,
+                in_one_bin: int = IN_ONE_BIN) -> tuple[DataFrame, list[str]]:
+    """Values of the bins that hold a wanted rank, ``keys, bin0, bin1, ..., value, n, total, first_rank``, and the
+    columns of a bin; ``hist`` is a written table ``keys, value, n``.
+
+    Edges and bins are written: they are tables of the size of the strata, whose known size decides how they are joined.
+    """
+    if bins < 2:
+        raise ValueError("a stratum needs two bins or more")
+    # nulls weigh nothing here; filtering them would lose strata that have no other value
     hist = hist.withColumn("n", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-    edges = hist.groupBy(*keys).agg(
-        F.percentile_approx("value", [i / bins for i in range(1, bins)], 10 * bins).alias("edges"),
-        F.sum("n").alias("total"))
-    binned = _join_on(hist, small(edges), keys).select(
-        *keys, "value", "n", "total",
-        F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("bin"))
-
-    def ranks(total):
-        out = []
-        for i, p in enumerate(probs):
-            h = (F.col(total) - 1) * F.lit(float(p))
-            out += [(f"lo{i}", F.floor(h)), (f"hi{i}", F.ceil(h))]
-        return out
-
-    # the total is used on both sides of the join below, so that both read the same shuffles
-    per_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("bin_n"), F.max("total").alias("bin_total"))
-    ordered = Window.partitionBy(*keys).orderBy("bin")
-    first = per_bin.withColumn("first_rank", F.sum("bin_n").over(ordered) - F.col("bin_n"))
-
-    both = [*keys, "bin"]
-    placed = _join_on(binned, small(first), both)
-    wanted = reduce(or_, [(r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("bin_n"))
-                          for _, r in ranks("bin_total")])
-    inside = Window.partitionBy(*both).orderBy("value")
-    ranked = placed.where(wanted).withColumn(
+    group, total = list(keys), F.sum("n")
+    rows = hist.withColumn("first_rank", F.lit(0).cast("long"))
+    for level in count():
+        edges = cut_lineage(rows.groupBy(*group).agg(
+            F.percentile_approx("value", [i / bins for i in range(1, bins)], 10 * bins).alias("edges"), total.alias("total")))
+        bin_ = f"bin{level}"
+        binned = _join_on(rows.drop("total"), edges, group).withColumn(
+            bin_, F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+        per_bin = binned.groupBy(*group, bin_).agg(
+            F.sum("n").alias("bin_n"), F.count(F.lit(1)).alias("values"), F.max("total").alias("bin_total"),
+            F.max("first_rank").alias("before"))
+        earlier = F.sum("bin_n").over(Window.partitionBy(*group).orderBy(bin_)) - F.col("bin_n")
+        per_bin = per_bin.withColumn("first_rank", F.col("before") + earlier)
+        holds = reduce(or_, [(r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("bin_n"))
+                             for _, r in _rank_columns("bin_total", probs)])
+        group = [*group, bin_]
+        held = cut_lineage(per_bin.where(holds).select(*group, "values", "first_rank"))
+        rows = _join_on(binned.drop("first_rank"), held.drop("values"), group)
+        if (held.agg(F.max("values")).first()[0] or 0) <= in_one_bin:
+            return rows, group
+        rows, total = cut_lineage(rows), F.max("total")
+
+
+def _count_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int = BINS,
+                     in_one_bin: int = IN_ONE_BIN) -> DataFrame:
+    placed, group = wanted_bins(hist, keys, probs, bins, in_one_bin)
+    inside = Window.partitionBy(*group).orderBy("value")
+    ranked = placed.withColumn(
         "end", F.col("first_rank") + F.sum("n").over(inside)).withColumn(
         "start", F.col("end") - F.col("n"))
     picked = ranked.groupBy(*keys).agg(
         F.max("total").alias("total"),
         *[F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("value"))).alias(a)
-          for a, r in ranks("total")])
+          for a, r in _rank_columns("total", probs)])
     out = []
     for i, p in enumerate(probs):
         h = (F.col("total") - 1) * F.lit(float(p))
@@ -89,13 +110,13 @@ def _count_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float
 
 
 def mean_and_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float],
-                       few_strata: bool = True, bins: int = BINS) -> DataFrame:
+                       bins: int = BINS) -> DataFrame:
     """Mean and exact quantiles per stratum from one count per value: ``by, variable, mean, q0, ...``."""
     keys = [*by, "variable"]
-    hist = value_counts(df, by, cols)
+    hist = cut_lineage(value_counts(df, by, cols))
     weight = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
     means = hist.groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum(weight)).alias("mean"))
-    return _join_on(means, _count_quantiles(hist, keys, probs, few_strata, bins), keys)
+    return _join_on(means, _count_quantiles(hist, keys, probs, bins), keys)
 
 
 def six_number_summary(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -104,7 +125,7 @@ def six_number_summary(df: DataFrame, by: Sequence[str], cols: Sequence[str]) ->
     Everything is taken from one count per value, so the input is read once.
     """
     keys = [*by, "variable"]
-    hist = value_counts(df, by, cols)
+    hist = cut_lineage(value_counts(df, by, cols))
     known = F.col("value").isNotNull()
     moments = hist.groupBy(*keys).agg(
         F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n"), F.min("value").alias("min_value"),

@@ -6,6 +6,7 @@ from pamspark.functions import quantiles as qu
 from pamspark.functions import scalars as sc
 from pamspark.operators import relational as re_
 from pamspark.operators import tables as tb
+from pamspark.sources.io import cut_lineage
 
 
 def test_exact_quantiles_on_skewed_strata(spark):
@@ -18,13 +19,31 @@ def test_exact_quantiles_on_skewed_strata(spark):
     got = {r.g: r for r in qu.exact_quantiles(df, ["g"], ["v"], probs).collect()}
     for g, vs in groups.items():
         assert [got[g][f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12)
-    few = {r.g: r for r in qu.exact_quantiles(df, ["g"], ["v"], [0.5], few_strata=False, bins=4).collect()}
+    few = {r.g: r for r in qu.exact_quantiles(df, ["g"], ["v"], [0.5], bins=4).collect()}
     assert few["hot"].q0 == pytest.approx(np.median(groups["hot"]))
     six = {r.g: r for r in qu.six_number_summary(df, ["g"], ["v"]).collect()}
     assert six["hot"].n_missing == 1 and six["hot"].mean_value == pytest.approx(groups["hot"].mean())
     assert six["empty"].n == 0 and six["empty"].median_value is None
 
 
+def test_quantiles_select_until_bins_are_small(spark):
+    """A million distinct values, one of them in a third of all rows: what is ordered at last are a few small bins."""
+    n, probs = 1_000_000, [0.0, 0.1, 0.5, 0.9999, 1.0]
+    values = F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.exp(F.col("id") / n * 20) * F.when(F.col("id") % 2 == 0, -1).otherwise(1))
+    df = spark.range(n * 3 // 2).select(F.lit("all").alias("g"), values.alias("v"))
+    hist = cut_lineage(qu.value_counts(df, ["g"], ["v"]))
+    rows, group = qu.wanted_bins(hist, ["g", "variable"], probs)
+    sizes = [r["count"] for r in rows.groupBy(*group).count().collect()]
+    assert group[-1] == "bin1" and len(sizes) <= 2 * len(probs) and max(sizes) <= qu.IN_ONE_BIN
+    want = np.quantile(df.select("v").toPandas()["v"].to_numpy(), probs)
+    one = qu.exact_quantiles(df, ["g"], ["v"], probs).first()
+    assert [one[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(want), rel=1e-12)
+    deep = qu.exact_quantiles(df.limit(2_000), ["g"], ["v"], [0.3], bins=2, in_one_bin=5).first()
+    assert deep.q0 == pytest.approx(np.quantile(df.limit(2_000).toPandas()["v"], 0.3), rel=1e-12)
+    none = qu.exact_quantiles(df.limit(0), ["g"], ["v"], probs)
+    assert none.count() == 0
+
+
 def test_global_rank(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal(5000)
