@@ -45,6 +45,16 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: list[str], salts: int = 64) -> DataFrame:
+    """All rows with what table, which has one row per key, says of theirs: a key of many rows is spread over salts by a hash of by.
+
+    Only the pairs of key and salt that occur are joined to the table first, at most salts for a key.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    spread = rows.select(key, "_salt").distinct().join(table, key, "left")
+    return rows.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value, so that value is computed once per row whatever the optimizer inlines."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,9 +1,9 @@
 """Web archives (WARC 1.1) with revisit records for equal payloads.
 
 Of the records with equal payloads the one with the largest page_id is written as a response, the others as revisits
-that refer to it. Only headers (page_id, digest, length) are shuffled by digest, after the digests' largest ids have
-been summed up within tasks, so that a digest with a third of all pages gathers nowhere; payloads move once, by
-page_id, and only responses keep theirs. The text writer makes the files, in the folder the cluster names: a row is a
+that refer to it. Only headers (page_id, url, digest, length), which are written once, are shuffled by digest: the digests'
+largest ids are taken within tasks first, and headers meet them by digest and a salt, so that a digest with a third of all
+pages gathers nowhere; payloads move once, by page_id, and only responses keep theirs. Records are dated when the archive is written. The text writer makes the files, in the folder the cluster names: a row is a
 record, and the writer's line separator is the two line ends that close a record. Files are read as bytes and cut by
 Content-Length alone, so a payload may hold anything.
 
@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pamspark.llm.common import salted_join, written
+
 FILE_BYTES = 64_000_000
 #: Response blocks above this size that one Arrow batch of the reader holds.
 BATCH_BYTES = 8_000_000
@@ -56,12 +59,13 @@ def _record(kind: str, refers_to: Column | None, payload: Column, date: str) ->
     return F.concat(F.concat_ws(END, *lines, length), F.lit(END + END), http, payload)
 
 
-def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the pages (page_id, url, html) as deduplicated archives."""
+def write(pages: DataFrame, folder: str, date: str | None = None) -> None:
+    """Write the pages (page_id, url, html) as deduplicated archives; date (default: now) is that of all records."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(pages["html"], F.lit(""))
     pages = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], payload.alias("payload"))
     full = pages.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
-    heads = full.drop("payload")
+    heads = written(full.drop("payload"))
     first = heads.groupBy("payload_digest").agg(F.max("page_id").alias("first_id"))
     size = heads.agg(F.sum("payload_bytes")).first()[0] or 0
     spark = pages.sparkSession
@@ -71,7 +75,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") ->
     response = (full.withColumn("_id", F.coalesce("page_id", F.lit(-(1 << 63)))).repartition(files, "_id", "payload_digest")
                 .join(own, ["_id", "payload_digest"])
                 .withColumn("record_id", _record_id(F.col("page_id"), F.col("payload_digest"))))
-    revisit = (heads.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    revisit = (salted_join(heads, first, "payload_digest", ["page_id", "url"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
                .withColumn("record_id", _record_id(F.col("page_id"), F.col("payload_digest"), F.lit("revisit"), F.col("url"))))
     records = response.select(_record("response", None, F.col("payload"), date).alias("value")).unionByName(
         revisit.select(_record("revisit", _record_id(F.col("first_id"), F.col("payload_digest")), F.lit(""), date).alias("value")))
@@ -124,13 +128,14 @@ def resolved(records: DataFrame, *columns: Column) -> DataFrame:
     """Records with page_id and the given named expressions of the response that holds their payload.
 
     The expressions may use payload; refers_to is the response's page_id for revisits, else null. Responses written
-    twice are one. A response that a third of all records refer to is joined as a skewed key, by two narrow sides.
+    twice are one. A response that many records refer to is joined by its id and a salt.
     """
     names = [records.select(c).columns[0] for c in columns]
     found = records.filter("record_type = 'response'").select("record_id", "page_id", *columns)
     origin = found.groupBy("record_id").agg(F.max("page_id").alias("refers_to"), *[F.first(n).alias(n) for n in names])
     revisits = records.filter("record_type = 'revisit'").select(
-        "page_id", "url", "record_type", F.col("refers_to_record").alias("record_id")).join(origin, "record_id", "left")
+        "page_id", "url", "record_type", F.col("refers_to_record").alias("record_id"))
+    revisits = salted_join(revisits, origin, "record_id", ["page_id", "url"])
     responses = records.filter("record_type = 'response'").select(
         "page_id", "url", "record_type", F.lit(None).cast("long").alias("refers_to"), *columns)
     return responses.unionByName(revisits.drop("record_id"))
