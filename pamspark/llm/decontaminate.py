@@ -16,7 +16,8 @@ An occurrence counts if it has LEAST windows, or all of a shorter item, and at l
 keep to one value; the item's first and last token may run on in the document and are not held to that. Windows, share and kind
 are those of the occurrence with the greatest share. Defined cases: null and empty texts and items match nothing; items without a word match nothing,
 those of fewer than SHORTEST tokens or without enough plain words are not found if their numbers, names or units were changed; a repeated row is found as often as it stands, as one result; hits of a
-window that many items share count for each item; an empty table gives an empty result; other columns are not touched.
+window that many items share count for each item; an item of fewer than LEAST_WIDTH tokens (a common word or phrase) is reported like others,
+with its width, but no document is dropped for it; an empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pamspark.llm.common import ALNUM, blocks, mix, text_bytes, word_hashes, wor
 
 WIDTH, LITERAL, SHORTEST = 8, 5, 5
 LEAST = 5
+#: Items of fewer tokens do not drop documents.
+LEAST_WIDTH = 5
 CONSISTENT = 0.8
 BLOCK = 1_000_000
 #: Words that count as numbers, and units that may follow a number.
@@ -197,9 +200,9 @@ def _hits(docs: DataFrame, known: np.ndarray, widths: list[tuple[bool, int]]) ->
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, tid, item_id, windows, item_windows, share, kind, consistency): a row for each document and item it holds.
+    """(doc_id, tid, item_id, windows, item_windows, width, share, kind, consistency): a row for each document and item it holds.
 
-    tid names the text (its MD5); kind is exact if no slot value was changed, else reparameterised.
+    width is that of the windows, WIDTH or all tokens of a shorter item; tid names the text (its MD5); kind is exact if no slot value was changed, else reparameterised.
     """
     docs = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tid"), "text")
     known = written(item_windows(items))
@@ -213,7 +216,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         found = hits if found is None else found.unionByName(hits)
     joined = written(found.join(known, "hash").withColumn("gap", F.col("at") - F.col("place")))
     key = ["doc_id", "tid", "item_id", "reading", "seen", "gap"]
-    runs = joined.groupBy(*key).agg(F.countDistinct("place").alias("windows"), F.first("windows").alias("item_windows"))
+    runs = joined.groupBy(*key).agg(F.countDistinct("place").alias("windows"), F.first("windows").alias("item_windows"),
+                                   F.max("width").alias("width"))
     runs = runs.filter(F.col("windows") >= F.least("item_windows", F.lit(LEAST)))
     slots = joined.select(*key, F.explode(F.arrays_zip("slots", "inner", "found")).alias("s")).select(*key, "s.slots", "s.inner", "s.found")
     kept = F.when(F.col("inner"), F.col("found"))
@@ -222,18 +226,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                                       F.min((F.col("low") == F.col("slots")) & (F.col("high") == F.col("slots"))).alias("exact"))
     same = reduce(and_, [runs[k].eqNullSafe(values[k]) for k in key])
     judged = runs.join(values, same, "left").select(
-        *[runs[k] for k in key], runs["windows"], runs["item_windows"], F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
+        *[runs[k] for k in key], runs["windows"], runs["item_windows"], runs["width"], F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
         F.coalesce("exact", F.lit(True)).alias("exact")).filter(F.col("consistency") >= CONSISTENT)
-    best = F.struct((F.col("windows") / F.col("item_windows")).alias("share"), "exact", "windows", "item_windows", "consistency")
+    best = F.struct((F.col("windows") / F.col("item_windows")).alias("share"), "exact", "windows", "item_windows", "consistency", "width")
     judged = judged.groupBy("doc_id", "tid", "item_id").agg(F.max(best).alias("b"))
-    return judged.select("doc_id", "tid", "item_id", "b.windows", "b.item_windows", "b.share",
+    return judged.select("doc_id", "tid", "item_id", "b.windows", "b.item_windows", "b.width", "b.share",
                          F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"), "b.consistency")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item."""
-    found = leaks(docs, items).select(F.col("doc_id").alias("_doc_id"), F.col("tid").alias("_tid")).distinct()
-    found = written(found)
+def without_leaks(docs: DataFrame, items: DataFrame, least_width: int = LEAST_WIDTH) -> DataFrame:
+    """docs without the documents that hold a benchmark item of at least least_width tokens; `leaks` reports shorter ones."""
+    found = leaks(docs, items).filter(F.col("width") >= least_width)
+    found = written(found.select(F.col("doc_id").alias("_doc_id"), F.col("tid").alias("_tid")).distinct())
     rows = docs.withColumn("_text_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     same = (rows["_text_id"] == found["_tid"]) & rows["doc_id"].eqNullSafe(found["_doc_id"])
     return rows.join(found, same, "left_anti").drop("_text_id")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pamspark.llm import decontaminate, fingerprint, html, html_pages, licenses, lm, mixing, neardup, quality, queries, sharding, warc
-from pamspark.llm.common import ALNUM, SPACED, bounded_batches, shared_folder, text_bytes, word_hashes
+from pamspark.llm.common import ALNUM, SPACED, bounded_batches, salted_join, shared_folder, text_bytes, word_hashes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string"
@@ -210,6 +210,17 @@ def test_templates_take_a_numeral_as_one(spark):
     assert [list(t[1]) for t in decontaminate.readings(data, offsets)[-2:]] == [[0, 7, 8]] * 2
 
 
+def test_short_items_are_reported_but_drop_nothing(spark):
+    bounded_batches(spark)
+    items = spark.createDataFrame([(1, "the"), (2, "What is it"), (3, "zinc loves plain warm water")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Here is the house. What is it for?"), (2, "They say zinc loves plain warm water in the end."), (3, "none of these")],
+                                 "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.width for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(1, 1): 1, (1, 2): 3, (2, 1): 1, (2, 3): 5}
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).orderBy("doc_id").collect()] == [1, 3]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items, least_width=1).collect()] == [3]
+
+
 def test_every_item_is_searched_word_for_word(spark):
     items = ["12 + 7 = 19, 19 x 3 = 57, what is 57 minus 4", "Solve 3x = 12", "Bob", "Anna Maria Bauer, Karl Maier 7 kg 9 km", " . "]
     texts = [f"Some words stand here\n{i}\nand others follow, {i.lower()} too" for i in items]
@@ -444,6 +455,25 @@ def test_warc_round_trip(spark, folder):
     assert {r.page_id: r.refers_to for r in queries.op8_revisits(spark, full).collect()} == {1: 2, 2: None, None: 4, 4: None, 5: None, 6: None}
 
 
+def test_a_hot_payload_meets_its_digest_in_many_groups(spark):
+    rows = [(i, f"u{i % 900}", "<p>same</p>" if i % 3 == 0 else f"<p>{i // 2}</p>") for i in range(3_000)] + [(None, None, "<p>same</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    place = shared_folder(spark)
+    warc.write(pages, place, date="2030-05-06T07:08:09Z")
+    found = warc.resolved(warc.read(spark, place), F.octet_length("payload").alias("n")).collect()
+    top = {}
+    for i, _, html_text in rows:
+        top[html_text] = max(top.get(html_text, -1), -1 if i is None else i)
+    want = sorted((-1 if i is None else i, top[t] if top[t] != i else -1, len(t)) for i, _, t in rows)
+    assert sorted((-1 if r.page_id is None else r.page_id, -1 if r.refers_to is None else r.refers_to, r.n) for r in found) == want
+    lines = spark.read.text(place).filter(F.col("value").startswith("WARC-Date")).distinct().collect()
+    assert [r.value.strip() for r in lines] == ["WARC-Date: 2030-05-06T07:08:09Z"]
+    left = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1), (None, 2)], "k string, i int")
+    right = spark.createDataFrame([("a", 7)], "k string, v int")
+    joined = collections.Counter((r.k, r.v) for r in salted_join(left, right, "k", ["i"]).collect())
+    assert joined == {("a", 7): 500, ("b", None): 1, (None, None): 1}
+
+
 def test_context_tree_brute_force(spark):
     """Counts, Krichevsky-Trofimov mixing and scores of a tiny corpus, node by node."""
     rows = [(1, "Abra cadabra"), (2, "abracadabra abra"), (3, "banana"), (4, ""), (5, None)]
