@@ -1,20 +1,23 @@
 """Language-model scoring by context-tree weighting over bytes, with an add-one unigram score beside it.
 
 Every byte of a lower-cased (A-Z) text, and a closing byte 255, is eight binary decisions. A decision is predicted
-from the bits of its byte so far and from the 0 to DEPTH bytes before it (255 before a text begins). For each
-context of each length Spark sums how often either bit followed in the training texts; a node's block probability is
-the Krichevsky-Trofimov estimate of these counts, and bottom-up each node mixes it half and half with the product of
-its children. Top-down the posterior weights of stopping at a depth turn into one probability per decision, a mix of
-the estimates of all depths. Contexts never met in training estimate one half.
+from the bits of its byte so far and from the 0 to DEPTH bytes before it (255 before a text begins). Contexts of up to
+SPLIT bytes are all nodes; a longer one is a node if it occurs LEAST times in the training texts, and what a node saw
+under longer contexts that are none forms one child more. A node's block probability is the Krichevsky-Trofimov
+estimate of how often either bit followed; bottom-up each node mixes it half and half with the product of its
+children. Top-down the posterior weights of stopping at a depth turn into one probability per decision, a mix of the
+estimates of all depths. Contexts of up to SPLIT bytes that were never met in training estimate one half.
 
-Texts are dealt into blocks of about BLOCK_BYTES by a hash. A block sends each distinct byte string of DEPTH + 1 and
-each distinct word once, with its number in training texts; the answers come back to the block by a join, so what is
-exchanged follows the corpus, nothing is broadcast, and no task needs more than a block and its strings. Words are
-known by 64-bit hashes.
+Texts are dealt into blocks of about BLOCK_BYTES by a hash. A block sends its distinct strings of DEPTH + 1 bytes and
+its distinct words once, with their number in training texts, sorted and packed, to buckets; a bucket holds all
+strings whose last SPLIT context bytes are the same, so it has whole subtrees. Nodes of up to SPLIT bytes are tables
+of Spark. The answers come back to the block in the order of its strings, so what is exchanged follows the corpus and
+nothing is broadcast; a task holds a block and its strings, or a bucket. Words are known by 64-bit hashes.
 
 Defined cases: a null text is empty and an empty text has its closing byte and one end token; a null id counts as
 empty for the fold; equal rows get equal scores; without training texts every decision has probability one half and
-c = N = V = 0; an empty table gives an empty result. Only the id and the results are returned.
+c = N = V = 0; an empty table gives an empty result. A text is never cut: a block grows by a very long one, which is
+read in pieces of about CHUNK bytes only where other texts end. Only the id and the results are returned.
 """
 
 from __future__ import annotations
@@ -25,29 +28,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pamspark.llm.common import SPACED, text_bytes, word_hashes, written
+from pamspark.llm.common import SPACED, mix, text_bytes, word_hashes, written
 
-DEPTH = 4
+#: Bytes of context; with the byte that follows they are one 64-bit key.
+DEPTH = 7
+#: Contexts up to this length are all nodes, in Spark tables; longer ones are kept in buckets.
+SPLIT = 4
+#: Occurrences in training texts that make a node of a longer context.
+LEAST = 2
 BLOCK_BYTES = 16_000_000
 CHUNK = 1_000_000
-GRAM, TOKEN = 0, 1
 #: The key of the end token; no word hash is looked up under it.
 END_TOKEN = np.uint64(0)
+_BYTE = np.uint64(8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte and each closing byte its key: DEPTH bytes before it and itself, big end first."""
+    """For each byte and each closing byte its key: the DEPTH bytes before it, the nearest one highest, and itself lowest."""
     n = np.diff(offsets)
     stream = np.full(len(data) + len(n) * (DEPTH + 1), 255, np.uint8)
     shift = np.repeat(np.arange(len(n)) * (DEPTH + 1) + DEPTH, n)
     stream[np.arange(len(data)) + shift] = _LOWER[data]
     keys = np.zeros(len(stream) - DEPTH, np.uint64)
-    for i in range(DEPTH + 1):
-        keys = (keys << np.uint64(8)) | stream[i : i + len(keys)]
+    for i in range(1, DEPTH + 1):
+        keys = (keys << _BYTE) | stream[DEPTH - i : len(stream) - i]
+    keys = (keys << _BYTE) | stream[DEPTH:]
     # windows that reach over the end of a text are not its own
     own = np.ones(len(keys), bool)
     ends = np.cumsum(n + DEPTH + 1)[:-1]
@@ -55,6 +65,17 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys[own]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The values byte place by byte place, compressed: sorted keys share their high bytes."""
+    places = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(places).tobytes(), 1)
+
+
+def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+    places = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(places.T).view(kind).ravel()
+
+
 def _pieces(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts of about CHUNK bytes: first row, bytes, offsets."""
     if not table.num_rows:
@@ -67,6 +88,7 @@ def _pieces(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _totals(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers; the stable sort merges parts that are sorted."""
     keys, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
@@ -74,52 +96,230 @@ def _totals(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first)
 
 
-def _block_counts(table: pa.Table) -> pa.Table:
-    """(block, kind, key, n) of all distinct strings and words of a block; n counts training texts only."""
-    block = table.column("block")[0].as_py()
-    out = []
-    for kind in (GRAM, TOKEN):
-        found = []
-        for trains in (True, False):
-            part = table.filter(pc.equal(table.column("trains"), trains))
-            for _, data, offsets in _pieces(part):
-                keys = grams(data, offsets) if kind == GRAM else np.append(
-                    word_hashes(data, offsets, SPACED)[0], np.full(len(offsets) - 1, END_TOKEN))
-                keys, n = np.unique(keys, return_counts=True)
-                found.append((keys, n if trains else np.zeros_like(n)))
-        keys, n = _totals(found)
-        out.append(pa.table({"block": pa.array(np.full(len(keys), block, np.int32)), "kind": pa.array(np.full(len(keys), kind, np.int8)),
-                             "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))}))
-    return pa.concat_tables(out)
-
-
-def _block_scores(known: pa.Table, table: pa.Table, total: int, distinct: int) -> pa.Table:
+def _words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.append(word_hashes(data, offsets, SPACED)[0], np.full(len(offsets) - 1, END_TOKEN))
+
+
+def _block_keys(table: pa.Table, keys_of) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block in order, and how often each is met in training texts."""
+    known = None
+    for trains in (True, False):
+        part = table.filter(pc.equal(table.column("trains"), trains))
+        for _, data, offsets in _pieces(part):
+            keys, n = np.unique(keys_of(data, offsets), return_counts=True)
+            found = keys, n if trains else np.zeros_like(n)
+            known = _totals([known, found]) if known else found
+    return known
+
+
+def _split(keys: np.ndarray, buckets: int, context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by bucket and key, the buckets met and where they begin."""
+    bucket = mix(keys >> np.uint64(8 * (DEPTH + 1 - SPLIT)) if context else keys) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    met, first = np.unique(bucket[order], return_index=True)
+    return order, met.astype(np.int64), np.append(first, len(keys))
+
+
+def _block_counts(table: pa.Table, buckets: int) -> pa.Table:
+    """(block, bucket, grams, gram_n, words, word_n): packed distinct strings and words of a block and their numbers in training texts."""
+    rows: dict[int, dict] = {}
+    for kind, keys_of in (("gram", grams), ("word", _words)):
+        keys, n = _block_keys(table, keys_of)
+        order, met, first = _split(keys, buckets, kind == "gram")
+        for bucket, a, b in zip(met, first, first[1:]):
+            row = rows.setdefault(int(bucket), {"block": table.column("block")[0].as_py(), "bucket": int(bucket)})
+            row[kind + "s"], row[kind + "_n"] = _packed(keys[order[a:b]]), _packed(n[order[a:b]].astype(np.uint32))
+    return pa.Table.from_pylist(list(rows.values()), _COUNTS)
+
+
+_COUNTS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("gram_n", pa.binary()), ("words", pa.binary()), ("word_n", pa.binary())])
+_NODES = pa.schema([("bucket", pa.int32()), ("context", pa.int64()), ("prefix", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64()), ("weighted", pa.float64())])
+_ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("values", pa.binary()), ("counts", pa.binary())])
+
+
+def _sums(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a bucket and their numbers over all blocks."""
+    found = [(_unpacked(k, np.uint64), _unpacked(n, np.uint32).astype(np.int64))
+             for k, n in zip(table.column(kind + "s").to_pylist(), table.column(kind + "_n").to_pylist()) if k is not None]
+    return _totals(found) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _ln_gamma(x: np.ndarray) -> np.ndarray:
+    y, steps = x + 6, x.copy()
+    for i in range(1, 6):
+        steps *= x + i
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(steps)
+
+
+def _log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov block probability."""
+    found = _ln_gamma(n0 + 0.5) + _ln_gamma(n1 + 0.5) - _ln_gamma(n0 + n1 + 1.0) - math.log(math.pi)
+    return np.where(n0 + n1 == 0, 0.0, found)
+
+
+class Subtrees:
+    """All nodes of SPLIT to DEPTH bytes above the strings of a bucket.
+
+    An entry of a level is a context of its length with the byte that follows; entries are in order, so a node, which is
+    a context with the first bits of that byte, is a run of them.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.level = np.full(len(keys), SPLIT)
+        self.entries, self.n, self.at, self.up = [], [], [], []
+        left = np.arange(len(keys))
+        for depth in range(SPLIT, DEPTH + 1):
+            context = keys[left] >> np.uint64(8 * (DEPTH + 1 - depth))
+            if depth > SPLIT:
+                # the strings of a context are a run, as its bytes are the highest of a key
+                edge = np.concatenate(([True], context[1:] != context[:-1])) if len(left) else np.zeros(0, bool)
+                runs = np.cumsum(edge) - 1
+                met = np.bincount(runs, weights=n[left])[runs] >= LEAST if len(left) else edge
+                left, context = left[met], context[met]
+                self.level[left] = depth
+            entries, inverse = np.unique((context << _BYTE) | (keys[left] & np.uint64(255)), return_inverse=True)
+            at = np.full(len(keys), -1)
+            at[left] = inverse
+            first = np.zeros(len(entries), np.int64)
+            first[inverse] = left
+            self.entries.append(entries)
+            self.n.append(np.bincount(inverse, weights=n[left], minlength=len(entries)))
+            self.up.append(self.at[-1][first] if self.at else first)
+            self.at.append(at)
+        self.rest = [own - np.bincount(up, weights=below, minlength=len(own))
+                     for own, up, below in zip(self.n, self.up[1:], self.n[1:])] + [np.zeros(len(self.n[-1]))]
+
+    def nodes(self, bit: int) -> list[tuple[np.ndarray, ...]]:
+        """For each level: first entries of its nodes, node of each entry, n0, n1, log block, log weighted, chance of a one at the node and at its rest."""
+        out: list[tuple[np.ndarray, ...]] = []
+        below = None
+        for i in range(DEPTH - SPLIT, -1, -1):
+            entries = self.entries[i]
+            if not len(entries):
+                out.insert(0, ())
+                continue
+            head = entries >> np.uint64(8 - bit)
+            edge = np.concatenate(([True], head[1:] != head[:-1]))
+            first, node = np.flatnonzero(edge), np.cumsum(edge) - 1
+            one = ((entries >> np.uint64(7 - bit)) & np.uint64(1)).astype(float)
+            n, rest = self.n[i], self.rest[i]
+            n1, r1 = np.add.reduceat(n * one, first), np.add.reduceat(rest * one, first)
+            n0, r0 = np.add.reduceat(n, first) - n1, np.add.reduceat(rest, first) - r1
+            own = _log_block(n0, n1)
+            weighted = own
+            if i < DEPTH - SPLIT:
+                apart = _log_block(r0, r1)
+                if below is not None:
+                    apart = apart + np.bincount(node[self.up[i + 1][below[0]]], weights=below[1], minlength=len(first))
+                weighted = np.logaddexp(own, apart) - math.log(2)
+            below = first, weighted
+            out.insert(0, (first, node, n0, n1, own, weighted, (n1 + 0.5) / (n0 + n1 + 1), (r1 + 0.5) / (r0 + r1 + 1)))
+        return out
+
+    def values(self, above: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log2 of each string's last byte's probability; above: by bit the chance so far and the weight left at each node of SPLIT bytes."""
+        logs = [np.zeros(len(e)) for e in self.entries]
+        for bit in range(8):
+            chance = left = None
+            for i, level in enumerate(self.nodes(bit)):
+                if not level:
+                    break
+                _, node, _, _, own, weighted, kt, rest = level
+                if i:
+                    chance, left = chance[self.up[i]], left[self.up[i]]
+                else:
+                    chance, left = above[bit][0][node], above[bit][1][node]
+                stop = np.exp(own - weighted - math.log(2))[node] if i < DEPTH - SPLIT else 1.0
+                chance, left = chance + left * stop * kt[node], left * (1 - stop)
+                one = (self.entries[i] >> np.uint64(7 - bit)) & np.uint64(1) == 1
+                p = chance + left * rest[node]
+                logs[i] += np.log2(np.where(one, p, 1 - p))
+        out = np.zeros(len(self.level))
+        for i, at in enumerate(self.at):
+            here = self.level == i + SPLIT
+            out[here] = logs[i][at[here]]
+        return out
+
+
+def _bucket_nodes(table: pa.Table) -> pa.Table:
+    """The nodes of SPLIT bytes of a bucket; under context -1 the number of its words in training texts and of distinct ones."""
+    bucket = table.column("bucket")[0].as_py()
+    _, n = _sums(table, "word")
+    columns = [[np.array([v]) for v in (-1, 0, n.sum(), (n > 0).sum(), 0.0)]]
+    keys, n = _sums(table, "gram")
+    if len(keys):
+        tree = Subtrees(keys, n)
+        for bit in range(8):
+            first, _, n0, n1, _, weighted, *_ = tree.nodes(bit)[0]
+            head = tree.entries[0][first]
+            columns.append([head >> _BYTE, (1 << bit) | (head & np.uint64(255)).astype(int) >> (8 - bit), n0, n1, weighted])
+    context, prefix, n0, n1, weighted = (np.concatenate(c) for c in zip(*columns))
+    return pa.table([np.full(len(context), bucket, np.int32), context.astype(np.int64), prefix.astype(np.int32), n0.astype(np.int64),
+                     n1.astype(np.int64), weighted.astype(float)], schema=_NODES)
+
+
+def _bucket_answers(table: pa.Table, top: pa.Table) -> pa.Table:
+    """For each block the values of its strings of a bucket and the numbers of its words, in its order."""
+    words, counts = _sums(table, "word")
+    keys, n = _sums(table, "gram")
+    values = np.zeros(0)
+    if len(keys):
+        tree, above = Subtrees(keys, n), {}
+        prefix = top.column("prefix").to_numpy()
+        context, p, left = (top.column(c).to_numpy() for c in ("context", "p", "rest"))
+        for bit in range(8):
+            here = np.flatnonzero(prefix >> bit == 1)
+            here = here[np.lexsort((prefix[here], context[here]))]
+            above[bit] = p[here], left[here]
+        values = tree.values(above)
+    rows = []
+    for row in table.to_pylist():
+        found = {"block": row["block"], "bucket": row["bucket"]}
+        if row["grams"] is not None:
+            found["values"] = _packed(values[np.searchsorted(keys, _unpacked(row["grams"], np.uint64))].astype(np.float32))
+        if row["words"] is not None:
+            found["counts"] = _packed(counts[np.searchsorted(words, _unpacked(row["words"], np.uint64))])
+        rows.append(found)
+    return pa.Table.from_pylist(rows, _ANSWERS)
+
+
+def _found(known: pa.Table, column: str, kind: type, table: pa.Table, keys_of, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block and what the buckets answered."""
+    keys, _ = _block_keys(table, keys_of)
+    order, met, _ = _split(keys, buckets, column == "values")
+    blobs = dict(zip(known.column("bucket").to_pylist(), known.column(column).to_pylist()))
+    answers = np.empty(len(keys), kind)
+    answers[order] = np.concatenate([_unpacked(blobs[b], kind) for b in met.tolist()])
+    return keys, answers
+
+
+def _lookup(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """What is known of each key; distinct keys are searched in order."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return known[1][np.searchsorted(known[0], distinct)][inverse]
+
+
+def _block_scores(known: pa.Table, table: pa.Table, total: int, distinct: int, buckets: int) -> pa.Table:
     """Scores of the texts of a block, from the values of its strings and words."""
-    values = {}
-    for kind in (GRAM, TOKEN):
-        part = known.filter(pc.equal(known.column("kind"), kind))
-        keys, value = part.column("key").to_numpy().view(np.uint64), part.column("value").to_numpy()
-        order = np.argsort(keys)
-        values[kind] = keys[order], value[order]
+    strings = _found(known, "values", np.float32, table, grams, buckets)
+    numbers = _found(known, "counts", np.int64, table, _words, buckets)
     tokens, hits, base, score = (np.zeros(table.num_rows) for _ in range(4))
     for first, data, offsets in _pieces(table):
         rows = slice(first, first + len(offsets) - 1)
-        keys, value = values[GRAM]
-        each = value[np.searchsorted(keys, grams(data, offsets))]
         starts = offsets[:-1] + np.arange(len(offsets) - 1)
-        score[rows] = np.add.reduceat(each, starts)
+        score[rows] = np.add.reduceat(_lookup(strings, grams(data, offsets)).astype(float), starts)
         words, at = word_hashes(data, offsets, SPACED)
-        keys, value = values[TOKEN]
-        end = value[np.searchsorted(keys, END_TOKEN)]
-        count = np.insert(value[np.searchsorted(keys, words)], at[1:], end)
+        end = _lookup(numbers, np.array([END_TOKEN]))[0]
+        count = np.insert(_lookup(numbers, words), at[1:], end)
         starts = at[:-1] + np.arange(len(offsets) - 1)
         tokens[rows] = np.diff(at) + 1
         hits[rows] = np.add.reduceat((count > 0).astype(float), starts)
         base[rows] = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1)), starts)
+    size = np.diff(text_bytes(table.column("text"))[1])
     return pa.table({"doc_id": table.column("doc_id"), "held_out": pc.invert(table.column("trains")),
                      "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(hits.astype(np.int64)),
                      "train_tokens": pa.array(np.full(table.num_rows, total, np.int64)), "base_score": pa.array(base),
-                     "score": pa.array(score * math.log10(2)), "n_bytes": pa.array(np.diff(text_bytes(table.column("text"))[1]))})
+                     "score": pa.array(score * math.log10(2)), "n_bytes": pa.array(size), "bits_per_byte": pa.array(-score / (size + 1))})
 
 
 def _log_gamma(x: Column) -> Column:
@@ -139,36 +339,23 @@ def _estimates(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"kt": (b + 0.5) / (a + b + 1.0), "own": own})
 
 
-def _bits(strings: DataFrame, *columns: str) -> DataFrame:
-    """Eight rows for each string: context, bits of the byte so far behind a leading one, next bit."""
-    byte, i = F.col("key").bitwiseAND(255).cast("int"), F.col("i")
-    rows = strings.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    before = F.expr("shiftright(cast(key & 255 as int), 8 - i)")
-    return rows.select(*columns, F.shiftright("key", 8).alias("context"), F.expr("shiftleft(1, i)").bitwiseOR(before).alias("prefix"),
-                       F.expr("shiftright(cast(key & 255 as int), 7 - i) & 1").alias("bit"))
-
-
-def context_tree(strings: DataFrame) -> DataFrame:
-    """(context, prefix, p): probability of a one for each full context, from strings (key, n)."""
-    nodes = _bits(strings, "n").groupBy("context", "prefix").agg(
-        F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
-    levels = [written(_estimates(nodes).withColumns({"weighted": F.col("own"), "stop": F.lit(1.0)}))]
-    for depth in range(DEPTH - 1, -1, -1):
-        mask = (1 << (8 * depth)) - 1
-        nodes = levels[0].groupBy(F.col("context").bitwiseAND(F.lit(mask)).alias("context"), "prefix").agg(
+def top_of_tree(nodes: DataFrame) -> DataFrame:
+    """nodes (bucket, context, prefix, n0, n1, weighted) of SPLIT bytes with p, the chance of a one that shorter contexts add, and the weight left as rest."""
+    levels = [nodes]
+    for depth in range(SPLIT - 1, -1, -1):
+        shorter = levels[0].groupBy(F.shiftright("context", 8).alias("context"), "prefix").agg(
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
-        nodes = _estimates(nodes)
+        shorter = _estimates(shorter)
         apart = F.abs(F.col("own") - F.col("below"))
-        nodes = nodes.withColumn("weighted", F.greatest("own", "below") + F.log1p(F.exp(-apart)) - math.log(2)).drop("below")
-        levels.insert(0, written(nodes.withColumn("stop", F.exp(F.col("own") - F.col("weighted") - math.log(2)))))
+        shorter = shorter.withColumn("weighted", F.greatest("own", "below") + F.log1p(F.exp(-apart)) - math.log(2)).drop("below")
+        levels.insert(0, written(shorter.withColumn("stop", F.exp(F.col("own") - F.col("weighted") - math.log(2)))))
     mixed = levels[0].select("context", "prefix", (F.col("stop") * F.col("kt")).alias("p"), (1 - F.col("stop")).alias("rest"))
-    for depth in range(1, DEPTH + 1):
-        mask = (1 << (8 * (depth - 1))) - 1
+    for level in levels[1:]:
         above = mixed.withColumnsRenamed({"context": "above", "p": "p_above", "rest": "rest_above"})
-        mixed = (levels[depth].withColumn("above", F.col("context").bitwiseAND(F.lit(mask))).join(above, ["above", "prefix"])
-                 .select("context", "prefix", (F.col("p_above") + F.col("rest_above") * F.col("stop") * F.col("kt")).alias("p"),
-                         (F.col("rest_above") * (1 - F.col("stop"))).alias("rest")))
-    return mixed.select("context", "prefix", "p")
+        joined = level.withColumn("above", F.shiftright("context", 8)).join(above, ["above", "prefix"])
+        mixed = joined.select("context", "prefix", (F.col("p_above") + F.col("rest_above") * F.col("stop") * F.col("kt")).alias("p"),
+                              (F.col("rest_above") * (1 - F.col("stop"))).alias("rest")) if level is not nodes else joined
+    return mixed.select("bucket", "context", "prefix", F.col("p_above").alias("p"), F.col("rest_above").alias("rest"))
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -176,23 +363,26 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     body = F.coalesce(docs[text], F.lit(""))
     size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     count = max(1, -(-size // BLOCK_BYTES))
+    buckets = max(count, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(docs[doc_id].alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("trains"), body.alias("text"))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
-    base = base.repartition(max(count, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-    counts = written(base.groupBy("block").applyInArrow(_block_counts, "block int, kind tinyint, key long, n long"))
-    tokens = counts.filter(F.col("kind") == TOKEN).groupBy("key").agg(F.sum("n").alias("n"))
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    strings = written(counts.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")))
-    tree = context_tree(strings)
-    p = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    coded = _bits(strings, "key").join(tree, ["context", "prefix"]).groupBy("key").agg(F.sum(F.log2(p)).alias("value"))
-    answers = [counts.filter(F.col("kind") == kind).select("block", "kind", "key").join(found, "key")
-               for kind, found in ((GRAM, coded), (TOKEN, tokens.select("key", F.col("n").cast("double").alias("value"))))]
-    known = answers[0].unionByName(answers[1])
+    base = base.repartition(buckets, "block")
+
+    def counts_of(table: pa.Table) -> pa.Table:
+        return _block_counts(table, buckets)
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _block_scores(left, right, total, distinct)
+        return _block_scores(left, right, total, distinct, buckets)
 
+    sent = written(base.groupBy("block").applyInArrow(counts_of, "block int, bucket int, grams binary, gram_n binary, words binary, word_n binary"))
+    dealt = sent.repartition(buckets, "bucket")
+    nodes = written(dealt.groupBy("bucket").applyInArrow(
+        _bucket_nodes, "bucket int, context long, prefix int, n0 long, n1 long, weighted double"))
+    total, distinct = nodes.filter("context < 0").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    top = top_of_tree(nodes.filter("context >= 0"))
+    known = dealt.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(
+        _bucket_answers, "block int, bucket int, values binary, counts binary")
     kind = base.schema["doc_id"].dataType.simpleString()
     return known.groupBy("block").cogroup(base.groupBy("block")).applyInArrow(
-        scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+        scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+                "n_bytes long, bits_per_byte double")

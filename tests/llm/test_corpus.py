@@ -476,11 +476,11 @@ def test_a_hot_payload_meets_its_digest_in_many_groups(spark):
 
 def test_context_tree_brute_force(spark):
     """Counts, Krichevsky-Trofimov mixing and scores of a tiny corpus, node by node."""
-    rows = [(1, "Abra cadabra"), (2, "abracadabra abra"), (3, "banana"), (4, ""), (5, None)]
+    rows = [(1, "Abra cadabra"), (2, "abracadabra abra"), (3, "banana"), (4, ""), (5, None), (6, "an abracadabra, a cadabra"), (7, "é abra")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = F.col("doc_id") == 3
     got = {r.doc_id: r for r in lm.score(docs, held).collect()}
-    counts = collections.Counter()
+    counts, met = collections.Counter(), collections.Counter()
     stream = {k: b"\xff" * lm.DEPTH + (t or "").encode().lower() + b"\xff" for k, t in rows}
     def decisions(s, i):
         for k in range(8):
@@ -488,19 +488,25 @@ def test_context_tree_brute_force(spark):
     children = collections.defaultdict(set)
     for k, s in stream.items():
         for i in range(lm.DEPTH, len(s)):
+            met.update(s[i - d:i] for d in range(lm.DEPTH + 1) if k != 3)
             for prefix, bit in decisions(s, i):
                 for d in range(lm.DEPTH + 1):
                     context = s[i - d:i]
                     counts[context, prefix, bit] += k != 3
                     if d:
                         children[context[1:], prefix].add(context)
+    def is_node(c):
+        return len(c) <= lm.SPLIT or met[c] >= lm.LEAST
+    def rest_of(c, p):
+        return [sum(counts[x, p, bit] for x in children[c, p] if not is_node(x)) for bit in (0, 1)]
     def own(c, p):
-        a, b = counts[c, p, 0], counts[c, p, 1]
+        return block(counts[c, p, 0], counts[c, p, 1])
+    def block(a, b):
         return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
     def weighted(c, p):
         if len(c) == lm.DEPTH:
             return own(c, p)
-        below = sum(weighted(x, p) for x in children[c, p])
+        below = sum(weighted(x, p) for x in children[c, p] if is_node(x)) + block(*rest_of(c, p))
         return np.logaddexp(own(c, p), below) - math.log(2)
     def one(context, p):
         out, rest = 0.0, 1.0
@@ -510,12 +516,35 @@ def test_context_tree_brute_force(spark):
             stop = 1.0 if d == lm.DEPTH else math.exp(own(c, p) - weighted(c, p) - math.log(2))
             out += rest * stop * (b + .5) / (a + b + 1)
             rest *= 1 - stop
+            if d < lm.DEPTH and not is_node(context[lm.DEPTH - d - 1:]):
+                a, b = rest_of(c, p)
+                return out + rest * (b + .5) / (a + b + 1)
         return out
     for k, s in stream.items():
         total = sum(math.log10(one(s[i - lm.DEPTH:i], p) if bit else 1 - one(s[i - lm.DEPTH:i], p))
                     for i in range(lm.DEPTH, len(s)) for p, bit in decisions(s, i))
-        assert abs(got[k].score - total) < 1e-6, k
+        assert abs(got[k].score - total) < 1e-5, k
+        assert abs(got[k].bits_per_byte * (len(s) - lm.DEPTH) + total / math.log10(2)) < 1e-4
     assert got[3].held_out and not got[1].held_out and got[4].score == got[5].score
+    assert any(len(c) > lm.SPLIT + 1 and n >= lm.LEAST for c, n in met.items())
+
+
+def test_contexts_reach_past_a_word(spark):
+    """Training texts cost clearly fewer bits a byte than held-out ones: the model knows them by more than their letters."""
+    spent = collections.defaultdict(lambda: [0.0, 0])
+    copies = collections.Counter(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.op9_context_tree(spark, SF).collect():
+        if copies[texts[r.doc_id]] == 1:
+            spent[r.held_out][0] -= r.score / math.log10(2)
+            spent[r.held_out][1] += r.n_bytes + 1
+    (seen, a), (unseen, b) = spent[False], spent[True]
+    assert seen / a < 0.9 * unseen / b
+
+
+def test_packed_keys_come_back():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert (lm._unpacked(lm._packed(keys), np.uint64) == keys).all() and len(lm._unpacked(lm._packed(keys[:0]), np.uint64)) == 0
 
 
 def test_unigram_base(spark, docs):
