@@ -263,3 +263,41 @@ def test_subgroup_models(subjects, spark):
     assert "PN2_4" not in models["pn01_death"].names and "PN2_4" in models["medical_death"].names
     n = subjects.where((F.col("AdmCatID") == "Medical") & (F.col("delta_1") == 1) & (F.col("event_time") <= 60)).count()
     assert models["medical_death"].stats["events"] == n
+
+
+def test_rows_are_scored_in_batches(subjects, spark):
+    """Splines are not spelled out as expressions of every row; gaps are those of the row's own parts."""
+    from pamspark.operators import ped as pe
+    spec = de.PamSpec(linear=("PN2_4",), baseline_k=10, time_smooths=("Age", "BMI"), exposures=("proteinCat3",))
+    info = de.basis_info(fi.subject_blocks(subjects), spec)
+    p = de.Design(spec, info).p
+    m = mo.PamModel("m", spec, info, np.linspace(-0.1, 0.1, p), np.eye(p))
+    rows = pe.as_ped(subjects.where("CombinedID % 100 = 0"), from_day=5, keep=["CombinedID", *spec.covariates, *spec.exposures])
+    scored = mo.predict_terms(rows, m, ["CombinedID", "tend"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "greatest" not in plan
+    known = {(r.CombinedID, r.tend): r.eta for r in scored.collect()}
+    for gap in ("PN2_4", "proteinCat3", "tend"):
+        holes = rows.withColumn(gap, F.when(F.col("CombinedID") % 200 != 0, F.col(gap)))
+        got = mo.predict_terms(holes, m, ["CombinedID", "tend"]).collect()
+        assert len(got) == len(known) and {r.CombinedID % 200 == 0 for r in got} == {True, False}
+        assert all(r.eta is None if r.CombinedID % 200 == 0 else r.eta == pytest.approx(known[r.CombinedID, r.tend]) for r in got)
+    late = mo.predict_terms(rows.withColumn("tend", F.lit(61)), m, ["CombinedID"]).collect()
+    assert late and all(r.eta is None for r in late)
+
+
+def test_column_and_group_sums_in_one_pass(subjects, spark):
+    spec = de.PamSpec(linear=("PN2_4",))
+    design = de.Design(spec, de.BasisInfo({}, {}))
+    rows = subjects.select("PN2_4", F.lit(7).alias("tend"), (F.col("CombinedID") % 5).cast("double").alias("w"),
+                           F.when(F.col("CombinedID") % 3 > 0, F.col("CombinedID") % 3).alias("unit"))
+    got = {(r.grp, r.term): r.total for r in de.column_sums(rows.repartition(5), design, "w", "unit", ["w"]).collect()}
+    want = {(None, r.term): r.total for r in de.column_sums(rows, design, "w").collect()}
+    want |= {(str(r.unit), "w"): r.w for r in rows.where("unit is not null").groupBy("unit").agg(F.sum("w").alias("w")).collect()}
+    assert len(want) == 4 and got == pytest.approx(want)
+
+
+def test_scored_subjects_are_dealt_over_tasks(subjects):
+    from pamspark.plans import queries
+    small = subjects.limit(500).coalesce(1)
+    assert "RepartitionByExpression [CombinedID" in queries._spread(small)._jdf.queryExecution().optimizedPlan().toString()
