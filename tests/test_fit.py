@@ -353,3 +353,15 @@ def test_absent_level_gets_no_weight(subjects):
 def test_a_fit_stopped_by_its_passes_raises(subjects, spec):
     with pytest.raises(RuntimeError, match="no convergence"):
         fi.fit_pam(fi.subject_blocks(subjects), spec, "delta_2", max_passes=1)
+
+
+def test_the_driver_gets_one_row_a_model(spark, monkeypatch):
+    rows = spark.range(400, numPartitions=40).select(
+        (F.col("id") % 2).cast("int").alias("model"), F.lit(None).cast("string").alias("grp"), F.lit(0.0).alias("b"),
+        F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    sent = []
+    whole = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: sent.append(whole(df)) or sent[-1])
+    got = fi._added(rows)
+    assert {m: v.tolist() for m, v in got.items()} == {0: [39800.0, 200.0], 1: [40000.0, 200.0]}
+    assert [t.num_rows for t in sent] == [2]
