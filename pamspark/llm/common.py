@@ -45,6 +45,19 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def written_in_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """df written like `written`, a file for each bucket of a column: groups by it are read where they lie, without an exchange."""
+    spark = df.sparkSession
+    if buckets > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")):
+        return written(df).repartition(buckets, column)
+    name = f"written_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", shared_folder(spark))
+    dealt.saveAsTable(name, format="parquet")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its name: the files under its path stay
+    return found
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str, by: list[str], salts: int = 64) -> DataFrame:
     """All rows with what table, which has one row per key, says of theirs: a key of many rows is spread over salts by a hash of by.
 

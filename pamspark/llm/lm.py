@@ -8,11 +8,13 @@ estimate of how often either bit followed; bottom-up each node mixes it half and
 children. Top-down the posterior weights of stopping at a depth turn into one probability per decision, a mix of the
 estimates of all depths. Contexts of up to SPLIT bytes that were never met in training estimate one half.
 
-Texts are dealt into blocks of about BLOCK_BYTES by a hash. A block sends its distinct strings of DEPTH + 1 bytes and
-its distinct words once, with their number in training texts, sorted and packed, to buckets; a bucket holds all
-strings whose last SPLIT context bytes are the same, so it has whole subtrees. Nodes of up to SPLIT bytes are tables
-of Spark. The answers come back to the block in the order of its strings, so what is exchanged follows the corpus and
-nothing is broadcast; a task holds a block and its strings, or a bucket. Words are known by 64-bit hashes.
+Texts are dealt into blocks of about BLOCK_BYTES by a hash, compressed as they are read. A block sends its distinct
+strings of DEPTH + 1 bytes and its distinct words once, with their number in training texts, sorted and packed, to
+buckets, which are written bucket by bucket so that they are exchanged once; a bucket holds all strings whose last
+SPLIT context bytes are the same, so it has whole subtrees. Nodes of up to SPLIT bytes are tables of Spark. The answers
+come back to the block in the order of its strings, so what is exchanged follows the corpus and nothing is broadcast.
+A task holds a block and its distinct strings, or the distinct strings of a bucket with the subtrees of about
+TREE_KEYS of them at a time. Words are known by 64-bit hashes.
 
 Defined cases: a null text is empty and an empty text has its closing byte and one end token; a null id counts as
 empty for the fold; equal rows get equal scores; without training texts every decision has probability one half and
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pamspark.llm.common import SPACED, mix, text_bytes, word_hashes, written
+from pamspark.llm.common import SPACED, mix, text_bytes, word_hashes, written, written_in_buckets
 
 #: Bytes of context; with the byte that follows they are one 64-bit key.
 DEPTH = 7
@@ -39,8 +41,12 @@ DEPTH = 7
 SPLIT = 4
 #: Occurrences in training texts that make a node of a longer context.
 LEAST = 2
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 CHUNK = 1_000_000
+#: Keys that are sorted at once.
+SORT_KEYS = 1_000_000
+#: Strings whose subtrees are held at once; those of one context of SPLIT bytes stay together.
+TREE_KEYS = 400_000
 #: The key of the end token; no word hash is looked up under it.
 END_TOKEN = np.uint64(0)
 _BYTE = np.uint64(8)
@@ -76,59 +82,139 @@ def _unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(places.T).view(kind).ravel()
 
 
-def _pieces(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ids, trains, sizes, texts): one row for each block in a batch, its texts one after the other, compressed."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        order = np.argsort(batch.column("block").to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
+        block = batch.column("block").to_numpy()
+        data, offsets = text_bytes(batch.column("text"))
+        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        rows = np.append(first, len(block))
+        starts = pa.array(rows.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, c) for c in (batch.column("doc_id"), batch.column("trains"), pa.array(np.diff(offsets)))]
+        texts = [zstandard.compress(data[offsets[a] : offsets[b]].tobytes(), 1) for a, b in zip(rows, rows[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(block[first]), *lists, pa.array(texts, pa.binary())], ["block", "ids", "trains", "sizes", "texts"])
+
+
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of all texts of a block, and which of them are learned from."""
+    data = np.frombuffer(b"".join(zstandard.decompress(x.as_buffer()) for x in table.column("texts")), np.uint8)
+    sizes = pc.list_flatten(table.column("sizes")).to_numpy()
+    return data, np.concatenate(([0], np.cumsum(sizes))), pc.list_flatten(table.column("trains")).to_numpy(zero_copy_only=False)
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts of about CHUNK bytes: first row, bytes, offsets."""
-    if not table.num_rows:
+    rows = len(offsets) - 1
+    if not rows:
         return
-    data, offsets = text_bytes(table.column("text"))
     part = offsets[1:] // CHUNK
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), table.num_rows]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), rows]
     for a, b in zip(cuts, cuts[1:]):
         yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _totals(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their numbers; the stable sort merges parts that are sorted."""
-    keys, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(n, first)
+def _sorted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all parts in order and which are the first of their kind; the list of parts is emptied."""
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return keys, first
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    keys, first = _sorted(parts)
+    return keys[first]
+
+
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts in order and how often each is there."""
+    keys, first = _sorted(parts)
+    at = np.flatnonzero(first)
+    return keys[at], np.diff(at, append=len(keys)).astype(np.uint32)
+
+
+def _union(sources: Iterator[np.ndarray]) -> np.ndarray:
+    """Distinct keys of all sources in order; beside them SORT_KEYS keys, or half as many as the distinct ones, are held."""
+    # what is merged stands in no other list, so that it goes when it is merged
+    parts, fresh, known = [], [], [np.zeros(0, np.uint64)]
+    for keys in sources:
+        parts.append(keys)
+        if sum(map(len, parts)) > SORT_KEYS:
+            fresh.append(_distinct(parts))
+            if sum(map(len, fresh)) > max(SORT_KEYS, len(known[0]) // 2):
+                known += fresh
+                fresh.clear()
+                known.append(_distinct(known))
+    keys = None
+    known += fresh + parts
+    del fresh, parts
+    return _distinct(known)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.append(word_hashes(data, offsets, SPACED)[0], np.full(len(offsets) - 1, END_TOKEN))
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, each text's end token after them, and the offsets of the texts."""
+    words, at = word_hashes(data, offsets, SPACED)
+    return np.insert(words, at[1:], END_TOKEN), at + np.arange(len(at))
 
 
-def _block_keys(table: pa.Table, keys_of) -> tuple[np.ndarray, np.ndarray]:
+def _strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all bytes and closing bytes and the offsets of the texts."""
+    return grams(data, offsets), offsets + np.arange(len(offsets))
+
+
+def _block_numbers(texts: tuple[np.ndarray, ...], keys_of) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a block in order, and how often each is met in training texts."""
-    known = None
-    for trains in (True, False):
-        part = table.filter(pc.equal(table.column("trains"), trains))
-        for _, data, offsets in _pieces(part):
-            keys, n = np.unique(keys_of(data, offsets), return_counts=True)
-            found = keys, n if trains else np.zeros_like(n)
-            known = _totals([known, found]) if known else found
-    return known
+    data, offsets, trains = texts
+    counted, parts = [], []
+
+    def sources() -> Iterator[np.ndarray]:
+        for row, piece, at in _pieces(data, offsets):
+            keys, starts = keys_of(piece, at)
+            learned = np.repeat(trains[row : row + len(at) - 1], np.diff(starts))
+            yield keys[~learned]
+            parts.append(keys[learned])
+            if sum(map(len, parts)) > SORT_KEYS:
+                counted.append(_counted(parts))
+                yield counted[-1][0]
+        if parts:
+            counted.append(_counted(parts))
+            yield counted[-1][0]
+
+    keys = _union(sources())
+    n = np.zeros(len(keys), np.uint32)
+    for k, times in counted:
+        n[np.searchsorted(keys, k)] += times
+    return keys, n
 
 
 def _split(keys: np.ndarray, buckets: int, context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of keys by bucket and key, the buckets met and where they begin."""
-    bucket = mix(keys >> np.uint64(8 * (DEPTH + 1 - SPLIT)) if context else keys) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    met, first = np.unique(bucket[order], return_index=True)
-    return order, met.astype(np.int64), np.append(first, len(keys))
+    # numpy sorts short integers by their digits
+    bucket = np.empty(len(keys), np.uint16 if buckets <= 1 << 16 else np.int64)
+    for at in range(0, len(keys), CHUNK):
+        part = keys[at : at + CHUNK]
+        bucket[at : at + CHUNK] = mix(part >> np.uint64(8 * (DEPTH + 1 - SPLIT)) if context else part) % np.uint64(buckets)
+    n = np.bincount(bucket, minlength=buckets)
+    met = np.flatnonzero(n)
+    return np.argsort(bucket, kind="stable"), met, np.append(0, np.cumsum(n[met]))
 
 
 def _block_counts(table: pa.Table, buckets: int) -> pa.Table:
     """(block, bucket, grams, gram_n, words, word_n): packed distinct strings and words of a block and their numbers in training texts."""
     rows: dict[int, dict] = {}
-    for kind, keys_of in (("gram", grams), ("word", _words)):
-        keys, n = _block_keys(table, keys_of)
+    texts = _texts(table)
+    for kind, keys_of in (("gram", _strings), ("word", _words)):
+        keys, n = _block_numbers(texts, keys_of)
         order, met, first = _split(keys, buckets, kind == "gram")
         for bucket, a, b in zip(met, first, first[1:]):
             row = rows.setdefault(int(bucket), {"block": table.column("block")[0].as_py(), "bucket": int(bucket)})
-            row[kind + "s"], row[kind + "_n"] = _packed(keys[order[a:b]]), _packed(n[order[a:b]].astype(np.uint32))
+            row[kind + "s"], row[kind + "_n"] = _packed(keys[order[a:b]]), _packed(n[order[a:b]])
     return pa.Table.from_pylist(list(rows.values()), _COUNTS)
 
 
@@ -139,9 +225,13 @@ _ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("values",
 
 def _sums(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a bucket and their numbers over all blocks."""
-    found = [(_unpacked(k, np.uint64), _unpacked(n, np.uint32).astype(np.int64))
-             for k, n in zip(table.column(kind + "s").to_pylist(), table.column(kind + "_n").to_pylist()) if k is not None]
-    return _totals(found) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    lists, numbers = table.column(kind + "s"), table.column(kind + "_n")
+    keys = _union(_unpacked(k.as_buffer(), np.uint64) for k in lists if k.is_valid)
+    n = np.zeros(len(keys), np.int64)
+    for k, times in zip(lists, numbers):
+        if k.is_valid:
+            n[np.searchsorted(keys, _unpacked(k.as_buffer(), np.uint64))] += _unpacked(times.as_buffer(), np.uint32)
+    return keys, n
 
 
 def _ln_gamma(x: np.ndarray) -> np.ndarray:
@@ -151,10 +241,20 @@ def _ln_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(steps)
 
 
+#: Log gamma of 0, 1, 2... and one half, and of 1, 2, 3...: most counts are small.
+_HALVES, _WHOLES = _ln_gamma(np.arange(4096) + 0.5), _ln_gamma(np.arange(4096) + 1.0)
+
+
 def _log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability."""
-    found = _ln_gamma(n0 + 0.5) + _ln_gamma(n1 + 0.5) - _ln_gamma(n0 + n1 + 1.0) - math.log(math.pi)
-    return np.where(n0 + n1 == 0, 0.0, found)
+    a, b = n0.astype(np.int64), n1.astype(np.int64)
+    large = np.flatnonzero(a + b >= len(_WHOLES))
+    x, y = n0[large], n1[large]
+    a[large] = b[large] = 0
+    found = _HALVES[a] + _HALVES[b] - _WHOLES[a + b] - math.log(math.pi)
+    found[a + b == 0] = 0.0
+    found[large] = _ln_gamma(x + 0.5) + _ln_gamma(y + 0.5) - _ln_gamma(x + y + 1.0) - math.log(math.pi)
+    return found
 
 
 class Subtrees:
@@ -165,7 +265,7 @@ class Subtrees:
     """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.level = np.full(len(keys), SPLIT)
+        self.level = np.full(len(keys), SPLIT, np.int8)
         self.entries, self.n, self.at, self.up = [], [], [], []
         left = np.arange(len(keys))
         for depth in range(SPLIT, DEPTH + 1):
@@ -178,7 +278,7 @@ class Subtrees:
                 left, context = left[met], context[met]
                 self.level[left] = depth
             entries, inverse = np.unique((context << _BYTE) | (keys[left] & np.uint64(255)), return_inverse=True)
-            at = np.full(len(keys), -1)
+            at = np.full(len(keys), -1, np.int32)
             at[left] = inverse
             first = np.zeros(len(entries), np.int64)
             first[inverse] = left
@@ -241,14 +341,22 @@ class Subtrees:
         return out
 
 
+def _trees(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, Subtrees]]:
+    """Subtrees of runs of about TREE_KEYS strings that end where a context of SPLIT bytes does: first string, end, subtrees."""
+    at = 0
+    while at < len(keys):
+        last = keys[min(at + TREE_KEYS, len(keys)) - 1] | np.uint64((1 << 8 * (DEPTH + 1 - SPLIT)) - 1)
+        end = int(np.searchsorted(keys, last, "right"))
+        yield at, end, Subtrees(keys[at:end], n[at:end])
+        at = end
+
+
 def _bucket_nodes(table: pa.Table) -> pa.Table:
     """The nodes of SPLIT bytes of a bucket; under context -1 the number of its words in training texts and of distinct ones."""
     bucket = table.column("bucket")[0].as_py()
     _, n = _sums(table, "word")
     columns = [[np.array([v]) for v in (-1, 0, n.sum(), (n > 0).sum(), 0.0)]]
-    keys, n = _sums(table, "gram")
-    if len(keys):
-        tree = Subtrees(keys, n)
+    for _, _, tree in _trees(*_sums(table, "gram")):
         for bit in range(8):
             first, _, n0, n1, _, weighted, *_ = tree.nodes(bit)[0]
             head = tree.entries[0][first]
@@ -262,63 +370,71 @@ def _bucket_answers(table: pa.Table, top: pa.Table) -> pa.Table:
     """For each block the values of its strings of a bucket and the numbers of its words, in its order."""
     words, counts = _sums(table, "word")
     keys, n = _sums(table, "gram")
-    values = np.zeros(0)
-    if len(keys):
-        tree, above = Subtrees(keys, n), {}
-        prefix = top.column("prefix").to_numpy()
-        context, p, left = (top.column(c).to_numpy() for c in ("context", "p", "rest"))
-        for bit in range(8):
-            here = np.flatnonzero(prefix >> bit == 1)
-            here = here[np.lexsort((prefix[here], context[here]))]
-            above[bit] = p[here], left[here]
-        values = tree.values(above)
+    values = np.zeros(len(keys), np.float32)
+    prefix = top.column("prefix").to_numpy()
+    context, p, left = (top.column(c).to_numpy() for c in ("context", "p", "rest"))
+    above = {}
+    for bit in range(8):
+        here = np.flatnonzero(prefix >> bit == 1)
+        here = here[np.lexsort((prefix[here], context[here]))]
+        above[bit] = context[here], p[here], left[here]
+    for a, b, tree in _trees(keys, n):
+        ends = (keys[[a, b - 1]] >> np.uint64(8 * (DEPTH + 1 - SPLIT))).astype(np.int64)
+        own = {}
+        for bit, (c, *found) in above.items():
+            i, j = np.searchsorted(c, ends[0]), np.searchsorted(c, ends[1], "right")
+            own[bit] = found[0][i:j], found[1][i:j]
+        values[a:b] = tree.values(own)
     rows = []
     for row in table.to_pylist():
         found = {"block": row["block"], "bucket": row["bucket"]}
         if row["grams"] is not None:
-            found["values"] = _packed(values[np.searchsorted(keys, _unpacked(row["grams"], np.uint64))].astype(np.float32))
+            found["values"] = _packed(values[np.searchsorted(keys, _unpacked(row["grams"], np.uint64))])
         if row["words"] is not None:
             found["counts"] = _packed(counts[np.searchsorted(words, _unpacked(row["words"], np.uint64))])
         rows.append(found)
     return pa.Table.from_pylist(rows, _ANSWERS)
 
 
-def _found(known: pa.Table, column: str, kind: type, table: pa.Table, keys_of, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _found(known: pa.Table, column: str, kind: type, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of a block and what the buckets answered."""
-    keys, _ = _block_keys(table, keys_of)
-    order, met, _ = _split(keys, buckets, column == "values")
-    blobs = dict(zip(known.column("bucket").to_pylist(), known.column(column).to_pylist()))
+    order, met, first = _split(keys, buckets, column == "values")
+    blobs = dict(zip(known.column("bucket").to_pylist(), known.column(column)))
     answers = np.empty(len(keys), kind)
-    answers[order] = np.concatenate([_unpacked(blobs[b], kind) for b in met.tolist()])
+    for bucket, a, b in zip(met.tolist(), first, first[1:]):
+        answers[order[a:b]] = _unpacked(blobs[bucket].as_buffer(), kind)
     return keys, answers
 
 
 def _lookup(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """What is known of each key; distinct keys are searched in order."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return known[1][np.searchsorted(known[0], distinct)][inverse]
+    """What is known of each key; keys are searched in order."""
+    order = np.argsort(keys)
+    found = np.empty(len(keys), known[1].dtype)
+    found[order] = known[1][np.searchsorted(known[0], keys[order])]
+    return found
 
 
 def _block_scores(known: pa.Table, table: pa.Table, total: int, distinct: int, buckets: int) -> pa.Table:
     """Scores of the texts of a block, from the values of its strings and words."""
-    strings = _found(known, "values", np.float32, table, grams, buckets)
-    numbers = _found(known, "counts", np.int64, table, _words, buckets)
-    tokens, hits, base, score = (np.zeros(table.num_rows) for _ in range(4))
-    for first, data, offsets in _pieces(table):
-        rows = slice(first, first + len(offsets) - 1)
-        starts = offsets[:-1] + np.arange(len(offsets) - 1)
-        score[rows] = np.add.reduceat(_lookup(strings, grams(data, offsets)).astype(float), starts)
-        words, at = word_hashes(data, offsets, SPACED)
-        end = _lookup(numbers, np.array([END_TOKEN]))[0]
-        count = np.insert(_lookup(numbers, words), at[1:], end)
-        starts = at[:-1] + np.arange(len(offsets) - 1)
-        tokens[rows] = np.diff(at) + 1
-        hits[rows] = np.add.reduceat((count > 0).astype(float), starts)
-        base[rows] = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1)), starts)
-    size = np.diff(text_bytes(table.column("text"))[1])
-    return pa.table({"doc_id": table.column("doc_id"), "held_out": pc.invert(table.column("trains")),
+    data, offsets, trains = _texts(table)
+    tokens, hits, base, score = (np.zeros(len(trains)) for _ in range(4))
+    strings = _found(known, "values", np.float32, _union(_strings(piece, at)[0] for _, piece, at in _pieces(data, offsets)), buckets)
+    for first, piece, at in _pieces(data, offsets):
+        keys, starts = _strings(piece, at)
+        score[first : first + len(at) - 1] = np.add.reduceat(_lookup(strings, keys).astype(float), starts[:-1])
+    del strings
+    pieces = [(first, *_words(piece, at)) for first, piece, at in _pieces(data, offsets)]
+    numbers = _found(known, "counts", np.int64, _union(words for _, words, _ in pieces), buckets)
+    for first, words, starts in pieces:
+        rows = slice(first, first + len(starts) - 1)
+        count = _lookup(numbers, words)
+        tokens[rows] = np.diff(starts)
+        hits[rows] = np.add.reduceat((count > 0).astype(float), starts[:-1])
+        base[rows] = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1)), starts[:-1])
+    size = np.diff(offsets)
+    return pa.table({"doc_id": pc.list_flatten(table.column("ids")), "held_out": pa.array(~trains),
                      "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(hits.astype(np.int64)),
-                     "train_tokens": pa.array(np.full(table.num_rows, total, np.int64)), "base_score": pa.array(base),
+                     "train_tokens": pa.array(np.full(len(trains), total, np.int64)), "base_score": pa.array(base),
                      "score": pa.array(score * math.log10(2)), "n_bytes": pa.array(size), "bits_per_byte": pa.array(-score / (size + 1))})
 
 
@@ -366,6 +482,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     buckets = max(count, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(docs[doc_id].alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("trains"), body.alias("text"))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    base = base.mapInArrow(_packed_texts, f"block int, ids array<{kind}>, trains array<boolean>, sizes array<long>, texts binary")
     base = base.repartition(buckets, "block")
 
     def counts_of(table: pa.Table) -> pa.Table:
@@ -374,15 +492,14 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         return _block_scores(left, right, total, distinct, buckets)
 
-    sent = written(base.groupBy("block").applyInArrow(counts_of, "block int, bucket int, grams binary, gram_n binary, words binary, word_n binary"))
-    dealt = sent.repartition(buckets, "bucket")
+    sent = base.groupBy("block").applyInArrow(counts_of, "block int, bucket int, grams binary, gram_n binary, words binary, word_n binary")
+    dealt = written_in_buckets(sent, "bucket", buckets)
     nodes = written(dealt.groupBy("bucket").applyInArrow(
         _bucket_nodes, "bucket int, context long, prefix int, n0 long, n1 long, weighted double"))
     total, distinct = nodes.filter("context < 0").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
     top = top_of_tree(nodes.filter("context >= 0"))
     known = dealt.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(
         _bucket_answers, "block int, bucket int, values binary, counts binary")
-    kind = base.schema["doc_id"].dataType.simpleString()
     return known.groupBy("block").cogroup(base.groupBy("block")).applyInArrow(
         scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
                 "n_bytes long, bits_per_byte double")

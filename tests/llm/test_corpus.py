@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import regex
 import xxhash
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pamspark.llm import decontaminate, fingerprint, html, html_pages, licenses, lm, mixing, neardup, quality, queries, sharding, warc
-from pamspark.llm.common import ALNUM, SPACED, bounded_batches, salted_join, shared_folder, text_bytes, word_hashes
+from pamspark.llm.common import ALNUM, SPACED, bounded_batches, salted_join, shared_folder, text_bytes, word_hashes, written_in_buckets
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string"
@@ -547,6 +549,77 @@ def test_packed_keys_come_back():
     assert (lm._unpacked(lm._packed(keys), np.uint64) == keys).all() and len(lm._unpacked(lm._packed(keys[:0]), np.uint64)) == 0
 
 
+def packed_block(texts):
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([i % 7 != 2 for i in range(n)]), pa.array(texts, pa.string()),
+                                        pa.array([i % 2 for i in range(n)], pa.int32())], ["doc_id", "trains", "text", "block"])
+    return pa.Table.from_batches(list(lm._packed_texts([batch.slice(0, 0), batch.slice(0, n // 3), batch.slice(n // 3)])))
+
+
+def test_packed_texts_come_back():
+    texts = ["", None, "\u00e9 b", "abc " * 30, "x", "", "\u4e2d"]
+    found = {}
+    for block in (0, 1):
+        table = packed_block(texts).filter(pc.equal(pc.field("block"), block))
+        data, offsets, trains = lm._texts(table)
+        for i, a, b, t in zip(pc.list_flatten(table.column("ids")).to_pylist(), offsets, offsets[1:], trains):
+            found[i] = data[a:b].tobytes().decode(), bool(t)
+    assert found == {i: (t or "", i % 7 != 2) for i, t in enumerate(texts)}
+
+
+def test_memory_of_a_bucket_follows_its_distinct_strings():
+    """The strings that many blocks share are held once, not once a block."""
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 100_000).astype(np.uint64))
+    row = {"block": 0, "bucket": 3, "grams": lm._packed(keys), "gram_n": lm._packed(np.full(len(keys), 2, np.uint32)), "words": None, "word_n": None}
+    table = pa.Table.from_pylist([row] * 60, lm._COUNTS)
+    lm._sums(table.slice(0, 1), "gram")
+    tracemalloc.start()
+    found, n = lm._sums(table, "gram")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == keys).all() and (n == 120).all()
+    assert peak < 100_000_000
+
+
+def test_cuts_change_no_string_node_or_score(monkeypatch):
+    """Sorting in parts, subtrees in runs: the same counts, nodes and values as at once."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abA d\u00e9"), int(n))) for n in rng.integers(0, 90, 60)]
+    table = packed_block(texts).filter(pc.equal(pc.field("block"), 0))
+    def run():
+        sent = lm._block_counts(table, 2)
+        found = []
+        for bucket in (0, 1):
+            own = sent.filter(pc.equal(pc.field("bucket"), bucket))
+            nodes = lm._bucket_nodes(own).sort_by([("prefix", "ascending"), ("context", "ascending")])
+            top = nodes.filter(pc.greater_equal(pc.field("context"), 0)).select(["context", "prefix"])
+            top = top.append_column("p", pa.array(np.full(len(top), 0.25))).append_column("rest", pa.array(1 / (2 + top.column("context").to_numpy() % 5)))
+            found.append((own, nodes, lm._bucket_answers(own, top)))
+        known = pa.concat_tables([f[2] for f in found])
+        return found, lm._block_scores(known, table, 100, 10, 2)
+    whole = run()
+    trees = lm._trees(np.arange(0, 1 << 40, 1 << 31, dtype=np.uint64), np.ones(1 << 9))
+    assert [(a, b) for a, b, _ in trees] == [(0, 1 << 9)]
+    for name, value in (("CHUNK", 50), ("SORT_KEYS", 70), ("TREE_KEYS", 40)):
+        monkeypatch.setattr(lm, name, value)
+    runs = [(a, b) for a, b, _ in lm._trees(np.arange(0, 1 << 40, 1 << 31, dtype=np.uint64), np.ones(1 << 9))]
+    assert len(runs) > 10 and all(a % 2 == 0 for a, _ in runs) and runs[-1][1] == 1 << 9
+    cut = run()
+    assert cut == whole
+
+
+def test_buckets_are_exchanged_once(spark, capsys):
+    rows = spark.range(100).select((F.col("id") % 11).cast("int").alias("bucket"), "id")
+    tables = [t.name for t in spark.catalog.listTables()]
+    dealt = written_in_buckets(rows, "bucket", 5)
+    assert [t.name for t in spark.catalog.listTables()] == tables
+    grouped = dealt.groupBy("bucket").applyInArrow(lambda t: t, "bucket int, id long")
+    grouped.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert sorted(r.id for r in grouped.collect()) == list(range(100))
+    assert written_in_buckets(rows.limit(0), "bucket", 5).groupBy("bucket").count().collect() == []
+
+
 def test_unigram_base(spark, docs):
     words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text)) for r in docs.collect()}
     counts = collections.Counter()
