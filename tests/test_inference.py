@@ -301,3 +301,117 @@ def test_scored_subjects_are_dealt_over_tasks(subjects):
     from pamspark.plans import queries
     small = subjects.limit(500).coalesce(1)
     assert "RepartitionByExpression [CombinedID" in queries._spread(small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _own_subjects(spark, n=80):
+    """Invented subjects with every column that the study's models and strata read."""
+    rng = np.random.default_rng(11)
+
+    def pick(values):
+        return [values[i % len(values)] for i in rng.permutation(n)]
+
+    adm, bmi = pick(["Medical", "Surgical/Elective", "Surgical/Emeregency"]), rng.uniform(15, 40, n)
+    t = rng.integers(5, 62, n)
+    died, weaned = (t <= 60) & (np.arange(n) % 3 == 0), (t <= 60) & (np.arange(n) % 3 == 1)
+    diaries = rng.integers(0, 2, (2, n, 11)).astype(float)
+    rows = [(i, int(t[i]), int(died[i]), int(weaned[i]), int(died[i] or i % 7 == 1), int(weaned[i] and i % 7 != 1),
+             y, d, adm[i], g, int(rng.integers(0, 41)), *[int(v) for v in rng.integers(0, 4, 4)], int(rng.integers(18, 90)), float(bmi[i]),
+             "bmi<18.5" if bmi[i] < 18.5 else "bmi>30" if bmi[i] > 30 else "bmi18.5-30", "pn01" if i % 2 else "pn23",
+             i % 4, i % 9 and 1, 11, diaries[0, i].tolist(), diaries[1, i].tolist())
+            for i, (y, d, g) in enumerate(zip(pick(["2008", "2009"]), pick(["a", "b", "c"]), pick(["Female", "Male"])))]
+    return spark.createDataFrame(rows, "CombinedID long, event_time int, delta_1 int, delta_2 int, sens_delta_1 int, sens_delta_2 int, "
+                                 "Year string, DiagID2 string, AdmCatID string, Gender string, ApacheIIScore int, inMV2_4 int, "
+                                 "Propofol2_4 int, OralIntake2_4 int, PN2_4 int, Age int, BMI double, bmi_cat string, pn_bin string, "
+                                 "CombinedicuID int, icuByDummy int, n_days int, proteinCat2 array<double>, proteinCat3 array<double>")
+
+
+def _own_models(subjects, names_and_specs, skip_unit=None):
+    """Models with invented coefficients and unit effects; the first does not know the unit ``skip_unit``."""
+    rng, spark, out = np.random.default_rng(12), subjects.sparkSession, {}
+    for i, (name, spec) in enumerate(names_and_specs):
+        info = de.basis_info(fi.subject_blocks(subjects), spec)
+        design = de.Design(spec, info)
+        root = rng.standard_normal((design.p, design.p)) / 10
+        beta = rng.standard_normal(design.p) / 100
+        beta[:design.parametric] /= 100
+        beta[0] = -3
+        groups = spark.createDataFrame([(str(u), float(rng.standard_normal())) for u in range(4) if i or u != skip_unit],
+                                       "grp string, effect double")
+        out[name] = mo.PamModel(name, spec, info, beta, root @ root.T, {**{p.label: 0.3 + i for p in design.penalties()}, "group": 2.0},
+                                {"gradient": 0.0}, groups)
+    return out
+
+
+def _dense_mu(m, rows):
+    """Rows with the design ``x``, the unit's effect ``b`` and the expected events, without the scorer."""
+    got = de.design_rows(rows, m.design, [c for c in rows.columns if not c.startswith("proteinCat")]).toPandas()
+    effect = dict(m.groups.collect())
+    got["b"] = [effect.get(str(u), np.nan) for u in got["CombinedicuID"]]
+    got["mu"] = np.exp(np.array(got["x"].tolist()) @ m.beta + got["b"] * got["icuByDummy"] + got["offset"])
+    return got
+
+
+def test_scores_of_all_strata_from_one_generation_of_rows(spark, monkeypatch):
+    """Rows at risk are generated and read once for all models; every score is that of the dense design."""
+    from pamspark.operators import ped as pe
+    from pamspark.plans import queries
+    subjects = _own_subjects(spark)
+    spec = an.study_spec(subjects)
+    groups = an.subgroups()
+    models = _own_models(subjects, [(f"{g.name}_{c}", spec.without(*g.without)) for g in groups[2:7:2] for c in ("death", "extubation")], 3)
+    monkeypatch.setattr(queries, "_subgroup_models", lambda x: (subjects, models))
+    made, real = [], pe.as_ped
+    monkeypatch.setattr(queries.pe, "as_ped", lambda *a, **k: made.append(1) or real(*a, **k))
+    got = {(r.model, r.term): r for r in queries._score_equations_subgroups(None).collect()}
+    assert len(made) == 1
+    keep = [c for c in subjects.columns if c not in ("event_time", "delta_1", "delta_2", "sens_delta_1", "sens_delta_2")]
+    for name, m in models.items():
+        rule = next(g.rule for g in groups if g.name == name.split("_")[0])
+        rows = _dense_mu(m, real(subjects.where(rule), from_day=5, keep=keep).repartition(3))
+        rows = rows[rows["b"].notna()]
+        rest = rows["ped_status_1" if "death" in name else "ped_status_2"] - rows["mu"]
+        slope = sum(m.smoothing[p.label] * p.matrix @ m.beta for p in m.design.penalties())
+        gap = np.abs(np.array(rows["x"].tolist()).T @ rest.to_numpy() - slope) * np.sqrt(np.diag(m.cov))
+        for term, (a, b) in {"parametric": (0, m.design.parametric), **m.design.spans}.items():
+            assert got[name, term].n == b - a and got[name, term].score == pytest.approx(gap[a:b].max(), rel=1e-6, abs=0.006)
+        on = rows["icuByDummy"]
+        per = rows.assign(s=rest * on, w=rows["mu"] * on * on).groupby("CombinedicuID").agg({"s": "sum", "w": "sum", "b": "first"})
+        far = (np.abs(per["s"] - 2 * per["b"]) / np.sqrt(per["w"] + 2)).max()
+        assert got[name, "units"].n == len(per) and got[name, "units"].score == pytest.approx(far, rel=1e-6, abs=0.006)
+
+
+def test_calibration_scores_all_models_in_one_pass(spark, monkeypatch):
+    from pamspark.operators import ped as pe
+    from pamspark.plans import queries
+    subjects = _own_subjects(spark)
+    models = _own_models(subjects, [(n, an.study_spec(subjects)) for n in ("death", "extubation")])
+    monkeypatch.setattr(an, "study_subjects", lambda *a: subjects)
+    monkeypatch.setattr(an, "fit_main", lambda *a, **k: models)
+    monkeypatch.setattr(queries.Inputs, "__init__", lambda self: None)
+    x = queries.Inputs()
+    x.patient = x.daily = None
+    got = queries._fit_calibration(x)
+    assert got.columns == ["variable", "level", "expected", "model"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r.model, r.variable, r.level): r.expected for r in got.collect()}
+    keep = [c for c in subjects.columns if c not in ("event_time", "delta_1", "delta_2", "sens_delta_1", "sens_delta_2")]
+    for name, m in models.items():
+        rows = _dense_mu(m, pe.as_ped(subjects, from_day=5, keep=keep))
+        for f in de.FACTORS:
+            for level, mu in rows.groupby(f)["mu"].sum().items():
+                assert got.pop((name, f, level)) == pytest.approx(mu, abs=0.006)
+    assert not got
+
+
+def test_equal_rows_share_their_parts(spark):
+    """Runs of equal rows, rows in any order and several models give the same predictions."""
+    from pamspark.operators import ped as pe
+    subjects = _own_subjects(spark)
+    spec = an.study_spec(subjects)
+    models = _own_models(subjects, [("a", spec), ("b", spec.without("BMI", "AdmCatID"))])
+    rows = pe.as_ped(subjects, from_day=5, keep=["CombinedID", *spec.covariates, *spec.exposures])
+    both = {(r.CombinedID, r.tend): (r.eta_a, r.eta_b) for r in mo.predict_terms(rows, models, ["CombinedID", "tend"]).collect()}
+    mixed = rows.orderBy(F.xxhash64("CombinedID", "tend")).repartition(3)
+    for i, m in enumerate(models.values()):
+        one = {(r.CombinedID, r.tend): r.eta for r in mo.predict_terms(mixed, m, ["CombinedID", "tend"]).collect()}
+        assert one == pytest.approx({k: v[i] for k, v in both.items()})
