@@ -365,3 +365,45 @@ def test_the_driver_gets_one_row_a_model(spark, monkeypatch):
     got = fi._added(rows)
     assert {m: v.tolist() for m, v in got.items()} == {0: [39800.0, 200.0], 1: [40000.0, 200.0]}
     assert [t.num_rows for t in sent] == [2]
+
+
+def test_light_penalties_are_not_switched_off_by_heavy_ones():
+    """A column without data under a light penalty keeps its place however heavy another penalty is."""
+    from types import SimpleNamespace
+    eye = np.eye(2)
+    st = SimpleNamespace(p=2, beta=np.zeros(2), gram=np.diag([1e6, 0.0]), score=np.zeros(2), pen=[
+        de.Penalty(t, t, np.outer(eye[i], eye[i]), np.ones(1)) for i, t in enumerate("ab")])
+    st.pseudo_traces = lambda lam: fi._State.pseudo_traces(st, lam)
+    for light in (9.0, 11.0):
+        got = fi._Working(st, np.log([1e13, light]), None)
+        assert abs(got.gradient[1]) < 1e-9 and got.v[1, 1] == pytest.approx(1 / light)
+
+
+def test_sums_go_over_days_at_risk_only(spark):
+    """Blocks by their last day, of some days or of all: the sums are those of the dense design."""
+    rng = np.random.default_rng(21)
+    n = 300
+    last, first = rng.integers(7, 61, n), rng.integers(5, 8, n)
+    rows = [(int(first[i]), int(last[i]), float(rng.integers(0, 41)), float(rng.integers(18, 90)), rng.integers(0, 2, 11).astype(float).tolist(),
+             float(i % 3 == 0), float(i % 5 == 0) if i % 4 else None) for i in range(n)]
+    spec = de.PamSpec(linear=("a",), time_linear=("a",), baseline_k=6, time_smooths=("age",), smooth_k=6, exposures=("w",))
+    df = spark.createDataFrame(rows, "from_day int, to_day int, a double, age double, w array<double>, y0 double, y1 double").withColumns(
+        {"n": F.lit(1.0), "last_exposure": F.lit(0.5), "n_days": F.lit(11)})
+    design = de.Design(spec, de.basis_info(df, spec))
+    table = df.select("from_day", "to_day", "n", "last_exposure", F.array("y0", "y1").alias("y"), F.lit(None).cast("string").alias("grp"),
+                      F.lit(0.0).alias("switch"), design.z_column().alias("z"), design.c_column().alias("c"))
+    beta = {m: rng.standard_normal(design.p) / 200 - (np.arange(design.p) == 0) * 3 for m in range(2)}
+    every = {m: np.arange(design.p) for m in range(2)}
+    short = table.where("to_day <= 20"), table.where("to_day > 20")
+    got = [fi._added(fi._pass(t.orderBy("to_day").coalesce(1), [design] * 2, beta, every)) for t in (table, *short)]
+    days = df.select("*", F.explode(F.sequence("from_day", "to_day")).alias("tend"))
+    dense = de.design_rows(days, design, ["tend", "to_day", "y0", "y1"]).toPandas()
+    for m in range(2):
+        mine = dense[dense[f"y{m}"].notna()]
+        x, end = np.array(mine["x"].tolist()), (mine["tend"] == mine["to_day"]).to_numpy()
+        mu = np.exp(x @ beta[m]) * np.where(end, 0.5, 1.0)
+        gram, score = (x * mu[:, None]).T @ x, x.T @ (np.where(end, mine[f"y{m}"], 0) - mu)
+        want = np.concatenate([fi._triangle(gram), score])
+        scale = np.abs(want).max()
+        assert np.allclose(got[0][m][:len(want)] / scale, want / scale, atol=1e-12)
+        assert np.allclose((got[1][m] + got[2][m])[:len(want)] / scale, want / scale, atol=1e-12)
